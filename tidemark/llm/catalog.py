@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import media, sharding
+from . import langid, media, packing, quality, sharding
 
-MODULES = (sharding, media)
+MODULES = (packing, quality, sharding, langid, media)
 
 
 def queries() -> dict:
