@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import langid, media, packing, quality, sharding
+from . import jaccard, langid, media, packing, quality, sharding
 
-MODULES = (packing, quality, sharding, langid, media)
+MODULES = (packing, quality, sharding, langid, media, jaccard)
 
 
 def queries() -> dict:
