@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import jaccard, langid, media, packing, quality, sharding
+from . import jaccard, langid, media, packing, quality, sharding, substrings
 
-MODULES = (packing, quality, sharding, langid, media, jaccard)
+MODULES = (packing, quality, sharding, langid, substrings, media, jaccard)
 
 
 def queries() -> dict:

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.window import Window
@@ -78,3 +79,40 @@ def global_rank(df: DataFrame, order: list[str], name: str, value: Column | None
     offset = F.element_at(F.array(*[F.lit(s).cast("long") for s in starts or [0]]), F.col("__part") + 1)
     w = Window.partitionBy("__part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     return parts.withColumn(into, F.coalesce(F.sum("__one").over(w), F.lit(0)) + offset).drop("__part", "__one")
+
+
+def packed(key: np.ndarray, columns: list[np.ndarray], buckets: int) -> Iterator[list[tuple]]:
+    """Rows (bucket, bytes of each column), a row for each bucket that `key` (unsigned 64-bit) deals values to."""
+    bucket = ((key * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)) % np.uint64(buckets)
+    by = np.argsort(bucket, kind="stable")
+    edges = np.searchsorted(bucket[by], np.arange(buckets + 1, dtype=np.uint64))
+    full = [k for k in range(buckets) if edges[k] < edges[k + 1]]
+    for at in range(0, len(full), 100):
+        yield [(k, *(c[by[edges[k] : edges[k + 1]]].tobytes() for c in columns)) for k in full[at : at + 100]]
+
+
+def record(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    columns = list(zip(*rows, strict=True)) if rows else [[]] * len(schema)
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+
+
+def by_bucket(df: DataFrame, close: Callable[[int, list[tuple]], Iterator[pa.RecordBatch]], ddl: str) -> DataFrame:
+    """close(bucket, rows without the bucket) for each value of the first column, whole buckets together.
+
+    Rows are dealt by bucket, sorted, and streamed: a task holds one bucket at a time.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+        for b in batches:
+            for bucket, *rest in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if bucket != now and held:
+                    yield from close(now, held)
+                    held = []
+                now = bucket
+                held.append(tuple(rest))
+        if held:
+            yield from close(now, held)
+
+    n, first = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), df.columns[0]
+    return map_arrow(df.repartition(n, first).sortWithinPartitions(first), run, ddl)
