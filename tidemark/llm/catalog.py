@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import jaccard, langid, media, ngram, packing, quality, sharding, substrings
+from . import jaccard, langid, licenses, media, ngram, packing, quality, sharding, substrings
 
-MODULES = (packing, quality, sharding, langid, ngram, substrings, media, jaccard)
+MODULES = (packing, quality, licenses, sharding, langid, ngram, substrings, media, jaccard)
 
 
 def queries() -> dict:
