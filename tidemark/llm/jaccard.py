@@ -3,10 +3,11 @@
 The distance of two documents is 1 minus the Jaccard index of their shingle sets, which obeys the triangle
 inequality. Sets that are equal are one point. Points that may be within reach of each other share one of a few
 shingles at a low position of a common order (rare ones first), so each such shingle spans a region. Small regions
-are joined at once; in a large one pivots are drawn, every point's exact distance to them is taken, and points
+are joined at once; in a large one PIVOTS pivots are drawn, every point's exact distance to them is taken, and points
 within reach of a pivot fall into its Voronoi cell and need no further comparison with each other. What is left is
-joined in the next round with twice as many pivots: only points of different components, and only where the
-distances to a pivot they share differ by at most the reach. The last round has compared or excluded every pair.
+joined recursively: only points of different components, and only where the distances to a pivot they share differ
+by at most the reach; with more pivots first while the pairs left are many for the points, and at last all of them.
+So every pair has been compared or excluded.
 """
 
 from __future__ import annotations
@@ -22,8 +23,11 @@ from .common import LOWER, documents, map_arrow, saved, split_words, texts
 from .components import connected_components
 
 SHINGLE_WORDS, PERCENT = 5, 80
-#: Regions up to this many points are joined at once.
-LEAF = 16
+#: Regions up to this many points are joined at once; larger ones begin with so many pivots.
+LEAF, PIVOTS = 16, 8
+#: Pairs left for each set (once for every task that sees them), up to which the recursion ends with all of them; row
+#: pairs held at once.
+PAIRS_PER_SET, PAIRS_AT_ONCE = 20, 2_000_000
 #: Shingles that come last in the order, as they are frequent; the list steers the cost and not the result.
 FREQUENT, TASK_FREQUENT = 50_000, 20_000
 FLUSH = 2_000_000
@@ -210,7 +214,7 @@ def pivot_pairs(size: np.ndarray, rank: np.ndarray, first: int, last: int) -> tu
 
 
 def first_pairs(regions: DataFrame, percent: int) -> DataFrame:
-    """(a, b): all pairs of small regions and the first pivot's pairs of large ones, by set key."""
+    """(a, b): all pairs of small regions and the first pivots' pairs of large ones, by set key."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -218,7 +222,7 @@ def first_pairs(regions: DataFrame, percent: int) -> DataFrame:
                 tokens, keys, sizes, places = unpack([tuple(rest)])
                 size, rank = group_bounds(tokens)
                 small = size <= LEAF
-                found = [pivot_pairs(np.where(small, 0, size), np.where(small, LEAF, rank), 0, 1)]
+                found = [pivot_pairs(np.where(small, 0, size), np.where(small, PIVOTS, rank), 0, PIVOTS)]
                 for step in range(1, LEAF):
                     i = np.flatnonzero(small[:-step] & (tokens[:-step] == tokens[step:])) if len(tokens) > step else np.zeros(0, np.int64)
                     found.append((i, i + step))
@@ -241,23 +245,31 @@ def large_regions(regions: DataFrame) -> DataFrame:
     return map_arrow(regions, run, "token long, key long, size int, place int")
 
 
-def later_pairs(open_rows: DataFrame, first: int, last: int, percent: int) -> DataFrame:
-    """(a, b) of the pivots ranked from first to below last in each region, where components and windows allow a link.
+def later_pairs(open_rows: DataFrame, first: int, last: int | None, percent: int, only_count: bool = False) -> DataFrame:
+    """(a, b) of the pivots ranked from first to below last (None: all) in each region, where components and windows allow a link.
 
-    A window: points of which both distances to a common pivot are known can't link if
-    these differ by more than the reach.
+    A window: points of which both distances to a common pivot are known can't link if these differ by more than the
+    reach. With only_count, (a: how many, b: 0) for each task instead.
     """
     reach = (100 - percent) / 100 + 1e-9
 
-    def close(parts: list) -> pa.RecordBatch:
+    def close(parts: list) -> Iterator[pa.RecordBatch]:
         t = pa.Table.from_batches(parts)
         tokens, keys, sizes, places, comps, pivots, dists = (t.column(c).to_numpy() for c in ("token", "key", "size", "place", "component", "pivot", "distance"))
         size, rank = group_bounds(tokens)
-        i, j = pivot_pairs(size, rank, first, last)
-        fit = (comps[i] != comps[j]) & in_reach(sizes, places, i, j, percent)
-        fit &= ~((pivots[i] == pivots[j]) & (np.abs(dists[i] - dists[j]) > reach))
-        pairs = np.unique(np.stack([keys[i[fit]], keys[j[fit]]], axis=1), axis=0)
-        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+        rank = np.where((rank >= first) & (rank < (last or len(rank) + 1)), rank, -1)
+        edges = np.searchsorted(np.cumsum(np.where(rank >= 0, size - rank, 0)), np.arange(1, 1 << 40, PAIRS_AT_ONCE)[: 1 + int(size.sum()) * int(size.max(initial=1)) // PAIRS_AT_ONCE])
+        bounds = np.unique(np.append(edges, len(rank)))
+        for x, y in zip(bounds[:-1], bounds[1:], strict=True):
+            held = np.full(len(rank), -1)
+            held[x:y] = rank[x:y]
+            i, j = pivot_pairs(size, held, first, last or len(rank) + 1)
+            fit = (comps[i] != comps[j]) & in_reach(sizes, places, i, j, percent)
+            fit &= ~((pivots[i] == pivots[j]) & (np.abs(dists[i] - dists[j]) > reach))
+            pairs = np.unique(np.stack([keys[i[fit]], keys[j[fit]]], axis=1), axis=0)
+            if only_count:
+                pairs = np.array([[len(pairs), 0]])
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0], pa.int64()), pa.array(pairs[:, 1], pa.int64())], names=["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list = []
@@ -269,13 +281,14 @@ def later_pairs(open_rows: DataFrame, first: int, last: int, percent: int) -> Da
             if cut or (held and held[-1].column(0)[-1].as_py() != tokens[0]):
                 done = [*held, b.slice(0, cut)]
                 held = []
-                yield close(done)
+                yield from close(done)
             held.append(b.slice(cut))
         if held:
-            yield close(held)
+            yield from close(held)
 
     n = int(open_rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return map_arrow(open_rows.repartition(n, "token").sortWithinPartitions("token", "key"), run, "a long, b long").distinct()
+    out = map_arrow(open_rows.repartition(n, "token").sortWithinPartitions("token", "key"), run, "a long, b long")
+    return out if only_count else out.distinct()
 
 
 def measured(pairs: DataFrame, sets: DataFrame, docs: DataFrame, words_each: int, percent: int) -> DataFrame:
@@ -332,19 +345,24 @@ def jaccard_components(docs: DataFrame, words_each: int = SHINGLE_WORDS, percent
     done = saved(measured(first_pairs(regions, percent), sets, docs, words_each, percent), "jaccard-links")
     large = saved(large_regions(regions), "jaccard-large")
     most = large.groupBy("token").count().agg(F.max("count")).first()[0] or 0
-    components, first = labels(done, sets), 1
+    n_sets = sets.count()
+    components, first = labels(done, sets), PIVOTS
     while first < most:
         nearest = done.groupBy(F.col("b").alias("key")).agg(F.min(F.struct("distance", "a")).alias("m")).select("key", F.col("m.a").alias("pivot"), F.col("m.distance").alias("distance"))
         marked = large.join(components, "key", "left").join(nearest, "key", "left")
-        marked = marked.select("token", "key", "size", "place", F.coalesce("component", "key").alias("component"), F.coalesce("pivot", "key").alias("pivot"), F.coalesce("distance", F.lit(0.0)).alias("distance"))
-        split = marked.groupBy("token").agg((F.min("component") != F.max("component")).alias("open")).where("open").select("token")
-        pairs = saved(later_pairs(marked.join(split, "token", "left_semi"), first, 2 * first + 1, percent), "jaccard-pairs")
-        if not pairs.isEmpty():
-            done = saved(done.unionByName(measured(pairs, sets, docs, words_each, percent)), "jaccard-links")
-            components = labels(done, sets)
-        elif split.isEmpty():
+        marked = saved(marked.select("token", "key", "size", "place", F.coalesce("component", "key").alias("component"), F.coalesce("pivot", "key").alias("pivot"), F.coalesce("distance", F.lit(0.0)).alias("distance")), "jaccard-marked")
+        split = marked.groupBy("token").agg((F.min("component") != F.max("component")).alias("open"), F.count("*").alias("n")).where((F.col("n") > first) & F.col("open")).select("token")
+        large = saved(marked.join(split, "token", "left_semi"), "jaccard-open")
+        left = later_pairs(large, first, None, percent, only_count=True).agg(F.sum("a")).first()[0] or 0
+        if not left:
             break
-        first = 2 * first + 1
+        last = None if left <= PAIRS_PER_SET * n_sets else 4 * first
+        pairs = saved(later_pairs(large, first, last, percent), "jaccard-pairs")
+        done = saved(done.unionByName(measured(pairs, sets, docs, words_each, percent)), "jaccard-links")
+        components = labels(done, sets)
+        if last is None:
+            break
+        large, first = large.select("token", "key", "size", "place"), last
     final = sets.join(components, "key", "left").select("key", F.coalesce("component", "rep").alias("component_id"))
     salted = final.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     with_set = own.where("key IS NOT NULL").withColumn("salt", F.expr(f"int(pmod(xxhash64(doc_id), {SALTS}))")).join(salted, ["key", "salt"], "left")
