@@ -24,7 +24,7 @@ from .common import LOWER, doc_crc_mod, documents, map_arrow, saved, split_words
 #: Words have 64-bit hashes; these two stand for a text's end and the place before its first word.
 END, START = xxhash.xxh3_64_intdigest(b"\n"), xxhash.xxh3_64_intdigest(b"\n\n")
 SPREAD = np.uint64(0x9E3779B97F4A7C15)
-CHUNK_BYTES, BUCKET_TOKENS = 16 << 20, 1_500_000
+CHUNK_BYTES, BUCKET_TOKENS = 8 << 20, 1_500_000
 #: Context-frequency buckets are powers of two; likelihood ratios are binned in eighths of an octave for the learning.
 BUCKETS, BINS, ROUNDS = 48, 8, 60
 HELD_OUT_MOD = 5
