@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import struct
 import zlib
 from collections.abc import Iterable, Iterator
 
@@ -10,7 +11,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import documents, map_arrow, saved, texts
+from .common import LOWER, documents, map_arrow, saved, texts
 
 CAPACITY = 4096
 END_ID = 1
@@ -19,7 +20,9 @@ NEARLY_FULL = 4
 FAN_IN = 8
 #: Items that one task packs at a time.
 TASK_ITEMS = 200_000
-CACHE_WORDS = 300_000
+CACHE_WORDS, CACHE_CORES = 800_000, 800_000
+#: Signs that end words; behind a letter or digit they are always pre-tokens of their own.
+TAIL = b".,;:!?&$%*#|"
 
 MEMBER = pa.struct([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("offset", pa.int64())])
 BIN = pa.schema([("sequence_id", pa.int64()), ("open", pa.bool_()), ("fill", pa.int32()), ("members", pa.list_(MEMBER))])
@@ -30,6 +33,8 @@ class WordTokenizer:
     """Ids of texts, by way of a bounded cache of words' ids.
 
     The tokenizer drops white space and no pre-token crosses it, so a text's ids are those of its words in order.
+    It lower-cases, and signs that follow a letter or digit are pre-tokens apart, so a new word is looked up as a
+    lower-case core and its signs before the tokenizer itself is asked.
     """
 
     def __init__(self, path: str):
@@ -37,6 +42,15 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.model, self.known = Tokenizer.from_file(path), {}
+        self.cores: dict[bytes, bytes] = {}
+
+    @staticmethod
+    def core_and_tail(word: bytes) -> tuple[bytes, bytes]:
+        if b"<|" in word:  # may hold a special token, which is matched as it is written
+            return word, b""
+        word = word.translate(LOWER)
+        core = word.rstrip(TAIL)
+        return (core, word[len(core) :]) if core[-1:].isalnum() else (word, b"")
 
     def encode(self, batch: list[bytes]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
@@ -44,12 +58,18 @@ class WordTokenizer:
         if len(self.known) > CACHE_WORDS:
             self.known.clear()
         known = self.known
-        new = list(set().union(*split).difference(known))
+        if len(self.cores) > CACHE_CORES:
+            self.cores.clear()
+        cores = self.cores
+        parts = {w: self.core_and_tail(w) for w in set().union(*split).difference(known)}
+        new = list({x for both in parts.values() for x in both}.difference(cores))
         for at in range(0, len(new), 10_000):
             part = new[at : at + 10_000]
             found = self.model.encode_batch_fast([w.decode("utf-8", "replace") for w in part], add_special_tokens=False)
             for word, e in zip(part, found, strict=True):
-                known[word] = b"".join([i.to_bytes(4, "little") for i in e.ids])
+                cores[word] = struct.pack(f"<{len(e.ids)}I", *e.ids)
+        for word, (core, tail) in parts.items():
+            known[word] = cores[core] + cores[tail]
         return [b"".join(map(known.__getitem__, words)) for words in split]
 
 
