@@ -61,11 +61,16 @@ class CrossParser:
         return codes[keep]
 
     def with_restarts(self, table: np.ndarray) -> np.ndarray:
-        """Next states times the width; where a match can't go on, the state after the symbol alone, flagged."""
-        first = np.where(table[0] >= 0, table[0], 0)
-        table = np.where(table >= 0, table * self.width, (first * self.width | CUT)[None, :])
-        table[:, PAD] = 0
-        return table.astype(np.int32).ravel()
+        """Next states times the width; where a match can't go on, the state after the symbol alone, flagged.
+
+        The state behind the last one stands for a symbol that the text lacks: whatever follows begins a phrase. The
+        root is left at a block's first symbol, which begins one anyway.
+        """
+        first = np.where(table[0] >= 0, table[0], len(table))
+        full = np.vstack([np.where(table >= 0, table * self.width, (first * self.width | CUT)[None, :]), first * self.width | CUT])
+        full[0] = first * self.width
+        full[:, PAD] = 0
+        return full.astype(np.int32).ravel()
 
     def phrases(self, encoded: list[np.ndarray]) -> np.ndarray:
         """Phrases of each text (row) by each language (column).
