@@ -40,8 +40,8 @@ def hilbert_index(levels: np.ndarray, bits: int) -> np.ndarray:
     return index
 
 
-def level_bounds(df: DataFrame, column: str, bits: int) -> list:
-    """Values where a new level begins: equal-count levels by the share of rows below a value.
+def level_bounds(df: DataFrame, column: str, bits: int) -> list[tuple]:
+    """(value, level) where a new level begins: a value's level is the share of rows below it, in 2**bits steps.
 
     The column is counted by value first, and only the at most 2**bits bounds reach the driver.
     """
@@ -49,15 +49,15 @@ def level_bounds(df: DataFrame, column: str, bits: int) -> list:
     ranked = global_rank(counts, ["v"], f"levels-{column}", F.col("n"), "below")
     total = ranked.agg(F.sum("n")).first()[0] or 1
     levels = ranked.groupBy(F.expr(f"below * {1 << bits} div {total}").alias("level")).agg(F.min("v").alias("bound"))
-    return sorted(r["bound"] for r in levels.collect())
+    return sorted((r["bound"], r["level"]) for r in levels.collect())
 
 
-def level(column: str, bounds: list) -> Column:
-    """The level of a value: how many bounds do not exceed it, less one; null has level 0."""
+def level(column: str, bounds: list[tuple]) -> Column:
+    """The level of the last bound that does not exceed the value; null has level 0."""
     if not bounds:
         return F.lit(0)
-    at = F.array(*[F.lit(b) for b in bounds])
-    return F.coalesce(F.greatest(F.size(F.filter(at, lambda b: b <= F.col(column))) - 1, F.lit(0)), F.lit(0))
+    values, levels = (F.array(*map(F.lit, x)) for x in zip(*bounds, strict=True))
+    return F.coalesce(F.get(levels, F.size(F.filter(values, lambda b: b <= F.col(column))) - 1), F.lit(0))
 
 
 def hilbert_order(df: DataFrame, dimensions: list[str], ties: list[str], bits: int = BITS) -> DataFrame:
