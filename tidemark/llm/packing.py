@@ -20,7 +20,7 @@ NEARLY_FULL = 4
 FAN_IN = 8
 #: Items that one task packs at a time.
 TASK_ITEMS = 200_000
-CACHE_WORDS, CACHE_CORES = 800_000, 800_000
+CACHE_WORDS, CACHE_CORES = 250_000, 600_000
 #: Signs that end words; behind a letter or digit they are always pre-tokens of their own.
 TAIL = b".,;:!?&$%*#|"
 
