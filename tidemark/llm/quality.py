@@ -182,8 +182,35 @@ def judge(docs: DataFrame, training: DataFrame | None = None, class_limit: float
 
 
 def op3_distribution_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return judge(documents(spark, sf_dir).select("doc_id", "lang", "text")).drop("lang", "text")
+    out = judge(documents(spark, sf_dir).select("doc_id", "lang", "text")).drop("lang", "text")
+    return out.withColumns({c: F.round(c, 6) for c in ("class_distance", "word_distance")})
 
 
 QUERIES = {"op3_distribution_divergence": op3_distribution_divergence}
-SQL: dict[str, str] = {}
+CLASS_SQL = ", ".join(f"length(regexp_replace(text, '[^{c}]', '', 'g')) AS c{k}" for k, c in enumerate(("a-z", "A-Z", "0-9", r"\x20\x09-\x0D", ".,;:''\"?!()\\-", r"\x00-\x08\x0E-\x1F#$%&*+/<=>@\[\\\]^_`{|}~\x7F")))
+HALF = "(CASE WHEN {p} > 0 THEN {p} * log2({p} / (({p} + {q}) / 2)) ELSE 0 END + CASE WHEN {q} > 0 THEN {q} * log2({q} / (({p} + {q}) / 2)) ELSE 0 END) / 2"
+#: For documents with a label, as all of the driver's have; the nearest reference of others is left to the tests.
+SQL = {
+    "op3_distribution_divergence": f"""
+WITH d AS (SELECT doc_id, lang, coalesce(text, '') AS text FROM documents),
+w AS (SELECT doc_id, lang, regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+') AS w FROM d),
+v AS (SELECT doc_id, lang, unnest(w) AS word, unnest(range(len(w))) AS i FROM w),
+g AS (SELECT doc_id, i, CASE WHEN i + 8 <= count(*) OVER (PARTITION BY doc_id) THEN string_agg(word, ' ') OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 7 FOLLOWING) END AS gram FROM v),
+h AS (SELECT doc_id, i, gram IS NOT NULL AND count(*) OVER (PARTITION BY doc_id, gram) > 1 AS twice FROM g),
+k AS (SELECT doc_id, i, max(twice::INT) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 7 PRECEDING AND CURRENT ROW) AS covered FROM h),
+rep AS (SELECT doc_id, sum(covered)::BIGINT AS n_repeat_words FROM k GROUP BY 1),
+lines AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n_dup_lines FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM d) WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]') GROUP BY 1),
+base AS (SELECT d.doc_id, d.lang, d.text, len(w.w) AS n_words, CAST(coalesce(list_sum(list_transform(w.w, lambda x: length(x))), 0) AS BIGINT) AS word_chars, length(d.text) - length(regexp_replace(d.text, '[#*$%&|<>]', '', 'g')) AS n_symbols, coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words FROM d JOIN w USING (doc_id) LEFT JOIN lines USING (doc_id) LEFT JOIN rep USING (doc_id)),
+forms AS (SELECT doc_id, lang, trim(translate(word, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '.,;:!?') AS word, count(*) AS n FROM v GROUP BY ALL),
+common AS (SELECT lang, word, n, sum(n) OVER (PARTITION BY lang) AS total, row_number() OVER (PARTITION BY lang ORDER BY n DESC, word) AS k FROM (SELECT lang, word, sum(n) AS n FROM forms GROUP BY ALL)),
+ref AS (SELECT lang, word, n / total AS q FROM common WHERE k <= {COMMON_WORDS}),
+seen AS (SELECT b.doc_id, r.q, coalesce(f.n, 0) / b.n_words AS p FROM base b JOIN ref r USING (lang) LEFT JOIN forms f ON f.doc_id = b.doc_id AND f.word = r.word),
+wd AS (SELECT doc_id, sum({HALF.format(p="p", q="q")}) AS s FROM (SELECT doc_id, p, q FROM seen UNION ALL SELECT doc_id, 1 - sum(p), 1 - sum(q) FROM seen GROUP BY 1) GROUP BY 1),
+c AS (SELECT doc_id, lang, {CLASS_SQL}, length(text) - length(regexp_replace(text, '[^\\x00-\\x7F]', '', 'g')) AS c6 FROM d),
+cl AS (UNPIVOT c ON c0, c1, c2, c3, c4, c5, c6 INTO NAME class VALUE n),
+cr AS (SELECT lang, class, sum(n) / sum(sum(n)) OVER (PARTITION BY lang) AS q FROM cl GROUP BY lang, class),
+cd AS (SELECT doc_id, sum({HALF.format(p="p", q="q")}) AS s FROM (SELECT doc_id, cl.n / nullif(sum(cl.n) OVER (PARTITION BY doc_id), 0) AS p, q FROM cl JOIN cr USING (lang, class)) GROUP BY 1),
+out AS (SELECT base.*, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed, CASE WHEN strlen(text) >= {GUARD_BYTES} THEN sqrt(greatest(cd.s, 0)) ELSE 0 END AS class_distance, CASE WHEN strlen(text) >= {GUARD_BYTES} AND n_words >= {GUARD_WORDS} THEN sqrt(greatest(wd.s, 0)) ELSE 0 END AS word_distance FROM base LEFT JOIN cd USING (doc_id) LEFT JOIN wd USING (doc_id))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, round(class_distance, 6) AS class_distance, round(word_distance, 6) AS word_distance, NOT base_failed AND class_distance <= {CLASS_LIMIT} AND word_distance <= {WORD_LIMIT} AS kept FROM out
+"""
+}
