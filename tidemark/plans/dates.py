@@ -97,4 +97,21 @@ DATES = {
     "p5_leakage_flag": "date cutoff",
     "m7_pooled_trees": "date",
     "st3_stream_tone": "window_start",
+    "j3_trading_days": "date",
+    "j5_with_actuals": "start",
+    "j12_with_stats": "date",
+    "w15_sentiment": "date",
+    "k1_ordered_output": "date",
+    "k4_recent": "date",
+    "k5_overlapping": "target",
+    "u1_stack_rows": "date",
+    "p6_select_prefix": "date",
+    "p10_convert_units": "date",
+    "r4_pivot_regions": "date",
+    "r6_path_arrays": "start",
+    "s9_rebuild": "date",
+    "f12_minmax": "date",
+    "f13_row_means": "article_date",
+    "f15_day_ahead": "start",
+    "g3_prediction_override": "start",
 }

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import forecasts, jobs, series
+from . import forecasts, jobs, reshape, series
 from .bindings import Frames
 from .dates import DATES
 
-MODULES = (series, forecasts, jobs)
+MODULES = (series, forecasts, jobs, reshape)
 
 
 def _over(fn):
