@@ -83,7 +83,7 @@ def residual_moments(df: DataFrame, by: list[str], column: str) -> DataFrame:
     mean = df.groupBy(*by).agg(F.avg(column).alias("__m"))
     d = F.col(column) - F.col("__m")
     out = df.join(mean, by).groupBy(*by).agg(F.count(column).alias("n"), F.first("__m").alias("mean"), F.stddev_samp(column).alias("std"), F.avg(d * d).alias("__2"), F.avg(d * d * d).alias("__3"), F.avg(d * d * d * d).alias("__4"), F.min(column).alias("lowest"), F.max(column).alias("highest"))
-    skew, kurt = F.col("__3") / F.pow("__2", F.lit(1.5)), F.col("__4") / F.pow("__2", F.lit(2)) - 3
+    skew, kurt = F.try_divide(F.col("__3"), F.pow("__2", F.lit(1.5))), F.try_divide(F.col("__4"), F.pow("__2", F.lit(2))) - 3
     jb = F.col("n") / 6 * (skew * skew + kurt * kurt / 4)
     return out.select(*by, "n", *(F.round(x, 4).alias(n) for x, n in ((F.col("mean"), "mean"), (F.col("std"), "std"), (skew, "skewness"), (kurt, "kurtosis"), (F.col("lowest"), "lowest"), (F.col("highest"), "highest"), (jb, "jarque_bera"))))
 

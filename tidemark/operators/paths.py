@@ -38,7 +38,7 @@ def distribution_summary(long_df: DataFrame, by: list[str], levels: list[float])
 
 def point_metrics(df: DataFrame, by: list[str], forecast: str = "forecast", actual: str = "actual") -> DataFrame:
     e = F.col(forecast) - F.col(actual)
-    return df.groupBy(*by).agg(F.count(e).alias("n"), F.round(F.avg(F.abs(e)), 4).alias("mae"), F.round(F.sqrt(F.avg(e * e)), 4).alias("rmse"), F.round(F.avg(F.abs(e / F.col(actual))) * 100, 4).alias("mape"), F.round(F.avg(e), 4).alias("bias"))
+    return df.groupBy(*by).agg(F.count(e).alias("n"), F.round(F.avg(F.abs(e)), 4).alias("mae"), F.round(F.sqrt(F.avg(e * e)), 4).alias("rmse"), F.round(F.avg(F.abs(F.try_divide(e, F.col(actual)))) * 100, 4).alias("mape"), F.round(F.avg(e), 4).alias("bias"))
 
 
 def medians(long_df: DataFrame, by: list[str]) -> DataFrame:
@@ -100,7 +100,7 @@ def validate_paths(df: DataFrame, by: list[str], n: int = DAYS) -> DataFrame:
 
 
 def hit_rate(points: DataFrame, by: list[str], pct: float) -> DataFrame:
-    e = F.abs(F.col("forecast") / F.col("actual") - 1)
+    e = F.abs(F.try_divide(F.col("forecast"), F.col("actual")) - 1)
     return points.groupBy(*by).agg(F.round(F.avg((e <= pct / 100).cast("double")) * 100, 4).alias("hit_rate"))
 
 
@@ -119,13 +119,13 @@ def path_features(df: DataFrame, by: list[str], price: str = "price") -> DataFra
     mean = own.groupBy(*by).agg(F.avg("__r").alias("__m"))
     d = F.col("__r") - F.col("__m")
     out = own.join(mean, by).groupBy(*by).agg(F.avg((F.col("__r") > 0).cast("double")).alias("consensus"), F.first("__m").alias("expected_return"), quantiles(F.col("value"), [0.25, 0.5, 0.75]).alias("__q"), F.avg(d * d * d).alias("__3"), F.avg(d * d).alias("__2"), ((F.max("value") - F.min("value")) / F.first(price)).alias("relative_range"), F.avg(F.least("__r", F.lit(0.0))).alias("downside"))
-    parts = {"consensus": F.col("consensus"), "expected_return": F.col("expected_return"), "relative_spread": (F.col("__q")[2] - F.col("__q")[0]) / F.col("__q")[1], "skewness": F.try_divide(F.col("__3"), F.pow("__2", F.lit(1.5))), "relative_range": F.col("relative_range"), "downside": F.col("downside")}
+    parts = {"consensus": F.col("consensus"), "expected_return": F.col("expected_return"), "relative_spread": F.try_divide(F.col("__q")[2] - F.col("__q")[0], F.col("__q")[1]), "skewness": F.try_divide(F.col("__3"), F.pow("__2", F.lit(1.5))), "relative_range": F.col("relative_range"), "downside": F.col("downside")}
     return out.select(*by, *(F.round(x, 4).alias(n) for n, x in parts.items()))
 
 
 def dispersion_tier(long_df: DataFrame, by: list[str], edges: tuple[float, float]) -> DataFrame:
     """Deviation over median, and the confidence tier it gives."""
-    cv = F.round(F.stddev_pop("value") / F.percentile("value", 0.5), 4)
+    cv = F.round(F.try_divide(F.stddev_pop("value"), F.percentile("value", 0.5)), 4)
     out = long_df.groupBy(*by).agg(cv.alias("dispersion"))
     return out.withColumn("tier", F.when(F.col("dispersion") < edges[0], "high").when(F.col("dispersion") < edges[1], "medium").otherwise("low"))
 
@@ -135,7 +135,7 @@ def expected_value(long_df: DataFrame, by: list[str], storage_pct: float, fee_pc
     m = long_df.groupBy(*by, "day").agg(F.percentile("value", 0.5).alias("median"))
     net = F.col("median") * (1 - F.col("day") * storage_pct / 100) * (1 - fee_pct / 100)
     own = m.withColumn("net", F.round(net, 6)).groupBy(*by).agg(F.max(F.struct("net", (-F.col("day")).alias("minus_day"))).alias("best"), F.max(F.when(F.col("day") == 1, F.col("net"))).alias("now"))
-    return own.select(*by, (-F.col("best.minus_day")).cast("int").alias("best_day"), F.round("best.net", 4).alias("best_value"), F.round((F.col("best.net") / F.col("now") - 1) * 100, 4).alias("net_benefit_pct"))
+    return own.select(*by, (-F.col("best.minus_day")).cast("int").alias("best_day"), F.round("best.net", 2).alias("best_value"), F.round((F.try_divide(F.col("best.net"), F.col("now")) - 1) * 100, 4).alias("net_benefit_pct"))
 
 
 def best_window(points: DataFrame, by: list[str], width: int = 3) -> DataFrame:

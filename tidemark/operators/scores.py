@@ -12,15 +12,15 @@ def paired_t(df: DataFrame, a: str, b: str, by: list[str]) -> DataFrame:
     d = F.col(a) - F.col(b)
     out = df.groupBy(*by).agg(F.count(d).alias("n"), F.avg(d).alias("__m"), F.stddev_samp(d).alias("__s"))
     half = 1.96 * F.col("__s") / F.sqrt("n")
-    return out.select(*by, "n", F.round("__m", 4).alias("mean_difference"), F.round(F.col("__m") / (F.col("__s") / F.sqrt("n")), 4).alias("t_statistic"), F.round(F.col("__m") / F.col("__s"), 4).alias("cohens_d"), F.round(F.col("__m") - half, 4).alias("lower_95"), F.round(F.col("__m") + half, 4).alias("upper_95"))
+    return out.select(*by, "n", F.round("__m", 4).alias("mean_difference"), F.round(F.try_divide(F.col("__m"), F.col("__s") / F.sqrt("n")), 4).alias("t_statistic"), F.round(F.try_divide(F.col("__m"), F.col("__s")), 4).alias("cohens_d"), F.round(F.col("__m") - half, 4).alias("lower_95"), F.round(F.col("__m") + half, 4).alias("upper_95"))
 
 
 def two_sample_t(df: DataFrame, by: list[str], group: str, first: str, value: str) -> DataFrame:
     """Equal-variance t statistic and pooled d of group `first` against the rest, with a verbal band."""
     one, two = (F.when(c, F.col(value)) for c in (F.col(group) == first, F.col(group) != first))
     s = df.groupBy(*by).agg(F.count(one).alias("n1"), F.count(two).alias("n2"), F.avg(one).alias("m1"), F.avg(two).alias("m2"), F.var_samp(one).alias("v1"), F.var_samp(two).alias("v2"))
-    pooled = F.sqrt(((F.col("n1") - 1) * F.col("v1") + (F.col("n2") - 1) * F.col("v2")) / (F.col("n1") + F.col("n2") - 2))
-    d = (F.col("m1") - F.col("m2")) / pooled
+    pooled = F.sqrt(F.try_divide((F.col("n1") - 1) * F.col("v1") + (F.col("n2") - 1) * F.col("v2"), F.col("n1") + F.col("n2") - 2))
+    d = F.try_divide(F.col("m1") - F.col("m2"), pooled)
     band = F.when(F.abs(d) < 0.2, "negligible").when(F.abs(d) < 0.5, "small").when(F.abs(d) < 0.8, "medium").otherwise("large")
     return s.select(*by, "n1", "n2", F.round(d / F.sqrt(1 / F.col("n1") + 1 / F.col("n2")), 4).alias("t_statistic"), F.round(d, 4).alias("pooled_d"), band.alias("effect"))
 
@@ -39,7 +39,7 @@ def diebold_mariano(df: DataFrame, by: list[str], e1: str, e2: str, h: int, on:
     own = df.withColumn("__l", F.col(e1) * F.col(e1) - F.col(e2) * F.col(e2))
     g = autocovariances(own, by, "__l", on, h - 1)
     spread = F.col("g0") + 2 * sum((F.col(f"g{k}") for k in range(1, h)), F.lit(0.0))
-    dm = F.col("mean") / F.sqrt(F.when(spread > 0, spread) / F.col("n"))
+    dm = F.try_divide(F.col("mean"), F.sqrt(F.when(spread > 0, spread) / F.col("n")))
     n = F.col("n")
     return g.select(*by, "n", F.round(dm, 4).alias("dm_statistic"), F.round(dm * F.sqrt((n + 1 - 2 * h + h * (h - 1) / n) / n), 4).alias("dm_corrected"))
 
@@ -47,14 +47,14 @@ def diebold_mariano(df: DataFrame, by: list[str], e1: str, e2: str, h: int, on:
 def ljung_box(df: DataFrame, by: list[str], column: str, lags: int, on: str = "date") -> DataFrame:
     g = autocovariances(df, by, column, on, lags)
     n = F.col("n")
-    q = n * (n + 2) * sum((F.pow(F.col(f"g{k}") / F.col("g0"), F.lit(2)) / (n - k) for k in range(1, lags + 1)), F.lit(0.0))
+    q = n * (n + 2) * sum((F.try_divide(F.pow(F.try_divide(F.col(f"g{k}"), F.col("g0")), F.lit(2)), n - k) for k in range(1, lags + 1)), F.lit(0.0))
     return g.select(*by, "n", F.round(q, 4).alias("q_statistic"))
 
 
 def direction_counts(df: DataFrame, by: list[str], right: str) -> DataFrame:
     """Right directions, trials and the normal score against one half."""
     out = df.groupBy(*by).agg(F.count_if(F.col(right)).alias("n_right"), F.count(right).alias("n"))
-    return out.withColumn("z_score", F.round((F.col("n_right") - F.col("n") / 2) / F.sqrt(F.col("n") / 4), 4))
+    return out.withColumn("z_score", F.round(F.try_divide(F.col("n_right") - F.col("n") / 2, F.sqrt(F.col("n") / 4)), 4))
 
 
 def tail_probability(z: float) -> float:
@@ -67,8 +67,8 @@ def regression_alert(scores: DataFrame, key: list[str], metric: str, as_of: str,
     age = F.datediff(F.lit(as_of).cast("date"), on)
     recent, prior, past = (F.when(c, F.col(metric)) for c in (age.between(0, 29), age.between(30, 59), age >= 30))
     out = scores.groupBy(*key).agg(F.avg(recent).alias("__r"), F.avg(prior).alias("__p"), F.avg(past).alias("__m"), F.stddev_samp(past).alias("__s"))
-    pct = (F.col("__r") / F.col("__p") - 1) * 100
-    return out.select(*key, F.round("__r", 4).alias("recent"), F.round("__p", 4).alias("prior"), F.round(pct, 4).alias("change_pct"), F.round((F.col("__r") - F.col("__m")) / F.col("__s"), 4).alias("z_score"), F.when(pct > 50, "critical").when(pct > 20, "warning").otherwise("ok").alias("level"))
+    pct = (F.try_divide(F.col("__r"), F.col("__p")) - 1) * 100
+    return out.select(*key, F.round("__r", 4).alias("recent"), F.round("__p", 4).alias("prior"), F.round(pct, 4).alias("change_pct"), F.round(F.try_divide(F.col("__r") - F.col("__m"), F.col("__s")), 4).alias("z_score"), F.when(pct > 50, "critical").when(pct > 20, "warning").otherwise("ok").alias("level"))
 
 
 def bootstrap_totals(df: DataFrame, by: list[str], value: str, row_id: str, n: int, seed: int) -> DataFrame:
@@ -111,4 +111,4 @@ def signal_sharpe(df: DataFrame, by: list[str], forecast: str, actual: str, on:
     """Annualised ratio of mean to deviation of returns taken in the forecast's direction."""
     w = Window.partitionBy(*by).orderBy(on)
     r = F.signum(F.col(forecast) - F.lag(actual, 1).over(w)) * (F.col(actual) / F.lag(actual, 1).over(w) - 1)
-    return df.withColumn("__r", r).groupBy(*by).agg(F.round(F.avg("__r") / F.stddev_pop("__r") * math.sqrt(252), 4).alias("sharpe"))
+    return df.withColumn("__r", r).groupBy(*by).agg(F.round(F.try_divide(F.avg("__r"), F.stddev_pop("__r")) * math.sqrt(252), 4).alias("sharpe"))

@@ -46,7 +46,7 @@ def tiers(f: Frames):
 
 
 EV = "ev AS (SELECT start, model, arg_max(day, (net, -day)) AS best_day, max(net) AS bv, max(net) FILTER (day = 1) AS nv FROM (SELECT start, model, day, round(quantile_cont(value, 0.5) * (1 - day * 0.005 / 100) * (1 - 0.01 / 100), 6) AS net FROM long_paths GROUP BY start, model, day) GROUP BY ALL)"
-TIER = "spread AS (SELECT start, model, round(stddev_pop(value) / quantile_cont(value, 0.5), 4) AS dispersion FROM long_paths WHERE day = 14 GROUP BY ALL), rise AS (SELECT start, model, round(avg((value > actual)::INT), 4) AS consensus FROM (SELECT * FROM long_paths WHERE day = 14) p JOIN (SELECT start, actual FROM actuals WHERE day = 1) a USING (start) GROUP BY ALL), t AS (SELECT start, model, best_day, round(bv, 4) AS best_value, round((bv / nv - 1) * 100, 4) AS net_benefit_pct, dispersion, CASE WHEN dispersion < 0.3 THEN 'high' WHEN dispersion < 0.5 THEN 'medium' ELSE 'low' END AS tier, consensus FROM ev JOIN spread USING (start, model) JOIN rise USING (start, model))"
+TIER = "spread AS (SELECT start, model, round(stddev_pop(value) / quantile_cont(value, 0.5), 4) AS dispersion FROM long_paths WHERE day = 14 GROUP BY ALL), rise AS (SELECT start, model, round(avg((value > actual)::INT), 4) AS consensus FROM (SELECT * FROM long_paths WHERE day = 14) p JOIN (SELECT start, actual FROM actuals WHERE day = 1) a USING (start) GROUP BY ALL), t AS (SELECT start, model, best_day, round(bv, 2) AS best_value, round((bv / nv - 1) * 100, 4) AS net_benefit_pct, dispersion, CASE WHEN dispersion < 0.3 THEN 'high' WHEN dispersion < 0.5 THEN 'medium' ELSE 'low' END AS tier, consensus FROM ev JOIN spread USING (start, model) JOIN rise USING (start, model))"
 
 
 def tier_sql(body: str) -> str:
@@ -100,14 +100,14 @@ CASES = {
     "f17_path_features": (lambda f: pt.path_features(f.long_paths.where("day = 14").join(f.actuals.where("day = 1").select("start", F.col("actual").alias("price")), "start"), BY), sql("long_paths actuals", ", r AS (SELECT start, model, value, actual AS price, value / actual - 1 AS r FROM (SELECT * FROM long_paths WHERE day = 14) JOIN (SELECT start, actual FROM actuals WHERE day = 1) USING (start)), m AS (SELECT *, avg(r) OVER (PARTITION BY start, model) AS m FROM r) SELECT start, model, round(avg((r > 0)::INT), 4) AS consensus, round(any_value(m), 4) AS expected_return, round((quantile_cont(value, 0.75) - quantile_cont(value, 0.25)) / quantile_cont(value, 0.5), 4) AS relative_spread, round(CASE WHEN avg(pow(r - m, 2)) > 0 THEN avg(pow(r - m, 3)) / pow(avg(pow(r - m, 2)), 1.5) END, 4) AS skewness, round((max(value) - min(value)) / any_value(price), 4) AS relative_range, round(avg(least(r, 0)), 4) AS downside FROM m GROUP BY ALL").replace(") , ", "), ", 1)),
     "f18_f19_tiers": (tiers, tier_sql("SELECT * FROM t")),
     "f20_best_window": (lambda f: pt.best_window(f.points, BY), sql("points", "SELECT start, model, arg_max(day, (w, -day)) AS first_day, round(max(w), 4) AS window_mean FROM (SELECT *, CASE WHEN count(*) OVER x = 3 THEN round(avg(forecast) OVER x, 6) END AS w FROM points WINDOW x AS (PARTITION BY start, model ORDER BY day ROWS BETWEEN CURRENT ROW AND 2 FOLLOWING)) WHERE w IS NOT NULL GROUP BY ALL")),
-    "e8_paired_t": (lambda f: sc.paired_t(errors(f), "e1", "e2", ["commodity"]), sql("market", f"SELECT commodity, n, round(m, 4) AS mean_difference, round(m / (s / sqrt(n)), 4) AS t_statistic, round(m / s, 4) AS cohens_d, round(m - 1.96 * s / sqrt(n), 4) AS lower_95, round(m + 1.96 * s / sqrt(n), 4) AS upper_95 FROM (SELECT commodity, count(*) AS n, avg(e1 - e2) AS m, stddev_samp(e1 - e2) AS s FROM (SELECT {DIFFER} FROM market) GROUP BY 1)")),
-    "e9_two_sample_t": (lambda f: sc.two_sample_t(f.trades.withColumn("year", F.year("date")), ["year"], "reason", "F", "amount"), sql("trades", "SELECT year, n1, n2, round(d / sqrt(1 / n1 + 1 / n2), 4) AS t_statistic, round(d, 4) AS pooled_d, CASE WHEN abs(d) < 0.2 THEN 'negligible' WHEN abs(d) < 0.5 THEN 'small' WHEN abs(d) < 0.8 THEN 'medium' ELSE 'large' END AS effect FROM (SELECT *, (m1 - m2) / sqrt(((n1 - 1) * v1 + (n2 - 1) * v2) / (n1 + n2 - 2)) AS d FROM (SELECT year(date)::INT AS year, count(*) FILTER (reason = 'F') AS n1, count(*) FILTER (reason <> 'F') AS n2, avg(amount) FILTER (reason = 'F') AS m1, avg(amount) FILTER (reason <> 'F') AS m2, var_samp(amount) FILTER (reason = 'F') AS v1, var_samp(amount) FILTER (reason <> 'F') AS v2 FROM trades GROUP BY 1))")),
+    "e8_paired_t": (lambda f: sc.paired_t(errors(f), "e1", "e2", ["commodity"]), sql("market", f"SELECT commodity, n, round(m, 4) AS mean_difference, round(m / nullif(s / sqrt(n), 0), 4) AS t_statistic, round(m / nullif(s, 0), 4) AS cohens_d, round(m - 1.96 * s / sqrt(n), 4) AS lower_95, round(m + 1.96 * s / sqrt(n), 4) AS upper_95 FROM (SELECT commodity, count(*) AS n, avg(e1 - e2) AS m, stddev_samp(e1 - e2) AS s FROM (SELECT {DIFFER} FROM market) GROUP BY 1)")),
+    "e9_two_sample_t": (lambda f: sc.two_sample_t(f.trades.withColumn("year", F.year("date")), ["year"], "reason", "F", "amount"), sql("trades", "SELECT year, n1, n2, round(d / sqrt(1 / n1 + 1 / n2), 4) AS t_statistic, round(d, 4) AS pooled_d, CASE WHEN abs(d) < 0.2 THEN 'negligible' WHEN abs(d) < 0.5 THEN 'small' WHEN abs(d) < 0.8 THEN 'medium' ELSE 'large' END AS effect FROM (SELECT *, (m1 - m2) / nullif(sqrt(((n1 - 1) * v1 + (n2 - 1) * v2) / nullif(n1 + n2 - 2, 0)), 0) AS d FROM (SELECT year(date)::INT AS year, count(*) FILTER (reason = 'F') AS n1, count(*) FILTER (reason <> 'F') AS n2, avg(amount) FILTER (reason = 'F') AS m1, avg(amount) FILTER (reason <> 'F') AS m2, var_samp(amount) FILTER (reason = 'F') AS v1, var_samp(amount) FILTER (reason <> 'F') AS v2 FROM trades GROUP BY 1))")),
     "e10_diebold_mariano": (lambda f: sc.diebold_mariano(errors(f), ["commodity"], "e1", "e2", 3), sql("market", f", {LOSS} SELECT commodity, n, round(dm, 4) AS dm_statistic, round(dm * sqrt((n + 1 - 6 + 6 / n) / n), 4) AS dm_corrected FROM (SELECT commodity, n, m / sqrt(CASE WHEN g > 0 THEN g END / n) AS dm FROM (SELECT commodity, count(*) AS n, any_value(m) AS m, avg(c * c) + 2 * (0.0 + sum(c * c1) / count(*) + sum(c * c2) / count(*)) AS g FROM (SELECT *, lag(c, 1) {WK} AS c1, lag(c, 2) {WK} AS c2 FROM l) GROUP BY 1))").replace(") , ", "), ", 1)),
     "e11_ljung_box": (lambda f: sc.ljung_box(errors(f), ["commodity"], "e1", 5), sql("market", f", l AS (SELECT commodity, date, e1 - avg(e1) OVER (PARTITION BY commodity) AS c FROM (SELECT {DIFFER} FROM market)) SELECT commodity, n, round(n * (n + 2) * (" + " + ".join(f"pow(p{k} / n / g0, 2) / (n - {k})" for k in range(1, 6)) + f"), 4) AS q_statistic FROM (SELECT commodity, count(*) AS n, avg(c * c) AS g0, " + ", ".join(f"sum(c * c{k}) AS p{k}" for k in range(1, 6)) + " FROM (SELECT *, " + ", ".join(f"lag(c, {k}) {WK} AS c{k}" for k in range(1, 6)) + " FROM l) GROUP BY 1)").replace(") , ", "), ", 1)),
     "e12_direction_counts": (lambda f: sc.direction_counts(f.market.withColumn("right", F.col("close") > F.col("open")), ["commodity"], "right"), sql("market", "SELECT commodity, count(*) FILTER (close > open) AS n_right, count(*) AS n, round((count(*) FILTER (close > open) - count(*) / 2) / sqrt(count(*) / 4), 4) AS z_score FROM market GROUP BY 1")),
-    "e13_regression_alert": (lambda f: sc.regression_alert(errors(f).withColumn("mae", F.abs("e1")), ["commodity"], "mae", "2001-07-31"), sql("market", f"SELECT commodity, round(r, 4) AS recent, round(p, 4) AS prior, round((r / p - 1) * 100, 4) AS change_pct, round((r - m) / s, 4) AS z_score, CASE WHEN (r / p - 1) * 100 > 50 THEN 'critical' WHEN (r / p - 1) * 100 > 20 THEN 'warning' ELSE 'ok' END AS level FROM (SELECT commodity, avg(abs(e1)) FILTER (a BETWEEN 0 AND 29) AS r, avg(abs(e1)) FILTER (a BETWEEN 30 AND 59) AS p, avg(abs(e1)) FILTER (a >= 30) AS m, stddev_samp(abs(e1)) FILTER (a >= 30) AS s FROM (SELECT *, date_diff('day', date, DATE '2001-07-31') AS a FROM (SELECT {DIFFER} FROM market)) GROUP BY 1)")),
+    "e13_regression_alert": (lambda f: sc.regression_alert(errors(f).withColumn("mae", F.abs("e1")), ["commodity"], "mae", "2001-07-31"), sql("market", f"SELECT commodity, round(r, 4) AS recent, round(p, 4) AS prior, round((r / nullif(p, 0) - 1) * 100, 4) AS change_pct, round((r - m) / nullif(s, 0), 4) AS z_score, CASE WHEN (r / nullif(p, 0) - 1) * 100 > 50 THEN 'critical' WHEN (r / nullif(p, 0) - 1) * 100 > 20 THEN 'warning' ELSE 'ok' END AS level FROM (SELECT commodity, avg(abs(e1)) FILTER (a BETWEEN 0 AND 29) AS r, avg(abs(e1)) FILTER (a BETWEEN 30 AND 59) AS p, avg(abs(e1)) FILTER (a >= 30) AS m, stddev_samp(abs(e1)) FILTER (a >= 30) AS s FROM (SELECT *, date_diff('day', date, DATE '2001-07-31') AS a FROM (SELECT {DIFFER} FROM market)) GROUP BY 1)")),
     "e14_bootstrap": (lambda f: sc.bootstrap_totals(f.trades, ["strategy"], "amount", "trade_id", 100, 7), None),
-    "e19_signal_sharpe": (lambda f: sc.signal_sharpe(f.points, BY, "forecast", "actual", "day"), sql("points", "SELECT start, model, round(avg(r) / stddev_pop(r) * sqrt(252), 4) AS sharpe FROM (SELECT start, model, sign(forecast - lag(actual) OVER w) * (actual / lag(actual) OVER w - 1) AS r FROM points WINDOW w AS (PARTITION BY start, model ORDER BY day)) GROUP BY ALL")),
+    "e19_signal_sharpe": (lambda f: sc.signal_sharpe(f.points, BY, "forecast", "actual", "day"), sql("points", "SELECT start, model, round(avg(r) / nullif(stddev_pop(r), 0) * sqrt(252), 4) AS sharpe FROM (SELECT start, model, sign(forecast - lag(actual) OVER w) * (actual / lag(actual) OVER w - 1) AS r FROM points WINDOW w AS (PARTITION BY start, model ORDER BY day)) GROUP BY ALL")),
     "k3_best_model": (lambda f: sc.best_model(f.points.withColumn("mae", F.round(F.abs(F.col("forecast") - F.col("actual")), 6)), ["day"], "model", "mae", "start"), sql("points", "SELECT day, arg_min(model, (m, model)) AS model, round(min(m), 4) AS mean_metric FROM (SELECT day, model, avg(round(abs(forecast - actual), 6)) AS m FROM points GROUP BY ALL) GROUP BY 1")),
     "w19_best_flag": (lambda f: sc.best_flag(f.points.select("start", "model", "day", F.round(F.abs(F.col("forecast") - F.col("actual")), 4).alias("mae")), ["start", "day"], "mae", "model"), sql("points", "SELECT start, model, day, mae, row_number() OVER (PARTITION BY start, day ORDER BY mae, model) = 1 AS is_best FROM (SELECT *, round(abs(forecast - actual), 4) AS mae FROM points)")),
     "w30_retain": (lambda f: sc.retain(f.points.select("start", "model").distinct(), ["model"], "start", 12), sql("points", "SELECT start, model, CASE WHEN row_number() OVER (PARTITION BY model ORDER BY start DESC) <= 12 THEN 'active' ELSE 'archived' END AS status FROM (SELECT DISTINCT start, model FROM points)")),

@@ -105,13 +105,12 @@ def stream_dedup(f: Frames) -> DataFrame:
 
 
 def stream_tone(f: Frames) -> DataFrame:
-    """Daily tone by type; windows that the watermark has closed (all but the last days) are in the table."""
-    end = lambda s: st.tone_windows(s, "ts", ["event_type"], "1 day", "1 day", "40 days")
-    return streamed(f, end)
+    """Daily tone by type of the windows that the watermark, a day behind the last event, has closed."""
+    return streamed(f, lambda s: st.tone_windows(s, "ts", ["event_type"], "1 day", "1 day", "1 day"))
 
 
 def stream_bursts(f: Frames) -> DataFrame:
-    return streamed(f, lambda s: st.burst_sessions(s, "ts", ["user_id"], "1 hour", "40 days"))
+    return streamed(f, lambda s: st.burst_sessions(s, "ts", ["user_id"], "1 hour", "1 day"))
 
 
 def stream_upsert(f: Frames) -> DataFrame:
@@ -165,7 +164,7 @@ CASES = {
     "m8_importance": (importances, None),
     "m9_expand_paths": (expanded, None),
     "st2_stream_dedup": (stream_dedup, "SELECT event_id, user_id, event_type FROM events"),
-    "st3_stream_tone": (stream_tone, None),
+    "st3_stream_tone": (stream_tone, "SELECT CAST(ts AS DATE) AS window_start, event_type, count(*) AS n, round(avg(value), 8) AS tone FROM events WHERE CAST(ts AS DATE) + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 1 DAY FROM events) GROUP BY ALL"),
     "st4_stream_upsert": (stream_upsert, "SELECT user_id, event_type, event_id, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) = 1"),
     "st5_stream_bursts": (stream_bursts, None),
 }

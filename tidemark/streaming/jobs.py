@@ -23,7 +23,7 @@ def dedup_stream(sdf: DataFrame, key: list[str], ts: str, delay: str) -> DataFra
 def tone_windows(sdf: DataFrame, ts: str, by: list[str], size: str, slide: str, delay: str, value: str = "value") -> DataFrame:
     """Counts and mean tone in sliding windows; rows later than the watermark are dropped."""
     own = sdf.withWatermark(ts, delay).groupBy(F.window(ts, size, slide).alias("w"), *by)
-    return own.agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(value), 4).alias("tone")).select(F.to_date("w.start").alias("window_start"), *by, "n", "tone")
+    return own.agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(value), 8).alias("tone")).select(F.to_date("w.start").alias("window_start"), *by, "n", "tone")
 
 
 def burst_sessions(sdf: DataFrame, ts: str, key: list[str], gap: str, delay: str) -> DataFrame:
