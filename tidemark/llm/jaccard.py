@@ -24,10 +24,10 @@ from .components import connected_components
 
 SHINGLE_WORDS, PERCENT = 5, 80
 #: Regions up to this many points are joined at once; larger ones begin with so many pivots.
-LEAF, PIVOTS = 16, 8
+LEAF, PIVOTS = 6, 3
 #: Pairs left for each set (once for every task that sees them), up to which the recursion ends with all of them; row
 #: pairs held at once.
-PAIRS_PER_SET, PAIRS_AT_ONCE = 20, 2_000_000
+PAIRS_PER_SET, PAIRS_AT_ONCE = 50, 2_000_000
 #: Shingles that come last in the order, as they are frequent; the list steers the cost and not the result.
 FREQUENT, TASK_FREQUENT = 50_000, 20_000
 FLUSH = 2_000_000
@@ -258,8 +258,9 @@ def later_pairs(open_rows: DataFrame, first: int, last: int | None, percent: int
         tokens, keys, sizes, places, comps, pivots, dists = (t.column(c).to_numpy() for c in ("token", "key", "size", "place", "component", "pivot", "distance"))
         size, rank = group_bounds(tokens)
         rank = np.where((rank >= first) & (rank < (last or len(rank) + 1)), rank, -1)
-        edges = np.searchsorted(np.cumsum(np.where(rank >= 0, size - rank, 0)), np.arange(1, 1 << 40, PAIRS_AT_ONCE)[: 1 + int(size.sum()) * int(size.max(initial=1)) // PAIRS_AT_ONCE])
-        bounds = np.unique(np.append(edges, len(rank)))
+        pairs_so_far = np.cumsum(np.where(rank >= 0, size - rank, 0))
+        cuts = np.searchsorted(pairs_so_far, np.arange(PAIRS_AT_ONCE, int(pairs_so_far[-1]) + 1, PAIRS_AT_ONCE))
+        bounds = np.unique(np.concatenate([[0], cuts, [len(rank)]]))
         for x, y in zip(bounds[:-1], bounds[1:], strict=True):
             held = np.full(len(rank), -1)
             held[x:y] = rank[x:y]
