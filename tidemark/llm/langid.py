@@ -17,6 +17,8 @@ UNKNOWN = "und"
 #: Bounds of the training sample: languages, documents of each, letters and spaces taken from a document's start.
 LANGUAGES, SAMPLE_DOCS, SAMPLE_CHARS = 64, 150, 240
 ALPHABET = 60
+#: The hashes of a language are ranked in so many parts first.
+SALTS = 32
 BLOCK = 256
 #: Boundary flag on a transition: the phrase ended and a new one began.
 CUT = 1 << 30
@@ -144,8 +146,9 @@ def sample(docs: DataFrame) -> tuple:
     labelled = docs.where("lang IS NOT NULL AND text IS NOT NULL").select("lang", F.xxhash64("text").alias("h"), F.substring("text", 1, SAMPLE_CHARS).alias("start"))
     names = [r[0] for r in labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()]
     distinct = labelled.where(F.col("lang").isin(names)).select("lang", "h").distinct()
-    w = Window.partitionBy("lang").orderBy("h")
-    chosen = distinct.withColumn("k", F.row_number().over(w)).where(F.col("k") <= SAMPLE_DOCS).collect()
+    parts, whole = Window.partitionBy("lang", F.expr(f"pmod(h, {SALTS})")).orderBy("h"), Window.partitionBy("lang").orderBy("h")
+    first = distinct.withColumn("k", F.row_number().over(parts)).where(F.col("k") <= SAMPLE_DOCS)
+    chosen = first.withColumn("k", F.row_number().over(whole)).where(F.col("k") <= SAMPLE_DOCS).collect()
     hashes = sorted({r["h"] for r in chosen})
     rows = labelled.where(F.col("lang").isin(names) & F.col("h").isin(hashes)).groupBy("lang", "h").agg(F.min("start").alias("start")).collect()
     wanted = {(r["lang"], r["h"]) for r in chosen}
