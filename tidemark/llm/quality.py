@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.window import Window
 
-from .common import LOWER, documents, map_arrow, split_words, texts
+from .common import LOWER, documents, map_arrow, saved, split_words, texts
 
 SYMBOLS = b"#*$%&|<>"
 #: Character classes: small, capital, digit, white space, stop, other sign, beyond ASCII (one for each code point).
@@ -116,7 +116,7 @@ def references(docs: DataFrame) -> dict[str, tuple[np.ndarray, dict[bytes, int],
 
     labelled = docs.where("lang IS NOT NULL AND text IS NOT NULL").select("lang", "text")
     names = [r[0] for r in labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()]
-    counts = map_arrow(labelled.where(F.col("lang").isin(names)), count, "lang string, word binary, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    counts = saved(map_arrow(labelled.where(F.col("lang").isin(names)), count, "lang string, word binary, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")), "quality-words")
     is_class = F.substring("word", 1, 1) == F.lit(b"\xff")
     top = Window.partitionBy("lang", "is_class").orderBy(F.desc("n"), "word")
     kept = counts.withColumn("is_class", is_class).withColumn("k", F.row_number().over(top)).where(F.col("k") <= COMMON_WORDS).collect()
