@@ -6,8 +6,6 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-COMMODITY_OF_FLAG = {"A": "1-URGENT", "N": "2-HIGH", "R": "3-MEDIUM"}
-
 VIEWS = {
     "market": "SELECT CAST(o_orderdate AS DATE) AS date, o_orderpriority AS commodity, arg_min(o_totalprice, o_orderkey) AS open, max(o_totalprice) AS high, min(o_totalprice) AS low, arg_max(o_totalprice, o_orderkey) AS close, count(*) AS volume FROM orders GROUP BY ALL",
     "vix": "SELECT CAST(l_shipdate AS DATE) AS date, round(avg(l_discount) * 100, 6) AS vix FROM lineitem WHERE dayofweek(l_shipdate) BETWEEN 1 AND 5 GROUP BY ALL",
