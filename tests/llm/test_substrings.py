@@ -65,6 +65,26 @@ def test_removal_equals_brute_force(length, seed, odd, spark):
     assert set(docs.columns) < set(out.columns)
 
 
+@pytest.mark.parametrize("shared", [30, 36, 39, 60])
+def test_no_task_takes_all_regions_of_an_anchor(shared, spark, monkeypatch):
+    r = random.Random(shared)
+    passage = "".join(r.choices("abcdefgh", k=shared))
+    around = ["".join(r.choices("uvwxyz", k=60)) for _ in range(12)]
+    rows = [(k, around[k % 5] + passage + around[k // 5]) for k in range(60)] + [(100 + k, "".join(r.choices("uvwxyz", k=70)) + passage + "".join(r.choices("uvwxyz", k=70))) for k in range(40)]
+    largest, regions = [], substrings.regions
+
+    def spy(wanted, *rest):
+        largest.append(wanted.selectExpr("explode(runs) AS r").groupBy("r.anchor").count().agg({"count": "max"}).first()[0] or 0)
+        return regions(wanted, *rest)
+
+    monkeypatch.setattr(substrings, "regions", spy)
+    monkeypatch.setattr(substrings, "HOT_RUNS", 6, raising=False)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    out = substrings.remove_repeats(docs, keep_text=False, length=40, seed=16).collect()
+    assert {x["doc_id"]: (x["n_bytes"], x["n_removed"], x["n_spans"], x["kept"]) for x in out} == {i: b for (i, _), b in zip(rows, brute([t.encode() for _, t in rows], 40), strict=True)}
+    assert max(largest) <= 6
+
+
 def test_several_shards_of_a_bucket_are_merged():
     r = random.Random(8)
     parts = [bytes(r.choices(b"abcd", k=60)) for _ in range(6)]

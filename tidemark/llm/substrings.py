@@ -3,14 +3,15 @@
 A string of LENGTH bytes has a smallest hash among its SEED-byte windows, its anchor; equal strings have equal anchors. So only
 strings whose anchor occurs twice can be repeated (a few per cent of a text, as a rule), and all occurrences of a
 string meet in the shard of its anchor. Each shard is sorted as one suffix array, neighbours that share LENGTH
-bytes are repeats, and shards of one bucket are merged by binary search.
+bytes are repeats, and shards of one bucket are merged by binary search. An anchor with many different regions is
+split by what its strings share beside the anchor, see `split_hot`, so that no shard grows with the number of documents.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
-from functools import lru_cache
+from collections.abc import Callable, Iterator
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +24,8 @@ from .suffix_array import common_prefixes, find, suffix_array
 LENGTH, SEED = 400, 96
 #: Starts of strings handled at once, bytes of a suffix array, runs that a task packs at a time, bytes a bucket is meant for.
 CHUNK, SHARD_BYTES, FLUSH_RUNS, BUCKET_BYTES = 1 << 20, 1 << 21, 200_000, 1 << 21
+#: Runs of one group that a task takes as they are, and parts into which each round splits the runs of larger ones.
+HOT_RUNS, SPLIT = 4096, 8
 RADIX = 0x5851F42D4C957F2D
 PLACE = np.uint64((1 << 22) - 1)
 RUN = pa.schema([("kind", pa.int32()), ("bucket", pa.int32()), ("anchors", pa.binary()), ("keys", pa.binary()), ("firsts", pa.binary()), ("lasts", pa.binary())])
@@ -30,6 +33,8 @@ RUN_DDL = "kind int, bucket int, anchors binary, keys binary, firsts binary, las
 REGION = pa.schema([("bucket", pa.int32()), ("anchors", pa.binary()), ("owners", pa.binary()), ("sizes", pa.binary()), ("keys", pa.binary()), ("firsts", pa.binary()), ("data", pa.binary())])
 REGION_DDL = "bucket int, anchors binary, owners binary, sizes binary, keys binary, firsts binary, data binary"
 MARK = pa.schema([("key", pa.int64()), ("first", pa.int64()), ("last", pa.int64())])
+PIECE = pa.schema([("key", pa.int64()), ("anchor", pa.int64()), ("first", pa.int64()), ("last", pa.int64()), ("digest", pa.binary())])
+PIECE_DDL = "key long, anchor long, first long, last long, digest binary"
 
 
 def text_key(column: str = "text") -> Column:
@@ -80,15 +85,23 @@ def anchored_runs(text: bytes, length: int = LENGTH, seed: int = SEED) -> Iterat
 
 
 def runs(docs: DataFrame, buckets: int, length: int, seed: int) -> DataFrame:
-    """Packed runs of every text, dealt by anchor; a text that a task meets again is left out."""
+    """Packed runs of every text, dealt by anchor; a text that a task meets again is left out.
+
+    Two runs of an anchor prove it repeated, so the further ones of a task are dealt by text, to buckets below zero.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, seen, total = [], set(), 0
 
         def flush() -> Iterator[pa.RecordBatch]:
             anchors, keys, firsts, lasts = (np.concatenate(x) for x in zip(*held, strict=True))
-            for rows in packed(anchors, [anchors, keys, firsts, lasts], buckets):
-                yield record([(1, *r) for r in rows], RUN)
+            by = np.argsort(anchors, kind="stable")
+            sorted_anchors, third = anchors[by], np.zeros(len(by), bool)
+            third[by[2:]] = sorted_anchors[2:] == sorted_anchors[:-2]
+            for more in (False, True):
+                own = [x[third == more] for x in (anchors, keys, firsts, lasts)]
+                for rows in packed(own[1].view(np.uint64) if more else own[0], own, buckets):
+                    yield record([(1, -1 - b if more else b, *r) for b, *r in rows], RUN)
 
         for b in batches:
             for key, text in zip(b.column(1).to_pylist(), texts(b), strict=True):
@@ -114,8 +127,11 @@ def unpack(rows: list[tuple], kinds: tuple) -> list[np.ndarray]:
 def repeated_runs(dealt: DataFrame) -> DataFrame:
     """(key, anchor, first, last) of runs whose anchor another place has too."""
 
-    def close(_: int, rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+    def close(bucket: int, rows: list[tuple]) -> Iterator[pa.RecordBatch]:
         anchors, keys, firsts, lasts = unpack(rows, (np.uint64, np.int64, np.int64, np.int64))
+        if bucket < 0:
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (keys, anchors.astype(np.int64), firsts, lasts)], names=["key", "anchor", "first", "last"])
+            return
         by = np.lexsort((firsts, keys, anchors))
         anchors, keys, firsts, lasts = anchors[by], keys[by], firsts[by], lasts[by]
         fresh = np.ones(len(by), bool)
@@ -153,6 +169,67 @@ def regions(wanted: DataFrame, buckets: int, length: int) -> DataFrame:
     return map_arrow(wanted, run, REGION_DDL)
 
 
+def digest(data: bytes, size: int = 16) -> bytes:
+    return hashlib.blake2b(data, digest_size=size).digest()
+
+
+def pieces(text: bytes, first: int, last: int, width: int, length: int, seed: int) -> Iterator[tuple[int, int, int]]:
+    """(group, first, last) of the parts of a run whose strings have the anchor at `width` neighbouring places.
+
+    Equal strings have the anchor at equal places, so they fall into equal parts. All strings of a part have the bytes
+    between its last start and its first end; these, with the places, make the group.
+    """
+    hashes = window_hashes(np.frombuffer(text, np.uint8, length, first), seed)
+    place = first + int(np.argmin(hashes & ~PLACE))
+    for k in range((place - last) // width, (place - first) // width + 1):
+        deepest = min(k * width + width - 1, length - seed)
+        core = text[place - k * width : place - deepest + length]
+        yield int.from_bytes(digest(b"%d %d " % (width, k) + core, 8), "little", signed=True), max(first, place - deepest), min(last, place - k * width)
+
+
+def cut_runs(wanted: DataFrame, width: int | None, length: int, seed: int) -> DataFrame:
+    """Runs of the wanted texts with the digest of their bytes, cut into parts before if a width is given."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for key, own, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), texts(b), strict=True):
+                for r in own:
+                    parts = [(r["anchor"], r["first"], r["last"])] if width is None else pieces(text, r["first"], r["last"], width, length, seed)
+                    out.extend((key, g, first, last, digest(text[first : last + length])) for g, first, last in parts)
+                    if len(out) > 50_000:
+                        yield record(out, PIECE)
+                        out = []
+            yield record(out, PIECE)
+
+    return map_arrow(wanted, run, PIECE_DDL)
+
+
+def split_hot(found: DataFrame, with_text: Callable[[DataFrame], DataFrame], length: int, seed: int) -> tuple[DataFrame, DataFrame]:
+    """(runs of groups of at most HOT_RUNS runs, marks of repeats found on the way).
+
+    Equal runs of a larger group are repeats whole, and one of them stands for all. If still more than HOT_RUNS
+    different ones are left, they are cut into parts, first of a SPLIT-th of the anchor's places and at last of one,
+    where a part is a string and its group holds nothing else. Only runs of groups that are too large are cut.
+    """
+    spark = found.sparkSession
+    found = saved(found, "repeats-runs")
+    done, marks, places, width = [], [], length - seed + 1, None
+    while True:
+        sizes = saved(found.groupBy("anchor").count().where(F.col("count") > HOT_RUNS).select("anchor"), "repeats-hot")
+        if not sizes.take(1):
+            return reduce(DataFrame.unionByName, [*done, found]), reduce(DataFrame.unionByName, marks, spark.createDataFrame([], "key long, first long, last long"))
+        done.append(found.join(sizes, "anchor", "left_anti"))
+        cut_now = saved(cut_runs(with_text(found.join(sizes, "anchor", "left_semi")), width, length, seed), "repeats-cut")
+        # Whoever is alone with its digest is a class of one; of a larger class all are marked and the smallest goes on.
+        classes = saved(cut_now.groupBy("anchor", "digest").agg(F.count("*").alias("n"), F.min(F.struct("key", "first", "last")).alias("one")), "repeats-classes")
+        again = cut_now.join(classes.where("n > 1").select("anchor", "digest"), ["anchor", "digest"], "left_semi")
+        marks.append(again.select("key", "first", "last"))
+        different = classes.groupBy("anchor").count().where("count > 1").select("anchor")
+        found = saved(classes.join(different, "anchor", "left_semi").select("one.key", "anchor", "one.first", "one.last"), "repeats-runs")
+        width = places = -(-places // SPLIT)
+
+
 class Shard:
     """Some regions side by side, their suffix array, and which string starts are repeats."""
 
@@ -269,9 +346,13 @@ def remove_repeats(docs: DataFrame, keep_text: bool = True, length: int = LENGTH
     total = counted.agg(F.sum("size")).first()[0] or 0
     buckets = max(2 * n, total // (4 * BUCKET_BYTES))
     found = repeated_runs(runs(long, buckets, length, seed))
-    per_text = found.groupBy("key").agg(F.collect_list(F.struct("anchor", "first", "last")).alias("runs")).withColumnRenamed("key", "__key").join(counted.select("__key", "rep"), "__key")
-    first_rows = long.select("__key", F.col("__row").alias("rep"), "text").join(per_text, ["__key", "rep"])
-    marks = saved(repeated_parts(regions(first_rows.select("__key", "runs", "text"), buckets, length), length), "repeats-marks")
+
+    def with_text(some: DataFrame) -> DataFrame:
+        per_text = some.groupBy("key").agg(F.collect_set(F.struct("anchor", "first", "last")).alias("runs")).withColumnRenamed("key", "__key").join(counted.select("__key", "rep"), "__key")
+        return long.select("__key", F.col("__row").alias("rep"), "text").join(per_text, ["__key", "rep"]).select("__key", "runs", "text")
+
+    few, hot_marks = split_hot(found, with_text, length, seed)
+    marks = saved(repeated_parts(regions(with_text(few), buckets, length), length).unionByName(hot_marks), "repeats-marks")
     per_mark = marks.groupBy("key").agg(F.collect_set(F.struct("first", "last")).alias("__marks")).withColumnRenamed("key", "__key")
     copies = counted.where("copies > 1").select("__key", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     whole = own.withColumn("salt", F.expr(f"int(pmod(xxhash64(__row), {SALTS}))")).join(copies, ["__key", "salt"]).select("__key", "__row", F.lit(True).alias("__whole")).distinct()
