@@ -39,3 +39,18 @@ def test_clean_stay_and_junk_goes(few, spark, sf_dir):
 def test_distance():
     assert quality.js_distance(np.array([1.0, 0]), np.array([0, 3.0])) == pytest.approx(1)
     assert quality.js_distance(np.array([1.0, 2]), np.array([2, 4.0])) == pytest.approx(0)
+
+
+def test_texts_without_common_words_and_in_another_language_go(few, spark, sf_dir):
+    good = spark.read.parquet(f"{sf_dir}/labels.parquet").where("quality = 1 AND toxic = 0").select("doc_id")
+    clean = few.where("length(text) > 2500").join(good, "doc_id").select("text", "lang").collect()
+    known = quality.references(few)
+
+    def uncommon(text, lang):
+        return " ".join(w for w in text.split() if quality.common_form([w.encode()]) and quality.common_form([w.encode()])[0] not in known[lang][1])
+
+    other = {"en": "de", "de": "en", "es": "en", "fr": "en"}
+    rows = [(r["text"], r["lang"], True) for r in clean] + [(r["text"], other[r["lang"]], False) for r in clean] + [(uncommon(r["text"], r["lang"]), r["lang"], False) for r in clean]
+    out = quality.judge(spark.createDataFrame(rows, "text string, lang string, good boolean"), few).where("NOT base_failed AND n_words >= 60").collect()
+    assert len({r["good"] for r in out}) == 2
+    assert all(r["kept"] == r["good"] for r in out)
