@@ -18,13 +18,11 @@ from tidemark.llm.quality import judge
 from tidemark.llm.substrings import remove_repeats
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-#: A text that takes so many bits a symbol by its best language is in none of them; ordinary prose takes two or three.
-MOST_BITS = 7.5
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects texts of no known language (or without a letter); a missing label becomes the predicted one."""
-    found = identify(docs.select(*COLUMNS), docs).where((F.col("lang_pred") != UNKNOWN) & (F.col("bits") <= MOST_BITS))
+    """Rejects texts of no known language (by limits for their length) or without a letter; a missing label becomes the predicted one."""
+    found = identify(docs.select(*COLUMNS), docs, with_foreign=True).where((F.col("lang_pred") != UNKNOWN) & ~F.col("foreign"))
     return found.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*COLUMNS)
 
 

@@ -2,6 +2,7 @@
 
 import __spark_entry__
 import corpus_pipeline as cp
+from pyspark.sql import functions as F
 from test_jaccard import brute as components
 from test_substrings import brute as removal
 
@@ -33,6 +34,21 @@ def test_odd_rows_pass(spark, odd, nothing, sf_dir):
             stage(spark, docs, sf_dir).count()
 
 
+def test_languages_that_were_not_learned_go(spark, sf_dir, few):
+    for left in ("en", "es"):
+        docs = few.withColumn("lang", F.when(F.col("lang") != left, F.col("lang"))).where("length(text) > 300")
+        kept = {r["doc_id"] for r in cp.language_id(spark, docs, sf_dir).collect()}
+        rows = few.where("length(text) > 300").select("doc_id", "lang").collect()
+        own, other = ([r["doc_id"] in kept for r in rows if (r["lang"] == left) == foreign] for foreign in (False, True))
+        assert sum(own) >= 0.95 * len(own) > 0
+        assert sum(other) <= 0.2 * len(other) and other
+
+
+def test_texts_too_short_to_judge_stay(spark, sf_dir, few):
+    short = spark.createDataFrame([(-1, "A.", None, "s", 2)], "doc_id long, text string, lang string, source string, n_chars long")
+    assert cp.language_id(spark, few.unionByName(short), sf_dir).where("doc_id = -1").count() == 1
+
+
 def test_registered():
     known = __spark_entry__.queries()
     assert "pipeline" in known and {f"op{n}_" for n in range(1, 11)} == {k[: k.index("_") + 1] for k in known if k.startswith("op")}

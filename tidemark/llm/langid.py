@@ -20,6 +20,10 @@ ALPHABET = 60
 #: The hashes of a language are ranked in so many parts first.
 SALTS = 32
 BLOCK = 256
+#: Limits of the bits a symbol: lengths in symbols, parts that the sample is held out in, shares of own and of foreign texts between which a limit lies.
+LENGTHS, FOLDS, OWN_SHARE, FOREIGN_SHARE = (10, 20, 30, 50, 100, 200), 3, 0.995, 0.1
+#: Held-out texts of a length that a limit needs, and what it exceeds theirs by where no other language is known.
+LEAST_TEXTS, ALONE = 20, 1.25
 #: Boundary flag on a transition: the phrase ended and a new one began.
 CUT = 1 << 30
 PAD, SPACE, OTHER = 0, 1, 2
@@ -172,24 +176,65 @@ def verdicts(parser: CrossParser, batch: list[bytes]) -> tuple[list[str], list[f
     return names, np.where(lettered, scores, 0.0).tolist(), np.where(lettered, low, 0.0).tolist()
 
 
-def identify(docs: DataFrame, training: DataFrame) -> DataFrame:
+def limits(samples: tuple) -> list[tuple[int, float]]:
+    """(symbols, most bits a symbol) from which length on a text above these is in none of the languages.
+
+    Each part of the sample is parsed by what is learned from the other parts: from all languages and, as a text in an
+    unknown language, from all but its own. The limit lies halfway between the two, by the foreign language that is
+    nearest. Lengths at which they overlap have none, nor have shorter ones: there any text may stay.
+    """
+    own, foreign = {n: [] for n in LENGTHS}, {n: {} for n in LENGTHS}
+    for fold in range(FOLDS):
+        parser = CrossParser({name: [t for k, t in enumerate(starts) if k % FOLDS != fold] for name, starts in samples})
+        for c, (name, starts) in enumerate((n, dict(samples)[n]) for n in parser.names):
+            held = [parser.encode(t) for t in starts[fold::FOLDS]]
+            for n in LENGTHS:
+                cut = [e[:n] for e in held if len(e) >= n and (e[:n] > SPACE).any()]
+                if not cut:
+                    continue
+                rates = parser.phrases(cut) * np.array(parser.bits)[None, :] / n
+                own[n].extend(rates.min(axis=1))
+                if len(parser.names) > 1:
+                    foreign[n].setdefault(name, []).extend(np.delete(rates, c, axis=1).min(axis=1))
+    out: list[tuple[int, float]] = []
+    for n in LENGTHS:
+        if len(own[n]) < LEAST_TEXTS:
+            continue
+        low = float(np.quantile(own[n], OWN_SHARE))
+        high = min((float(np.quantile(x, FOREIGN_SHARE)) for x in foreign[n].values()), default=(2 * ALONE - 1) * low)
+        if low < high:
+            out.append((n, (low + high) / 2))
+        else:
+            out.clear()
+    return out
+
+
+def identify(docs: DataFrame, training: DataFrame, with_foreign: bool = False) -> DataFrame:
     """docs with lang_pred, score (0 to 1) and bits (a symbol, by the language predicted).
 
     The language whose text's automaton parses the document into the fewest phrases wins, phrases weighted by the
     bits of a place in that text; ties go to the name that sorts first. Null texts and texts without a letter, and
     all texts where no training row has a label, give `und` and score 0. Other columns and repeated rows are kept;
-    columns named as the new ones are replaced.
+    columns named as the new ones are replaced. With with_foreign also `foreign`: whether the bits are above what texts
+    of that length in a learned language take.
     """
     samples = sample(training)
-    held = docs.drop("lang_pred", "score", "bits")
+    bounds = limits(samples) if with_foreign else []
+    new = [("lang_pred", "string"), ("score", "double"), ("bits", "double"), *([("foreign", "boolean")] if with_foreign else [])]
+    held = docs.drop(*(f for f, _ in new))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            names, scores, bits = verdicts(parser_of(samples), texts(b))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(bits, pa.float64())], names=[*b.schema.names, "lang_pred", "score", "bits"])
-
-    kinds = ", ".join(f"`{c}` {t}" for c, t in held.dtypes)
-    return map_arrow(held, run, f"{kinds}, lang_pred string, score double, bits double")
+            parser, batch = parser_of(samples), texts(b)
+            names, scores, bits = verdicts(parser, batch)
+            columns = [pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(bits, pa.float64())]
+            if with_foreign:
+                sizes = (len(parser.encode(normal_text(t))) for t in batch)
+                most = (next((limit for n, limit in reversed(bounds) if size >= n), np.inf) for size in sizes)
+                columns.append(pa.array([x > limit for x, limit in zip(bits, most, strict=True)], pa.bool_()))
+            yield pa.RecordBatch.from_arrays([*b.columns, *columns], names=[*b.schema.names, *(f for f, _ in new)])
+
+    return map_arrow(held, run, ", ".join(f"`{c}` {t}" for c, t in [*held.dtypes, *new]))
 
 
 def op6_cross_parsing_language(spark: SparkSession, sf_dir: str) -> DataFrame:
