@@ -26,3 +26,15 @@ def test_differences_are_counted_exactly():
     assert licenses.different_words("a b c".split(), template) == 0
     assert licenses.different_words("a x c".split(), template) == 2
     assert licenses.different_words("q".split(), template) == 1
+
+
+def test_notices_inside_longer_lines():
+    before, after = "The parser reads each record and writes it to a table", "bugs can be sent to the list and are answered within a week or two"
+    for notice, name in (("Released under the MIT License", "mit-notice"), ("All rights reserved", "all-rights-reserved"), ("This work is licensed under the GNU General Public License, version 2", "gpl-2.0-notice")):
+        for stop in (". ", " "):
+            text = before + stop + notice + stop + after
+            assert [(r[0], r[2]) for r in licenses.scanned(text)] == [(len(before + stop), name)]
+            assert next(licenses.scanned(text))[1] == notice
+    both = f"{before}. Released under the MIT License. {after}. {before}. {after}. Licensed under CC BY-NC 4.0. {after}"
+    assert [r[2] for r in licenses.scanned("\u0130 " + both)] == ["mit-notice", "cc-by-nc-4.0"]
+    assert [r[2] for r in licenses.scanned(f"{before} when the driving license of a clerk was lost, {after}")] == [None]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 from functools import lru_cache
@@ -38,12 +39,20 @@ NEIGHBOUR_SHARE = 0.6
 #: A winner is confirmed if the differing words are at most this share of the block's.
 MOST_DIFFERENT = 0.34
 LEVEL = 3
+#: Words of a template in a row (or a whole sentence of three) that make a notice inside a longer text.
+LEAST_SPAN, LEAST_SENTENCE = 5, 3
 
 
 def words_of(text: str) -> list[str]:
     return re.findall(r"[a-z0-9.\-/]*[a-z0-9]", text.lower())
 
 
+def lower(text: str) -> str:
+    """Lower case with every letter at its place (a few letters become two in lower case and stay as they are)."""
+    small = text.lower()
+    return small if len(small) == len(text) else "".join(x if len(x) == 1 else c for c, x in ((c, c.lower()) for c in text))
+
+
 @lru_cache(1)
 def templates() -> dict[str, tuple]:
     """For each template: its words, the distinct ones, a compressor with its text as raw dictionary."""
@@ -113,12 +122,64 @@ def scan_block(text: str) -> tuple[str | None, float, float, int, int]:
     return name if confirmed else None, gain, ranked[1 if best == 0 else 0][0], len(words), differing
 
 
+@lru_cache(1)
+def short_sentences() -> frozenset:
+    """Whole sentences of templates that are shorter than LEAST_SPAN."""
+    found = (tuple(words_of(part)) for text in TEMPLATES.values() for part in re.split(r"[.;:](?:\s|$)", text))
+    return frozenset(x for x in found if LEAST_SENTENCE <= len(x) < LEAST_SPAN)
+
+
+def aligned_span(words: list[str], at: int, template: list[str]) -> tuple[int, int, int]:
+    """(score, first, end) of the words around the one at `at` that fit the template best: a word that fits counts one, one that differs takes two."""
+    match = SequenceMatcher(None, words, template, autojunk=False).get_matching_blocks()[:-1]
+    own = next((k for k, m in enumerate(match) if m.a <= at < m.a + m.size), None)
+    if own is None:
+        return 0, at, at
+    score, ends = match[own].size, []
+    for step in (-1, 1):
+        best, total, edge, k = 0, 0, own, own
+        while 0 <= k + step < len(match):
+            a, b = (match[k], match[k + 1]) if step > 0 else (match[k - 1], match[k])
+            k += step
+            total += match[k].size - 2 * (b.a - a.a - a.size + b.b - a.b - a.size)
+            if total > best:
+                best, edge = total, k
+        score += best
+        ends.append(edge)
+    return score, match[ends[0]].a, match[ends[1]].a + match[ends[1]].size
+
+
+def notices(block: str) -> Iterator[tuple[int, str]]:
+    """(place, text) of the spans around triggers inside a block that fit a template, wherever lines and sentences end."""
+    found = list(re.finditer(r"[a-z0-9.\-/]*[a-z0-9]", lower(block)))
+    words = [m.group() for m in found]
+    reach, last, starts = max(len(t[0]) for t in templates().values()), 0, [m.start() for m in found]
+    for trigger in re.finditer(TRIGGER, lower(block)):
+        at = max(0, bisect_right(starts, trigger.start()) - 1)
+        if at < last:
+            continue
+        low = max(last, at - reach)
+        near = words[low : at + reach]
+        score, first, end = max((aligned_span(near, at - low, t[0]) for t in templates().values()), key=lambda x: x[0], default=(0, 0, 0))
+        if score >= LEAST_SPAN or tuple(near[first:end]) in short_sentences():
+            last = low + end
+            yield found[low + first].start(), block[found[low + first].start() : found[last - 1].end()]
+
+
+def scanned(text: str) -> Iterator[tuple]:
+    """(place, block, *scan_block) of the candidate blocks; one that is not confirmed whole gives the notices inside, if there are any."""
+    for place, block in blocks(text):
+        whole = scan_block(block)
+        inside = [] if whole[0] else [(place + at, own, *scan_block(own)) for at, own in notices(block)]
+        yield from [x for x in inside if x[2]] or [(place, block, *whole)]
+
+
 FIELDS = [("block_start", pa.int64()), ("block", pa.string()), ("license", pa.string()), ("reduction", pa.float64()), ("next_reduction", pa.float64()), ("block_words", pa.int64()), ("different_words", pa.int64())]
 KINDS = "doc_id long, block_start long, block string, license string, reduction double, next_reduction double, block_words long, different_words long"
 
 
 def scan_licenses(docs: DataFrame) -> DataFrame:
-    """A row for each candidate block: its place (in characters) and text, license (null where none is confirmed),
+    """A row for each candidate block (or for each notice inside one that is no license as a whole): its place (in characters) and text, license (null where none is confirmed),
     size reductions of the winner and of the best other template, words, differing words.
 
     Whole texts are scanned; texts without a trigger word (null and empty ones too) have no row. Repeated rows
@@ -130,9 +191,7 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
         for b in batches:
             rows = []
             for doc_id, text in zip(b.column(0).to_pylist(), texts(b), strict=True):
-                for place, block in blocks(text.decode("utf-8", "replace")):
-                    name, *numbers = scan_block(block)
-                    rows.append((doc_id, place, block, name, *numbers))
+                rows.extend((doc_id, *x) for x in scanned(text.decode("utf-8", "replace")))
             columns = list(zip(*rows, strict=True)) if rows else [[]] * 8
             yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), *(pa.array(c, k) for c, (_, k) in zip(columns[1:], FIELDS, strict=True))], names=["doc_id", *(f for f, _ in FIELDS)])
 
