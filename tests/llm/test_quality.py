@@ -54,3 +54,9 @@ def test_texts_without_common_words_and_in_another_language_go(few, spark, sf_di
     out = quality.judge(spark.createDataFrame(rows, "text string, lang string, good boolean"), few).where("NOT base_failed AND n_words >= 60").collect()
     assert len({r["good"] for r in out}) == 2
     assert all(r["kept"] == r["good"] for r in out)
+
+
+def test_every_label_has_a_reference(spark):
+    rows = [(f"l{k:03}", f"word{k} other{k} word{k}") for k in range(70) for _ in range(2 if k < 64 else 1)]
+    known = quality.references(spark.createDataFrame(rows, "lang string, text string"))
+    assert len(known) == 70 and all(f"word{k}".encode() in known[f"l{k:03}"][1] for k in range(70))

@@ -17,9 +17,9 @@ SYMBOLS = b"#*$%&|<>"
 CLASSES = 7
 STOPS = b".,;:'\"?!()-"
 WINDOW_WORDS, REPEAT_PERCENT, LEAST_WORDS = 8, 30, 20
-#: Languages with a reference, common words of each, words (of the word histogram) and bytes (of the class histogram)
+#: Common words of each reference, words (of the word histogram) and bytes (of the class histogram)
 #: from which a histogram is judged.
-LANGUAGES, COMMON_WORDS, GUARD_WORDS, GUARD_BYTES = 64, 100, 60, 150
+COMMON_WORDS, GUARD_WORDS, GUARD_BYTES = 100, 60, 150
 #: Greatest Jensen-Shannon distances (0 to 1) from the reference.
 CLASS_LIMIT, WORD_LIMIT = 0.26, 0.5
 #: Word limit by length where none is given: BASE + SLOPE / sqrt(words), and always MARGIN below a text without common
@@ -93,9 +93,9 @@ def js_distance(p: np.ndarray, q: np.ndarray) -> float:
 
 
 def references(docs: DataFrame) -> dict[str, tuple[np.ndarray, dict[bytes, int], np.ndarray]]:
-    """For each of the LANGUAGES most frequent labels: class counts, places of its common words, counts of those and of the rest.
+    """For each label: class counts, places of its common words, counts of those and of the rest.
 
-    Counted over all labelled documents, in each task first; only the bounded result comes to the driver.
+    Counted over all labelled documents, in each task first; only the result, some hundred rows a label, comes to the driver.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -119,18 +119,20 @@ def references(docs: DataFrame) -> dict[str, tuple[np.ndarray, dict[bytes, int],
         yield rows()
 
     labelled = docs.where("lang IS NOT NULL AND text IS NOT NULL").select("lang", "text")
-    names = [r[0] for r in labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()]
-    counts = saved(map_arrow(labelled.where(F.col("lang").isin(names)), count, "lang string, word binary, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")), "quality-words")
+    counts = saved(map_arrow(labelled, count, "lang string, word binary, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")), "quality-words")
     is_class = F.substring("word", 1, 1) == F.lit(b"\xff")
     top = Window.partitionBy("lang", "is_class").orderBy(F.desc("n"), "word")
     kept = counts.withColumn("is_class", is_class).withColumn("k", F.row_number().over(top)).where(F.col("k") <= COMMON_WORDS).collect()
     totals = {r["lang"]: r["n"] for r in counts.where(~is_class).groupBy("lang").agg(F.sum("n").alias("n")).collect()}
+    rows: dict[str, list] = {}
+    for r in kept:
+        rows.setdefault(r["lang"], []).append(r)
     out = {}
     for name in sorted(totals):
-        own = sorted(((r["k"], bytes(r["word"]), r["n"]) for r in kept if r["lang"] == name and not r["is_class"]))
+        own = sorted(((r["k"], bytes(r["word"]), r["n"]) for r in rows[name] if not r["is_class"]))
         classes = np.zeros(CLASSES)
-        for r in kept:
-            if r["lang"] == name and r["is_class"]:
+        for r in rows[name]:
+            if r["is_class"]:
                 classes[bytes(r["word"])[1]] = r["n"]
         common = np.array([n for _, _, n in own], float)
         out[name] = classes, {w: i for i, (_, w, _) in enumerate(own)}, np.append(common, totals[name] - common.sum())
