@@ -1,3 +1,6 @@
+import random
+
+import numpy as np
 import public_tokenizers
 import pytest
 
@@ -24,7 +27,7 @@ def all_scores(m, text):
     return sorted(rest(0), reverse=True)
 
 
-@pytest.mark.parametrize("text", ["a", "the cat", "é\nx", "hello the", "日本 b", "  x", "", "Über ß"])
+@pytest.mark.parametrize("text", ["a", "the cat", "é\nx", "hello the", "日本 b", "  x", "", "Über ß", "a   b", "x  "])
 def test_n_best_equals_enumeration(text):
     m = pieces.lattice(PATH)
     m.prepare([text])
@@ -49,3 +52,47 @@ def test_digests_agree_with_the_model_pieces(odd):
     rows = pieces.digests(odd, PATH).collect()
     assert len(rows) == odd.count() and all(r["decoded"] for r in rows)
     assert all(list(r["n_best_scores"]) == sorted(r["n_best_scores"], reverse=True) for r in rows)
+
+
+def viterbi(m, text):
+    unit = pieces.SPACE + text.replace(" ", pieces.SPACE)
+    best = [0.0] + [float("-inf")] * len(unit)
+    for end in range(1, len(unit) + 1):
+        best[end] = max(best[s] + x for s, x, _ in m.edges_to(unit, end))
+    return best[-1]
+
+
+@pytest.mark.parametrize("alphabet", ["abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/", "a", "日本語中文字", "ab \n"])
+def test_long_texts_without_words(alphabet):
+    m = pieces.lattice(PATH)
+    text = "".join(random.Random(6).choices(alphabet, k=20_000))
+    units = m.prepare([text])[0]
+    ids, scores, chosen, numbers = m.encode(text, 4, units)
+    assert scores[0] == pytest.approx(viterbi(m, text))
+    assert "".join(units) == pieces.SPACE + text.replace(" ", pieces.SPACE) and m.exact[numbers].all()
+    n = 1 if alphabet == "日本語中文字" else 4  # the model has no piece of several of these signs
+    assert len(scores) == n and scores == sorted(scores, reverse=True)
+    every = [pieces.all_ids(m, numbers, c) for c in chosen]
+    assert len(set(every)) == n and all(m.decode(np.frombuffer(x, "<u4").tolist()) == text for x in every)
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_n_best_of_many_units_equals_a_search_of_the_whole_text(seed):
+    m = pieces.lattice(PATH)
+    text = "".join(random.Random(seed).choices("theandig  \n.é", k=90))
+    units = m.prepare([text])[0]
+    whole = m.n_best(pieces.SPACE + text.replace(" ", pieces.SPACE), 6)
+    assert m.encode(text, 6, units)[1] == pytest.approx([s for s, _ in whole])
+
+
+def test_a_unit_cut_into_parts_has_the_same_segmentations(monkeypatch):
+    m = pieces.lattice(PATH)
+    for seed in range(20):
+        text = "".join(random.Random(seed).choices("abcdefghij", k=40))
+        monkeypatch.setattr(pieces, "LONG_UNIT", 256)
+        m.clear()
+        expected = m.encode(text, 4, m.prepare([text])[0])[1]
+        monkeypatch.setattr(pieces, "LONG_UNIT", 8)
+        m.clear()
+        assert m.encode(text, 4, m.prepare([text])[0])[1] == pytest.approx(expected)
+    m.clear()
