@@ -33,8 +33,10 @@ RUN_DDL = "kind int, bucket int, anchors binary, keys binary, firsts binary, las
 REGION = pa.schema([("bucket", pa.int32()), ("anchors", pa.binary()), ("owners", pa.binary()), ("sizes", pa.binary()), ("keys", pa.binary()), ("firsts", pa.binary()), ("data", pa.binary())])
 REGION_DDL = "bucket int, anchors binary, owners binary, sizes binary, keys binary, firsts binary, data binary"
 MARK = pa.schema([("key", pa.int64()), ("first", pa.int64()), ("last", pa.int64())])
-PIECE = pa.schema([("key", pa.int64()), ("anchor", pa.int64()), ("first", pa.int64()), ("last", pa.int64()), ("digest", pa.binary())])
-PIECE_DDL = "key long, anchor long, first long, last long, digest binary"
+PIECE = pa.schema([("again", pa.bool_()), ("key", pa.int64()), ("anchor", pa.int64()), ("first", pa.int64()), ("last", pa.int64()), ("digest", pa.binary())])
+PIECE_DDL = "again boolean, key long, anchor long, first long, last long, digest binary"
+#: Different pieces that a task remembers at a time.
+FLUSH_PIECES = 100_000
 
 
 def text_key(column: str = "text") -> Column:
@@ -188,18 +190,35 @@ def pieces(text: bytes, first: int, last: int, width: int, length: int, seed: in
 
 
 def cut_runs(wanted: DataFrame, width: int | None, length: int, seed: int) -> DataFrame:
-    """Runs of the wanted texts with the digest of their bytes, cut into parts before if a width is given."""
+    """Runs of the wanted texts with the digest of their bytes, cut into parts before if a width is given.
+
+    `again` is set on what a task has met before: these are repeats, and only the first of them (told apart by nothing
+    but the place) goes on; it comes a second time with `again`.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[tuple[int, bytes], tuple | None] = {}
         for b in batches:
             out = []
             for key, own, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), texts(b), strict=True):
                 for r in own:
                     parts = [(r["anchor"], r["first"], r["last"])] if width is None else pieces(text, r["first"], r["last"], width, length, seed)
-                    out.extend((key, g, first, last, digest(text[first : last + length])) for g, first, last in parts)
+                    for group, first, last in parts:
+                        known = group, digest(text[first : last + length])
+                        row = key, group, first, last, known[1]
+                        if known not in seen:
+                            seen[known] = row
+                            out.append((False, *row))
+                            continue
+                        if seen[known] is not None:
+                            out.append((True, *seen[known]))
+                            seen[known] = None
+                        out.append((True, *row))
                     if len(out) > 50_000:
                         yield record(out, PIECE)
                         out = []
+                    if len(seen) > FLUSH_PIECES:
+                        seen.clear()
             yield record(out, PIECE)
 
     return map_arrow(wanted, run, PIECE_DDL)
@@ -221,6 +240,8 @@ def split_hot(found: DataFrame, with_text: Callable[[DataFrame], DataFrame], len
             return reduce(DataFrame.unionByName, [*done, found]), reduce(DataFrame.unionByName, marks, spark.createDataFrame([], "key long, first long, last long"))
         done.append(found.join(sizes, "anchor", "left_anti"))
         cut_now = saved(cut_runs(with_text(found.join(sizes, "anchor", "left_semi")), width, length, seed), "repeats-cut")
+        marks.append(cut_now.where("again").select("key", "first", "last"))
+        cut_now = cut_now.where("NOT again").select("key", "anchor", "first", "last", "digest")
         # Whoever is alone with its digest is a class of one; of a larger class all are marked and the smallest goes on.
         classes = saved(cut_now.groupBy("anchor", "digest").agg(F.count("*").alias("n"), F.min(F.struct("key", "first", "last")).alias("one")), "repeats-classes")
         again = cut_now.join(classes.where("n > 1").select("anchor", "digest"), ["anchor", "digest"], "left_semi")
