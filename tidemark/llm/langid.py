@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -14,19 +13,20 @@ from pyspark.sql.window import Window
 from .common import doc_crc_mod, documents, map_arrow, texts
 
 UNKNOWN = "und"
-#: Bounds of the training sample: languages, documents of each, letters and spaces taken from a document's start.
-LANGUAGES, SAMPLE_DOCS, SAMPLE_CHARS = 64, 150, 240
-ALPHABET = 60
+#: Bounds of the training sample: characters of all languages together and of each (all labels have an equal share, if
+#: they are many), different whole texts of each, and the length up to which texts are taken first.
+SAMPLE_TOTAL, SAMPLE_CHARS, SAMPLE_DOCS, SAMPLE_LENGTH = 4_000_000, 60_000, 150, 1200
 #: The hashes of a language are ranked in so many parts first.
 SALTS = 32
-BLOCK = 256
+#: Symbols that are parsed one after the other before the next block's begin, and symbols parsed side by side at most.
+BLOCK, PASS_SYMBOLS = 256, 2_000_000
 #: Limits of the bits a symbol: lengths in symbols, parts that the sample is held out in, shares of own and of foreign texts between which a limit lies.
 LENGTHS, FOLDS, OWN_SHARE, FOREIGN_SHARE = (10, 20, 30, 50, 100, 200), 3, 0.995, 0.1
 #: Held-out texts of a length that a limit needs, and what it exceeds theirs by where no other language is known.
 LEAST_TEXTS, ALONE = 20, 1.25
-#: Boundary flag on a transition: the phrase ended and a new one began.
-CUT = 1 << 30
-PAD, SPACE, OTHER = 0, 1, 2
+#: Codes: any run of signs that are no letters, a letter that no sample has, and from there on the letters of the samples.
+SPACE, UNSEEN, LETTERS = 0, 1, 2
+SPREAD = np.uint64(0x9E3779B97F4A7C15)
 
 
 def normal_text(text: bytes) -> str:
@@ -42,22 +42,65 @@ def letter_table() -> np.ndarray:
     return np.fromiter((chr(c).isalpha() for c in range(0x110000)), bool, 0x110000)
 
 
+class Transitions:
+    """The transitions of one language's suffix automaton, as a hash table in numpy, with restarts filled in.
+
+    A match that can't go on ends its phrase, and the symbol begins the next one, in the state behind the root's
+    transition. `dead` is the state of a symbol that the language's text lacks: whatever follows begins a phrase.
+    """
+
+    def __init__(self, text: list[int], width: int):
+        goto = suffix_automaton(text)
+        self.width, self.dead, self.length = width, len(goto), len(text)
+        self.first = np.full(width, self.dead, np.int32)
+        for symbol, state in goto[0].items():
+            self.first[symbol] = state
+        keys = np.fromiter((k * width + c for k, own in enumerate(goto) for c in own), np.int64)
+        states = np.fromiter((x for own in goto for x in own.values()), np.int32, len(keys))
+        bits = max(4, (2 * len(keys)).bit_length())
+        self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
+        self.keys, self.states = np.full(1 << bits, -1, np.int64), np.zeros(1 << bits, np.int32)
+        slot = self.slots(keys)
+        while len(keys):
+            free = np.flatnonzero(self.keys[slot] < 0)
+            one = free[np.unique(slot[free], return_index=True)[1]]
+            self.keys[slot[one]], self.states[slot[one]] = keys[one], states[one]
+            left = np.ones(len(keys), bool)
+            left[one] = False
+            keys, states, slot = keys[left], states[left], (slot[left] + 1) & self.mask
+
+    def slots(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.view(np.uint64) * SPREAD) >> self.shift).astype(np.int64)
+
+    def step(self, state: np.ndarray, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(next states, whether a phrase began)."""
+        keys = state.astype(np.int64) * self.width + symbols
+        slot = self.slots(keys)
+        there = self.keys[slot]
+        hit = there == keys
+        out = np.where(hit, self.states[slot], self.first[symbols])
+        open_ = np.flatnonzero(~hit & (there >= 0))
+        while len(open_):
+            slot[open_] = at = (slot[open_] + 1) & self.mask
+            there = self.keys[at]
+            same = there == keys[open_]
+            found = open_[same]
+            out[found], hit[found] = self.states[at[same]], True
+            open_ = open_[~same & (there >= 0)]
+        return out, ~hit
+
+
 class CrossParser:
-    """Suffix automata of several languages' texts over one alphabet, as transition tables with restarts filled in."""
+    """Suffix automata of several languages' texts over one alphabet: all letters of the samples."""
 
     def __init__(self, samples: dict[str, list[str]]):
         self.names = sorted(samples)
-        counts = Counter(c for own in samples.values() for t in own for c in t if c.isalpha())
-        letters = [c for c, _ in sorted(counts.items(), key=lambda x: (-x[1], x[0]))[:ALPHABET]]
-        self.codes = np.where(letter_table(), OTHER, SPACE).astype(np.uint8)
-        for k, c in enumerate(letters):
-            self.codes[ord(c)] = OTHER + 1 + k
-        self.width = OTHER + 1 + len(letters)
-        self.tables, self.bits = [], []
-        for name in self.names:
-            text = np.concatenate([self.encode(t) for t in samples[name]] or [np.zeros(0, np.uint8)])
-            self.tables.append(self.with_restarts(suffix_automaton(text.tolist(), self.width)))
-            self.bits.append(np.log2(len(text) + 2))
+        letters = sorted({c for own in samples.values() for t in own for c in set(t) if c.isalpha()})
+        self.codes = np.where(letter_table(), UNSEEN, SPACE).astype(np.int32)
+        self.codes[[ord(c) for c in letters]] = np.arange(LETTERS, LETTERS + len(letters))
+        texts_of = ([self.encode(t) for t in samples[name]] for name in self.names)
+        self.tables = [Transitions(np.concatenate([*own, np.zeros(0, np.int32)]).tolist(), LETTERS + len(letters)) for own in texts_of]
+        self.bits = [np.log2(t.length + 2) for t in self.tables]
 
     def encode(self, text: str) -> np.ndarray:
         """Codes of the letters, each run of anything else as one space."""
@@ -66,43 +109,83 @@ class CrossParser:
         keep[1:] = (codes[1:] != SPACE) | (codes[:-1] != SPACE)
         return codes[keep]
 
-    def with_restarts(self, table: np.ndarray) -> np.ndarray:
-        """Next states times the width; where a match can't go on, the state after the symbol alone, flagged.
-
-        The state behind the last one stands for a symbol that the text lacks: whatever follows begins a phrase. The
-        root is left at a block's first symbol, which begins one anyway.
-        """
-        first = np.where(table[0] >= 0, table[0], len(table))
-        full = np.vstack([np.where(table >= 0, table * self.width, (first * self.width | CUT)[None, :]), first * self.width | CUT])
-        full[0] = first * self.width
-        full[:, PAD] = 0
-        return full.astype(np.int32).ravel()
-
     def phrases(self, encoded: list[np.ndarray]) -> np.ndarray:
-        """Phrases of each text (row) by each language (column).
+        """Phrases of each text (row) by each language (column): longest matches from left to right."""
+        out, start, size = np.zeros((len(encoded), len(self.names)), np.int64), 0, 0
+        for k, e in enumerate([*encoded, None]):
+            if k > start and (e is None or size + len(e) > PASS_SYMBOLS):
+                out[start:k] = self.side_by_side(encoded[start:k])
+                start, size = k, 0
+            size += 0 if e is None else len(e)
+        return out
+
+    def side_by_side(self, encoded: list[np.ndarray]) -> np.ndarray:
+        """The same for texts that are cut into blocks, a symbol of each block at a time.
 
-        All texts are cut into blocks that are parsed side by side, a symbol of each at a time; a block begins a
-        phrase, alike for every language.
+        First every block is parsed as if a phrase began with it. Then blocks are parsed again from the state in which
+        the block before ends, until state and first parse agree (from there on all is equal), and the next ones as
+        long as an end changes.
         """
-        sizes = np.array([len(e) for e in encoded])
+        sizes = np.array([len(e) for e in encoded], np.int64)
         blocks = -(-sizes // BLOCK)
-        firsts = np.concatenate([[0], np.cumsum(blocks)])
-        flat = np.full(int(firsts[-1]) * BLOCK, PAD, np.int32)
-        for e, b in zip(encoded, firsts, strict=False):
-            flat[b * BLOCK : b * BLOCK + len(e)] = e
-        columns = np.ascontiguousarray(flat.reshape(-1, BLOCK).T)
+        owner = np.repeat(np.arange(len(encoded)), blocks)
+        rank = np.arange(len(owner)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
+        lengths = np.minimum(sizes[owner] - rank * BLOCK, BLOCK)
+        by = np.argsort(-lengths, kind="stable")
+        place = np.empty(len(by), np.int64)
+        place[by] = np.arange(len(by))
+        after = np.full(len(by), -1, np.int64)  # the block behind, by place
+        inner = np.flatnonzero(rank > 0)
+        after[place[inner - 1]] = place[inner]
+        lengths = lengths[by]
+        flat = np.zeros((len(owner), BLOCK), np.int32)
+        whole = np.concatenate([*encoded, np.zeros(0, np.int32)])
+        flat.ravel()[np.repeat((np.cumsum(blocks) - blocks) * BLOCK - (np.cumsum(sizes) - sizes), sizes) + np.arange(len(whole))] = whole
+        columns = np.ascontiguousarray(flat[by].T)
+        active = np.searchsorted(-lengths, -np.arange(BLOCK), "left")
         out = np.zeros((len(encoded), len(self.names)), np.int64)
+        trace, sums = np.zeros(columns.shape, np.int32), np.zeros(columns.shape, np.int16)
         for k, table in enumerate(self.tables):
-            state, cuts = np.zeros(columns.shape[1], np.int32), np.ones(columns.shape[1], np.int32)
-            for symbols in columns:
-                state += symbols
-                step = table.take(state)
-                cuts += step >> 30
-                state = step & (CUT - 1)
-            sums = np.concatenate([[0], np.cumsum(cuts)])
-            out[:, k] = sums[firsts[1:]] - sums[firsts[:-1]]
+            state, cuts = np.full(len(by), table.dead, np.int32), np.zeros(len(by), np.int16)
+            for t, n in enumerate(active.tolist()):
+                state[:n], began = table.step(state[:n], columns[t, :n])
+                cuts[:n] += began
+                trace[t], sums[t] = state, cuts
+            again = np.sort(place[inner])
+            before = np.zeros(len(by), np.int64)
+            before[after[after >= 0]] = np.flatnonzero(after >= 0)
+            while len(again):
+                again = after[self.parse_again(table, columns, lengths, again, state[before[again]], trace, sums, state, cuts)]
+                again = np.sort(again[again >= 0])
+            out[:, k] = np.bincount(owner[by], cuts, minlength=len(encoded))
         return out
 
+    @staticmethod
+    def parse_again(table, columns, lengths, at, now, trace, sums, state, cuts) -> np.ndarray:
+        """Parses the blocks `at` (by place, long ones first) from the states `now`; gives those whose end has changed."""
+        own, changed = np.zeros(len(at), np.int16), []
+        for t in range(len(columns)):
+            live = int(np.searchsorted(-lengths[at], -t, "left"))
+            if live < len(at):  # these have ended without agreeing
+                over, at = at[live:], at[:live]
+                cuts[over], state[over] = own[live:], now[live:]
+                changed.append(over)
+                own, now = own[:live], now[:live]
+            if not len(at):
+                break
+            now, began = table.step(now, columns[t, at])
+            own = own + began
+            same = now == trace[t, at]
+            over = at[same]
+            cuts[over] += own[same] - sums[t, over]
+            more = ~same
+            at, now, own = at[more], now[more], own[more]
+            trace[t, at], sums[t, at] = now, own
+        else:
+            cuts[at], state[at] = own, now
+            changed.append(at)
+        return np.concatenate([*changed, np.zeros(0, np.int64)])
+
     def rates(self, batch: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Bits a symbol by each language (phrases times the bits that name a place in its text), symbols, has letters."""
         encoded = [self.encode(normal_text(t)) for t in batch]
@@ -111,17 +194,16 @@ class CrossParser:
         return self.phrases(encoded) * np.array(self.bits)[None, :] / np.maximum(sizes, 1)[:, None], sizes, lettered
 
 
-def suffix_automaton(text: list[int], width: int) -> np.ndarray:
-    """Transitions (states x width, -1: none) of the suffix automaton of `text`, grown a symbol at a time."""
-    none = [-1] * width
-    goto, link, longest, last = [none[:]], [-1], [0], 0
+def suffix_automaton(text: list[int]) -> list[dict[int, int]]:
+    """Transitions of each state of the suffix automaton of `text`, grown a symbol at a time; the root is state 0."""
+    goto, link, longest, last = [{}], [-1], [0], 0
     for symbol in text:
         new = len(goto)
-        goto.append(none[:])
+        goto.append({})
         longest.append(longest[last] + 1)
         link.append(0)
         at, last = last, new
-        while at >= 0 and goto[at][symbol] < 0:
+        while at >= 0 and symbol not in goto[at]:
             goto[at][symbol] = new
             at = link[at]
         if at < 0:
@@ -131,32 +213,38 @@ def suffix_automaton(text: list[int], width: int) -> np.ndarray:
             link[new] = old
             continue
         copy = len(goto)
-        goto.append(goto[old][:])
+        goto.append(goto[old].copy())
         longest.append(longest[at] + 1)
         link.append(link[old])
         link[old] = link[new] = copy
-        while at >= 0 and goto[at][symbol] == old:
+        while at >= 0 and goto[at].get(symbol) == old:
             goto[at][symbol] = copy
             at = link[at]
-    return np.array(goto, np.int64)
+    return goto
 
 
 def sample(docs: DataFrame) -> tuple:
-    """(language, texts) pairs to learn from: of the LANGUAGES most frequent labels, SAMPLE_DOCS different texts each.
+    """(language, texts) pairs to learn from: of every label, at most SAMPLE_DOCS different whole texts with SAMPLE_CHARS characters in all.
 
-    Texts are chosen by their hash over all labelled documents, so that copies count once; only the hashes of the
-    chosen ones and then their starts (SAMPLE_CHARS characters) come to the driver.
+    Texts up to SAMPLE_LENGTH characters come first, and among these the choice is by hash over all labelled documents,
+    so that copies count once. Texts are whole; only one that alone exceeds a language's share is cut. Hashes and lengths of
+    the candidates and then the chosen texts come to the driver, SAMPLE_TOTAL characters at most.
     """
-    labelled = docs.where("lang IS NOT NULL AND text IS NOT NULL").select("lang", F.xxhash64("text").alias("h"), F.substring("text", 1, SAMPLE_CHARS).alias("start"))
-    names = [r[0] for r in labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()]
-    distinct = labelled.where(F.col("lang").isin(names)).select("lang", "h").distinct()
-    parts, whole = Window.partitionBy("lang", F.expr(f"pmod(h, {SALTS})")).orderBy("h"), Window.partitionBy("lang").orderBy("h")
+    labelled = docs.where("lang IS NOT NULL AND text IS NOT NULL").select("lang", F.xxhash64("text").alias("h"), F.length("text").alias("size"), "text")
+    distinct = labelled.select("lang", "h", "size", (F.col("size") > SAMPLE_LENGTH).alias("long")).distinct()
+    parts, whole = Window.partitionBy("lang", F.expr(f"pmod(h, {SALTS})")).orderBy("long", "h"), Window.partitionBy("lang").orderBy("long", "h")
     first = distinct.withColumn("k", F.row_number().over(parts)).where(F.col("k") <= SAMPLE_DOCS)
-    chosen = first.withColumn("k", F.row_number().over(whole)).where(F.col("k") <= SAMPLE_DOCS).collect()
-    hashes = sorted({r["h"] for r in chosen})
-    rows = labelled.where(F.col("lang").isin(names) & F.col("h").isin(hashes)).groupBy("lang", "h").agg(F.min("start").alias("start")).collect()
-    wanted = {(r["lang"], r["h"]) for r in chosen}
-    return tuple((n, tuple(r["start"].lower() for r in sorted(rows, key=lambda r: r["h"]) if r["lang"] == n and (n, r["h"]) in wanted)) for n in sorted(names))
+    candidates = first.withColumn("k", F.row_number().over(whole)).where(F.col("k") <= SAMPLE_DOCS).orderBy("lang", "k").collect()
+    names = sorted({r["lang"] for r in candidates})
+    share = min(SAMPLE_CHARS, SAMPLE_TOTAL // max(len(names), 1))
+    left, wanted = dict.fromkeys(names, share), []
+    for r in candidates:
+        if r["size"] <= left[r["lang"]] or left[r["lang"]] == share:
+            left[r["lang"]] -= r["size"]
+            wanted.append((r["lang"], r["h"]))
+    chosen = docs.sparkSession.createDataFrame(wanted, "lang string, h long")
+    rows = labelled.join(F.broadcast(chosen), ["lang", "h"]).groupBy("lang", "h").agg(F.min(F.substring("text", 1, share)).alias("text")).collect()
+    return tuple((n, tuple(r["text"].lower() for r in sorted(rows, key=lambda r: r["h"]) if r["lang"] == n)) for n in names)
 
 
 @lru_cache(2)
@@ -214,7 +302,7 @@ def identify(docs: DataFrame, training: DataFrame, with_foreign: bool = False) -
 
     The language whose text's automaton parses the document into the fewest phrases wins, phrases weighted by the
     bits of a place in that text; ties go to the name that sorts first. Null texts and texts without a letter, and
-    all texts where no training row has a label, give `und` and score 0. Other columns and repeated rows are kept;
+    all texts where no training row has a label, give `und` and score 0. Every label is learned, from a bounded sample. Other columns and repeated rows are kept;
     columns named as the new ones are replaced. With with_foreign also `foreign`: whether the bits are above what texts
     of that length in a learned language take.
     """
