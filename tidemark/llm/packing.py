@@ -20,7 +20,8 @@ NEARLY_FULL = 4
 FAN_IN = 8
 #: Items that one task packs at a time.
 TASK_ITEMS = 200_000
-CACHE_WORDS, CACHE_CORES = 250_000, 600_000
+#: Bytes of each of the two caches of words (with WORD_BYTES for an entry's own needs).
+CACHE_BYTES, WORD_BYTES = 48 << 20, 150
 #: Signs that end words; behind a letter or digit they are always pre-tokens of their own.
 TAIL = b".,;:!?&$%*#|"
 
@@ -41,8 +42,15 @@ class WordTokenizer:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.model, self.known = Tokenizer.from_file(path), {}
+        self.model = Tokenizer.from_file(path)
+        self.known: dict[bytes, bytes] = {}
         self.cores: dict[bytes, bytes] = {}
+        self.clear()
+
+    def clear(self) -> None:
+        self.known.clear()
+        self.cores.clear()
+        self.known_bytes = self.core_bytes = 0
 
     @staticmethod
     def core_and_tail(word: bytes) -> tuple[bytes, bytes]:
@@ -55,21 +63,24 @@ class WordTokenizer:
     def encode(self, batch: list[bytes]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
         split = [t.split() for t in batch]
-        if len(self.known) > CACHE_WORDS:
-            self.known.clear()
-        known = self.known
-        if len(self.cores) > CACHE_CORES:
-            self.cores.clear()
-        cores = self.cores
+        known, cores = self.known, self.cores
+        if self.known_bytes > CACHE_BYTES:
+            known.clear()
+            self.known_bytes = 0
+        if self.core_bytes > CACHE_BYTES:
+            cores.clear()
+            self.core_bytes = 0
         parts = {w: self.core_and_tail(w) for w in set().union(*split).difference(known)}
         new = list({x for both in parts.values() for x in both}.difference(cores))
         for at in range(0, len(new), 10_000):
             part = new[at : at + 10_000]
             found = self.model.encode_batch_fast([w.decode("utf-8", "replace") for w in part], add_special_tokens=False)
             for word, e in zip(part, found, strict=True):
-                cores[word] = struct.pack(f"<{len(e.ids)}I", *e.ids)
+                cores[word] = ids = struct.pack(f"<{len(e.ids)}I", *e.ids)
+                self.core_bytes += len(word) + len(ids) + WORD_BYTES
         for word, (core, tail) in parts.items():
-            known[word] = cores[core] + cores[tail]
+            known[word] = ids = cores[core] + cores[tail]
+            self.known_bytes += len(word) + len(ids) + WORD_BYTES
         return [b"".join(map(known.__getitem__, words)) for words in split]
 
 
@@ -164,6 +175,7 @@ def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, slack: int = NEAR
                 for doc_id, ids in zip(b.column(0).to_pylist(), tokenizer(path).encode(texts(b)), strict=True):
                     for p in pieces(doc_id, ids, capacity):
                         yield p[3], [(*p, 0)]
+            tokenizer(path).clear()
 
         return emitted(items(), capacity, slack, 0)
 

@@ -26,7 +26,8 @@ CLASS_LIMIT, WORD_LIMIT = 0.26, 0.5
 #: words. Greatest distances of labelled clean texts of sf0.1: 0.477 below 120 words, 0.391 below 200, 0.345 below 400,
 #: 0.276 below 1,000, 0.199 from there on.
 LIMIT_BASE, LIMIT_SLOPE, LIMIT_MARGIN = 0.09, 3.9, 0.005
-FLUSH_WORDS = 500_000
+#: Words that a task counts before it hands the counts on.
+FLUSH_WORDS = 100_000
 
 
 def class_table() -> bytes:
