@@ -1,6 +1,7 @@
 import random
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 
 from tidemark.llm import jaccard
@@ -60,6 +61,62 @@ def test_large_groups_at_the_threshold(spark, seed):
     assert result(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)) == brute(rows)
 
 
+@pytest.mark.parametrize("change", [{"DRAWN": 0}, {"DRAWN": 6, "LEAF": 2, "PIVOTS": 1, "GROW": 2}, {"CELL": 0.25, "DRAWN": 40}, {"DRAWN": 3, "HOT_SETS": 4}], ids=str)
+def test_regions_windows_and_rounds_lose_no_link(spark, monkeypatch, change):
+    """A chain of near copies around several centres: members of one group lie in several regions."""
+    for name, value in change.items():
+        monkeypatch.setattr(jaccard, name, value)
+    r = random.Random(5)
+    rows = []
+    for g in range(3):
+        words = [f"g{g}w{r.randrange(400)}" for _ in range(150)]
+        for k in range(45):
+            words = words[:]
+            for at in r.sample(range(150), r.randrange(0, 5)):
+                words[at] = f"x{r.randrange(30)}"
+            rows.append((1000 * g + k, " ".join(words)))
+    r.shuffle(rows)
+    assert result(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)) == brute(rows)
+
+
+def test_every_set_meets_all_that_are_near(few):
+    """The rule of regions and replicas by brute force: each pair within reach shares a region."""
+    sets = [jaccard.shingles(r["text"].encode()) for r in few.select("text").collect()]
+    sets = [x for x in sets if len(x)]
+    r = random.Random(3)
+    sets += [np.unique(np.concatenate([x[r.randrange(1 + len(x) // 3) :], np.array(r.sample(range(10**9), len(x) // 4), np.uint64)])) for x in sets for _ in range(3) if len(x) > 20]
+    pivots = jaccard.Pivots(sets[::25], 80)
+    found = [pivots.regions(x) for x in sets]
+    met = 0
+    for i, x in enumerate(sets):
+        for j in range(i):
+            common = len(np.intersect1d(x, sets[j], assume_unique=True))
+            if jaccard.linked(common, len(x), len(sets[j]), 80):
+                a, b = dict(found[i][1]), dict(found[j][1])
+                assert any(abs(a[k] - b[k]) <= 41 for k in a.keys() & b.keys())
+                met += 1
+    assert met > 20 and len(pivots.centres) > 1
+
+
+def test_one_doc_id_with_several_texts(spark):
+    r = random.Random(7)
+    base = [f"w{r.randrange(500)}" for _ in range(80)]
+    rows = [(k, " ".join(base[:at] + [f"x{k}"] + base[at + 1 :])) for k, at in enumerate((0, 79, 0, 79, 0, 79))]
+    rows += [(k, " ".join(f"y{k} {n}" for n in range(60))) for k in range(6)] + rows[:2]
+    got = result(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {(i, c) for i, n, c in got if n == 76} == {(k, 0) for k in range(6)}
+    assert sum(got.values()) == len(rows)
+
+
+def test_the_filter_lets_all_wanted_rows_through(spark):
+    docs = spark.range(40_000).withColumnRenamed("id", "doc_id")
+    wanted = docs.where("doc_id % 5 = 0")
+    passed = docs.where(jaccard.probably("doc_id", wanted.select("doc_id")))
+    assert passed.where("doc_id % 5 = 0").count() == 8_000
+    assert passed.count() < 8_400
+    assert docs.where(jaccard.probably("doc_id", wanted.where("doc_id < 0").select("doc_id"))).count() == 0
+
+
 def test_empty(nothing):
     assert jaccard.jaccard_components(nothing).count() == 0
 
