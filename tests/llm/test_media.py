@@ -1,9 +1,12 @@
 import hashlib
+import math
+import statistics
 import struct
 import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tidemark.llm import media
 
@@ -46,14 +49,35 @@ def test_round_trip(text):
     assert media.decode_png(media.encode_png(payload)).tobytes() == payload
 
 
-def test_rows(odd, nothing):
-    texts = odd.collect()
-    out = media.store_media(odd).collect()
-    expected = sorted((str(r["doc_id"]), len(p := (r["text"] or "").encode()), hashlib.sha256(media.padded(p)).hexdigest()) for r in texts)
-    assert sorted((str(r["doc_id"]), r["n_bytes"], r["payload_sha256"]) for r in out) == expected
+def plain_feature(payload):
+    """The hash by the transform's definition, in plain loops."""
+    rows = [payload[k : k + 192] for k in range(0, len(payload), 192)]
+    grey = [[sum(row[3 * x : 3 * x + 3]) / 3 for x in range(64)] for row in rows]
+
+    def parts(n):
+        return [range(k * n // 32, k * n // 32 + 1) if n < 32 else range(k * n // 32, (k + 1) * n // 32) for k in range(32)]
+
+    cells = [[sum(grey[y][x] for y in ys for x in xs) / (len(ys) * len(xs)) for xs in parts(64)] for ys in parts(len(grey))]
+    wave = [[math.cos(math.pi * k * (2 * i + 1) / 64) for i in range(32)] for k in range(9)]
+    low = [round(sum(wave[u][y] * wave[v][x] * cells[y][x] for y in range(32) for x in range(32)), 6) for u in range(1, 9) for v in range(1, 9)]
+    middle = statistics.median(low)
+    return f"{int(''.join(str(int(x > middle)) for x in low), 2):016x}"
+
+
+def test_rows_are_read_from_the_stored_files(spark, odd, nothing):
+    stored = media.store_media(odd)
+    assert stored.inputFiles()
+    files = {r["media"] for r in stored.collect()}
+    out = media.media_features(stored.withColumn("feature", F.lit(1))).collect()
+    by_payload = {hashlib.sha256(p := media.padded((r["text"] or "").encode())).hexdigest(): (len((r["text"] or "").encode()), len(p), zlib.crc32(p[-16:]), plain_feature(p)) for r in odd.collect()}
+    assert len(out) == odd.count() and {r["payload_sha256"] for r in out} == set(by_payload)
     for r in out:
-        assert hashlib.sha256(r["media"]).hexdigest() == r["media_sha256"] and len(r["media"]) == r["media_bytes"]
-    assert media.store_media(nothing).count() == 0
+        assert (r["n_bytes"], r["payload_bytes"], r["tail_crc32"]) == by_payload[r["payload_sha256"]][:3]
+        assert bin(int(r["feature"], 16) ^ int(by_payload[r["payload_sha256"]][3], 16)).count("1") <= 2  # sums differ in their last digits
+    assert {r["media_sha256"] for r in out} == {hashlib.sha256(m).hexdigest() for m in files}
+    assert {r["media_bytes"] for r in out} == set(map(len, files))
+    assert media.media_features(media.store_media(nothing)).count() == 0
+    assert media.media_features(spark.createDataFrame([(1, None)], "doc_id long, media binary")).first()["feature"] is None
 
 
 def test_hash_is_of_low_frequencies():

@@ -11,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import documents, map_arrow, texts
+from .common import documents, map_arrow, saved, texts
 
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
 ROW_BYTES = 192
@@ -126,36 +126,58 @@ def cosine_hash(image: np.ndarray) -> str:
     return np.packbits(low > np.median(low)).tobytes().hex()
 
 
-def media_row(text: bytes) -> tuple:
-    payload = padded(text)
-    media = encode_png(payload)
-    image = decode_png(media)
-    back = image.tobytes()
-    return media, len(text), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-16:]), len(media), hashlib.sha256(media).hexdigest(), cosine_hash(image)
+FEATURES = [("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string())]
+KINDS = "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+
+
+def encode_media(docs: DataFrame) -> DataFrame:
+    """doc_id, n_bytes (of the text, without padding) and media, the text's PNG file.
+
+    Null and empty texts are one row of spaces with n_bytes 0. Equal texts give equal files; repeated rows stay repeated; an
+    empty table gives no rows; other columns are not read.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            batch = texts(b)
+            media = pa.array([encode_png(padded(t)) for t in batch], pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(map(len, batch), pa.int64()), media], names=["doc_id", "n_bytes", "media"])
 
+    return map_arrow(docs.select("doc_id", "text"), run, "doc_id long, n_bytes long, media binary")
 
-FIELDS = [("media", pa.binary()), ("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string())]
-KINDS = "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 
+def features_of(media: bytes) -> tuple:
+    """The values of FEATURES of one file, from its samples."""
+    image = decode_png(media)
+    back = image.tobytes()
+    return len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-16:]), len(media), hashlib.sha256(media).hexdigest(), cosine_hash(image)
 
-def store_media(docs: DataFrame, keep_media: bool = True) -> DataFrame:
-    """doc_id, the PNG of the text (if kept) and what is computed from the file read back.
 
-    Null or empty text is one row of spaces. Equal texts give equal values; repeated rows stay repeated.
+def media_features(stored: DataFrame) -> DataFrame:
+    """stored (any columns, with media) with the features of its files in place of media; a null file has null features.
+
+    A file that is broken or of a kind that is not read raises ValueError. Columns named as the new ones are replaced.
     """
-    fields = FIELDS if keep_media else FIELDS[1:]
+    held = stored.drop(*(f for f, _ in FEATURES))
+    kept = [c for c in held.columns if c != "media"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [media_row(t)[-len(fields) :] for t in texts(b)]
-            columns = list(zip(*rows, strict=True)) if rows else [[] for _ in fields]
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, kind) for c, (_, kind) in zip(columns, fields, strict=True))], names=["doc_id", *(f for f, _ in fields)])
+            rows = [(None,) * len(FEATURES) if m is None else features_of(m) for m in b.column(b.schema.get_field_index("media")).to_pylist()]
+            columns = list(zip(*rows, strict=True)) if rows else [[] for _ in FEATURES]
+            yield pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(c)) for c in kept), *(pa.array(c, kind) for c, (_, kind) in zip(columns, FEATURES, strict=True))], names=[*kept, *(f for f, _ in FEATURES)])
+
+    return map_arrow(held, run, ", ".join(f"`{c}` {t}" for c, t in held.dtypes if c != "media") + ", " + KINDS)
+
 
-    return map_arrow(docs.select("doc_id", "text"), run, "doc_id long, " + "media binary, " * keep_media + KINDS)
+def store_media(docs: DataFrame) -> DataFrame:
+    """The table of `encode_media`, written to the shared folder and read again."""
+    return saved(encode_media(docs), "media")
 
 
 def op9_png_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return store_media(documents(spark, sf_dir), keep_media=False)
+    """The features of every document's file, from the stored table; cases as in `encode_media`."""
+    return media_features(store_media(documents(spark, sf_dir)))
 
 
 QUERIES = {"op9_png_media": op9_png_media}
