@@ -10,7 +10,7 @@ VIEWS = {
     "market": "SELECT CAST(o_orderdate AS DATE) AS date, o_orderpriority AS commodity, arg_min(o_totalprice, o_orderkey) AS open, max(o_totalprice) AS high, min(o_totalprice) AS low, arg_max(o_totalprice, o_orderkey) AS close, count(*) AS volume FROM orders GROUP BY ALL",
     "vix": "SELECT CAST(l_shipdate AS DATE) AS date, round(avg(l_discount) * 100, 6) AS vix FROM lineitem WHERE dayofweek(l_shipdate) BETWEEN 1 AND 5 GROUP BY ALL",
     "weather": "SELECT CAST(l_shipdate AS DATE) AS date, n_name AS region, CASE l_returnflag WHEN 'A' THEN '1-URGENT' WHEN 'N' THEN '2-HIGH' ELSE '3-MEDIUM' END AS commodity, round(avg(l_quantity), 6) AS temp_c, round(avg(l_tax) * 100, 6) AS humidity_pct, round(avg(l_discount) * 10, 6) AS precipitation_mm FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey GROUP BY ALL",
-    "macro_long": "SELECT CAST(l_shipdate AS DATE) AS date, 'fx_' || s_nationkey AS series, round(avg(l_discount), 6) AS value FROM lineitem JOIN supplier ON l_suppkey = s_suppkey WHERE s_nationkey < 5 GROUP BY ALL",
+    "macro_long": "SELECT CAST(l_shipdate AS DATE) AS date, 'fx_' || s_nationkey AS series, round(avg(l_discount), 6) AS value FROM lineitem JOIN supplier ON l_suppkey = s_suppkey GROUP BY ALL",
     "news": "SELECT event_id, strftime(ts, '%Y%m%d%H%M%S') AS day_text, CAST(ts AS DATE) AS date, upper(event_type) || ';ECON_' || (CAST(props ->> '$.k' AS BIGINT) % 7) || ';TAX_' || upper(event_type) AS themes, value || ',' || CAST(props ->> '$.k' AS BIGINT) || ',' || abs(CAST(props ->> '$.k' AS BIGINT) - 50) AS tone, event_type AS all_names, CAST(props ->> '$.k' AS BIGINT) AS k, value, user_id FROM events",
     "paths": "SELECT CAST(date_trunc('month', l_shipdate) AS DATE) AS start, l_returnflag AS model, CAST(row_number() OVER (PARTITION BY date_trunc('month', l_shipdate), l_returnflag ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey) AS INT) AS path_id, " + ", ".join(f"(l_extendedprice / l_quantity) * (1 + 0.01 * {h} * (l_discount - 0.05)) AS day_{h}" for h in range(1, 15)) + " FROM lineitem",
     "long_paths": "SELECT start, model, path_id, CAST(substr(day_name, 5) AS INT) AS day, value FROM (UNPIVOT paths ON COLUMNS('day_.*') INTO NAME day_name VALUE value)",
@@ -63,7 +63,7 @@ class Frames:
 
     @cached_property
     def macro_long(self) -> DataFrame:
-        return self.shipped.where("s_nationkey < 5").groupBy(F.to_date("l_shipdate").alias("date"), F.concat(F.lit("fx_"), F.col("s_nationkey").cast("string")).alias("series")).agg(F.round(F.avg("l_discount"), 6).alias("value"))
+        return self.shipped.groupBy(F.to_date("l_shipdate").alias("date"), F.concat(F.lit("fx_"), F.col("s_nationkey").cast("string")).alias("series")).agg(F.round(F.avg("l_discount"), 6).alias("value"))
 
     @cached_property
     def news(self) -> DataFrame:

@@ -9,7 +9,8 @@ from .bindings import Frames, with_views
 
 KEY = ["commodity"]
 W = "PARTITION BY commodity ORDER BY date"
-FX = ["fx_0", "fx_1", "fx_2", "fx_3", "fx_4"]
+#: A series for each nation of the dimension table.
+FX = [f"fx_{k}" for k in range(25)]
 
 
 def filled_market(f: Frames):
@@ -87,7 +88,7 @@ CASES = {
     "a15_freshness": (lambda f: agg.freshness(f.market, KEY, "2001-08-05", 3, 10), market_sql("SELECT commodity, max(date) AS latest, date_diff('day', max(date), DATE '2001-08-05') AS age_days, CASE WHEN age_days > 10 THEN 'CRITICAL' WHEN age_days > 3 THEN 'WARNING' ELSE 'OK' END AS status FROM market GROUP BY 1")),
     "a16_presence": (lambda f: agg.presence({"market": f.market, "weather": f.weather}, ["date", "commodity"]), market_sql("SELECT date, commodity, count(*) FILTER (layer = 'market') AS n_market, count(*) FILTER (layer = 'weather') AS n_weather FROM (SELECT date, commodity, 'market' AS layer FROM market UNION ALL SELECT date, commodity, 'weather' FROM weather) GROUP BY ALL", "market weather")),
     "a19_stability": (lambda f: agg.stability(f.market.withColumn("score", F.col("close") - F.col("open")), KEY, "score"), market_sql("SELECT commodity, strftime(date, '%Y-%m') AS month, round(avg(close - open), 6) AS mean, round(stddev_samp(close - open), 4) AS std, round(CASE WHEN avg(close - open) <> 0 THEN stddev_samp(close - open) / avg(close - open) END, 4) AS stability, round(avg((close - open > 0)::INT), 4) AS win_rate FROM market GROUP BY ALL")),
-    "a20_availability": (lambda f: agg.availability(spine.merge_series(f.macro_long, FX).withColumn("year", F.year("date")), ["year"], FX[:2]), market_sql("SELECT year(date)::INT AS year, count(*) AS n_rows, count(fx_0) AS n_fx_0, count(fx_1) AS n_fx_1 FROM (SELECT date, max(value) FILTER (series = 'fx_0') AS fx_0, max(value) FILTER (series = 'fx_1') AS fx_1 FROM macro_long GROUP BY date) GROUP BY 1", "macro_long")),
+    "a20_availability": (lambda f: agg.availability(spine.merge_series(f.macro_long, FX).withColumn("year", F.year("date")), ["year"], FX), market_sql("SELECT year(date)::INT AS year, count(*) AS n_rows, " + ", ".join(f"count({n}) AS n_{n}" for n in FX) + " FROM (SELECT date, " + ", ".join(f"max(value) FILTER (series = '{n}') AS {n}" for n in FX) + " FROM macro_long GROUP BY date) GROUP BY 1", "macro_long")),
     "a21_walk_summary": (lambda f: agg.walk_summary(f.market.withColumn("mae", F.abs(F.col("close") - F.col("open")) / 1000), KEY, "mae"), market_sql("SELECT commodity, count(*) AS n_windows, round(avg(e), 4) AS mean, round(stddev_pop(e), 4) AS std, round(min(e), 4) AS best, round(max(e), 4) AS worst, round(1 / (1 + stddev_pop(e)), 4) AS stability FROM (SELECT commodity, abs(close - open) / 1000 AS e FROM market) GROUP BY 1")),
     "a22_residual_moments": (lambda f: agg.residual_moments(f.market.withColumn("e", (F.col("close") - F.col("open")) / 1000), KEY, "e"), market_sql("SELECT commodity, n, round(m, 4) AS mean, round(s, 4) AS std, round(m3 / pow(m2, 1.5), 4) AS skewness, round(m4 / (m2 * m2) - 3, 4) AS kurtosis, round(lo, 4) AS lowest, round(hi, 4) AS highest, round(n / 6 * (pow(m3 / pow(m2, 1.5), 2) + pow(m4 / (m2 * m2) - 3, 2) / 4), 4) AS jarque_bera FROM (SELECT commodity, count(*) AS n, any_value(m) AS m, stddev_samp(e) AS s, avg(pow(e - m, 2)) AS m2, avg(pow(e - m, 3)) AS m3, avg(pow(e - m, 4)) AS m4, min(e) AS lo, max(e) AS hi FROM (SELECT commodity, (close - open) / 1000 AS e, avg((close - open) / 1000) OVER (PARTITION BY commodity) AS m FROM market) GROUP BY 1)")),
     "a24_correlations": (lambda f: agg.correlations(f.market, KEY, "close", ["open", "volume"]), market_sql("SELECT commodity, round(corr(close, open), 4) AS corr_open, round(corr(close, volume), 4) AS corr_volume FROM market GROUP BY 1")),
@@ -117,7 +118,7 @@ CASES = {
     "m3_persist": (lambda f: baseline.persist(f.weather, ["temp_c"], 14, ["region", "commodity"]), market_sql("SELECT region, commodity, t AS temp_c, h::INT AS day_ahead, d + h::INT AS date FROM (SELECT region, commodity, arg_max(temp_c, date) AS t, max(date) AS d FROM weather GROUP BY ALL), range(1, 15) x(h)", "weather")),
     "m4_seasonal": (lambda f: baseline.seasonal(f.weather, ["temp_c"], 14, ["region", "commodity"]), market_sql("SELECT l.region, l.commodity, l.day_ahead, l.date, round(coalesce(s.t, l.t), 4) AS temp_c FROM last l LEFT JOIN (SELECT region, commodity, day_ahead, avg(t) AS t FROM (SELECT l.region, l.commodity, l.day_ahead, y, arg_min(w.temp_c, r) AS t FROM last l, range(1, 4) a(y), (VALUES (0, 0), (1, -1), (2, 1)) o(r, off), weather w WHERE w.region = l.region AND w.commodity = l.commodity AND w.date = (CAST(l.date - to_months(12 * y::INT) AS DATE) + off) GROUP BY ALL) GROUP BY ALL) s USING (region, commodity, day_ahead)", "weather").replace(" SELECT l.region, l.commodity, l.day_ahead, l.date", ", last AS (SELECT region, commodity, t, h::INT AS day_ahead, d + h::INT AS date FROM (SELECT region, commodity, arg_max(temp_c, date) AS t, max(date) AS d FROM weather GROUP BY ALL), range(1, 15) x(h)) SELECT l.region, l.commodity, l.day_ahead, l.date", 1)),
     "m5_trend": (lambda f: baseline.trend(f.market, ["close"], 14, KEY), market_sql("SELECT commodity, h::INT AS day_ahead, round(CASE WHEN n >= 5 THEN i + s * (h - 1) ELSE l END, 4) AS close FROM (SELECT commodity, count(*) AS n, regr_slope(close, x) AS s, regr_intercept(close, x) AS i, arg_max(close, x) AS l FROM (SELECT *, -(row_number() OVER (PARTITION BY commodity ORDER BY date DESC))::DOUBLE AS x FROM market QUALIFY x >= -30) GROUP BY 1), range(1, 15) y(h)")),
-    "m6_at_cutoffs": (lambda f: baseline.naive_at_cutoffs(f.market, KEY, 5, 7), market_sql(f"SELECT commodity, date AS data_cutoff_date, 7 AS day_ahead, round(close, 4) AS naive, round(close + 7 * m, 4) AS drifted, round(a, 4) AS actual FROM (SELECT *, avg(d) {frame(31)} AS m, lead(close, 7) OVER ({W}) AS a, row_number() OVER ({W}) AS i FROM (SELECT *, {D} AS d FROM market)) WHERE i % 5 = 0 AND a IS NOT NULL")),
+    "m6_at_cutoffs": (lambda f: baseline.naive_at_cutoffs(f.market, KEY, 1, 7), market_sql(f"SELECT commodity, date AS data_cutoff_date, 7 AS day_ahead, round(close, 4) AS naive, round(close + 7 * m, 4) AS drifted, round(a, 4) AS actual FROM (SELECT *, avg(d) {frame(31)} AS m, lead(close, 7) OVER ({W}) AS a FROM (SELECT *, {D} AS d FROM market)) WHERE a IS NOT NULL")),
     "m11_retrain_due": (lambda f: baseline.retrain_due(f.trades.select("strategy", F.col("date").alias("training_date")), ["strategy"], 6, "2002-01-15"), market_sql("SELECT strategy, max(date) AS last_training, CAST(max(date) + INTERVAL 6 MONTH AS DATE) AS next_training, next_training <= DATE '2002-01-15' AS retrain FROM trades GROUP BY 1", "trades")),
     "w27_walk_windows": (lambda f: baseline.walk_windows(f.market, KEY, 365, 14, 14), market_sql(f"SELECT commodity, (i - 365) // 14 + 1 AS window_id, i AS n_train, date AS train_end, s AS test_start, e AS test_end FROM (SELECT *, row_number() OVER ({W}) AS i, lead(date, 1) OVER ({W}) AS s, lead(date, 14) OVER ({W}) AS e FROM market) WHERE i >= 365 AND (i - 365) % 14 = 0 AND e IS NOT NULL")),
     "w28_folds": (lambda f: baseline.folds(f.market, KEY, 5), market_sql("SELECT commodity, date_diff('day', a, date) * 5 // (date_diff('day', a, b) + 1) AS fold, count(*) AS n_rows, min(date) AS first_day, max(date) AS last_day FROM (SELECT *, min(date) OVER (PARTITION BY commodity) AS a, max(date) OVER (PARTITION BY commodity) AS b FROM market) GROUP BY ALL")),
