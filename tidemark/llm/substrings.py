@@ -28,8 +28,8 @@ CHUNK, SHARD_BYTES, FLUSH_RUNS, BUCKET_BYTES = 1 << 20, 1 << 21, 200_000, 1 << 2
 HOT_RUNS, SPLIT = 4096, 8
 RADIX = 0x5851F42D4C957F2D
 PLACE = np.uint64((1 << 22) - 1)
-RUN = pa.schema([("kind", pa.int32()), ("bucket", pa.int32()), ("anchors", pa.binary()), ("keys", pa.binary()), ("firsts", pa.binary()), ("lasts", pa.binary())])
-RUN_DDL = "kind int, bucket int, anchors binary, keys binary, firsts binary, lasts binary"
+RUN = pa.schema([("bucket", pa.int32()), ("anchors", pa.binary()), ("keys", pa.binary()), ("firsts", pa.binary()), ("lasts", pa.binary())])
+RUN_DDL = "bucket int, anchors binary, keys binary, firsts binary, lasts binary"
 REGION = pa.schema([("bucket", pa.int32()), ("anchors", pa.binary()), ("owners", pa.binary()), ("sizes", pa.binary()), ("keys", pa.binary()), ("firsts", pa.binary()), ("data", pa.binary())])
 REGION_DDL = "bucket int, anchors binary, owners binary, sizes binary, keys binary, firsts binary, data binary"
 MARK = pa.schema([("key", pa.int64()), ("first", pa.int64()), ("last", pa.int64())])
@@ -86,53 +86,81 @@ def anchored_runs(text: bytes, length: int = LENGTH, seed: int = SEED) -> Iterat
         yield hashes[place[starts]], starts + at, np.append(starts[1:], len(place)) - 1 + at
 
 
+def digest(data: bytes, size: int = 16) -> bytes:
+    return hashlib.blake2b(data, digest_size=size).digest()
+
+
 def runs(docs: DataFrame, buckets: int, length: int, seed: int) -> DataFrame:
     """Packed runs of every text, dealt by anchor; a text that a task meets again is left out.
 
-    Two runs of an anchor prove it repeated, so the further ones of a task are dealt by text, to buckets below zero.
+    Equal runs of a task are repeats whole: all are marked, in buckets below -buckets, and only one of them goes on. Two
+    different runs of an anchor prove it repeated, so the further ones of a task are dealt by text, to buckets from -1 down.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, seen, total = [], set(), 0
+        held, seen, whole, total = [], set(), {}, 0
+
+        def equal_ones(anchors, keys, firsts, lasts) -> tuple[np.ndarray, np.ndarray]:
+            """Which runs have an equal one, and which of these go on."""
+            by = np.argsort(anchors, kind="stable")
+            same = np.append(False, anchors[by[1:]] == anchors[by[:-1]])
+            by = by[same | np.append(same[1:], False)]
+            again, first, first_of = np.zeros(len(anchors), bool), np.ones(len(anchors), bool), {}
+            for i, anchor, key, a, z in zip(by.tolist(), anchors[by].tolist(), keys[by].tolist(), firsts[by].tolist(), lasts[by].tolist(), strict=True):
+                j = first_of.setdefault((anchor, digest(whole[key][a : z + length])), i)
+                if j != i:
+                    again[i] = again[j] = True
+                    first[i] = False
+            return again, first
 
         def flush() -> Iterator[pa.RecordBatch]:
-            anchors, keys, firsts, lasts = (np.concatenate(x) for x in zip(*held, strict=True))
+            columns = [np.concatenate(x) for x in zip(*held, strict=True)]
+            again, first = equal_ones(*columns)
+            marks, columns = [x[again] for x in columns], [x[first] for x in columns]
+            anchors, keys = columns[:2]
             by = np.argsort(anchors, kind="stable")
             sorted_anchors, third = anchors[by], np.zeros(len(by), bool)
             third[by[2:]] = sorted_anchors[2:] == sorted_anchors[:-2]
-            for more in (False, True):
-                own = [x[third == more] for x in (anchors, keys, firsts, lasts)]
-                for rows in packed(own[1].view(np.uint64) if more else own[0], own, buckets):
-                    yield record([(1, -1 - b if more else b, *r) for b, *r in rows], RUN)
+            for deal, own, bucket_of in (
+                (anchors[~third], [x[~third] for x in columns], lambda b: b),
+                (keys[third].view(np.uint64), [x[third] for x in columns], lambda b: -1 - b),
+                (marks[1].view(np.uint64), marks, lambda b: -1 - buckets - b),
+            ):
+                for rows in packed(deal, own, buckets):
+                    yield record([(bucket_of(b), *r) for b, *r in rows], RUN)
 
         for b in batches:
             for key, text in zip(b.column(1).to_pylist(), texts(b), strict=True):
                 if key in seen:
                     continue
                 seen.add(key)
+                whole[key] = text
                 for anchors, firsts, lasts in anchored_runs(text, length, seed):
                     held.append((anchors, np.full(len(anchors), key, np.int64), firsts, lasts))
                     total += len(anchors)
             if total > FLUSH_RUNS:
                 yield from flush()
-                held, seen, total = [], set(), 0
+                held, seen, whole, total = [], set(), {}, 0
         if held:
             yield from flush()
 
-    return map_arrow(docs.select("text", F.col("__key").alias("key")), run, RUN_DDL).drop("kind")
+    return map_arrow(docs.select("text", F.col("__key").alias("key")), run, RUN_DDL)
 
 
 def unpack(rows: list[tuple], kinds: tuple) -> list[np.ndarray]:
     return [np.frombuffer(b"".join(x), kind) for x, kind in zip(zip(*rows, strict=True), kinds, strict=True)]
 
 
-def repeated_runs(dealt: DataFrame) -> DataFrame:
-    """(key, anchor, first, last) of runs whose anchor another place has too."""
+def repeated_runs(dealt: DataFrame, buckets: int) -> DataFrame:
+    """(again, key, anchor, first, last): with `again` marks of repeats, else runs whose anchor another place has too."""
 
-    def close(bucket: int, rows: list[tuple]) -> Iterator[pa.RecordBatch]:
-        anchors, keys, firsts, lasts = unpack(rows, (np.uint64, np.int64, np.int64, np.int64))
+    def rows(again: bool, keys, anchors, firsts, lasts) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), again)), *(pa.array(x) for x in (keys, anchors.astype(np.int64), firsts, lasts))], names=["again", "key", "anchor", "first", "last"])
+
+    def close(bucket: int, parts: list[tuple]) -> Iterator[pa.RecordBatch]:
+        anchors, keys, firsts, lasts = unpack(parts, (np.uint64, np.int64, np.int64, np.int64))
         if bucket < 0:
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (keys, anchors.astype(np.int64), firsts, lasts)], names=["key", "anchor", "first", "last"])
+            yield rows(bucket < -buckets, keys, anchors, firsts, lasts)
             return
         by = np.lexsort((firsts, keys, anchors))
         anchors, keys, firsts, lasts = anchors[by], keys[by], firsts[by], lasts[by]
@@ -142,9 +170,9 @@ def repeated_runs(dealt: DataFrame) -> DataFrame:
         same = np.zeros(len(anchors) + 1, bool)
         same[1:-1] = anchors[1:] == anchors[:-1]
         keep = same[1:] | same[:-1]
-        yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (keys, anchors.astype(np.int64), firsts, lasts)], names=["key", "anchor", "first", "last"])
+        yield rows(False, keys[keep], anchors[keep], firsts[keep], lasts[keep])
 
-    return by_bucket(dealt, close, "key long, anchor long, first long, last long")
+    return by_bucket(dealt, close, "again boolean, key long, anchor long, first long, last long")
 
 
 def regions(wanted: DataFrame, buckets: int, length: int) -> DataFrame:
@@ -171,10 +199,6 @@ def regions(wanted: DataFrame, buckets: int, length: int) -> DataFrame:
     return map_arrow(wanted, run, REGION_DDL)
 
 
-def digest(data: bytes, size: int = 16) -> bytes:
-    return hashlib.blake2b(data, digest_size=size).digest()
-
-
 def pieces(text: bytes, first: int, last: int, width: int, length: int, seed: int) -> Iterator[tuple[int, int, int]]:
     """(group, first, last) of the parts of a run whose strings have the anchor at `width` neighbouring places.
 
@@ -225,7 +249,7 @@ def cut_runs(wanted: DataFrame, width: int | None, length: int, seed: int) -> Da
 
 
 def split_hot(found: DataFrame, with_text: Callable[[DataFrame], DataFrame], length: int, seed: int) -> tuple[DataFrame, DataFrame]:
-    """(runs of groups of at most HOT_RUNS runs, marks of repeats found on the way).
+    """(runs of groups of at most HOT_RUNS runs, marks of repeats found before or on the way).
 
     Equal runs of a larger group are repeats whole, and one of them stands for all. If still more than HOT_RUNS
     different ones are left, they are cut into parts, first of a SPLIT-th of the anchor's places and at last of one,
@@ -233,7 +257,8 @@ def split_hot(found: DataFrame, with_text: Callable[[DataFrame], DataFrame], len
     """
     spark = found.sparkSession
     found = saved(found, "repeats-runs")
-    done, marks, places, width = [], [], length - seed + 1, None
+    done, marks, places, width = [], [found.where("again").select("key", "first", "last")], length - seed + 1, None
+    found = found.where("NOT again").drop("again")
     while True:
         sizes = saved(found.groupBy("anchor").count().where(F.col("count") > HOT_RUNS).select("anchor"), "repeats-hot")
         if not sizes.take(1):
@@ -366,7 +391,7 @@ def remove_repeats(docs: DataFrame, keep_text: bool = True, length: int = LENGTH
     counted = saved(own.groupBy("__key").agg(F.count("*").alias("copies"), F.max("size").alias("size"), F.min("__row").alias("rep")), "repeats-texts")
     total = counted.agg(F.sum("size")).first()[0] or 0
     buckets = max(2 * n, total // (4 * BUCKET_BYTES))
-    found = repeated_runs(runs(long, buckets, length, seed))
+    found = repeated_runs(runs(long, buckets, length, seed), buckets)
 
     def with_text(some: DataFrame) -> DataFrame:
         per_text = some.groupBy("key").agg(F.collect_set(F.struct("anchor", "first", "last")).alias("runs")).withColumnRenamed("key", "__key").join(counted.select("__key", "rep"), "__key")
