@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidemark.llm.common import documents, saved
-from tidemark.llm.jaccard import jaccard_components
+from tidemark.llm.jaccard import jaccard_components, text_hash
 from tidemark.llm.langid import UNKNOWN, identify
 from tidemark.llm.packing import pack
 from tidemark.llm.quality import judge
@@ -32,10 +32,16 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps of each near-duplicate group the document with the smallest doc_id; rows without a doc_id all stay."""
-    first = jaccard_components(docs).where("doc_id = component_id").select("doc_id").distinct()
+    """Keeps one row of each near-duplicate group, the one with the smallest doc_id (of several texts under it, any one).
+
+    Texts without a word and rows without a doc_id all stay; a row that repeats in all columns but the text's group stays once.
+    """
     held = docs.select(*COLUMNS)
-    return held.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"]).unionByName(held.where("doc_id IS NULL"))
+    found = jaccard_components(docs, with_group=True)
+    first = found.where("group IS NOT NULL AND doc_id IS NOT NULL").groupBy("group").agg(F.min(F.struct("doc_id", "text_hash")).alias("one")).select("one.*")
+    worded = F.col("text").rlike("[^\\x20\\x09-\\x0D]")
+    kept = held.withColumn("text_hash", text_hash("text")).join(first, ["doc_id", "text_hash"], "left_semi").dropDuplicates(["doc_id", "text_hash"])
+    return kept.select(*COLUMNS).unionByName(held.where(F.col("doc_id").isNull() | ~F.coalesce(worded, F.lit(False))))
 
 
 def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -103,9 +103,7 @@ def test_one_doc_id_with_several_texts(spark):
     base = [f"w{r.randrange(500)}" for _ in range(80)]
     rows = [(k, " ".join(base[:at] + [f"x{k}"] + base[at + 1 :])) for k, at in enumerate((0, 79, 0, 79, 0, 79))]
     rows += [(k, " ".join(f"y{k} {n}" for n in range(60))) for k in range(6)] + rows[:2]
-    got = result(spark.createDataFrame(rows, "doc_id long, text string"))
-    assert {(i, c) for i, n, c in got if n == 76} == {(k, 0) for k in range(6)}
-    assert sum(got.values()) == len(rows)
+    assert result(spark.createDataFrame(rows, "doc_id long, text string")) == brute(rows)
 
 
 def test_the_filter_lets_all_wanted_rows_through(spark):

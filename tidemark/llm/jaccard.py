@@ -167,8 +167,12 @@ class Order:
         return own[:size]
 
 
+def text_hash(column: str) -> Column:
+    return F.xxhash64(F.coalesce(F.col(column), F.lit("")))
+
+
 def first_pass(docs: DataFrame, pivots, words_each: int) -> DataFrame:
-    """kind 0: a document (a), its set's key (b), size (n) and first pivot within reach or -1 (pivot);
+    """kind 0: a document (a), its set's key (b), size (n), first pivot within reach or -1 (pivot) and text's hash (h);
     kind 1: a shingle (a) that a task saw often (n); kind 2: pivots (a and b) that one set links.
     """
 
@@ -179,7 +183,7 @@ def first_pass(docs: DataFrame, pivots, words_each: int) -> DataFrame:
             values, counts = np.unique(np.concatenate([*held, np.zeros(0, np.uint64)]), return_counts=True)
             keep = np.argsort(-counts, kind="stable")[:TASK_FREQUENT]
             keep = keep[counts[keep] > 2]
-            return rows(1, values[keep].astype(np.int64), np.zeros(len(keep), np.int64), counts[keep], np.full(len(keep), -1))
+            return rows(1, values[keep].astype(np.int64), np.zeros(len(keep), np.int64), counts[keep])
 
         for b in batches:
             keys, sizes, nearest = [], [], []
@@ -197,17 +201,18 @@ def first_pass(docs: DataFrame, pivots, words_each: int) -> DataFrame:
                     joined.update((near[0], k) for k in near[1:])
                     seen[keys[-1]] = near[0] if near else -1
                 nearest.append(seen[keys[-1]])
-            yield rows(0, b.column(0), pa.array(keys, pa.int64()), sizes, nearest)
+            yield rows(0, b.column(0), pa.array(keys, pa.int64()), sizes, nearest, b.column(2))
             if total > FLUSH:
                 yield frequent()
                 seen, held, total = {}, [], 0
         yield frequent()
-        yield rows(2, [x for x, _ in joined], [x for _, x in joined], [0] * len(joined), [-1] * len(joined))
+        yield rows(2, [x for x, _ in joined], [x for _, x in joined], [0] * len(joined))
 
-    def rows(kind: int, a, b, n, pivot) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([kind] * len(n), pa.int32()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(n, pa.int64()), pa.array(pivot, pa.int32())], names=["kind", "a", "b", "n", "pivot"])
+    def rows(kind: int, a, b, n, pivot=None, h=None) -> pa.RecordBatch:
+        pivot, h = ([-1] * len(n) if x is None else x for x in (pivot, h))
+        return pa.RecordBatch.from_arrays([pa.array([kind] * len(n), pa.int32()), *(pa.array(x, pa.int64()) for x in (a, b, n)), pa.array(pivot, pa.int32()), pa.array(h, pa.int64())], names=["kind", "a", "b", "n", "pivot", "h"])
 
-    return map_arrow(docs.select("doc_id", "text"), run, "kind int, a long, b long, n long, pivot int")
+    return map_arrow(docs.select("doc_id", "text", text_hash("text").alias("h")), run, "kind int, a long, b long, n long, pivot int, h long")
 
 
 def roots(n: int, links: list[tuple[int, int]]) -> np.ndarray:
@@ -508,25 +513,33 @@ def measured(pairs: DataFrame, sets: DataFrame, docs: DataFrame, words_each: int
 
 
 def component_of(done: DataFrame, sets: DataFrame) -> DataFrame:
-    """key and component (the smallest document reachable so far) of every set."""
+    """key and component (the smallest node reachable so far) of every set."""
     nodes = sets.select("key", "node")
     ends = done.where("linked").select(F.col("a").alias("ka"), F.col("b").alias("kb"))
     ends = ends.join(nodes.toDF("ka", "a"), "ka").join(nodes.toDF("kb", "b"), "kb").select("a", "b")
-    found = connected_components(ends)
-    # The sets of a pivot's component are one node; so many of them fetch its component from a table of at most DRAWN rows.
-    large = sets.where("root >= 0").select("root", "node").distinct().join(found, "node", "left").select("root", F.coalesce("component", "node").alias("component"))
-    alone = sets.where("root < 0").join(found, "node", "left").select("key", F.coalesce("component", "node").alias("component"))
-    return sets.where("root >= 0").select("key", "root").join(F.broadcast(large), "root").select("key", "component").unionByName(alone)
+    return of_root_or_own(sets, connected_components(ends), "component", "node")
+
+
+def of_root_or_own(sets: DataFrame, found: DataFrame, value: str, otherwise: str) -> DataFrame:
+    """key and `value` of each set's node, from `found` (node, `value`), else its `otherwise`.
+
+    The sets of a pivot's component are one node; so many of them fetch it from a table of at most DRAWN rows.
+    """
+    either = F.coalesce(value, otherwise).alias(value)
+    large = sets.where("root >= 0").select("root", "node").distinct().join(found, "node", "left").select("root", either)
+    alone = sets.where("root < 0").join(found, "node", "left").select("key", either)
+    return sets.where("root >= 0").select("key", "root").join(F.broadcast(large), "root").select("key", value).unionByName(alone)
 
 
-def jaccard_components(docs: DataFrame, words_each: int = SHINGLE_WORDS, percent: int = PERCENT) -> DataFrame:
+def jaccard_components(docs: DataFrame, words_each: int = SHINGLE_WORDS, percent: int = PERCENT, with_group: bool = False) -> DataFrame:
     """doc_id, n_shingles and component_id (smallest doc_id reachable over links) of every row.
 
     Two documents link when 100 * |intersection| >= percent * |union| of their shingle sets. Null and empty texts and
     texts of white space have no shingle and link with nothing, not even each other: their component is their own
     doc_id. Repeated rows repeat, and rows that share a doc_id but not the text are points of their own; a row without doc_id takes
     the component of its set's other rows, if any, or null; an empty table gives no rows; other columns are not read. Sets are known by
-    64-bit hashes of their 64-bit shingle hashes. Ties of a distance go to the first centre.
+    64-bit hashes of their 64-bit shingle hashes. Ties of a distance go to the first centre. With with_group also
+    `text_hash` and `group`, a number of the component that is not shared if components share a doc_id (null without shingles or doc_id).
     """
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
@@ -535,12 +548,12 @@ def jaccard_components(docs: DataFrame, words_each: int = SHINGLE_WORDS, percent
     passed = saved(first_pass(docs, pivots, words_each), "jaccard-sets")
     joined = passed.where("kind = 2").select("a", "b").distinct().collect()  # at most all pairs of pivots
     root = roots(len(drawn.sizes), [*drawn.links, *((r["a"], r["b"]) for r in joined)])
-    own = passed.where("kind = 0").select(F.col("a").alias("doc_id"), F.col("b").alias("key"), F.col("n").alias("n_shingles"), "pivot")
+    own = passed.where("kind = 0").select(F.col("a").alias("doc_id"), F.col("b").alias("key"), F.col("n").alias("n_shingles"), "pivot", F.col("h").alias("text_hash"))
     of_pivot = F.broadcast(spark.createDataFrame([(-1, -1), *enumerate(root.tolist())], "pivot int, root int"))
     keyed = own.where("key IS NOT NULL AND doc_id IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n"), F.max("pivot").alias("pivot")).join(of_pivot, "pivot").drop("pivot")
     keyed = saved(keyed, "jaccard-keys")
-    heads = keyed.where("root >= 0").groupBy("root").agg(F.min("rep").alias("head"))
-    sets = keyed.join(F.broadcast(heads), "root", "left").select("key", "rep", "n", "root", F.coalesce("head", "rep").alias("node"))
+    heads = keyed.where("root >= 0").groupBy("root").agg(F.min("key").alias("head"))
+    sets = keyed.join(F.broadcast(heads), "root", "left").select("key", "rep", "n", "root", F.coalesce("head", "key").alias("node"))
     total = keyed.agg(F.sum("n")).first()[0] or 0
     frequent = passed.where("kind = 1").groupBy("a").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "a").limit(FREQUENT).collect()
     order = spark.sparkContext.broadcast(Order([(r["a"], r["n"]) for r in reversed(frequent)]))
@@ -564,11 +577,16 @@ def jaccard_components(docs: DataFrame, words_each: int = SHINGLE_WORDS, percent
             done = done.unionByName(saved(measured(pairs, sets, docs, words_each, percent), "jaccard-links"))
             components = saved(component_of(done, sets), "jaccard-components")
         large, first = saved(large.select("token", "key", "size", "place", "rank"), "jaccard-large"), first * GROW
-    final = components.withColumnRenamed("component", "component_id")
+    known = sets.join(components, "key")
+    ids = known.groupBy("component").agg(F.min("rep").alias("component_id"))
+    final = of_root_or_own(known.drop("node").withColumnRenamed("component", "node"), ids.withColumnRenamed("component", "node"), "component_id", "node")
+    if with_group:
+        final = final.join(components.withColumnRenamed("component", "group"), "key")
     salted = final.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     with_set = own.where("key IS NOT NULL").withColumn("salt", F.expr(f"int(pmod(xxhash64(doc_id), {SALTS}))")).join(salted, ["key", "salt"], "left")
     without = own.where("key IS NULL").withColumn("component_id", F.col("doc_id"))
-    return with_set.unionByName(without, allowMissingColumns=True).select("doc_id", "n_shingles", "component_id")
+    out = with_set.unionByName(without, allowMissingColumns=True)
+    return out.select("doc_id", "n_shingles", "component_id", *(["text_hash", "group"] if with_group else []))
 
 
 def op10_jaccard_metric_join(spark: SparkSession, sf_dir: str) -> DataFrame:
