@@ -1,5 +1,9 @@
+import random
+
 from tidemark.llm import licenses
 
+WORDS = "the parser reads each record and writes it to a table while clerks count boxes of paper near harbour gates every morning before rain falls on empty roads".split()
+
 
 def test_confirms_wordings_and_rejects_prose(spark, nothing):
     rows = [
@@ -38,3 +42,40 @@ def test_notices_inside_longer_lines():
     both = f"{before}. Released under the MIT License. {after}. {before}. {after}. Licensed under CC BY-NC 4.0. {after}"
     assert [r[2] for r in licenses.scanned("\u0130 " + both)] == ["mit-notice", "cc-by-nc-4.0"]
     assert [r[2] for r in licenses.scanned(f"{before} when the driving license of a clerk was lost, {after}")] == [None]
+
+
+def planted(r: random.Random) -> tuple[str, str]:
+    """A template (or three or more of its sentences in a row) between prose, on one line or with other line ends, some words changed."""
+    name = r.choice(sorted(licenses.TEMPLATES))
+    words = licenses.TEMPLATES[name].split()
+    for at in r.sample(range(len(words)), len(words) // 25):
+        words[at] = r.choice(WORDS)
+    prose = [" ".join(r.choices(WORDS, k=r.randrange(30, 200))) for _ in range(2)]
+    lines = " ".join(words) if r.random() < 0.5 else "\n".join(" ".join(words[k : k + 9]) for k in range(0, len(words), 9))
+    return name, f"{prose[0]} {lines} {prose[1]}"
+
+
+def test_planted_notices_are_found_as_by_comparing_every_window_with_every_template():
+    r = random.Random(9)
+    hits = 0
+    for _ in range(60):
+        name, text = planted(r)
+        found = [x[2] for x in licenses.scanned(text) if x[2]]
+        hits += name in found
+        # Brute force: the template that all windows of its length fit best.
+        words = licenses.words_of(text)
+        fits = {}
+        for other, (own, distinct, _) in licenses.templates().items():
+            spans = range(0, max(1, len(words) - len(own) + 1))
+            best = max(spans, key=lambda k: sum(w in distinct for w in words[k : k + len(own)]))
+            fits[other] = licenses.different_words(words[best : best + len(own)], own) / len(own)
+        assert min(fits.values()) <= licenses.MOST_DIFFERENT or name not in found
+    assert hits >= 54
+
+
+def test_prose_has_no_license():
+    r = random.Random(4)
+    for _ in range(40):
+        words = r.choices(WORDS, k=150)
+        words[r.randrange(150)] = r.choice(["license", "copyright", "redistributed"])
+        assert not [x for x in licenses.scanned(" ".join(words)) if x[2]]

@@ -14,23 +14,37 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .common import documents, map_arrow, texts
 
-# Wording of public licenses and notices.
+# Wording of public licenses (whole, where they are short) and of the notices that stand for the long ones.
+AS_IS = "this software is provided by the copyright holders and contributors \"as is\" and any express or implied warranties, including, but not limited to, the implied warranties of merchantability and fitness for a particular purpose are disclaimed. in no event shall the copyright holder or contributors be liable for any direct, indirect, incidental, special, exemplary, or consequential damages (including, but not limited to, procurement of substitute goods or services; loss of use, data, or profits; or business interruption) however caused and on any theory of liability, whether in contract, strict liability, or tort (including negligence or otherwise) arising in any way out of the use of this software, even if advised of the possibility of such damage."
+BSD = "redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."
+FREE = "is free software: you can redistribute it and/or modify it under the terms of the gnu"
+HOPE = "is distributed in the hope that it will be useful, but without any warranty; without even the implied warranty of merchantability or fitness for a particular purpose. see the gnu"
 TEMPLATES = {
     "mit": "permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"software\"), to deal in the software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the software, and to permit persons to whom the software is furnished to do so, subject to the following conditions: the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software. the software is provided \"as is\", without warranty of any kind, express or implied, including but not limited to the warranties of merchantability, fitness for a particular purpose and noninfringement. in no event shall the authors or copyright holders be liable for any claim, damages or other liability, whether in an action of contract, tort or otherwise, arising from, out of or in connection with the software or the use or other dealings in the software.",
     "mit-notice": "released under the mit license. licensed under the mit license. this project is licensed under the terms of the mit license.",
-    "isc": "permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. the software is provided \"as is\" and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness.",
-    "bsd-3-clause": "redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+    "isc": "permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. the software is provided \"as is\" and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness. in no event shall the author be liable for any special, direct, indirect, or consequential damages or any damages whatsoever resulting from loss of use, data or profits, whether in an action of contract, negligence or other tortious action, arising out of or in connection with the use or performance of this software.",
+    "0bsd": "permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted. the software is provided \"as is\" and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness.",
+    "bsd-2-clause": f"{BSD} {AS_IS}",
+    "bsd-3-clause": f"{BSD} neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. {AS_IS}",
     "bsd-notice": "use of this source code is governed by a bsd-style license that can be found in the license file. released under the bsd license.",
+    "zlib": "this software is provided 'as-is', without any express or implied warranty. in no event will the authors be held liable for any damages arising from the use of this software. permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: the origin of this software must not be misrepresented; you must not claim that you wrote the original software. if you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. this notice may not be removed or altered from any source distribution.",
+    "bsl-1.0": "permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the \"software\") to use, reproduce, display, distribute, execute, and transmit the software, and to prepare derivative works of the software, and to permit third-parties to whom the software is furnished to do so, all subject to the following: the copyright notices in the software and this entire statement, including the above license grant, this restriction and the following disclaimer, must be included in all copies of the software, in whole or in part, and all derivative works of the software, unless such copies or derivative works are solely in the form of machine-executable object code generated by a source language processor.",
+    "wtfpl": "everyone is permitted to copy and distribute verbatim or modified copies of this license document, and changing it is allowed as long as the name is changed.",
     "apache-2.0": "licensed under the apache license, version 2.0 (the \"license\"); you may not use this file except in compliance with the license. you may obtain a copy of the license at http://www.apache.org/licenses/license-2.0 unless required by applicable law or agreed to in writing, software distributed under the license is distributed on an \"as is\" basis, without warranties or conditions of any kind, either express or implied. see the license for the specific language governing permissions and limitations under the license.",
-    "gpl-3.0": "this program is free software: you can redistribute it and/or modify it under the terms of the gnu general public license as published by the free software foundation, either version 3 of the license, or (at your option) any later version. this program is distributed in the hope that it will be useful, but without any warranty; without even the implied warranty of merchantability or fitness for a particular purpose. see the gnu general public license for more details.",
+    "gpl-3.0": f"this program {FREE} general public license as published by the free software foundation, either version 3 of the license, or (at your option) any later version. this program {HOPE} general public license for more details. you should have received a copy of the gnu general public license along with this program. if not, see https://www.gnu.org/licenses/.",
+    "gpl-2.0": "this program is free software; you can redistribute it and/or modify it under the terms of the gnu general public license as published by the free software foundation; either version 2 of the license, or (at your option) any later version. this program is distributed in the hope that it will be useful, but without any warranty; without even the implied warranty of merchantability or fitness for a particular purpose. see the gnu general public license for more details. you should have received a copy of the gnu general public license along with this program; if not, write to the free software foundation, inc., 51 franklin street, fifth floor, boston, ma 02110-1301 usa.",
+    "agpl-3.0": f"this program {FREE} affero general public license as published by the free software foundation, either version 3 of the license, or (at your option) any later version. this program {HOPE} affero general public license for more details. you should have received a copy of the gnu affero general public license along with this program. if not, see https://www.gnu.org/licenses/.",
+    "lgpl-2.1": "this library is free software; you can redistribute it and/or modify it under the terms of the gnu lesser general public license as published by the free software foundation; either version 2.1 of the license, or (at your option) any later version. this library is distributed in the hope that it will be useful, but without any warranty; without even the implied warranty of merchantability or fitness for a particular purpose. see the gnu lesser general public license for more details.",
     "gpl-3.0-notice": "this work is licensed under the gnu general public license, version 3.",
     "gpl-2.0-notice": "this work is licensed under the gnu general public license, version 2.",
     "lgpl-notice": "this library is licensed under the gnu lesser general public license, version 3.",
     "mpl-2.0": "this source code form is subject to the terms of the mozilla public license, v. 2.0. if a copy of the mpl was not distributed with this file, you can obtain one at http://mozilla.org/mpl/2.0/.",
+    "epl-2.0": "this program and the accompanying materials are made available under the terms of the eclipse public license 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/.",
+    "cc0-1.0": "to the extent possible under law, the author has waived all copyright and related or neighboring rights to this work. this work is dedicated to the public domain under the cc0 1.0 universal public domain dedication.",
     "cc-by-4.0": "this work is licensed under a creative commons attribution 4.0 international license. licensed under cc by 4.0.",
     "cc-by-sa-4.0": "this work is licensed under a creative commons attribution-sharealike 4.0 international license. licensed under cc by-sa 4.0.",
     "cc-by-nc-4.0": "this work is licensed under a creative commons attribution-noncommercial 4.0 international license. licensed under cc by-nc 4.0.",
-    "unlicense": "this is free and unencumbered software released into the public domain. anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
+    "unlicense": "this is free and unencumbered software released into the public domain. anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means. in jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. we make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. we intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law. the software is provided \"as is\", without warranty of any kind, express or implied, including but not limited to the warranties of merchantability, fitness for a particular purpose and noninfringement. in no event shall the authors be liable for any claim, damages or other liability, whether in an action of contract, tort or otherwise, arising from, out of or in connection with the software or the use or other dealings in the software. for more information, please refer to http://unlicense.org/.",
     "all-rights-reserved": "all rights reserved. copyright. no part of this publication may be reproduced without permission.",
 }
 TRIGGER = r"licen[sc]e|copyright|all rights reserved|public domain|redistribut|hereby granted|creative commons|merchantability"
@@ -182,8 +196,9 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
     """A row for each candidate block (or for each notice inside one that is no license as a whole): its place (in characters) and text, license (null where none is confirmed),
     size reductions of the winner and of the best other template, words, differing words.
 
-    Whole texts are scanned; texts without a trigger word (null and empty ones too) have no row. Repeated rows
-    repeat; a null doc_id stays null.
+    Whole texts are scanned; texts without a trigger word (null and empty ones too) have no row. Only the three templates with the
+    greatest size reductions are compared word by word. Ties go to the name that sorts first. Repeated rows repeat; a null doc_id stays
+    null; other columns are not read; an empty table gives no rows.
     """
     candidates = docs.select("doc_id", "text").where(F.lower("text").rlike(TRIGGER))
 
@@ -199,6 +214,7 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
 
 
 def op4_license_compression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The candidate blocks of all documents and their licenses; cases as in `scan_licenses`."""
     return scan_licenses(documents(spark, sf_dir))
 
 
