@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 DAYS = 14
+#: Accuracy of the sketches that bracket exact quantiles; a group of up to so many values is kept whole.
+ACCURACY = 1000
 
 
 def unpivot_days(df: DataFrame, keep: list[str], n: int = DAYS) -> DataFrame:
@@ -27,13 +29,60 @@ def actual_windows(prices: DataFrame, key: list[str], column: str = "close", n:
     return prices.select(*key, F.col("date").alias("start"), *(F.lead(column, h - 1).over(w).alias(f"day_{h}") for h in range(1, n + 1))).where(f"day_{n} IS NOT NULL")
 
 
-def quantiles(column: Column, levels: list[float]) -> Column:
-    return F.percentile(column, F.array(*map(F.lit, levels)))
-
-
-def distribution_summary(long_df: DataFrame, by: list[str], levels: list[float]) -> DataFrame:
-    out = long_df.groupBy(*by).agg(F.count("value").alias("n"), F.round(F.avg("value"), 2).alias("mean"), F.round(F.stddev_samp("value"), 2).alias("std"), F.round(F.min("value"), 2).alias("lowest"), F.round(F.max("value"), 2).alias("highest"), quantiles(F.col("value"), levels).alias("__q"))
-    return out.withColumns({f"p{round(100 * q)}": F.round(F.col("__q")[k], 2) for k, q in enumerate(levels)}).drop("__q")
+def day_columns(days: list[int]) -> list[str]:
+    return [f"day_{d}" for d in days]
+
+
+def exact_quantiles(df: DataFrame, by: list[str], columns: list[str], levels: list[float]) -> DataFrame:
+    """A row for each group with, for every column, the array of its quantiles (linear between neighbours, nulls left out).
+
+    A mergeable sketch per group brackets each quantile; then only values inside the brackets, some per mille of all, are
+    sorted, and those below are counted where they lie. So no task holds a group, and the values are exact. A column
+    without values has null quantiles; NaN counts as greater than all numbers.
+    """
+    margin = 3 / ACCURACY
+    wide = [x for q in levels for x in (max(q - margin, 0.0), min(q + margin, 1.0))]
+    sketch = df.groupBy(*by).agg(*(x for c in columns for x in (F.count(c).alias(f"__n_{c}"), F.min(c).alias(f"__a_{c}"), F.max(c).alias(f"__z_{c}"), F.percentile_approx(c, wide, ACCURACY).alias(f"__s_{c}"))))
+    brackets = {}
+    for c in columns:
+        small = F.col(f"__n_{c}") <= ACCURACY
+        for k in range(len(levels)):
+            brackets[f"__lo{k}_{c}"] = F.when(small, F.col(f"__a_{c}")).otherwise(F.col(f"__s_{c}")[2 * k])
+            brackets[f"__hi{k}_{c}"] = F.when(small, F.col(f"__z_{c}")).otherwise(F.col(f"__s_{c}")[2 * k + 1])
+    bounds = sketch.select(*by, *(F.col(f"__n_{c}") for c in columns), *(x.alias(n) for n, x in brackets.items()))
+    both = df.select(*by, *columns).join(bounds.select(*(F.col(c).alias(f"__by_{c}") for c in by), *brackets), [F.col(c).eqNullSafe(F.col(f"__by_{c}")) for c in by])
+    below = both.groupBy(*by).agg(*(F.count(F.when(F.col(c) < F.col(f"__lo{k}_{c}"), 1)).alias(f"__b{k}_{c}") for c in columns for k in range(len(levels))))
+    cells = [(c, k) for c in columns for k in range(len(levels))]
+    inside = [F.when(F.col(c).between(F.col(f"__lo{k}_{c}"), F.col(f"__hi{k}_{c}")), F.struct(F.lit(i).alias("cell"), F.col(c).cast("double").alias("value"))) for i, (c, k) in enumerate(cells)]
+    kept = both.select(*by, F.explode(F.array_compact(F.array(*inside))).alias("x")).groupBy(*by, "x.cell", "x.value").agg(F.count(F.lit(1)).alias("n"))
+    sums = kept.withColumn("upto", F.sum("n").over(Window.partitionBy(*by, "cell").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)))
+    start = below.join(bounds.select(*(F.col(c).alias(f"__by_{c}") for c in by), *(f"__n_{c}" for c in columns)), [F.col(c).eqNullSafe(F.col(f"__by_{c}")) for c in by])
+    place = [F.struct(F.lit(i).alias("cell"), F.col(f"__b{k}_{c}").alias("below"), ((F.col(f"__n_{c}") - 1) * levels[k]).alias("place")) for i, (c, k) in enumerate(cells)]
+    asked = start.select(*(F.col(c).alias(f"__by_{c}") for c in by), F.explode(F.array(*place)).alias("p")).select(*(f"__by_{c}" for c in by), F.col("p.cell").alias("__cell"), "p.below", "p.place")
+    found = asked.join(sums, [*(F.col(c).eqNullSafe(F.col(f"__by_{c}")) for c in by), F.col("cell") == F.col("__cell")], "left")
+    at = F.col("below") + F.col("upto")
+    ends = found.groupBy(*(f"__by_{c}" for c in by), "__cell", "place").agg(*(F.min(F.when(at > f("place"), F.col("value"))).alias(n) for n, f in (("low", F.floor), ("high", F.ceil))))
+    value = F.col("low") + (F.col("high") - F.col("low")) * (F.col("place") - F.floor("place"))
+    each = ends.groupBy(*(F.col(f"__by_{c}").alias(c) for c in by)).agg(*(F.max(F.when(F.col("__cell") == i, value)).alias(f"__q{i}") for i in range(len(cells))))
+    return each.select(*by, *(F.array(*(F.col(f"__q{cells.index((c, k))}") for k in range(len(levels)))).alias(c) for c in columns))
+
+
+def by_day(df: DataFrame, by: list[str], days: list[int], values: dict[str, list]) -> DataFrame:
+    """Wide rows as one row a day: for each name its day's column."""
+    rows = F.array(*(F.struct(F.lit(d).alias("day"), *(F.col(own[k]).alias(n) if isinstance(own[k], str) else own[k].alias(n) for n, own in values.items())) for k, d in enumerate(days)))
+    return df.select(*by, F.explode(rows).alias("__d")).select(*by, "__d.*")
+
+
+def distribution_summary(paths: DataFrame, by: list[str], levels: list[float], days: list[int] | None = None) -> DataFrame:
+    """Count, mean, deviation, extremes and quantiles of the paths' values on each day (columns day_1, day_2 and so on)."""
+    days = days or list(range(1, DAYS + 1))
+    columns = day_columns(days)
+    parts = {"n": F.count, "mean": F.avg, "std": F.stddev_samp, "lowest": F.min, "highest": F.max}
+    plain = paths.groupBy(*by).agg(*(f(c).alias(f"__{n}_{c}") for c in columns for n, f in parts.items()))
+    q = exact_quantiles(paths, by, columns, levels)
+    shown = {n: [F.col(f"__n_{c}") if n == "n" else F.round(f"__{n}_{c}", 2) for c in columns] for n in parts}
+    shown |= {f"p{round(100 * level)}": [F.round(F.col(c)[k], 2) for c in columns] for k, level in enumerate(levels)}
+    return by_day(plain.join(q, by), by, days, shown)
 
 
 def point_metrics(df: DataFrame, by: list[str], forecast: str = "forecast", actual: str = "actual") -> DataFrame:
@@ -41,9 +90,10 @@ def point_metrics(df: DataFrame, by: list[str], forecast: str = "forecast", actu
     return df.groupBy(*by).agg(F.count(e).alias("n"), F.round(F.avg(F.abs(e)), 4).alias("mae"), F.round(F.sqrt(F.avg(e * e)), 4).alias("rmse"), F.round(F.avg(F.abs(F.try_divide(e, F.col(actual)))) * 100, 4).alias("mape"), F.round(F.avg(e), 4).alias("bias"))
 
 
-def medians(long_df: DataFrame, by: list[str]) -> DataFrame:
+def medians(paths: DataFrame, by: list[str], n: int = DAYS) -> DataFrame:
     """The median path: a point forecast for each day."""
-    return long_df.groupBy(*by, "day").agg(F.percentile("value", 0.5).alias("forecast"))
+    days = list(range(1, n + 1))
+    return by_day(exact_quantiles(paths, by, day_columns(days), [0.5]), by, days, {"forecast": [F.col(c)[0] for c in day_columns(days)]})
 
 
 def up_to_horizon(scored: DataFrame, horizons: list[int]) -> DataFrame:
@@ -55,21 +105,23 @@ def horizon_metrics(points: DataFrame, by: list[str], horizons: list[int]) -> Da
     return point_metrics(points.where(F.col("day").isin(horizons)), [*by, "day"])
 
 
-def intervals(long_df: DataFrame, by: list[str], level: float) -> DataFrame:
-    tail = (1 - level) / 2
-    q = quantiles(F.col("value"), [tail, 1 - tail])
-    return long_df.groupBy(*by, "day").agg(q.alias("__q")).select(*by, "day", F.col("__q")[0].alias("lower"), F.col("__q")[1].alias("upper"))
+def intervals(paths: DataFrame, by: list[str], level: float, n: int = DAYS) -> DataFrame:
+    """Ends of the central interval on each day."""
+    tail, days = (1 - level) / 2, list(range(1, n + 1))
+    q = exact_quantiles(paths, by, day_columns(days), [tail, 1 - tail])
+    return by_day(q, by, days, {name: [F.col(c)[k] for c in day_columns(days)] for k, name in enumerate(("lower", "upper"))})
 
 
-def interval_coverage(long_df: DataFrame, actuals: DataFrame, by: list[str], level: float, report: list[str]) -> DataFrame:
+def interval_coverage(paths: DataFrame, actuals: DataFrame, by: list[str], level: float, report: list[str]) -> DataFrame:
     """Share of actual values within the central interval and the interval's mean width, by `report`."""
-    own = intervals(long_df, by, level).join(actuals, [*[c for c in by if c in actuals.columns], "day"])
+    own = intervals(paths, by, level).join(actuals, [*[c for c in by if c in actuals.columns], "day"])
     return own.groupBy(*report).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(F.col("actual").between(F.col("lower"), F.col("upper")).cast("double")), 4).alias("coverage"), F.round(F.avg(F.col("upper") - F.col("lower")), 4).alias("sharpness"))
 
 
-def calibration(long_df: DataFrame, actuals: DataFrame, by: list[str], levels: list[float], report: list[str]) -> DataFrame:
+def calibration(paths: DataFrame, actuals: DataFrame, by: list[str], levels: list[float], report: list[str], n: int = DAYS) -> DataFrame:
     """Mean absolute difference between quantile levels and the share of actual values at or below them."""
-    q = long_df.groupBy(*by, "day").agg(quantiles(F.col("value"), levels).alias("__q")).join(actuals, [*[c for c in by if c in actuals.columns], "day"])
+    days = list(range(1, n + 1))
+    q = by_day(exact_quantiles(paths, by, day_columns(days), levels), by, days, {"__q": day_columns(days)}).join(actuals, [*[c for c in by if c in actuals.columns], "day"])
     rows = q.select(*report, "actual", F.posexplode("__q").alias("k", "q")).groupBy(*report, "k").agg(F.avg((F.col("actual") <= F.col("q")).cast("double")).alias("hit"))
     level = F.array(*map(F.lit, levels))[F.col("k")]
     return rows.groupBy(*report).agg(F.round(F.avg(F.abs(F.col("hit") - level)), 4).alias("calibration_error"))
@@ -85,11 +137,13 @@ def crps(long_df: DataFrame, actuals: DataFrame, by: list[str], report: list[str
     return per.groupBy(*report).agg(F.round(F.avg(score), 4).alias("crps"))
 
 
-def var_cvar(long_df: DataFrame, by: list[str], p: float) -> DataFrame:
-    """The p-quantile and the mean of the values at or below it."""
-    var = long_df.groupBy(*by).agg(F.percentile("value", p).alias("__v"))
-    own = long_df.join(var, by)
-    return own.groupBy(*by).agg(F.round(F.first("__v"), 4).alias("value_at_risk"), F.round(F.avg(F.when(F.col("value") <= F.col("__v"), F.col("value"))), 4).alias("conditional_value_at_risk"))
+def var_cvar(paths: DataFrame, by: list[str], p: float, n: int = DAYS) -> DataFrame:
+    """On each day the p-quantile of the paths' values and the mean of those at or below it."""
+    days = list(range(1, n + 1))
+    columns = day_columns(days)
+    var = exact_quantiles(paths, by, columns, [p]).select(*by, *(F.col(c)[0].alias(f"__v_{c}") for c in columns))
+    own = paths.select(*by, *columns).join(var, by).groupBy(*by).agg(*(x for c in columns for x in (F.first(f"__v_{c}").alias(f"__v_{c}"), F.avg(F.when(F.col(c) <= F.col(f"__v_{c}"), F.col(c))).alias(f"__m_{c}"))))
+    return by_day(own, by, days, {"value_at_risk": [F.round(f"__v_{c}", 4) for c in columns], "conditional_value_at_risk": [F.round(f"__m_{c}", 4) for c in columns]})
 
 
 def validate_paths(df: DataFrame, by: list[str], n: int = DAYS) -> DataFrame:
@@ -113,26 +167,25 @@ def directional_accuracy(points: DataFrame, by: list[str], group: list[str], mod
     return own.groupBy(*group).agg(F.round(F.avg(right.cast("double")) * 100, 4).alias("directional_accuracy"))
 
 
-def path_features(df: DataFrame, by: list[str], price: str = "price") -> DataFrame:
-    """Consensus, expected return, relative spread, skew, relative range and downside of path values against a price."""
-    own = df.withColumn("__r", F.col("value") / F.col(price) - 1)
-    mean = own.groupBy(*by).agg(F.avg("__r").alias("__m"))
-    d = F.col("__r") - F.col("__m")
-    out = own.join(mean, by).groupBy(*by).agg(F.avg((F.col("__r") > 0).cast("double")).alias("consensus"), F.first("__m").alias("expected_return"), quantiles(F.col("value"), [0.25, 0.5, 0.75]).alias("__q"), F.avg(d * d * d).alias("__3"), F.avg(d * d).alias("__2"), ((F.max("value") - F.min("value")) / F.first(price)).alias("relative_range"), F.avg(F.least("__r", F.lit(0.0))).alias("downside"))
-    parts = {"consensus": F.col("consensus"), "expected_return": F.col("expected_return"), "relative_spread": F.try_divide(F.col("__q")[2] - F.col("__q")[0], F.col("__q")[1]), "skewness": F.try_divide(F.col("__3"), F.pow("__2", F.lit(1.5))), "relative_range": F.col("relative_range"), "downside": F.col("downside")}
-    return out.select(*by, *(F.round(x, 4).alias(n) for n, x in parts.items()))
+def path_features(df: DataFrame, by: list[str], column: str = "day_14", price: str = "price") -> DataFrame:
+    """Consensus, expected return, relative spread, skew, relative range and downside of the paths' values of one day against a price."""
+    r = F.col(column) / F.col(price) - 1
+    plain = df.groupBy(*by).agg(F.avg((r > 0).cast("double")).alias("consensus"), F.avg(r).alias("expected_return"), F.when(F.var_pop(r) > 0, F.skewness(r)).alias("skewness"), ((F.max(column) - F.min(column)) / F.first(price)).alias("relative_range"), F.avg(F.least(r, F.lit(0.0))).alias("downside"))
+    q = exact_quantiles(df, by, [column], [0.25, 0.5, 0.75]).withColumnRenamed(column, "__q")
+    out = plain.join(q, by).withColumn("relative_spread", F.try_divide(F.col("__q")[2] - F.col("__q")[0], F.col("__q")[1]))
+    return out.select(*by, *(F.round(n, 4).alias(n) for n in ("consensus", "expected_return", "relative_spread", "skewness", "relative_range", "downside")))
 
 
-def dispersion_tier(long_df: DataFrame, by: list[str], edges: tuple[float, float]) -> DataFrame:
+def dispersion_tier(paths: DataFrame, by: list[str], edges: tuple[float, float], column: str = "day_14") -> DataFrame:
     """Deviation over median, and the confidence tier it gives."""
-    cv = F.round(F.try_divide(F.stddev_pop("value"), F.percentile("value", 0.5)), 4)
-    out = long_df.groupBy(*by).agg(cv.alias("dispersion"))
+    own = paths.groupBy(*by).agg(F.stddev_pop(column).alias("__s")).join(exact_quantiles(paths, by, [column], [0.5]).withColumnRenamed(column, "__q"), by)
+    out = own.select(*by, F.round(F.try_divide("__s", F.col("__q")[0]), 4).alias("dispersion"))
     return out.withColumn("tier", F.when(F.col("dispersion") < edges[0], "high").when(F.col("dispersion") < edges[1], "medium").otherwise("low"))
 
 
-def expected_value(long_df: DataFrame, by: list[str], storage_pct: float, fee_pct: float) -> DataFrame:
+def expected_value(paths: DataFrame, by: list[str], storage_pct: float, fee_pct: float) -> DataFrame:
     """Median value of selling on each day net of storage and fee (per cent), the best day and its gain over day 1."""
-    m = long_df.groupBy(*by, "day").agg(F.percentile("value", 0.5).alias("median"))
+    m = medians(paths, by).withColumnRenamed("forecast", "median")
     net = F.col("median") * (1 - F.col("day") * storage_pct / 100) * (1 - fee_pct / 100)
     own = m.withColumn("net", F.round(net, 6)).groupBy(*by).agg(F.max(F.struct("net", (-F.col("day")).alias("minus_day"))).alias("best"), F.max(F.when(F.col("day") == 1, F.col("net"))).alias("now"))
     return own.select(*by, (-F.col("best.minus_day")).cast("int").alias("best_day"), F.round("best.net", 2).alias("best_value"), F.round((F.try_divide(F.col("best.net"), F.col("now")) - 1) * 100, 4).alias("net_benefit_pct"))

@@ -99,7 +99,7 @@ class Frames:
     def points(self) -> DataFrame:
         from ..operators.paths import medians
 
-        return medians(self.long_paths, ["start", "model"]).join(self.actuals, ["start", "day"])
+        return medians(self.paths, ["start", "model"]).join(self.actuals, ["start", "day"])
 
     @cached_property
     def trades(self) -> DataFrame:

@@ -39,10 +39,10 @@ def ladder_input(f: Frames):
 
 
 def tiers(f: Frames):
-    gain = pt.expected_value(f.long_paths, BY, 0.005, 0.01)
-    spread = pt.dispersion_tier(f.long_paths.where("day = 14"), BY, (0.3, 0.5))
-    rise = f.long_paths.where("day = 14").join(f.actuals.where("day = 1").select("start", F.col("actual").alias("price")), "start")
-    return gain.join(spread, BY).join(rise.groupBy(*BY).agg(F.round(F.avg((F.col("value") > F.col("price")).cast("double")), 4).alias("consensus")), BY)
+    gain = pt.expected_value(f.paths, BY, 0.005, 0.01)
+    spread = pt.dispersion_tier(f.paths, BY, (0.3, 0.5))
+    rise = f.paths.join(f.actuals.where("day = 1").select("start", F.col("actual").alias("price")), "start")
+    return gain.join(spread, BY).join(rise.groupBy(*BY).agg(F.round(F.avg((F.col("day_14") > F.col("price")).cast("double")), 4).alias("consensus")), BY)
 
 
 EV = "ev AS (SELECT start, model, arg_max(day, (net, -day)) AS best_day, max(net) AS bv, max(net) FILTER (day = 1) AS nv FROM (SELECT start, model, day, round(quantile_cont(value, 0.5) * (1 - day * 0.005 / 100) * (1 - 0.01 / 100), 6) AS net FROM long_paths GROUP BY start, model, day) GROUP BY ALL)"
@@ -85,19 +85,19 @@ CASES = {
     "r2_unpivot_days": (lambda f: f.long_paths.groupBy("day").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("value"), 4).alias("mean")), sql("long_paths", "SELECT day, count(*) AS n, round(avg(value), 4) AS mean FROM long_paths GROUP BY 1")),
     "r3_pivot_days": (lambda f: pt.pivot_days(f.actuals.withColumnRenamed("actual", "value"), ["start"]), sql("actuals", "SELECT start, " + ", ".join(f"max(actual) FILTER (day = {h}) AS day_{h}" for h in range(1, 15)) + " FROM actuals GROUP BY 1")),
     "r5_actual_windows": (lambda f: pt.actual_windows(f.market, ["commodity"]), sql("market", "SELECT * FROM (SELECT commodity, date AS start, " + ", ".join(f"lead(close, {h - 1}) {WK} AS day_{h}" for h in range(1, 15)) + " FROM market) WHERE day_14 IS NOT NULL")),
-    "a7_distribution_summary": (lambda f: pt.distribution_summary(f.long_paths, [*BY, "day"], [0.05, 0.25, 0.5, 0.75, 0.95]), sql("long_paths", "SELECT start, model, day, count(*) AS n, round(avg(value), 2) AS mean, round(stddev_samp(value), 2) AS std, round(min(value), 2) AS lowest, round(max(value), 2) AS highest, " + ", ".join(f"round(quantile_cont(value, {q}), 2) AS p{round(100 * q)}" for q in (0.05, 0.25, 0.5, 0.75, 0.95)) + " FROM long_paths GROUP BY ALL")),
+    "a7_distribution_summary": (lambda f: pt.distribution_summary(f.paths, BY, [0.05, 0.25, 0.5, 0.75, 0.95]), sql("long_paths", "SELECT start, model, day, count(*) AS n, round(avg(value), 2) AS mean, round(stddev_samp(value), 2) AS std, round(min(value), 2) AS lowest, round(max(value), 2) AS highest, " + ", ".join(f"round(quantile_cont(value, {q}), 2) AS p{round(100 * q)}" for q in (0.05, 0.25, 0.5, 0.75, 0.95)) + " FROM long_paths GROUP BY ALL")),
     "a8_point_metrics": (lambda f: pt.point_metrics(f.points, ["model"]), sql("points", "SELECT model, count(*) AS n, round(avg(abs(forecast - actual)), 4) AS mae, round(sqrt(avg(pow(forecast - actual, 2))), 4) AS rmse, round(avg(abs((forecast - actual) / actual)) * 100, 4) AS mape, round(avg(forecast - actual), 4) AS bias FROM points GROUP BY 1")),
     "a9_horizon_metrics": (lambda f: pt.horizon_metrics(f.points, ["model"], [1, 7, 14]), sql("points", "SELECT model, day, count(*) AS n, round(avg(abs(forecast - actual)), 4) AS mae, round(sqrt(avg(pow(forecast - actual, 2))), 4) AS rmse, round(avg(abs((forecast - actual) / actual)) * 100, 4) AS mape, round(avg(forecast - actual), 4) AS bias FROM points WHERE day IN (1, 7, 14) GROUP BY ALL")),
     "e5_window_scores": (lambda f: pt.point_metrics(pt.up_to_horizon(f.points, [1, 7, 14]), [*BY, "horizon"]), sql("points", "SELECT start, model, horizon, count(*) AS n, round(avg(abs(forecast - actual)), 4) AS mae, round(sqrt(avg(pow(forecast - actual, 2))), 4) AS rmse, round(avg(abs((forecast - actual) / actual)) * 100, 4) AS mape, round(avg(forecast - actual), 4) AS bias FROM points, (VALUES (1), (7), (14)) h(horizon) WHERE day <= horizon GROUP BY ALL")),
-    "a10_e3_e4_coverage": (lambda f: pt.interval_coverage(f.long_paths, f.actuals, BY, 0.9, ["model"]), sql("long_paths actuals", "SELECT model, count(*) AS n, round(avg((actual BETWEEN lo AND hi)::INT), 4) AS coverage, round(avg(hi - lo), 4) AS sharpness FROM (SELECT start, model, day, quantile_cont(value, 0.05) AS lo, quantile_cont(value, 0.95) AS hi FROM long_paths GROUP BY ALL) JOIN actuals USING (start, day) GROUP BY 1")),
+    "a10_e3_e4_coverage": (lambda f: pt.interval_coverage(f.paths, f.actuals, BY, 0.9, ["model"]), sql("long_paths actuals", "SELECT model, count(*) AS n, round(avg((actual BETWEEN lo AND hi)::INT), 4) AS coverage, round(avg(hi - lo), 4) AS sharpness FROM (SELECT start, model, day, quantile_cont(value, 0.05) AS lo, quantile_cont(value, 0.95) AS hi FROM long_paths GROUP BY ALL) JOIN actuals USING (start, day) GROUP BY 1")),
     "e1_crps": (lambda f: pt.crps(f.long_paths, f.actuals, BY, ["model"]), sql("long_paths actuals", "SELECT model, round(avg(a - (s - n * v) / (n * n)), 4) AS crps FROM (SELECT start, model, day, avg(abs(value - actual)) AS a, sum((2 * i - 1) * value) AS s, sum(value) AS v, count(*) AS n FROM (SELECT *, row_number() OVER (PARTITION BY start, model, day ORDER BY value, path_id) AS i FROM long_paths) JOIN actuals USING (start, day) GROUP BY ALL) GROUP BY 1")),
-    "e2_calibration": (lambda f: pt.calibration(f.long_paths, f.actuals, BY, [0.1, 0.25, 0.5, 0.75, 0.9], ["model"]), sql("long_paths actuals", "SELECT model, round(avg(abs(hit - level)), 4) AS calibration_error FROM (SELECT model, level, avg((actual <= q)::INT) AS hit FROM (SELECT start, model, day, level, quantile_cont(value, [0.1, 0.25, 0.5, 0.75, 0.9])[k] AS q FROM long_paths, (VALUES (1, 0.1), (2, 0.25), (3, 0.5), (4, 0.75), (5, 0.9)) l(k, level) GROUP BY ALL) JOIN actuals USING (start, day) GROUP BY ALL) GROUP BY 1").replace("quantile_cont(value, [0.1, 0.25, 0.5, 0.75, 0.9])[k] AS q", "list_extract(quantile_cont(value, [0.1, 0.25, 0.5, 0.75, 0.9]), any_value(k)) AS q")),
-    "e15_var_cvar": (lambda f: pt.var_cvar(f.long_paths, ["model", "day"], 0.05), sql("long_paths", "SELECT model, day, round(any_value(v), 4) AS value_at_risk, round(avg(value) FILTER (value <= v), 4) AS conditional_value_at_risk FROM long_paths JOIN (SELECT model, day, quantile_cont(value, 0.05) AS v FROM long_paths GROUP BY ALL) USING (model, day) GROUP BY ALL")),
-    "e16_compare_models": (lambda f: pt.distribution_summary(f.long_paths.where("day = 14"), ["model"], [0.1, 0.5, 0.9]), sql("long_paths", "SELECT model, count(*) AS n, round(avg(value), 2) AS mean, round(stddev_samp(value), 2) AS std, round(min(value), 2) AS lowest, round(max(value), 2) AS highest, round(quantile_cont(value, 0.1), 2) AS p10, round(quantile_cont(value, 0.5), 2) AS p50, round(quantile_cont(value, 0.9), 2) AS p90 FROM long_paths WHERE day = 14 GROUP BY 1")),
+    "e2_calibration": (lambda f: pt.calibration(f.paths, f.actuals, BY, [0.1, 0.25, 0.5, 0.75, 0.9], ["model"]), sql("long_paths actuals", "SELECT model, round(avg(abs(hit - level)), 4) AS calibration_error FROM (SELECT model, level, avg((actual <= q)::INT) AS hit FROM (SELECT start, model, day, level, quantile_cont(value, [0.1, 0.25, 0.5, 0.75, 0.9])[k] AS q FROM long_paths, (VALUES (1, 0.1), (2, 0.25), (3, 0.5), (4, 0.75), (5, 0.9)) l(k, level) GROUP BY ALL) JOIN actuals USING (start, day) GROUP BY ALL) GROUP BY 1").replace("quantile_cont(value, [0.1, 0.25, 0.5, 0.75, 0.9])[k] AS q", "list_extract(quantile_cont(value, [0.1, 0.25, 0.5, 0.75, 0.9]), any_value(k)) AS q")),
+    "e15_var_cvar": (lambda f: pt.var_cvar(f.paths, ["model"], 0.05), sql("long_paths", "SELECT model, day, round(any_value(v), 4) AS value_at_risk, round(avg(value) FILTER (value <= v), 4) AS conditional_value_at_risk FROM long_paths JOIN (SELECT model, day, quantile_cont(value, 0.05) AS v FROM long_paths GROUP BY ALL) USING (model, day) GROUP BY ALL")),
+    "e16_compare_models": (lambda f: pt.distribution_summary(f.paths, ["model"], [0.1, 0.5, 0.9], [14]).drop("day"), sql("long_paths", "SELECT model, count(*) AS n, round(avg(value), 2) AS mean, round(stddev_samp(value), 2) AS std, round(min(value), 2) AS lowest, round(max(value), 2) AS highest, round(quantile_cont(value, 0.1), 2) AS p10, round(quantile_cont(value, 0.5), 2) AS p50, round(quantile_cont(value, 0.9), 2) AS p90 FROM long_paths WHERE day = 14 GROUP BY 1")),
     "e17_a29_validate_paths": (lambda f: pt.validate_paths(f.paths, BY), sql("paths", "SELECT start, model, count(*) AS n_rows, count(DISTINCT path_id) AS n_paths, CAST(sum(" + " + ".join(f"(day_{h} < 0)::INT" for h in range(1, 15)) + ") AS BIGINT) AS n_negative, CAST(sum(" + " + ".join(f"(day_{h} IS NULL)::INT" for h in range(1, 15)) + ") AS BIGINT) AS n_null FROM paths GROUP BY ALL")),
     "e18_hit_rate": (lambda f: pt.hit_rate(f.points, ["model"], 10.0), sql("points", "SELECT model, round(avg((abs(forecast / actual - 1) <= 0.1)::INT) * 100, 4) AS hit_rate FROM points GROUP BY 1")),
     "w29_direction_step": (lambda f: pt.directional_accuracy(f.points, BY, ["model"], "step"), sql("points", "SELECT model, round(avg(coalesce(sign(forecast - pf) = sign(actual - pa), NULL)::INT) * 100, 4) AS directional_accuracy FROM (SELECT *, lag(forecast) OVER w AS pf, lag(actual) OVER w AS pa FROM points WINDOW w AS (PARTITION BY start, model ORDER BY day)) WHERE day > 1 GROUP BY 1")),
-    "f17_path_features": (lambda f: pt.path_features(f.long_paths.where("day = 14").join(f.actuals.where("day = 1").select("start", F.col("actual").alias("price")), "start"), BY), sql("long_paths actuals", ", r AS (SELECT start, model, value, actual AS price, value / actual - 1 AS r FROM (SELECT * FROM long_paths WHERE day = 14) JOIN (SELECT start, actual FROM actuals WHERE day = 1) USING (start)), m AS (SELECT *, avg(r) OVER (PARTITION BY start, model) AS m FROM r) SELECT start, model, round(avg((r > 0)::INT), 4) AS consensus, round(any_value(m), 4) AS expected_return, round((quantile_cont(value, 0.75) - quantile_cont(value, 0.25)) / quantile_cont(value, 0.5), 4) AS relative_spread, round(CASE WHEN avg(pow(r - m, 2)) > 0 THEN avg(pow(r - m, 3)) / pow(avg(pow(r - m, 2)), 1.5) END, 4) AS skewness, round((max(value) - min(value)) / any_value(price), 4) AS relative_range, round(avg(least(r, 0)), 4) AS downside FROM m GROUP BY ALL").replace(") , ", "), ", 1)),
+    "f17_path_features": (lambda f: pt.path_features(f.paths.join(f.actuals.where("day = 1").select("start", F.col("actual").alias("price")), "start"), BY), sql("long_paths actuals", ", r AS (SELECT start, model, value, actual AS price, value / actual - 1 AS r FROM (SELECT * FROM long_paths WHERE day = 14) JOIN (SELECT start, actual FROM actuals WHERE day = 1) USING (start)), m AS (SELECT *, avg(r) OVER (PARTITION BY start, model) AS m FROM r) SELECT start, model, round(avg((r > 0)::INT), 4) AS consensus, round(any_value(m), 4) AS expected_return, round((quantile_cont(value, 0.75) - quantile_cont(value, 0.25)) / quantile_cont(value, 0.5), 4) AS relative_spread, round(CASE WHEN avg(pow(r - m, 2)) > 0 THEN avg(pow(r - m, 3)) / pow(avg(pow(r - m, 2)), 1.5) END, 4) AS skewness, round((max(value) - min(value)) / any_value(price), 4) AS relative_range, round(avg(least(r, 0)), 4) AS downside FROM m GROUP BY ALL").replace(") , ", "), ", 1)),
     "f18_f19_tiers": (tiers, tier_sql("SELECT * FROM t")),
     "f20_best_window": (lambda f: pt.best_window(f.points, BY), sql("points", "SELECT start, model, arg_max(day, (w, -day)) AS first_day, round(max(w), 4) AS window_mean FROM (SELECT *, CASE WHEN count(*) OVER x = 3 THEN round(avg(forecast) OVER x, 6) END AS w FROM points WINDOW x AS (PARTITION BY start, model ORDER BY day ROWS BETWEEN CURRENT ROW AND 2 FOLLOWING)) WHERE w IS NOT NULL GROUP BY ALL")),
     "e8_paired_t": (lambda f: sc.paired_t(errors(f), "e1", "e2", ["commodity"]), sql("market", f"SELECT commodity, n, round(m, 4) AS mean_difference, round(m / nullif(s / sqrt(n), 0), 4) AS t_statistic, round(m / nullif(s, 0), 4) AS cohens_d, round(m - 1.96 * s / sqrt(n), 4) AS lower_95, round(m + 1.96 * s / sqrt(n), 4) AS upper_95 FROM (SELECT commodity, count(*) AS n, avg(e1 - e2) AS m, stddev_samp(e1 - e2) AS s FROM (SELECT {DIFFER} FROM market) GROUP BY 1)")),

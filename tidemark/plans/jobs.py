@@ -132,7 +132,7 @@ def pooled(f: Frames) -> DataFrame:
 def importances(f: Frames) -> DataFrame:
     start = f.actuals.where("day = 1").select("start", F.col("actual").alias("price"))
     end = f.actuals.where("day = 14").select("start", F.col("actual").alias("later"))
-    own = pt.path_features(f.long_paths.where("day = 14").join(start, "start"), ["start", "model"]).join(start, "start").join(end, "start").withColumn("label", F.col("later") / F.col("price") - 1)
+    own = pt.path_features(f.paths.join(start, "start"), ["start", "model"]).join(start, "start").join(end, "start").withColumn("label", F.col("later") / F.col("price") - 1)
     return learners.importance(f.spark, own, ["consensus", "expected_return", "relative_spread", "skewness", "relative_range", "downside"], "label")
 
 
