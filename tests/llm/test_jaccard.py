@@ -98,6 +98,21 @@ def test_every_set_meets_all_that_are_near(few):
     assert met > 20 and len(pivots.centres) > 1
 
 
+def test_sketches_leave_no_link_out():
+    r = random.Random(2)
+    dropped = 0
+    for n in (1, 3, 20, 90, 400, 3000, 60_000):
+        for share in (0.0, 0.5, 0.8, 0.88, 0.9, 1.0):
+            own = np.array(r.sample(range(1 << 62), 2 * n), np.uint64)
+            a, b = own[:n], np.concatenate([own[: int(n * share)], own[n : 2 * n - int(n * share)]])
+            inter = len(np.intersect1d(a, b))
+            may = jaccard.may_link(jaccard.sketch(a), jaccard.sketch(b), len(a), len(b), 80)
+            assert may or not jaccard.linked(inter, len(a), len(b), 80)
+            dropped += not may
+    assert dropped > 10
+    assert jaccard.may_link(jaccard.sketch(own[:100]), jaccard.sketch(own[:124]), 100, 124, 80)
+
+
 def test_one_doc_id_with_several_texts(spark):
     r = random.Random(7)
     base = [f"w{r.randrange(500)}" for _ in range(80)]

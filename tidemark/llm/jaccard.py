@@ -35,15 +35,17 @@ DRAWN, DRAWN_BYTES, CELL = 1024, 1 << 15, 0.5
 #: Steps of a distance in the windows of a region.
 STEPS = 200
 #: Parts of up to LEAF points are joined at once; larger ones begin with so many pivots, and have GROW times as many after each round.
-LEAF, PIVOTS, GROW = 6, 3, 8
+LEAF, PIVOTS, GROW = 6, 3, 64
 #: Row pairs held at once.
 PAIRS_AT_ONCE = 2_000_000
 #: Shingles that come last in the order, as they are frequent; the list steers the cost and not the result.
 FREQUENT, TASK_FREQUENT = 50_000, 20_000
 #: A shingle that is known to be in more sets is dealt to a grid of parts, one row and one column of it for each set.
 HOT_SETS, GRID = 100_000, 32
-FLUSH = 2_000_000
+FLUSH = 1_000_000
 REGION_ROWS, MEMBERS_PER_TASK = 500_000, 500
+#: Shingles for each bin of a set's sketch, and its most bins.
+BIN_SHINGLES, MOST_BINS = 8, 4096
 #: Bits of the filter of wanted documents; its size is fixed, and whatever it lets through is joined exactly.
 FILTER_BITS = 1 << 24
 #: Copies of one set are dealt to so many parts when they fetch its component.
@@ -75,6 +77,20 @@ def linked(inter: np.ndarray | int, a: np.ndarray | int, b: np.ndarray | int, pe
     return 100 * inter >= percent * (a + b - inter)
 
 
+def sketch(own: np.ndarray) -> bytes:
+    """How many shingles fall into each of some bins by hash, 255 for more; the number of bins is a power of two."""
+    bins = min(MOST_BINS, 1 << max(4, (len(own) // BIN_SHINGLES).bit_length()))
+    return np.minimum(np.bincount(((own * MIX[0]) >> np.uint64(44)).astype(np.int64) & (bins - 1), minlength=bins), 255).astype(np.uint8).tobytes()
+
+
+def may_link(a: bytes, b: bytes, n_a: int, n_b: int, percent: int) -> bool:
+    """Whether sets with these sketches and sizes can share enough: no more than the lesser count of each bin."""
+    x, y = (np.frombuffer(s, np.uint8) for s in sorted((a, b), key=len))
+    if (x == 255).any() or (y == 255).any():
+        return True
+    return bool(linked(int(np.minimum(x, y.reshape(-1, len(x)).sum(axis=0)).sum()), n_a, n_b, percent))
+
+
 class Pivots:
     """Points drawn from the whole table, by their shingles, and which of them are centres of regions."""
 
@@ -172,7 +188,8 @@ def text_hash(column: str) -> Column:
 
 
 def first_pass(docs: DataFrame, pivots, words_each: int) -> DataFrame:
-    """kind 0: a document (a), its set's key (b), size (n), first pivot within reach or -1 (pivot) and text's hash (h);
+    """kind 0: a document (a), its set's key (b), size (n), first pivot within reach or -1 (pivot), text's hash (h) and, if
+    the task has not met the set, its sketch;
     kind 1: a shingle (a) that a task saw often (n); kind 2: pivots (a and b) that one set links.
     """
 
@@ -186,33 +203,36 @@ def first_pass(docs: DataFrame, pivots, words_each: int) -> DataFrame:
             return rows(1, values[keep].astype(np.int64), np.zeros(len(keep), np.int64), counts[keep])
 
         for b in batches:
-            keys, sizes, nearest = [], [], []
+            keys, sizes, nearest, sketches = [], [], [], []
             for t in texts(b):
                 own = shingles(t, words_each)
                 sizes.append(len(own))
                 keys.append(set_key(own) if len(own) else None)
+                sketches.append(None)
                 if not len(own):
                     nearest.append(-1)
                     continue
                 if keys[-1] not in seen:
+                    sketches[-1] = sketch(own)
                     held.append(own)
                     total += len(own)
                     near = pivots.value.linked(own).tolist()
                     joined.update((near[0], k) for k in near[1:])
                     seen[keys[-1]] = near[0] if near else -1
                 nearest.append(seen[keys[-1]])
-            yield rows(0, b.column(0), pa.array(keys, pa.int64()), sizes, nearest, b.column(2))
+            yield rows(0, b.column(0), pa.array(keys, pa.int64()), sizes, nearest, b.column(2), sketches)
             if total > FLUSH:
                 yield frequent()
                 seen, held, total = {}, [], 0
         yield frequent()
         yield rows(2, [x for x, _ in joined], [x for _, x in joined], [0] * len(joined))
 
-    def rows(kind: int, a, b, n, pivot=None, h=None) -> pa.RecordBatch:
-        pivot, h = ([-1] * len(n) if x is None else x for x in (pivot, h))
-        return pa.RecordBatch.from_arrays([pa.array([kind] * len(n), pa.int32()), *(pa.array(x, pa.int64()) for x in (a, b, n)), pa.array(pivot, pa.int32()), pa.array(h, pa.int64())], names=["kind", "a", "b", "n", "pivot", "h"])
+    def rows(kind: int, a, b, n, pivot=None, h=None, sketches=None) -> pa.RecordBatch:
+        pivot, h, sketches = ([None] * len(n) if x is None else x for x in (pivot, h, sketches))
+        columns = {"kind": pa.array([kind] * len(n), pa.int32()), "a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "n": pa.array(n, pa.int64()), "pivot": pa.array(pivot, pa.int32()), "h": pa.array(h, pa.int64()), "sketch": pa.array(sketches, pa.binary())}
+        return pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
-    return map_arrow(docs.select("doc_id", "text", text_hash("text").alias("h")), run, "kind int, a long, b long, n long, pivot int, h long")
+    return map_arrow(docs.select("doc_id", "text", text_hash("text").alias("h")), run, "kind int, a long, b long, n long, pivot int, h long, sketch binary")
 
 
 def roots(n: int, links: list[tuple[int, int]]) -> np.ndarray:
@@ -476,18 +496,33 @@ def probably(column: str, wanted: DataFrame) -> Column:
     return in_filter(F.expr(f"pmod(xxhash64({column}), {FILTER_BITS})"))
 
 
+def possible(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b, rep_a, rep_b) of the pairs whose sketches allow a link."""
+    known = sets.select("key", "rep", "n", "sketch")
+    both = pairs.join(known.toDF("a", "rep_a", "n_a", "sketch_a").hint("merge"), "a").join(known.toDF("b", "rep_b", "n_b", "sketch_b").hint("merge"), "b")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sketches = zip(*(b.column(k).to_pylist() for k in range(4, 8)), strict=True)
+            keep = pa.array([may_link(x, y, n, m, percent) for x, y, n, m in sketches], pa.bool_())
+            yield pa.RecordBatch.from_arrays([c.filter(keep) for c in b.columns[:4]], names=b.schema.names[:4])
+
+    return map_arrow(both.select("a", "b", "rep_a", "rep_b", "sketch_a", "sketch_b", "n_a", "n_b"), run, "a long, b long, rep_a long, rep_b long")
+
+
 def measured(pairs: DataFrame, sets: DataFrame, docs: DataFrame, words_each: int, percent: int) -> DataFrame:
-    """(a, b, distance, linked) of the pairs (a, b) of set keys, from the texts of the sets' first documents.
+    """(a, b, distance, linked) of the pairs (a, b) of set keys that sketches leave open, from the texts of the sets' first documents.
 
     Each a is the pivot of a part whose members are its b; a part of many members is split, and its pivot's text goes to
     every piece. A doc_id may stand for several texts, so a text must have the set that is asked for.
     """
-    w = pairs.groupBy("a").agg(F.expr(f"(count(*) + {MEMBERS_PER_TASK - 1}) div {MEMBERS_PER_TASK}").alias("parts"))
-    members = pairs.join(w, "a").select(F.col("b").alias("key"), F.col("a").alias("pivot"), F.expr("pmod(xxhash64(b), parts)").alias("part"), F.lit(1).alias("role"))
-    pivots = w.select(F.col("a").alias("key"), F.col("a").alias("pivot"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.lit(0).alias("role"))
-    wanted = saved(members.unionByName(pivots).join(sets.select("key", "rep"), "key"), "jaccard-wanted")
+    pairs = saved(possible(pairs, sets, percent), "jaccard-possible")
+    w = pairs.groupBy("a").agg(F.expr(f"(count(*) + {MEMBERS_PER_TASK - 1}) div {MEMBERS_PER_TASK}").alias("parts"), F.first("rep_a").alias("rep"))
+    members = pairs.join(w.select("a", "parts"), "a").select(F.col("b").alias("key"), F.col("a").alias("pivot"), F.expr("pmod(xxhash64(b), parts)").alias("part"), F.lit(1).alias("role"), F.col("rep_b").alias("rep"))
+    pivots = w.select(F.col("a").alias("key"), F.col("a").alias("pivot"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.lit(0).alias("role"), "rep")
+    wanted = saved(members.unionByName(pivots), "jaccard-wanted")
     held = docs.where("text IS NOT NULL").where(probably("doc_id", wanted.select("rep"))).select(F.col("doc_id").alias("rep"), "text")
-    rows = wanted.join(held, "rep").select("pivot", "part", "role", "key", "text")
+    rows = wanted.hint("merge").join(held, "rep").select("pivot", "part", "role", "key", "text")  # the same plan at every size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pivot, own, done = None, None, None
@@ -512,12 +547,19 @@ def measured(pairs: DataFrame, sets: DataFrame, docs: DataFrame, words_each: int
     return map_arrow(rows.repartition(n, "pivot", "part").sortWithinPartitions("pivot", "part", "role", "key"), run, "a long, b long, distance double, linked boolean")
 
 
-def component_of(done: DataFrame, sets: DataFrame) -> DataFrame:
-    """key and component (the smallest node reachable so far) of every set."""
+def ends_of(links: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b): the nodes of linked sets."""
     nodes = sets.select("key", "node")
-    ends = done.where("linked").select(F.col("a").alias("ka"), F.col("b").alias("kb"))
-    ends = ends.join(nodes.toDF("ka", "a"), "ka").join(nodes.toDF("kb", "b"), "kb").select("a", "b")
-    return of_root_or_own(sets, connected_components(ends), "component", "node")
+    ends = links.where("linked").select(F.col("a").alias("ka"), F.col("b").alias("kb"))
+    return ends.join(nodes.toDF("ka", "a"), "ka").join(nodes.toDF("kb", "b"), "kb").where("a <> b").select("a", "b")
+
+
+def within_two_links(ends: DataFrame) -> DataFrame:
+    """(node, component): the smallest node within two links. Nodes with the same one are connected, so it serves to leave pairs out."""
+    both = ends.toDF("u", "v").unionByName(ends.toDF("v", "u"))
+    one = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+    two = both.join(one.toDF("v", "n"), "v").groupBy("u").agg(F.min("n").alias("n"))
+    return one.join(two, "u").select(F.col("u").alias("node"), F.least("m", "n").alias("component"))
 
 
 def of_root_or_own(sets: DataFrame, found: DataFrame, value: str, otherwise: str) -> DataFrame:
@@ -548,12 +590,12 @@ def jaccard_components(docs: DataFrame, words_each: int = SHINGLE_WORDS, percent
     passed = saved(first_pass(docs, pivots, words_each), "jaccard-sets")
     joined = passed.where("kind = 2").select("a", "b").distinct().collect()  # at most all pairs of pivots
     root = roots(len(drawn.sizes), [*drawn.links, *((r["a"], r["b"]) for r in joined)])
-    own = passed.where("kind = 0").select(F.col("a").alias("doc_id"), F.col("b").alias("key"), F.col("n").alias("n_shingles"), "pivot", F.col("h").alias("text_hash"))
+    own = passed.where("kind = 0").select(F.col("a").alias("doc_id"), F.col("b").alias("key"), F.col("n").alias("n_shingles"), "pivot", F.col("h").alias("text_hash"), "sketch")
     of_pivot = F.broadcast(spark.createDataFrame([(-1, -1), *enumerate(root.tolist())], "pivot int, root int"))
-    keyed = own.where("key IS NOT NULL AND doc_id IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n"), F.max("pivot").alias("pivot")).join(of_pivot, "pivot").drop("pivot")
+    keyed = own.where("key IS NOT NULL AND doc_id IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n"), F.max("pivot").alias("pivot"), F.max("sketch").alias("sketch")).join(of_pivot, "pivot").drop("pivot")
     keyed = saved(keyed, "jaccard-keys")
     heads = keyed.where("root >= 0").groupBy("root").agg(F.min("key").alias("head"))
-    sets = keyed.join(F.broadcast(heads), "root", "left").select("key", "rep", "n", "root", F.coalesce("head", "key").alias("node"))
+    sets = keyed.join(F.broadcast(heads), "root", "left").select("key", "rep", "n", "root", "sketch", F.coalesce("head", "key").alias("node"))
     total = keyed.agg(F.sum("n")).first()[0] or 0
     frequent = passed.where("kind = 1").groupBy("a").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "a").limit(FREQUENT).collect()
     order = spark.sparkContext.broadcast(Order([(r["a"], r["n"]) for r in reversed(frequent)]))
@@ -561,11 +603,11 @@ def jaccard_components(docs: DataFrame, words_each: int = SHINGLE_WORDS, percent
     buckets = max(2 * n, total // (4 * REGION_ROWS) + 1)
     regions = saved(shared_regions(prefix_rows(docs, order, pivots, root, buckets, words_each, percent)), "jaccard-regions")
     done = saved(measured(first_pairs(regions, percent), sets, docs, words_each, percent), "jaccard-links")
-    components = saved(component_of(done, sets), "jaccard-components")
+    ends = saved(ends_of(done, sets), "jaccard-ends")
     large, first = saved(large_parts(regions), "jaccard-large"), PIVOTS
     while True:
         nearest = done.groupBy(F.col("b").alias("key")).agg(F.min(F.struct("distance", "a")).alias("m")).select("key", F.col("m.a").alias("pivot"), F.col("m.distance").alias("distance"))
-        marked = large.join(components, "key").join(nearest, "key", "left")
+        marked = large.join(of_root_or_own(sets, within_two_links(ends), "component", "node"), "key").join(nearest, "key", "left")
         marked = saved(marked.select("token", "key", "size", "place", "rank", "component", F.coalesce("pivot", "key").alias("pivot"), F.coalesce("distance", F.lit(0.0)).alias("distance")), "jaccard-marked")
         split = marked.groupBy("token").agg((F.min("component") != F.max("component")).alias("open"), F.max("rank").alias("most")).where((F.col("most") >= first) & F.col("open")).select("token", "most")
         most = split.agg(F.max("most")).first()[0]
@@ -574,10 +616,11 @@ def jaccard_components(docs: DataFrame, words_each: int = SHINGLE_WORDS, percent
         large = marked.join(split.select("token"), "token", "left_semi")
         pairs = saved(later_pairs(large, first, first * GROW, percent), "jaccard-pairs")
         if pairs.take(1):
-            done = done.unionByName(saved(measured(pairs, sets, docs, words_each, percent), "jaccard-links"))
-            components = saved(component_of(done, sets), "jaccard-components")
+            more = saved(measured(pairs, sets, docs, words_each, percent), "jaccard-links")
+            done, ends = done.unionByName(more), ends.unionByName(saved(ends_of(more, sets), "jaccard-ends"))
         large, first = saved(large.select("token", "key", "size", "place", "rank"), "jaccard-large"), first * GROW
-    known = sets.join(components, "key")
+    components = saved(of_root_or_own(sets, connected_components(ends), "component", "node"), "jaccard-components")
+    known = sets.drop("sketch").join(components, "key")
     ids = known.groupBy("component").agg(F.min("rep").alias("component_id"))
     final = of_root_or_own(known.drop("node").withColumnRenamed("component", "node"), ids.withColumnRenamed("component", "node"), "component_id", "node")
     if with_group:
