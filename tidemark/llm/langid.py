@@ -26,7 +26,6 @@ LENGTHS, FOLDS, OWN_SHARE, FOREIGN_SHARE = (10, 20, 30, 50, 100, 200), 3, 0.995,
 LEAST_TEXTS, ALONE = 20, 1.25
 #: Codes: any run of signs that are no letters, a letter that no sample has, and from there on the letters of the samples.
 SPACE, UNSEEN, LETTERS = 0, 1, 2
-SPREAD = np.uint64(0x9E3779B97F4A7C15)
 
 
 def normal_text(text: bytes) -> str:
@@ -43,51 +42,68 @@ def letter_table() -> np.ndarray:
 
 
 class Transitions:
-    """The transitions of one language's suffix automaton, as a hash table in numpy, with restarts filled in.
+    """The transitions of one language's suffix automaton in one table, with restarts filled in.
 
-    A match that can't go on ends its phrase, and the symbol begins the next one, in the state behind the root's
-    transition. `dead` is the state of a symbol that the language's text lacks: whatever follows begins a phrase.
+    A state is the place where its row of the table begins: rows of few symbols lie in the gaps of others, and each
+    entry holds the state that it belongs to beside the next one. A match that can't go on ends its phrase, and the symbol
+    begins the next one, in the state behind the root's transition. `dead` is the state of a symbol that the language's text
+    lacks: whatever follows begins a phrase.
     """
 
     def __init__(self, text: list[int], width: int):
         goto = suffix_automaton(text)
-        self.width, self.dead, self.length = width, len(goto), len(text)
+        place = row_places(goto, width)
+        self.length, self.dead = len(text), int(max(place)) + 1
+        table = np.full((self.dead + width + 1, 2), -1, np.int32)
+        for own, at in zip(goto, place, strict=True):
+            for symbol, state in own.items():
+                table[at + symbol] = place[state], at
+        self.table = table.view(np.int64).ravel()
         self.first = np.full(width, self.dead, np.int32)
         for symbol, state in goto[0].items():
-            self.first[symbol] = state
-        keys = np.fromiter((k * width + c for k, own in enumerate(goto) for c in own), np.int64)
-        states = np.fromiter((x for own in goto for x in own.values()), np.int32, len(keys))
-        bits = max(4, (2 * len(keys)).bit_length())
-        self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
-        self.keys, self.states = np.full(1 << bits, -1, np.int64), np.zeros(1 << bits, np.int32)
-        slot = self.slots(keys)
-        while len(keys):
-            free = np.flatnonzero(self.keys[slot] < 0)
-            one = free[np.unique(slot[free], return_index=True)[1]]
-            self.keys[slot[one]], self.states[slot[one]] = keys[one], states[one]
-            left = np.ones(len(keys), bool)
-            left[one] = False
-            keys, states, slot = keys[left], states[left], (slot[left] + 1) & self.mask
-
-    def slots(self, keys: np.ndarray) -> np.ndarray:
-        return ((keys.view(np.uint64) * SPREAD) >> self.shift).astype(np.int64)
+            self.first[symbol] = place[state]
 
     def step(self, state: np.ndarray, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(next states, whether a phrase began)."""
-        keys = state.astype(np.int64) * self.width + symbols
-        slot = self.slots(keys)
-        there = self.keys[slot]
-        hit = there == keys
-        out = np.where(hit, self.states[slot], self.first[symbols])
-        open_ = np.flatnonzero(~hit & (there >= 0))
-        while len(open_):
-            slot[open_] = at = (slot[open_] + 1) & self.mask
-            there = self.keys[at]
-            same = there == keys[open_]
-            found = open_[same]
-            out[found], hit[found] = self.states[at[same]], True
-            open_ = open_[~same & (there >= 0)]
-        return out, ~hit
+        found = self.table.take(state + symbols).view(np.int32).reshape(-1, 2)
+        out, began = found[:, 0].copy(), found[:, 1] != state
+        miss = np.flatnonzero(began)
+        out[miss] = self.first.take(symbols.take(miss))
+        return out, began
+
+
+#: Places that are tried for a row before it goes behind all others.
+TRIES = 40
+
+
+def row_places(goto: list[dict[int, int]], width: int) -> list[int]:
+    """For each state a place of its own such that no two rows need the same entry; rows of many symbols are placed first."""
+    size = 2 * sum(map(len, goto)) + 3 * len(goto) + 4 * width
+    used, taken, place = bytearray(size), bytearray(size), [0] * len(goto)
+    free = end = 0
+    for state in sorted(range(len(goto)), key=lambda k: -len(goto[k])):
+        symbols = list(goto[state])
+        at, tries = free, 0
+        low = min(symbols, default=0)
+        while True:
+            at = used.find(0, at)
+            if tries > TRIES:
+                at = max(at, end + low)
+            here = at - low
+            if here >= 0 and not taken[here] and not any(used[here + c] for c in symbols):
+                break
+            at, tries = at + 1, tries + 1
+        place[state] = here
+        taken[here] = 1
+        for c in symbols:
+            used[here + c] = 1
+            end = max(end, here + c + 1)
+        if tries > TRIES:
+            free = min(end, free + TRIES)
+        if len(used) < end + 2 * width + TRIES:
+            used.extend(bytes(size))
+            taken.extend(bytes(size))
+    return place
 
 
 class CrossParser:
