@@ -104,3 +104,20 @@ def health_score(parts: Column, weights: list[float]) -> Column:
     """Weighted 0 to 100 score of an array of shares."""
     total = sum(weights)
     return F.round(sum((parts[k] * w for k, w in enumerate(weights)), F.lit(0.0)) * 100 / total, 2)
+
+
+def duplicate_totals(df: DataFrame, by: list[str], key: list[str]) -> DataFrame:
+    """Rows, distinct keys and surplus rows of each group."""
+    n, keys = F.count(F.lit(1)), F.count_distinct(F.struct(*key))
+    return df.groupBy(*by).agg(n.alias("n_rows"), keys.alias("n_keys"), (n - keys).alias("n_duplicates"))
+
+
+HEALTH_BANDS = [(90.0, "EXCELLENT"), (75.0, "GOOD"), (50.0, "WARNING")]
+
+
+def health_band(score: Column) -> Column:
+    """The severity band of a 0 to 100 score."""
+    out = F.lit("CRITICAL")
+    for least, name in reversed(HEALTH_BANDS):
+        out = F.when(score >= least, name).otherwise(out)
+    return out

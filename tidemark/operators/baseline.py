@@ -68,6 +68,48 @@ def naive_at_cutoffs(df: DataFrame, key: list[str], every: int, horizon: int, co
     return own.select(*key, F.col("date").alias("data_cutoff_date"), F.lit(horizon).alias("day_ahead"), F.round(column, 4).alias("naive"), F.round(F.col(column) + horizon * F.col("drift"), 4).alias("drifted"), F.round("actual", 4).alias("actual"))
 
 
+def all_at_cutoffs(df: DataFrame, key: list[str], horizon: int, column: str = "close", lookback: int = 30, least: int = 5, years: int = 3) -> DataFrame:
+    """Every baseline (naive, drift, trend, seasonal) at every row of a series as its cut-off, beside the value `horizon` rows later.
+
+    Drift and trend are windows that end at the cut-off. The seasonal value is the mean over the years before of the value on the
+    target's date (`horizon` days ahead), or one day earlier or later; without any it is the last value.
+    """
+    w = Window.partitionBy(*key).orderBy("date")
+    past, line = w.rowsBetween(-lookback, 0), w.rowsBetween(1 - lookback, 0)
+    own = df.select(*key, "date", column).withColumns({"__i": F.row_number().over(w).cast("double"), "__d": F.col(column) - F.lag(column, 1).over(w)})
+    slope, start = (f(F.col(column), F.col("__i")).over(line) for f in (F.regr_slope, F.regr_intercept))
+    trended = F.when(F.count(F.lit(1)).over(line) >= least, start + slope * (F.col("__i") + horizon)).otherwise(F.col(column))
+    own = own.withColumns({"actual": F.lead(column, horizon).over(w), "drift": F.col(column) + horizon * F.avg("__d").over(past), "trend": trended, "naive": F.col(column)}).where("actual IS NOT NULL")
+    asked = own.select(*key, "date", F.explode(F.sequence(F.lit(1), F.lit(years))).alias("__y"))
+    near = F.explode(F.array(*(F.struct(F.lit(r).alias("rank"), F.lit(o).alias("off")) for r, o in ((0, 0), (1, -1), (2, 1)))))
+    asked = asked.withColumn("__o", near).withColumn("__seen", F.expr(f"date_add(add_months(date_add(date, {horizon}), -12 * __y), __o.off)"))
+    hits = asked.join(df.select(*key, F.col("date").alias("__seen"), F.col(column).alias("__v")), [*key, "__seen"])
+    mean = hits.groupBy(*key, "date", "__y").agg(F.min_by("__v", "__o.rank").alias("__v")).groupBy(*key, "date").agg(F.avg("__v").alias("__v"))
+    out = own.join(mean, [*key, "date"], "left").withColumn("seasonal", F.coalesce("__v", column))
+    models = F.explode(F.array(*(F.struct(F.lit(m).alias("model"), F.round(m, 4).alias("forecast")) for m in ("naive", "drift", "trend", "seasonal")))).alias("__m")
+    return out.select(*key, F.col("date").alias("data_cutoff_date"), F.lit(horizon).alias("day_ahead"), F.round("actual", 4).alias("actual"), models).select(*key, "data_cutoff_date", "day_ahead", "actual", "__m.*")
+
+
+def fan_out(df: DataFrame, key: list[str], months: int, horizon: int, column: str = "close", lookback: int = 30) -> DataFrame:
+    """Forecasts of every series, model and cut-off from state that is fitted once in `months` months.
+
+    A series is trained at its first row of each such period of the calendar: the mean change and the slope of the last
+    `lookback` rows. Every cut-off takes the latest state at or before it (no join: the state runs along the series), and its
+    own last value. So training work follows the periods and inference is one pass.
+    """
+    w = Window.partitionBy(*key).orderBy("date")
+    line = w.rowsBetween(1 - lookback, 0)
+    period = F.floor((F.year("date") * 12 + F.month("date") - 1) / months)
+    own = df.select(*key, "date", column).withColumns({"__i": F.row_number().over(w).cast("double"), "__d": F.col(column) - F.lag(column, 1).over(w), "__p": period})
+    trains = F.col("__p") != F.coalesce(F.lag("__p", 1).over(w), F.lit(-1))
+    fitted = F.when(trains, F.struct(F.col("date").alias("training_date"), F.avg("__d").over(line).alias("drift"), F.regr_slope(F.col(column), F.col("__i")).over(line).alias("slope")))
+    own = own.withColumn("__fit", fitted).withColumn("__fit", F.last("__fit", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    step = {"naive": F.lit(0.0), "drift": F.col("__fit.drift"), "trend": F.col("__fit.slope")}
+    models = F.explode(F.array(*(F.struct(F.lit(m).alias("model"), x.alias("step")) for m, x in step.items())))
+    out = with_horizon(own.withColumn("__m", models), horizon)
+    return out.select(*key, F.col("date").alias("data_cutoff_date"), "__fit.training_date", "__m.model", "day_ahead", F.round(F.col(column) + F.coalesce(F.col("__m.step"), F.lit(0.0)) * F.col("day_ahead"), 4).alias("forecast"))
+
+
 def expand_paths(points: DataFrame, n: int, key: list[str], seed: int) -> DataFrame:
     """n random-walk paths around point forecasts (forecast, std per root day); draws depend on key, path and day alone."""
     paths = points.withColumn("path_id", F.explode(F.sequence(F.lit(1), F.lit(n))))

@@ -90,3 +90,11 @@ def key_diff(a: DataFrame, b: DataFrame, key: list[str]) -> DataFrame:
     left = a.select(*key).distinct().join(b.select(*key).distinct(), key, "left_anti").withColumn("missing_in", F.lit("right"))
     right = b.select(*key).distinct().join(a.select(*key).distinct(), key, "left_anti").withColumn("missing_in", F.lit("left"))
     return left.unionByName(right)
+
+
+def range_examples(df: DataFrame, limits: dict[str, tuple[float, float]], order: list[str], k: int = 5) -> DataFrame:
+    """The first k rows by `order` of each column that lie outside its limits, one row for each such value."""
+    cells = [F.when(~F.col(c).between(low, high), F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value"))) for c, (low, high) in limits.items()]
+    out = df.select(*order, F.explode(F.array_compact(F.array(*cells))).alias("__x")).select(*order, "__x.*")
+    w = Window.partitionBy("column").orderBy(*order)
+    return out.withColumn("__k", F.row_number().over(w)).where(F.col("__k") <= k).drop("__k")

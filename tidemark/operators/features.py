@@ -214,3 +214,26 @@ def row_mean_by_suffix(df: DataFrame, prefix: str, suffixes: list[str]) -> DataF
         total = sum((F.coalesce(c, F.lit(0.0)) for c in own), F.lit(0.0))
         out[f"{prefix}{s}_all"] = F.round(F.try_divide(total, sum((c.isNotNull().cast("int") for c in own), F.lit(0))), 4)
     return df.withColumns(out)
+
+
+def sentiment_spans(df: DataFrame, key: list[str], column: str, spans: list[int], on: str = "date") -> DataFrame:
+    """Mean, deviation and extremes of a tone over each full span of rows, its momentum over the span, and that one's change."""
+    w, out = ordered(key, on), df
+    for n in spans:
+        span = trailing(key, on, n)
+        full = F.count(F.lit(1)).over(span) == n
+        out = out.withColumns({f"{column}_{name}_{n}": F.when(full, F.round(fn(column).over(span), 6)) for name, fn in (("mean", F.avg), ("std", F.stddev_samp), ("min", F.min), ("max", F.max))})
+        out = out.withColumn(f"momentum_{n}", F.round(F.col(column) - F.lag(column, n).over(w), 6))
+        out = out.withColumn(f"acceleration_{n}", F.round(F.col(f"momentum_{n}") - F.lag(f"momentum_{n}", n).over(w), 6))
+    return out
+
+
+def unscale(df: DataFrame, columns: list[str], params: DataFrame) -> DataFrame:
+    """The values behind `<column>_scaled`, by the one row of parameters that `scale` has fitted, as `<column>_restored`."""
+    row = params.first().asDict()
+    return df.withColumns({f"{c}_restored": F.round(F.col(f"{c}_scaled") * F.lit(row[f"{c}_factor"] or 1.0) + F.lit(row[f"{c}_shift"]), 2) for c in columns})
+
+
+def week_trend(df: DataFrame, key: list[str], column: str = "close", n: int = 7, on: str = "date") -> DataFrame:
+    """Change in per cent from the first to the last of the last n rows, as trend_pct."""
+    return df.select(on, *key, F.round((F.col(column) / F.first(column).over(trailing(key, on, n)) - 1) * 100, 4).alias("trend_pct"))

@@ -147,7 +147,7 @@ def var_cvar(paths: DataFrame, by: list[str], p: float, n: int = DAYS) -> DataFr
 
 
 def validate_paths(df: DataFrame, by: list[str], n: int = DAYS) -> DataFrame:
-    """Paths, negative values, null values and leakage flags that disagree with the dates."""
+    """Rows, paths, negative values and null values of each group."""
     days = [F.col(f"day_{h}") for h in range(1, n + 1)]
     negative, null = (sum((c.cast("int") for c in x), F.lit(0)) for x in ([F.coalesce(d < 0, F.lit(False)) for d in days], [d.isNull() for d in days]))
     return df.groupBy(*by).agg(F.count(F.lit(1)).alias("n_rows"), F.count_distinct("path_id").alias("n_paths"), F.sum(negative).cast("long").alias("n_negative"), F.sum(null).cast("long").alias("n_null"))
@@ -196,3 +196,39 @@ def best_window(points: DataFrame, by: list[str], width: int = 3) -> DataFrame:
     w = Window.partitionBy(*by).orderBy("day").rowsBetween(0, width - 1)
     own = points.withColumn("window_mean", F.when(F.count(F.lit(1)).over(w) == width, F.round(F.avg("forecast").over(w), 6))).where("window_mean IS NOT NULL")
     return own.groupBy(*by).agg(F.max_by("day", F.struct("window_mean", -F.col("day"))).alias("first_day"), F.round(F.max("window_mean"), 4).alias("window_mean"))
+
+
+def score_table(points: DataFrame, by: list[str], horizons: list[int], metrics: tuple[str, ...] = ("n", "mae", "rmse", "mape", "bias")) -> DataFrame:
+    """One row for each window with every metric up to each horizon in a column of its own (`mae_7d`)."""
+    own = point_metrics(up_to_horizon(points, horizons), [*by, "horizon"])
+    return own.groupBy(*by).agg(*(F.max(F.when(F.col("horizon") == h, F.col(m))).alias(f"{m}_{h}d") for h in horizons for m in metrics))
+
+
+def path_inventory(df: DataFrame, by: list[str], start: str, n: int = DAYS) -> DataFrame:
+    """Rows, paths, first and last start, value range, actual rows, leaking rows and nulls of each day's column.
+
+    Needs path_id, is_actuals and has_data_leakage beside the days.
+    """
+    days = [F.col(c) for c in day_columns(list(range(1, n + 1)))]
+    return df.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("n_rows"), F.count_distinct("path_id").alias("n_paths"), F.min(start).alias("first_start"), F.max(start).alias("last_start"),
+        F.round(F.min(F.array_min(F.array(*days))), 4).alias("lowest"), F.round(F.max(F.array_max(F.array(*days))), 4).alias("highest"),
+        F.count_if("is_actuals").alias("n_actuals"), F.count_if("has_data_leakage").alias("n_leakage"),
+        *(F.count_if(F.isnull(d)).alias(f"null_day_{h}") for h, d in enumerate(days, 1)),
+    )
+
+
+def path_validity(df: DataFrame, by: list[str], start: str, cutoff: str, expected: int, n: int = DAYS) -> DataFrame:
+    """Whether each forecast has the expected paths (one more with its actual row), and its rows with wrong flags or values.
+
+    A row is an actual one if and only if its path_id is 0, and leaks if and only if its cutoff is not before its start.
+    """
+    days = [F.col(c) for c in day_columns(list(range(1, n + 1)))]
+    paths, actual = F.count_distinct("path_id"), F.max("is_actuals")
+    out = df.groupBy(*by).agg(
+        paths.alias("n_paths"), (paths == F.lit(expected) + actual.cast("int")).alias("is_complete"),
+        F.count_if(F.col("is_actuals") != (F.col("path_id") == 0)).alias("n_wrong_actuals"),
+        F.count_if(F.col("has_data_leakage") != (F.col(cutoff) >= F.col(start))).alias("n_wrong_leakage"),
+        F.count_if(F.array_min(F.array(*days)) < 0).alias("n_negative"),
+    )
+    return out.withColumn("is_valid", F.col("is_complete") & (F.col("n_wrong_actuals") + F.col("n_wrong_leakage") + F.col("n_negative") == 0))

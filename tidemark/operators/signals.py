@@ -75,6 +75,12 @@ def vote(signals: DataFrame, by: list[str]) -> DataFrame:
     return out.withColumn("action", F.when(F.col("n_sell") * 2 > F.col("n"), "SELL").otherwise("HOLD")).withColumn("sell_pct", F.round(100 * F.col("n_sell") / F.col("n"), 2))
 
 
-def last_per_key(df: DataFrame, key: list[str], on: str = "date") -> DataFrame:
-    w = Window.partitionBy(*key).orderBy(F.desc(on))
-    return df.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
+def primary_vote(signals: DataFrame, by: list[str], trend: DataFrame) -> DataFrame:
+    """Rows (strategy, share) of several signals: the action of the majority (HOLD on ties), the mean share of those that sell
+    (0 unless it is SELL), and the price's trend (columns `by` and trend_pct) with its direction.
+    """
+    n_sell = F.count_if(F.col("share") > 0)
+    out = signals.groupBy(*by).agg(n_sell.alias("n_sell"), F.count_if(F.col("share") <= 0).alias("n_hold"), F.avg(F.when(F.col("share") > 0, F.col("share"))).alias("__q"))
+    sell = F.col("n_sell") > F.col("n_hold")
+    out = out.withColumns({"action": F.when(sell, "SELL").otherwise("HOLD"), "quantity": F.when(sell, F.round("__q", 4)).otherwise(0.0)}).drop("__q")
+    return out.join(trend, by, "left").withColumn("direction", F.when(F.col("trend_pct") > 0, "up").otherwise("down"))

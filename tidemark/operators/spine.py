@@ -42,12 +42,20 @@ def missing(left: DataFrame, right: DataFrame, key: list[str]) -> DataFrame:
     return left.join(right.select(*key).distinct(), key, "left_anti")
 
 
-def as_of_join(left: DataFrame, right: DataFrame, left_on: str, right_on: str, key: list[str]) -> DataFrame:
-    """left with the latest right_on at or before left_on, per key: one union and one window, no range join."""
+def as_of_join(left: DataFrame, right: DataFrame, left_on: str, right_on: str, key: list[str], required: bool = False) -> DataFrame:
+    """left with the latest right_on at or before left_on, per key: one union and one window, no range join.
+
+    Where there is none the result is null or, if required, the job fails and names the date.
+    """
     events = left.select(*key, F.col(left_on).alias("at"), F.lit(1).alias("side"), F.lit(None).cast(right.schema[right_on].dataType).alias(right_on))
     events = events.unionByName(right.select(*key, F.col(right_on).alias("at"), F.lit(0).alias("side"), F.col(right_on)))
     w = Window.partitionBy(*key).orderBy("at", "side").rowsBetween(Window.unboundedPreceding, 0)
-    return events.withColumn(right_on, F.last(right_on, ignorenulls=True).over(w)).where("side = 1").select(*key, F.col("at").alias(left_on), right_on)
+    latest = F.last(right_on, ignorenulls=True).over(w)
+    out = events.withColumn(right_on, latest).where("side = 1").select(*key, F.col("at").alias(left_on), right_on)
+    if required:
+        none = F.raise_error(F.concat(F.lit(f"no {right_on} at or before "), F.col(left_on).cast("string")))
+        out = out.withColumn(right_on, F.when(F.col(right_on).isNull(), none).otherwise(F.col(right_on)))
+    return out
 
 
 def merge_series(long_df: DataFrame, names: list[str], series: str = "series", value: str = "value") -> DataFrame:

@@ -114,4 +114,14 @@ DATES = {
     "f13_row_means": "article_date",
     "f15_day_ahead": "start",
     "g3_prediction_override": "start",
+    "p8_range_examples": "date",
+    "a29_path_inventory": "first_start last_start",
+    "e17_path_validity": "start",
+    "e6_score_upsert": "start",
+    "f12_restored": "date",
+    "g11_primary_vote": "date",
+    "j6_training_date": "date training_date",
+    "m6_all_at_cutoffs": "data_cutoff_date",
+    "m10_fan_out": "data_cutoff_date training_date",
+    "w15_sentiment_spans": "date",
 }
