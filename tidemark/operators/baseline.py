@@ -100,14 +100,14 @@ def fan_out(df: DataFrame, key: list[str], months: int, horizon: int, column: st
     w = Window.partitionBy(*key).orderBy("date")
     line = w.rowsBetween(1 - lookback, 0)
     period = F.floor((F.year("date") * 12 + F.month("date") - 1) / months)
-    own = df.select(*key, "date", column).withColumns({"__i": F.row_number().over(w).cast("double"), "__d": F.col(column) - F.lag(column, 1).over(w), "__p": period})
+    own = df.select(*key, "date", column).withColumns({"__i": F.row_number().over(w).cast("double"), "__p": period})
     trains = F.col("__p") != F.coalesce(F.lag("__p", 1).over(w), F.lit(-1))
-    fitted = F.when(trains, F.struct(F.col("date").alias("training_date"), F.avg("__d").over(line).alias("drift"), F.regr_slope(F.col(column), F.col("__i")).over(line).alias("slope")))
+    fitted = F.when(trains, F.struct(F.col("date").alias("training_date"), F.try_divide(F.col(column) - F.first(column).over(line), F.count(F.lit(1)).over(line) - 1).alias("drift"), F.regr_slope(F.col(column), F.col("__i")).over(line).alias("slope")))
     own = own.withColumn("__fit", fitted).withColumn("__fit", F.last("__fit", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
     step = {"naive": F.lit(0.0), "drift": F.col("__fit.drift"), "trend": F.col("__fit.slope")}
     models = F.explode(F.array(*(F.struct(F.lit(m).alias("model"), x.alias("step")) for m, x in step.items())))
     out = with_horizon(own.withColumn("__m", models), horizon)
-    return out.select(*key, F.col("date").alias("data_cutoff_date"), "__fit.training_date", "__m.model", "day_ahead", F.round(F.col(column) + F.coalesce(F.col("__m.step"), F.lit(0.0)) * F.col("day_ahead"), 4).alias("forecast"))
+    return out.select(*key, F.col("date").alias("data_cutoff_date"), "__fit.training_date", "__m.model", "day_ahead", (F.floor((F.col(column) + F.coalesce(F.col("__m.step"), F.lit(0.0)) * F.col("day_ahead")) * 10000 + 0.5) / 10000).alias("forecast"))
 
 
 def expand_paths(points: DataFrame, n: int, key: list[str], seed: int) -> DataFrame:

@@ -73,7 +73,7 @@ CASES = {
     "g11_primary_vote": (voted, rsi_sql(f"SELECT v.date, v.commodity, n_sell, n_hold, CASE WHEN n_sell > n_hold THEN 'SELL' ELSE 'HOLD' END AS action, CASE WHEN n_sell > n_hold THEN round(q, 4) ELSE 0.0 END::DOUBLE AS quantity, trend_pct, CASE WHEN trend_pct > 0 THEN 'up' ELSE 'down' END AS direction FROM (SELECT date, commodity, count(*) FILTER (share > 0) AS n_sell, count(*) FILTER (share <= 0) AS n_hold, avg(share) FILTER (share > 0) AS q FROM (SELECT date, commodity, CASE WHEN over_threshold THEN {LADDER} ELSE 0.0 END::DOUBLE AS share FROM z UNION ALL SELECT date, commodity, CASE WHEN cross_down THEN {LADDER} ELSE 0.0 END::DOUBLE FROM z UNION ALL SELECT date, commodity, CASE WHEN rsi_14 > 70 THEN 0.35 ELSE 0.0 END::DOUBLE FROM z) GROUP BY ALL) v JOIN (SELECT date, commodity, round((close / first_value(close) {frame(7)} - 1) * 100, 4) AS trend_pct FROM market) t USING (date, commodity)")),
     "j6_training_date": (lambda f: spine.as_of_join(f.trades.select(F.col("strategy").alias("commodity"), "date").distinct(), f.market.select("commodity", F.col("date").alias("training_date")), "date", "training_date", KEY, required=True), sql("trades market", "SELECT t.commodity, t.date, max(m.date) AS training_date FROM (SELECT DISTINCT strategy AS commodity, date FROM trades) t JOIN market m ON m.commodity = t.commodity AND m.date <= t.date GROUP BY ALL")),
     "m6_all_at_cutoffs": (lambda f: baseline.all_at_cutoffs(f.market, KEY, 7), sql("market", f", b AS (SELECT *, close + 7 * avg(d) {frame(31)} AS drift, CASE WHEN count(*) {frame(30)} >= 5 THEN regr_intercept(close, i) {frame(30)} + regr_slope(close, i) {frame(30)} * (i + 7) ELSE close END AS trend, lead(close, 7) OVER ({W}) AS actual FROM (SELECT *, row_number() OVER ({W})::DOUBLE AS i, close - lag(close) OVER ({W}) AS d FROM market)), s AS (SELECT commodity, date, avg(v) AS v FROM (SELECT b.commodity, b.date, y, arg_min(m.close, r) AS v FROM b, range(1, 4) a(y), (VALUES (0, 0), (1, -1), (2, 1)) o(r, off), market m WHERE m.commodity = b.commodity AND m.date = (CAST((b.date + 7) - to_months(CAST(12 * y AS INT)) AS DATE) + CAST(off AS INT)) GROUP BY ALL) GROUP BY ALL) SELECT b.commodity, b.date AS data_cutoff_date, 7 AS day_ahead, round(actual, 4) AS actual, model, round(CASE model WHEN 'naive' THEN close WHEN 'drift' THEN drift WHEN 'trend' THEN trend ELSE coalesce(v, close) END, 4) AS forecast FROM b LEFT JOIN s ON s.commodity = b.commodity AND s.date = b.date, (VALUES ('naive'), ('drift'), ('trend'), ('seasonal')) x(model) WHERE actual IS NOT NULL").replace(") , ", "), ", 1)),
-    "m10_fan_out": (lambda f: baseline.fan_out(f.market, KEY, 6, 14), sql("market", f", b AS (SELECT *, avg(d) {frame(30)} AS mu, CASE WHEN count(*) {frame(30)} > 1 THEN regr_slope(close, i) {frame(30)} END AS sl, p <> coalesce(lag(p) OVER ({W}), -1) AS trains FROM (SELECT *, row_number() OVER ({W})::DOUBLE AS i, close - lag(close) OVER ({W}) AS d, (year(date) * 12 + month(date) - 1) // 6 AS p FROM market)), s AS (SELECT commodity, date, close, last_value(CASE WHEN trains THEN {{'t': date, 'mu': mu, 'sl': sl}} END IGNORE NULLS) OVER ({W} ROWS UNBOUNDED PRECEDING) AS fit FROM b) SELECT commodity, date AS data_cutoff_date, fit.t AS training_date, model, h::INT AS day_ahead, round(close + coalesce(CASE model WHEN 'drift' THEN fit.mu WHEN 'trend' THEN fit.sl ELSE 0 END, 0) * h, 4) AS forecast FROM s, (VALUES ('naive'), ('drift'), ('trend')) x(model), range(1, 15) r(h)").replace(") , ", "), ", 1)),
+    "m10_fan_out": (lambda f: baseline.fan_out(f.market, KEY, 6, 14), sql("market", f", b AS (SELECT *, (close - first_value(close) {frame(30)}) / nullif(count(*) {frame(30)} - 1, 0) AS mu, CASE WHEN count(*) {frame(30)} > 1 THEN regr_slope(close, i) {frame(30)} END AS sl, p <> coalesce(lag(p) OVER ({W}), -1) AS trains FROM (SELECT *, row_number() OVER ({W})::DOUBLE AS i, (year(date) * 12 + month(date) - 1) // 6 AS p FROM market)), s AS (SELECT commodity, date, close, last_value(CASE WHEN trains THEN {{'t': date, 'mu': mu, 'sl': sl}} END IGNORE NULLS) OVER ({W} ROWS UNBOUNDED PRECEDING) AS fit FROM b) SELECT commodity, date AS data_cutoff_date, fit.t AS training_date, model, h::INT AS day_ahead, floor((close + coalesce(CASE model WHEN 'drift' THEN fit.mu WHEN 'trend' THEN fit.sl ELSE 0 END, 0) * h) * 10000 + 0.5) / 10000 AS forecast FROM s, (VALUES ('naive'), ('drift'), ('trend')) x(model), range(1, 15) r(h)").replace(") , ", "), ", 1)),
     "st1_incremental_ingest": (ingested, "SELECT event_id, user_id, event_type, value FROM events"),
     "w15_sentiment_spans": (lambda f: feat.sentiment_spans(tone_by_type(f), KEY, "tone", [7, 14, 30]), sql("news", f", d AS (SELECT all_names AS commodity, date, round(avg(try_cast(split_part(tone, ',', 1) AS DOUBLE)), 6) AS tone FROM news GROUP BY ALL), m AS (SELECT *, " + ", ".join([*(f"CASE WHEN count(*) {frame(n)} = {n} THEN round({fn}(tone) {frame(n)}, 6) END AS tone_{name}_{n}" for n in (7, 14, 30) for name, fn in (("mean", "avg"), ("std", "stddev_samp"), ("min", "min"), ("max", "max"))), *(f"round(tone - lag(tone, {n}) OVER ({W}), 6) AS momentum_{n}" for n in (7, 14, 30))]) + " FROM d) SELECT *, " + ", ".join(f"round(momentum_{n} - lag(momentum_{n}, {n}) OVER ({W}), 6) AS acceleration_{n}" for n in (7, 14, 30)) + " FROM m").replace(") , ", "), ", 1)),
     "w29_direction_origin": (lambda f: pt.directional_accuracy(f.points, BY, ["model"], "origin"), sql("points", "SELECT model, round(avg((sign(forecast - pf) = sign(actual - pa))::INT) * 100, 4) AS directional_accuracy FROM (SELECT *, first_value(forecast) OVER w AS pf, first_value(actual) OVER w AS pa FROM points WINDOW w AS (PARTITION BY start, model ORDER BY day)) WHERE day > 1 GROUP BY 1")),

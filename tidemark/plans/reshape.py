@@ -76,7 +76,7 @@ CASES = {
     "u1_stack_rows": (lambda f: files.stack_rows(f.market.select("date", F.lit("market").alias("layer")), f.vix.select("date", F.lit("vix").alias("layer"))), sql("market vix", "SELECT date, 'market' AS layer FROM market UNION ALL SELECT date, 'vix' FROM vix")),
     "u2_unique": (lambda f: f.weather.select("region", "commodity").distinct(), sql("weather", "SELECT DISTINCT region, commodity FROM weather")),
     "p6_select_prefix": (lambda f: clean.select_prefix(spine.merge_series(f.macro_long, FX), ["date"], ["fx_0", "fx_3"]), sql("macro_long", "SELECT date, max(value) FILTER (series = 'fx_0') AS fx_0, max(value) FILTER (series = 'fx_3') AS fx_3 FROM macro_long GROUP BY 1")),
-    "p10_convert_units": (lambda f: f.market.select("date", "commodity", "close").join(clean.first_by(f.macro_long, ["series"], [F.desc("date")]).select("series", "value")).select("date", "commodity", "series", F.round(F.col("close") * 20 * F.col("value"), 2).alias("local_price")), sql("market macro_long", "SELECT m.date, commodity, series, round(close * 20 * value, 2) AS local_price FROM market m, (SELECT * FROM macro_long QUALIFY row_number() OVER (PARTITION BY series ORDER BY date DESC) = 1) x")),
+    "p10_convert_units": (lambda f: f.market.select("date", "commodity", "close").join(clean.first_by(f.macro_long, ["series"], [F.desc("date")]).select("series", "value")).select("date", "commodity", "series", (F.floor(F.col("close") * 20 * F.col("value") * 100 + 0.5) / 100).alias("local_price")), sql("market macro_long", "SELECT m.date, commodity, series, floor(close * 20 * value * 100 + 0.5) / 100 AS local_price FROM market m, (SELECT * FROM macro_long QUALIFY row_number() OVER (PARTITION BY series ORDER BY date DESC) = 1) x")),
     "r4_pivot_regions": (pivot_regions, sql("weather", "SELECT date, commodity, " + ", ".join(f"max(temp_c) FILTER (region = '{r}') AS temp_c_{r.lower()}" for r in REGIONS) + " FROM weather GROUP BY ALL")),
     "r6_path_arrays": (lambda f: pt.path_arrays(f.paths, BY).select(*BY, F.size("paths").cast("long").alias("n_paths"), F.round(F.element_at("paths", 1)[0], 4).alias("first_value")), sql("paths", "SELECT start, model, count(*) AS n_paths, round(arg_min(day_1, path_id), 4) AS first_value FROM paths GROUP BY ALL")),
     "s6_new_files": (new_files, "SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderkey % 2 = 1"),
