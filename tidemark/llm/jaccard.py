@@ -44,8 +44,8 @@ FREQUENT, TASK_FREQUENT = 50_000, 20_000
 HOT_SETS, GRID = 100_000, 32
 FLUSH = 1_000_000
 REGION_ROWS, MEMBERS_PER_TASK = 500_000, 500
-#: Shingles for each bin of a set's sketch, and its most bins.
-BIN_SHINGLES, MOST_BINS = 8, 4096
+#: Least and most bits of a set's sketch, which has two to four bits a shingle; bits of the folded one that parts carry.
+LEAST_BITS, MOST_BITS = 512, 1 << 16
 #: Bits of the filter of wanted documents; its size is fixed, and whatever it lets through is joined exactly.
 FILTER_BITS = 1 << 24
 #: Copies of one set are dealt to so many parts when they fetch its component.
@@ -78,17 +78,24 @@ def linked(inter: np.ndarray | int, a: np.ndarray | int, b: np.ndarray | int, pe
 
 
 def sketch(own: np.ndarray) -> bytes:
-    """How many shingles fall into each of some bins by hash, 255 for more; the number of bins is a power of two."""
-    bins = min(MOST_BINS, 1 << max(4, (len(own) // BIN_SHINGLES).bit_length()))
-    return np.minimum(np.bincount(((own * MIX[0]) >> np.uint64(44)).astype(np.int64) & (bins - 1), minlength=bins), 255).astype(np.uint8).tobytes()
+    """The parity of the number of shingles in each of some bins by hash, a bit each."""
+    bins = min(MOST_BITS, max(LEAST_BITS, 1 << (2 * len(own)).bit_length()))
+    return np.packbits(np.bincount(((own * MIX[0]) >> np.uint64(44)).astype(np.int64) & (bins - 1), minlength=bins) & 1, bitorder="little").tobytes()
 
 
-def may_link(a: bytes, b: bytes, n_a: int, n_b: int, percent: int) -> bool:
-    """Whether sets with these sketches and sizes can share enough: no more than the lesser count of each bin."""
-    x, y = (np.frombuffer(s, np.uint8) for s in sorted((a, b), key=len))
-    if (x == 255).any() or (y == 255).any():
-        return True
-    return bool(linked(int(np.minimum(x, y.reshape(-1, len(x)).sum(axis=0)).sum()), n_a, n_b, percent))
+def folded(full: bytes, size: int) -> np.ndarray:
+    """The sketch of fewer bins, in bytes: parities of bins that become one add up."""
+    return np.bitwise_xor.reduce(np.frombuffer(full, np.uint8).reshape(-1, size), axis=0)
+
+
+def may_link(odd_bits: np.ndarray | int, n_a: np.ndarray | int, n_b: np.ndarray | int, percent: int) -> np.ndarray | bool:
+    """Whether sets of these sizes can share enough: a bit that differs takes a shingle that only one of them has."""
+    return odd_bits * (100 + percent) <= (n_a + n_b) * (100 - percent)
+
+
+def differing_bits(a: bytes, b: bytes) -> int:
+    size = min(len(a), len(b))
+    return int(np.bitwise_count(folded(a, size) ^ folded(b, size)).sum())
 
 
 class Pivots:
@@ -438,13 +445,14 @@ def later_pairs(open_rows: DataFrame, first: int, last: int, percent: int) -> Da
     """(a, b) of the pivots ranked from first to below last in each part with the points behind them, where components and windows allow a link.
 
     A window: points of which both distances to a common pivot are known can't link if these differ by more than the
-    reach.
+    reach. Nor can those whose folded sketches differ in too many bits.
     """
     reach = (100 - percent) / 100 + 1e-9
 
     def close(parts: list) -> Iterator[pa.RecordBatch]:
         t = pa.Table.from_batches(parts)
         tokens, keys, sizes, places, ranks, comps, pivots, dists = (t.column(c).to_numpy() for c in ("token", "key", "size", "place", "rank", "component", "pivot", "distance"))
+        odd = np.frombuffer(b"".join(t.column("odd").to_pylist()), np.uint64).reshape(-1, LEAST_BITS // 64)
         size, order = group_bounds(tokens)
         mine = (ranks >= first) & (ranks < last)
         pairs_so_far = np.cumsum(np.where(mine, size - order, 0))
@@ -456,6 +464,11 @@ def later_pairs(open_rows: DataFrame, first: int, last: int, percent: int) -> Da
             i, j = pivot_pairs(size, held, 0, len(ranks) + 1)
             fit = (comps[i] != comps[j]) & in_reach(sizes, places, i, j, percent)
             fit &= ~((pivots[i] == pivots[j]) & (np.abs(dists[i] - dists[j]) > reach))
+            i, j = i[fit], j[fit]
+            bits = np.zeros(len(i), np.int64)
+            for word in odd.T:
+                bits += np.bitwise_count(word[i] ^ word[j])
+            fit = may_link(bits, sizes[i].astype(np.int64), sizes[j].astype(np.int64), percent)
             pairs = np.unique(np.stack([keys[i[fit]], keys[j[fit]]], axis=1), axis=0)
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0], pa.int64()), pa.array(pairs[:, 1], pa.int64())], names=["a", "b"])
 
@@ -479,6 +492,16 @@ def later_pairs(open_rows: DataFrame, first: int, last: int, percent: int) -> Da
     return map_arrow(rows, run, "a long, b long").distinct()
 
 
+def with_odd_bits(rows: DataFrame, sets: DataFrame) -> DataFrame:
+    """rows with `odd`, the sketch of their set (key), folded to LEAST_BITS."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([folded(x, LEAST_BITS // 8).tobytes() for x in b.column(1).to_pylist()], pa.binary())], names=["key", "odd"])
+
+    return rows.join(map_arrow(sets.select("key", "sketch"), run, "key long, odd binary").hint("merge"), "key")
+
+
 def probably(column: str, wanted: DataFrame) -> Column:
     """Whether a row of `wanted` (one column of longs) may have the value: a filter of FILTER_BITS bits, whatever the number of rows."""
     bit = F.expr(f"pmod(xxhash64(v), {FILTER_BITS}) + 1")  # bitmaps count from 1
@@ -504,7 +527,7 @@ def possible(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sketches = zip(*(b.column(k).to_pylist() for k in range(4, 8)), strict=True)
-            keep = pa.array([may_link(x, y, n, m, percent) for x, y, n, m in sketches], pa.bool_())
+            keep = pa.array([may_link(differing_bits(x, y), n, m, percent) for x, y, n, m in sketches], pa.bool_())
             yield pa.RecordBatch.from_arrays([c.filter(keep) for c in b.columns[:4]], names=b.schema.names[:4])
 
     return map_arrow(both.select("a", "b", "rep_a", "rep_b", "sketch_a", "sketch_b", "n_a", "n_b"), run, "a long, b long, rep_a long, rep_b long")
@@ -614,7 +637,7 @@ def jaccard_components(docs: DataFrame, words_each: int = SHINGLE_WORDS, percent
         if most is None:
             break
         large = marked.join(split.select("token"), "token", "left_semi")
-        pairs = saved(later_pairs(large, first, first * GROW, percent), "jaccard-pairs")
+        pairs = saved(later_pairs(with_odd_bits(large, sets), first, first * GROW, percent), "jaccard-pairs")
         if pairs.take(1):
             more = saved(measured(pairs, sets, docs, words_each, percent), "jaccard-links")
             done, ends = done.unionByName(more), ends.unionByName(saved(ends_of(more, sets), "jaccard-ends"))
