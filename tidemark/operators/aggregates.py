@@ -121,3 +121,21 @@ def health_band(score: Column) -> Column:
     for least, name in reversed(HEALTH_BANDS):
         out = F.when(score >= least, name).otherwise(out)
     return out
+
+
+def with_group_stats(df: DataFrame, key: list[str], column: str) -> DataFrame:
+    """Every row beside its group's mean and deviation."""
+    stats = df.groupBy(*key).agg(F.round(F.avg(column), 2).alias("mean"), F.round(F.stddev_samp(column), 2).alias("std"))
+    return df.join(stats, key).select("date", *key, column, "mean", "std")
+
+
+def day_ahead_accuracy(df: DataFrame, region: str, column: str) -> DataFrame:
+    """How well a day's regional mean foretells the next day's: pairs of days and mean absolute error."""
+    daily = df.groupBy("date", region).agg(F.round(F.avg(column), 6).alias("forecast"))
+    actual = daily.select(F.expr("date_sub(date, 1)").alias("date"), region, F.col("forecast").alias("actual"))
+    return daily.join(actual, ["date", region]).groupBy(region).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(F.abs(F.col("forecast") - F.col("actual"))), 4).alias("mae"))
+
+
+def pivot_groups(df: DataFrame, by: list[str], group: str, names: list[str], column: str) -> DataFrame:
+    """A column for each named group's value: one aggregation, no pivot over unknown names."""
+    return df.groupBy(*by).agg(*(F.max(F.when(F.col(group) == n, F.col(column))).alias(f"{column}_{n.lower()}") for n in names))

@@ -98,3 +98,17 @@ def range_examples(df: DataFrame, limits: dict[str, tuple[float, float]], order:
     out = df.select(*order, F.explode(F.array_compact(F.array(*cells))).alias("__x")).select(*order, "__x.*")
     w = Window.partitionBy("column").orderBy(*order)
     return out.withColumn("__k", F.row_number().over(w)).where(F.col("__k") <= k).drop("__k")
+
+
+def convert_units(prices: DataFrame, rates: DataFrame, factor: float, most_series: int = 10_000) -> DataFrame:
+    """Every price in the units of each series' latest rate, rounded half up.
+
+    The latest rates go to all tasks; a table of more than most_series of them is refused.
+    """
+    latest = first_by(rates, ["series"], [F.desc("date")]).select("series", "value")
+    held = latest.limit(most_series + 1).collect()
+    if len(held) > most_series:
+        raise ValueError(f"more than {most_series} series")
+    each = F.explode(F.array(*(F.struct(F.lit(r["series"]).alias("series"), F.lit(r["value"]).alias("value")) for r in held)))
+    own = prices.withColumn("__r", each)
+    return own.select("date", "commodity", "__r.series", (F.floor(F.col("close") * factor * F.col("__r.value") * 100 + 0.5) / 100).alias("local_price"))

@@ -56,23 +56,11 @@ def rsi_momentum_vol(df: DataFrame, column: str, periods: list[int], key: list[s
     return base.withColumns(out).drop("__d", "__r")
 
 
-def ewma(values: Column, span: int) -> Column:
-    """Exponentially weighted means of an array (first value, then a*x + (1-a)*before), as an array."""
-    a = 2 / (span + 1)
-    start = F.struct(F.lit(None).cast("double").alias("last"), F.array().cast("array<double>").alias("all"))
-
-    def step(acc: Column, x: Column) -> Column:
-        now = F.when(acc["last"].isNull(), x).otherwise(a * x + (1 - a) * acc["last"])
-        return F.struct(now.alias("last"), F.concat(acc["all"], F.array(now)).alias("all"))
-
-    return F.aggregate(values, start, step, lambda acc: acc["all"])
-
-
-def macd(df: DataFrame, column: str, key: list[str], on: str = "date", fast: int = 12, slow: int = 26, signal: int = 9, block: int = 4096) -> DataFrame:
+def macd(df: DataFrame, column: str, key: list[str], on: str = "date", fast: int = 12, slow: int = 26, signal: int = 9) -> DataFrame:
     """macd, macd_signal and macd_hist by key and date.
 
-    The recursion needs a key's rows in order, so each key is one group of a series a day long per row; `applyInPandas` holds
-    one series (three columns) at a time.
+    The recursion needs a key's rows in order, so each key is one group; `applyInPandas` holds one series (three columns) at a
+    time. Meant for daily series, of which a century has 36,525 rows.
     """
     import pandas as pd
 

@@ -232,3 +232,28 @@ def path_validity(df: DataFrame, by: list[str], start: str, cutoff: str, expecte
         F.count_if(F.array_min(F.array(*days)) < 0).alias("n_negative"),
     )
     return out.withColumn("is_valid", F.col("is_complete") & (F.col("n_wrong_actuals") + F.col("n_wrong_leakage") + F.col("n_negative") == 0))
+
+
+def with_actuals(points: DataFrame, actuals: DataFrame) -> DataFrame:
+    """Point forecasts beside what came true on their day."""
+    return points.join(actuals, ["start", "day"])
+
+
+def error_by_horizon(points: DataFrame) -> DataFrame:
+    """Mean and median absolute error of each day ahead."""
+    e = F.abs(F.col("forecast") - F.col("actual"))
+    own = exact_quantiles(points.select("day", e.alias("__e")), ["day"], ["__e"], [0.5]).select("day", F.round(F.col("__e")[0], 2).alias("median_error"))
+    return points.groupBy("day").agg(F.round(F.avg(e), 2).alias("mean_error")).join(own, "day")
+
+
+def day_ahead(points: DataFrame) -> DataFrame:
+    """Days from a forecast's start to its target, and whether they agree with the day's number."""
+    after = F.datediff(F.expr("date_add(start, day)"), "start")
+    return points.select("start", "model", "day", after.cast("long").alias("days_after"), (after == F.col("day")).alias("consistent"))
+
+
+def overlapping(points: DataFrame, n: int) -> DataFrame:
+    """The n latest forecasts of each target date, by age and model."""
+    own = points.withColumn("target", F.expr("date_add(start, day - 1)")).withColumn("age", F.datediff("target", "start").cast("long")).select("target", "model", "age", F.round("forecast", 2).alias("forecast"))
+    w = Window.partitionBy("target").orderBy("age", "model")
+    return own.withColumn("__n", F.row_number().over(w)).where(F.col("__n") <= n).drop("__n")

@@ -57,11 +57,6 @@ def direction_counts(df: DataFrame, by: list[str], right: str) -> DataFrame:
     return out.withColumn("z_score", F.round(F.try_divide(F.col("n_right") - F.col("n") / 2, F.sqrt(F.col("n") / 4)), 4))
 
 
-def tail_probability(z: float) -> float:
-    """Two-sided normal tail of a statistic, for one-row results."""
-    return math.erfc(abs(z) / math.sqrt(2))
-
-
 def regression_alert(scores: DataFrame, key: list[str], metric: str, as_of: str, on: str = "date") -> DataFrame:
     """Last 30 days against the 30 before: change in per cent with levels, and z score of the recent mean against all history before."""
     age = F.datediff(F.lit(as_of).cast("date"), on)

@@ -80,3 +80,9 @@ def version_diff(a: DataFrame, b: DataFrame, key: list[str], column: str) -> Dat
 def latest_only(df: DataFrame, key: list[str], on: str) -> DataFrame:
     latest = df.groupBy(*key).agg(F.max(on).alias(on))
     return df.join(latest, [*key, on], "left_semi")
+
+
+def with_trading_flag(days: DataFrame, trading: DataFrame, on: str = "date") -> DataFrame:
+    """days with is_trading_day: 1 where `trading` has the date, else 0."""
+    own = trading.select(on).distinct().withColumn("is_trading_day", F.lit(1))
+    return days.join(own, on, "left").withColumn("is_trading_day", F.coalesce("is_trading_day", F.lit(0)))

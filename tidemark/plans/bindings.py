@@ -97,9 +97,9 @@ class Frames:
 
     @cached_property
     def points(self) -> DataFrame:
-        from ..operators.paths import medians
+        from ..operators.paths import medians, with_actuals
 
-        return medians(self.paths, ["start", "model"]).join(self.actuals, ["start", "day"])
+        return with_actuals(medians(self.paths, ["start", "model"]), self.actuals)
 
     @cached_property
     def trades(self) -> DataFrame:

@@ -7,7 +7,7 @@ import uuid
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..operators import baseline, clean, learners, news as nw, paths as pt, spine
+from ..operators import aggregates as agg, baseline, clean, learners, news as nw, paths as pt, spine
 from ..sources import files
 from ..streaming import jobs as st
 from .bindings import Frames, with_views as sql
@@ -156,9 +156,9 @@ CASES = {
     "f5_file_day": (lambda f: nw.file_day(file_names(f), "file"), on_names("SELECT file, CAST(strptime(substr(file, 1, 8), '%Y%m%d') AS DATE) AS file_day, replace(file, '.gz', '') AS base_name FROM names")),
     "f14_cadence": (lambda f: f.market.select("commodity").distinct().join(baseline.cadence(f.spark, "1995-01-31", "2001-08-01", "monthly")).where(F.col("training_date") >= F.lit("1995-01-01")), sql("market", "SELECT commodity, CAST(DATE '1995-01-31' + to_months(CAST(k AS INT)) AS DATE) AS training_date FROM (SELECT DISTINCT commodity FROM market), range(0, 79) r(k)")),
     "u5_keep_last": (lambda f: clean.first_by(f.trades, ["strategy", "date"], [F.desc("trade_id")]), sql("trades", "SELECT * FROM trades QUALIFY row_number() OVER (PARTITION BY strategy, date ORDER BY trade_id DESC) = 1")),
-    "j10_forecast_accuracy": (lambda f: f.weather.groupBy("date", "region").agg(F.round(F.avg("temp_c"), 6).alias("forecast")).join(f.weather.groupBy(F.expr("date_sub(date, 1)").alias("date"), "region").agg(F.round(F.avg("temp_c"), 6).alias("actual")), ["date", "region"]).groupBy("region").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(F.abs(F.col("forecast") - F.col("actual"))), 4).alias("mae")), sql("weather", ", d AS (SELECT date, region, round(avg(temp_c), 6) AS t FROM weather GROUP BY ALL) SELECT a.region, count(*) AS n, round(avg(abs(a.t - b.t)), 4) AS mae FROM d a JOIN d b ON a.region = b.region AND b.date = a.date + 1 GROUP BY 1").replace(") , ", "), ", 1)),
+    "j10_forecast_accuracy": (lambda f: agg.day_ahead_accuracy(f.weather, "region", "temp_c"), sql("weather", ", d AS (SELECT date, region, round(avg(temp_c), 6) AS t FROM weather GROUP BY ALL) SELECT a.region, count(*) AS n, round(avg(abs(a.t - b.t)), 4) AS mae FROM d a JOIN d b ON a.region = b.region AND b.date = a.date + 1 GROUP BY 1").replace(") , ", "), ", 1)),
     "e7_pending_windows": (lambda f: spine.missing(f.paths.groupBy("start", "model").agg(F.count_distinct("path_id").alias("n_paths")), f.points.where("day = 14 AND model <> 'N'").select("start", "model"), ["start", "model"]), sql("paths points", "SELECT start, model, count(DISTINCT path_id) AS n_paths FROM paths WHERE (start, model) NOT IN (SELECT (start, model) FROM points WHERE day = 14 AND model <> 'N') GROUP BY ALL")),
-    "e6_score_table": (lambda f: pt.point_metrics(pt.up_to_horizon(f.points, [1, 7, 14]), ["start", "model", "horizon"]).groupBy("start", "model").agg(*(F.max(F.when(F.col("horizon") == h, F.col(m))).alias(f"{m}_{h}d") for h in (1, 7, 14) for m in ("mae", "rmse"))), sql("points", "SELECT start, model, " + ", ".join(f"round(avg(abs(forecast - actual)) FILTER (day <= {h}), 4) AS mae_{h}d, round(sqrt(avg(pow(forecast - actual, 2)) FILTER (day <= {h})), 4) AS rmse_{h}d" for h in (1, 7, 14)) + " FROM points GROUP BY ALL")),
+    "e6_score_table": (lambda f: pt.score_table(f.points, ["start", "model"], [1, 7, 14], ("mae", "rmse")), sql("points", "SELECT start, model, " + ", ".join(f"round(avg(abs(forecast - actual)) FILTER (day <= {h}), 4) AS mae_{h}d, round(sqrt(avg(pow(forecast - actual, 2)) FILTER (day <= {h})), 4) AS rmse_{h}d" for h in (1, 7, 14)) + " FROM points GROUP BY ALL")),
     "p5_leakage_flag": (lambda f: clean.leakage_flag(f.trades.select("trade_id", "date", F.expr("date_add(date, int(trade_id % 3) - 1)").alias("cutoff")), "date", "cutoff"), sql("trades", "SELECT trade_id, date, cutoff, date <= cutoff AS has_data_leakage FROM (SELECT trade_id, date, date + CAST(trade_id % 3 - 1 AS INT) AS cutoff FROM trades)")),
     "m7_pooled_trees": (pooled, None),
     "m8_importance": (importances, None),

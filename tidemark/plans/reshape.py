@@ -21,18 +21,10 @@ def frame(n: int) -> str:
     return f"OVER ({W} ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW)"
 
 
-def pivot_regions(f: Frames):
-    return f.weather.groupBy("date", "commodity").agg(*(F.max(F.when(F.col("region") == r, F.col("temp_c"))).alias(f"temp_c_{r.lower()}") for r in REGIONS))
-
-
 def sentiment(f: Frames):
-    """Rolling tone of each event type: mean, deviation and extremes over seven rows, momentum and its change."""
+    """Tone of each event type over seven rows."""
     day = nw.parse_tone(f.news).groupBy(F.col("all_names").alias("commodity"), "date").agg(F.round(F.avg("tone_avg"), 6).alias("tone"))
-    span, w = feat.trailing(KEY, "date", 7), feat.ordered(KEY, "date")
-    full = F.count(F.lit(1)).over(span) == 7
-    out = day.withColumns({f"tone_{n}_7": F.when(full, F.round(fn("tone").over(span), 6)) for n, fn in (("mean", F.avg), ("std", F.stddev_samp), ("min", F.min), ("max", F.max))})
-    out = out.withColumn("momentum", F.round(F.col("tone") - F.lag("tone", 7).over(w), 6))
-    return out.withColumn("acceleration", F.round(F.col("momentum") - F.lag("momentum", 7).over(w), 6))
+    return feat.sentiment_spans(day, KEY, "tone", [7]).withColumnsRenamed({"momentum_7": "momentum", "acceleration_7": "acceleration"})
 
 
 def new_files(f: Frames):
@@ -65,25 +57,25 @@ def overridden(f: Frames):
 
 
 CASES = {
-    "j3_trading_days": (lambda f: f.vix.join(f.market.select("date").distinct().withColumn("is_trading_day", F.lit(1)), "date", "left").withColumn("is_trading_day", F.coalesce("is_trading_day", F.lit(0))), sql("vix market", "SELECT date, vix, CASE WHEN date IN (SELECT date FROM market) THEN 1 ELSE 0 END AS is_trading_day FROM vix")),
+    "j3_trading_days": (lambda f: spine.with_trading_flag(f.vix, f.market), sql("vix market", "SELECT date, vix, CASE WHEN date IN (SELECT date FROM market) THEN 1 ELSE 0 END AS is_trading_day FROM vix")),
     "j5_with_actuals": (lambda f: f.points, sql("points", "SELECT * FROM points")),
-    "j12_with_stats": (lambda f: f.market.join(f.market.groupBy("commodity").agg(F.round(F.avg("close"), 2).alias("mean"), F.round(F.stddev_samp("close"), 2).alias("std")), "commodity").select("date", "commodity", "close", "mean", "std"), sql("market", "SELECT date, commodity, close, round(avg(close) OVER (PARTITION BY commodity), 2) AS mean, round(stddev_samp(close) OVER (PARTITION BY commodity), 2) AS std FROM market")),
-    "a23_error_by_horizon": (lambda f: f.points.groupBy("day").agg(F.round(F.avg(F.abs(F.col("forecast") - F.col("actual"))), 2).alias("mean_error"), F.round(F.percentile(F.abs(F.col("forecast") - F.col("actual")), 0.5), 2).alias("median_error")), sql("points", "SELECT day, round(avg(abs(forecast - actual)), 2) AS mean_error, round(quantile_cont(abs(forecast - actual), 0.5), 2) AS median_error FROM points GROUP BY 1")),
+    "j12_with_stats": (lambda f: agg.with_group_stats(f.market, KEY, "close"), sql("market", "SELECT date, commodity, close, round(avg(close) OVER (PARTITION BY commodity), 2) AS mean, round(stddev_samp(close) OVER (PARTITION BY commodity), 2) AS std FROM market")),
+    "a23_error_by_horizon": (lambda f: pt.error_by_horizon(f.points), sql("points", "SELECT day, round(avg(abs(forecast - actual)), 2) AS mean_error, round(quantile_cont(abs(forecast - actual), 0.5), 2) AS median_error FROM points GROUP BY 1")),
     "w15_sentiment": (sentiment, sql("news", f", d AS (SELECT all_names AS commodity, date, round(avg(try_cast(split_part(tone, ',', 1) AS DOUBLE)), 6) AS tone FROM news GROUP BY ALL), m AS (SELECT *, " + ", ".join(f"CASE WHEN count(*) {frame(7)} = 7 THEN round({fn}(tone) {frame(7)}, 6) END AS tone_{n}_7" for n, fn in (("mean", "avg"), ("std", "stddev_samp"), ("min", "min"), ("max", "max"))) + f", round(tone - lag(tone, 7) OVER ({W}), 6) AS momentum FROM d) SELECT *, round(momentum - lag(momentum, 7) OVER ({W}), 6) AS acceleration FROM m").replace(") , ", "), ", 1)),
     "k1_ordered_output": (lambda f: f.market.orderBy("date", "commodity"), sql("market", "SELECT * FROM market ORDER BY date, commodity")),
     "k4_recent": (lambda f: clean.top_k(f.unit_price, [F.desc("date")], 30), sql("unit_price", "SELECT * FROM unit_price ORDER BY date DESC LIMIT 30")),
-    "k5_overlapping": (lambda f: clean.first_by(f.points.withColumn("target", F.expr("date_add(start, day - 1)")).withColumn("age", F.datediff("target", "start").cast("long")).select("target", "model", "age", F.round("forecast", 2).alias("forecast")), ["target"], [F.col("age"), F.col("model")], 14), sql("points", "SELECT target, model, age, round(forecast, 2) AS forecast FROM (SELECT *, start + CAST(day - 1 AS INT) AS target, CAST(day - 1 AS BIGINT) AS age FROM points) QUALIFY row_number() OVER (PARTITION BY target ORDER BY age, model) <= 14")),
+    "k5_overlapping": (lambda f: pt.overlapping(f.points, 14), sql("points", "SELECT target, model, age, round(forecast, 2) AS forecast FROM (SELECT *, start + CAST(day - 1 AS INT) AS target, CAST(day - 1 AS BIGINT) AS age FROM points) QUALIFY row_number() OVER (PARTITION BY target ORDER BY age, model) <= 14")),
     "u1_stack_rows": (lambda f: files.stack_rows(f.market.select("date", F.lit("market").alias("layer")), f.vix.select("date", F.lit("vix").alias("layer"))), sql("market vix", "SELECT date, 'market' AS layer FROM market UNION ALL SELECT date, 'vix' FROM vix")),
     "u2_unique": (lambda f: f.weather.select("region", "commodity").distinct(), sql("weather", "SELECT DISTINCT region, commodity FROM weather")),
     "p6_select_prefix": (lambda f: clean.select_prefix(spine.merge_series(f.macro_long, FX), ["date"], ["fx_0", "fx_3"]), sql("macro_long", "SELECT date, max(value) FILTER (series = 'fx_0') AS fx_0, max(value) FILTER (series = 'fx_3') AS fx_3 FROM macro_long GROUP BY 1")),
-    "p10_convert_units": (lambda f: f.market.select("date", "commodity", "close").join(clean.first_by(f.macro_long, ["series"], [F.desc("date")]).select("series", "value")).select("date", "commodity", "series", (F.floor(F.col("close") * 20 * F.col("value") * 100 + 0.5) / 100).alias("local_price")), sql("market macro_long", "SELECT m.date, commodity, series, floor(close * 20 * value * 100 + 0.5) / 100 AS local_price FROM market m, (SELECT * FROM macro_long QUALIFY row_number() OVER (PARTITION BY series ORDER BY date DESC) = 1) x")),
-    "r4_pivot_regions": (pivot_regions, sql("weather", "SELECT date, commodity, " + ", ".join(f"max(temp_c) FILTER (region = '{r}') AS temp_c_{r.lower()}" for r in REGIONS) + " FROM weather GROUP BY ALL")),
+    "p10_convert_units": (lambda f: clean.convert_units(f.market, f.macro_long, 20), sql("market macro_long", "SELECT m.date, commodity, series, floor(close * 20 * value * 100 + 0.5) / 100 AS local_price FROM market m, (SELECT * FROM macro_long QUALIFY row_number() OVER (PARTITION BY series ORDER BY date DESC) = 1) x")),
+    "r4_pivot_regions": (lambda f: agg.pivot_groups(f.weather, ["date", "commodity"], "region", REGIONS, "temp_c"), sql("weather", "SELECT date, commodity, " + ", ".join(f"max(temp_c) FILTER (region = '{r}') AS temp_c_{r.lower()}" for r in REGIONS) + " FROM weather GROUP BY ALL")),
     "r6_path_arrays": (lambda f: pt.path_arrays(f.paths, BY).select(*BY, F.size("paths").cast("long").alias("n_paths"), F.round(F.element_at("paths", 1)[0], 4).alias("first_value")), sql("paths", "SELECT start, model, count(*) AS n_paths, round(arg_min(day_1, path_id), 4) AS first_value FROM paths GROUP BY ALL")),
     "s6_new_files": (new_files, "SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderkey % 2 = 1"),
     "s9_rebuild": (rebuilt, sql("market", "SELECT * FROM market")),
     "f12_minmax": (lambda f: feat.scale(f.weather.select("date", "region", "commodity", "temp_c"), ["temp_c"], "minmax", "1999-12-31")[0], sql("weather", "SELECT date, region, commodity, temp_c, round((temp_c - a) / (b - a), 4) AS temp_c_scaled FROM weather, (SELECT min(temp_c) AS a, max(temp_c) AS b FROM weather WHERE date <= DATE '1999-12-31')")),
     "f13_row_means": (lambda f: feat.row_mean_by_suffix(nw.pivot_metrics(grouped(f), ["article_date"], "theme_group", ["DEMAND", "MARKET", "OTHER"], ["tone_avg"], "g_"), "g_", ["tone_avg"]).select("article_date", F.col("g_tone_avg_all").alias("tone_all")), sql("news", GROUPED + " SELECT article_date, round((coalesce(a, 0) + coalesce(b, 0) + coalesce(c, 0)) / ((a IS NOT NULL)::INT + (b IS NOT NULL)::INT + (c IS NOT NULL)::INT), 4) AS tone_all FROM (SELECT article_date, max(tone_avg) FILTER (theme_group = 'DEMAND') AS a, max(tone_avg) FILTER (theme_group = 'MARKET') AS b, max(tone_avg) FILTER (theme_group = 'OTHER') AS c FROM g GROUP BY 1)").replace(") , ", "), ", 1)),
-    "f15_day_ahead": (lambda f: f.points.select("start", "model", "day", F.datediff(F.expr("date_add(start, day)"), "start").cast("long").alias("days_after"), (F.datediff(F.expr("date_add(start, day)"), "start") == F.col("day")).alias("consistent")), sql("points", "SELECT start, model, day, CAST(day AS BIGINT) AS days_after, true AS consistent FROM points")),
+    "f15_day_ahead": (lambda f: pt.day_ahead(f.points), sql("points", "SELECT start, model, day, CAST(day AS BIGINT) AS days_after, true AS consistent FROM points")),
     "f16_health_score": (health, sql("market", "SELECT commodity, round(((count(DISTINCT date) / (date_diff('day', min(date), max(date)) + 1)) * 70 + avg((high > low)::INT) * 30) * 100 / 100, 2) AS score FROM market GROUP BY 1")),
     "g3_prediction_override": (overridden, tier_sql("SELECT p.start, p.model, round(coalesce(CASE WHEN tier = 'high' THEN CASE WHEN net_benefit_pct > 0.2 THEN 0.0 ELSE 0.4 END WHEN tier = 'medium' THEN (0.25 + CASE WHEN net_benefit_pct > 0.2 THEN 0.0 ELSE 0.4 END) / 2 ELSE 0.25 END, 0.25), 4)::DOUBLE AS share FROM (SELECT DISTINCT start, model FROM long_paths WHERE start IN (SELECT start FROM actuals WHERE day = 1)) p LEFT JOIN t ON t.start = p.start AND t.model = p.model")),
     "m10_score_all": (lambda f: baseline.naive(f.market, 14, KEY).select("commodity", "day_ahead", F.lit("naive").alias("model"), "forecast").unionByName(baseline.drift(f.market, 14, KEY).select("commodity", "day_ahead", F.lit("drift").alias("model"), "forecast")), None),

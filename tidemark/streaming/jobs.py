@@ -32,6 +32,12 @@ def burst_sessions(sdf: DataFrame, ts: str, key: list[str], gap: str, delay: str
     return own.agg(F.count(F.lit(1)).alias("n")).select(*key, F.col("w.start").alias("session_start"), F.col("w.end").alias("session_end"), "n")
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether the path's file system has it."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+
+
 def upsert_stream(sdf: DataFrame, path: str, checkpoint: str, key: list[str], ts: str, partition: str) -> StreamingQuery:
     """Latest record per key into a partitioned table: each batch rewrites only the partitions that it touches."""
 
@@ -39,12 +45,7 @@ def upsert_stream(sdf: DataFrame, path: str, checkpoint: str, key: list[str], ts
         spark = batch.sparkSession
         batch = latest_wins(batch, key, ts)
         touched = batch.select(partition).distinct()
-        try:
-            held = spark.read.schema(batch.schema).parquet(path).join(touched, partition, "left_semi")
-        except Exception as error:  # the first batch finds no table
-            if "PATH_NOT_FOUND" not in str(error):
-                raise
-            held = batch.limit(0)
+        held = spark.read.schema(batch.schema).parquet(path).join(touched, partition, "left_semi") if exists(spark, path) else batch.limit(0)
         merged = latest_wins(held.unionByName(batch), key, ts).checkpoint()
         write_partitions(merged, path, [partition])
 
