@@ -21,13 +21,19 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects texts of no known language (by limits for their length) or without a letter; a missing label becomes the predicted one."""
+    """Rejects texts of no known language (by limits for their length) or without a letter; a missing label becomes the predicted one.
+
+    Null and empty texts have no letter and go. Ties go to the language that sorts first; repeated rows share their fate.
+    """
     found = identify(docs.select(*COLUMNS), docs, with_foreign=True).where((F.col("lang_pred") != UNKNOWN) & ~F.col("foreign"))
     return found.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*COLUMNS)
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects what fails the base rules or diverges from its language's histograms."""
+    """Rejects what fails the base rules or diverges from its language's histograms.
+
+    Null and empty texts fail the base rules. A row without lang is held against the nearest reference; repeated rows share their fate.
+    """
     return judge(docs.select(*COLUMNS)).where("kept").select(*COLUMNS)
 
 
@@ -45,7 +51,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cuts out every byte of strings of 400 bytes that occur more than once, and bytes of characters cut through."""
+    """Cuts out every byte of strings of 400 bytes that occur more than once, and bytes of characters cut through.
+
+    Null texts stay null, a text that is cut whole becomes empty; repeated rows cut each other.
+    """
 
     @F.pandas_udf("string")
     def whole_characters(kept: pd.Series) -> pd.Series:
@@ -56,7 +65,7 @@ def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents and their places in sequences."""
+    """The pieces of all documents and their places in sequences; null and empty texts are the end id alone, repeated rows are packed repeatedly."""
     return pack(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 

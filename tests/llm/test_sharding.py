@@ -42,6 +42,13 @@ def test_order_is_the_curve_of_exact_levels(few):
     assert got == expected
 
 
+def test_files_hold_every_row(odd, tmp_path, spark):
+    sharding.write_shards(odd, str(tmp_path / "out"))
+    back = spark.read.parquet(str(tmp_path / "out"))
+    columns = odd.columns
+    assert sorted(map(str, back.select(columns).collect())) == sorted(map(str, odd.collect()))
+
+
 def test_files_hold_runs_of_the_curve(few, tmp_path, spark):
     sharding.write_shards(few, str(tmp_path / "out"))
     back = spark.read.parquet(str(tmp_path / "out"))

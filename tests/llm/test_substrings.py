@@ -100,5 +100,25 @@ def test_documents(few):
     assert out == {x["doc_id"]: b for x, b in zip(rows, brute([x["text"].encode() for x in rows], 400), strict=True)}
 
 
+def test_texts_beyond_a_chunk_and_of_one_letter(spark):
+    """Repeats on both sides of a chunk's end and across it, and a text all of whose strings are equal."""
+    r = random.Random(12)
+    size = substrings.CHUNK
+    long = "".join(r.choices("abcdefghijklmnop", k=size + 5000))
+    passage = long[size - 300 : size + 300]
+    rows = [(1, long), (2, "x" * 50 + passage + "y" * 30 + long[100:180]), (3, "a" * 30_000), (4, "z" + long[-70:])]
+    out = substrings.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), keep_text=False, length=40, seed=16).collect()
+    assert {x["doc_id"]: (x["n_bytes"], x["n_removed"], x["n_spans"], x["kept"]) for x in out} == {i: b for (i, _), b in zip(rows, brute([t.encode() for _, t in rows], 40), strict=True)}
+
+
+def test_clashing_columns_come_back(spark):
+    text = "".join(random.Random(3).choices("abcdef", k=500))
+    rows = [(1, text, "k", 7, "r", "m", 5), (2, text[:100], None, 8, None, "n", 6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, __key string, __row int, __whole string, __marks string, n_bytes int")
+    out = {x["doc_id"]: x for x in substrings.remove_repeats(docs, length=40, seed=16).collect()}
+    assert [(out[i]["__key"], out[i]["__row"], out[i]["__whole"], out[i]["__marks"]) for i in (1, 2)] == [("k", 7, "r", "m"), (None, 8, None, "n")]
+    assert [out[i]["n_bytes"] for i in (1, 2)] == [500, 100]
+
+
 def test_nothing(nothing):
     assert substrings.remove_repeats(nothing).count() == 0

@@ -342,6 +342,7 @@ def identify(docs: DataFrame, training: DataFrame, with_foreign: bool = False) -
 
 
 def op6_cross_parsing_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The predicted language of every document, learned from those that are not held out; cases as in `identify`."""
     docs = documents(spark, sf_dir)
     out = identify(docs.select("doc_id", "text"), docs.where(doc_crc_mod("doc_id", 4) != 2))
     return out.select("doc_id", (doc_crc_mod("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score", "bits")

@@ -276,6 +276,7 @@ def score_texts(docs: DataFrame) -> DataFrame:
 
 
 def op7_deleted_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The scores of every document by the model of those that are not held out; cases as in `score_texts`."""
     part = doc_crc_mod("doc_id", 7)
     docs = documents(spark, sf_dir).select("doc_id", "text", F.when(part == 2, 0).when(part == HELD_OUT_MOD, 2).otherwise(1).alias("role"))
     out = score_texts(docs)

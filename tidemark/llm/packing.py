@@ -208,6 +208,7 @@ def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, slack: int = NEAR
 
 
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pieces of all documents and their places in sequences; cases as in `pack`."""
     import public_tokenizers
 
     return pack(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))

@@ -196,6 +196,7 @@ def judge(docs: DataFrame, training: DataFrame | None = None, class_limit: float
 
 
 def op3_distribution_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The statistics, distances and verdict of every document; cases as in `judge`."""
     # The verdict that the SQL twin states, with one word limit for all; the pipeline uses the limits by length.
     out = judge(documents(spark, sf_dir).select("doc_id", "lang", "text"), word_limit=WORD_LIMIT).drop("lang", "text")
     return out.withColumns({c: F.round(c, 6) for c in ("class_distance", "word_distance")})

@@ -75,12 +75,20 @@ def hilbert_order(df: DataFrame, dimensions: list[str], ties: list[str], bits: i
     return global_rank(df.withColumn("hilbert", index(*levels)), ["hilbert", *ties], "curve", into="curve_rank")
 
 
+def size_of(column: str) -> Column:
+    return (F.coalesce(F.octet_length(column), F.lit(0)) + 1).cast("long")
+
+
+def crc_of(column: str) -> Column:
+    return F.crc32(F.coalesce(F.col(column), F.lit("")).cast("binary"))
+
+
 def shard_by_hilbert(docs: DataFrame, shards: int = SHARDS, bits: int = BITS) -> DataFrame:
     """The documents with shard and slot, cut from the Hilbert order of (lang, source, size) at equal row counts.
 
     Law `rows`: shards' counts differ by one at most, whatever the skew. Null text has size 1 and the CRC of nothing.
     """
-    own = docs.select("doc_id", "lang", "source", (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long").alias("size"), F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("text_crc32"))
+    own = docs.select("doc_id", "lang", "source", size_of("text").alias("size"), crc_of("text").alias("text_crc32"))
     ranked = hilbert_order(own, ["lang", "source", "size"], ["text_crc32", "doc_id"], bits)
     n = ranked.count()
     return ranked.withColumn("shard", F.expr(f"int(curve_rank * {shards} div {max(n, 1)})")).withColumn("slot", F.expr(f"curve_rank - (shard * bigint({n}) + {shards - 1}) div {shards}"))
@@ -89,14 +97,21 @@ def shard_by_hilbert(docs: DataFrame, shards: int = SHARDS, bits: int = BITS) ->
 def write_shards(docs: DataFrame, path: str, shards: int = SHARDS) -> None:
     """Writes whole documents as one folder per shard, rows in curve order, so that min/max statistics prune.
 
-    A document is named by doc_id; repeated rows of one doc_id all follow that id's first place.
+    A document is named by doc_id (which may be null) and its text's size and CRC; rows that repeat all follow the first one's
+    place. Columns named `shard` or `slot` are replaced.
     """
-    at = shard_by_hilbert(docs, shards).groupBy("doc_id").agg(F.min(F.struct("shard", "slot")).alias("at")).select("doc_id", "at.*")
-    rows = docs.drop("shard", "slot").join(at, "doc_id")
+    name = {"__id": F.col("doc_id"), "__size": size_of("text"), "__crc": crc_of("text")}
+    at = shard_by_hilbert(docs, shards).groupBy("doc_id", "size", "text_crc32").agg(F.min(F.struct("shard", "slot")).alias("at")).select(F.col("doc_id").alias("__id"), F.col("size").alias("__size"), F.col("text_crc32").alias("__crc"), "at.*")
+    own = docs.drop("shard", "slot").alias("d")
+    same = F.lit(True)
+    for c, x in name.items():
+        same = same & x.eqNullSafe(F.col(c))
+    rows = own.join(at, same).select("d.*", "shard", "slot")
     rows.repartitionByRange(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
 
 
 def op5_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shard, slot and law `rows` of every document; nulls, ties and repeated rows as in `hilbert_order` and `shard_by_hilbert`."""
     placed = shard_by_hilbert(documents(spark, sf_dir))
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "hilbert")
 

@@ -371,6 +371,8 @@ def spans(marks: list[tuple[int, int]], length: int) -> list[tuple[int, int]]:
 
 
 FIELDS = ("n_bytes", "n_removed", "n_spans", "kept")
+#: Columns of the work; input columns with these names are set aside and come back.
+INNER = ("__key", "__row", "__whole", "__marks")
 #: Copies of one text are dealt to so many parts when they learn that they are copies.
 SALTS = 16
 
@@ -383,6 +385,8 @@ def remove_repeats(docs: DataFrame, keep_text: bool = True, length: int = LENGTH
     the input: no copy stays. Null counts as empty; shorter texts stay whole; an empty table gives no rows. Needs
     doc_id (nulls allowed) and text; other columns are kept, columns named as the new ones are replaced.
     """
+    aside = {c: f"{c} of the input" for c in INNER if c in docs.columns}
+    docs = docs.withColumnsRenamed(aside)
     held = docs.drop(*FIELDS).withColumn("__key", text_key()).withColumn("__row", F.coalesce("doc_id", F.lit(-(1 << 62))))
     spark = docs.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -404,7 +408,8 @@ def remove_repeats(docs: DataFrame, keep_text: bool = True, length: int = LENGTH
     whole = own.withColumn("salt", F.expr(f"int(pmod(xxhash64(__row), {SALTS}))")).join(copies, ["__key", "salt"]).select("__key", "__row", F.lit(True).alias("__whole")).distinct()
     parts = counted.where("copies = 1").join(per_mark, "__key").select("__key", F.col("rep").alias("__row"), "__marks")
     status = whole.withColumn("__marks", F.lit(None).cast(parts.schema["__marks"].dataType)).unionByName(parts.withColumn("__whole", F.lit(False)))
-    return cut(held.join(status, ["__key", "__row"], "left").drop("__key", "__row"), keep_text, length)
+    out = cut(held.join(status, ["__key", "__row"], "left").drop("__key", "__row"), keep_text, length)
+    return out.withColumnsRenamed({new: old for old, new in aside.items()})
 
 
 def cut(marked: DataFrame, keep_text: bool, length: int) -> DataFrame:
@@ -433,6 +438,7 @@ def cut(marked: DataFrame, keep_text: bool, length: int) -> DataFrame:
 
 
 def op8_suffix_array_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document, by its digest; cases as in `remove_repeats`."""
     out = remove_repeats(documents(spark, sf_dir).select("doc_id", "text"), keep_text=False)
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.col("kept").alias("kept_sha256"))
 
