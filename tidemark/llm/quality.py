@@ -20,8 +20,8 @@ WINDOW_WORDS, REPEAT_PERCENT, LEAST_WORDS = 8, 30, 20
 #: Common words of each reference, words (of the word histogram) and bytes (of the class histogram)
 #: from which a histogram is judged.
 COMMON_WORDS, GUARD_WORDS, GUARD_BYTES = 100, 60, 150
-#: Greatest Jensen-Shannon distances (0 to 1) from the reference.
-CLASS_LIMIT, WORD_LIMIT = 0.26, 0.5
+#: Greatest Jensen-Shannon distance (0 to 1) from the class reference.
+CLASS_LIMIT = 0.26
 #: Word limit by length where none is given: BASE + SLOPE / sqrt(words), and always MARGIN below a text without common
 #: words. Greatest distances of labelled clean texts of sf0.1: 0.477 below 120 words, 0.391 below 200, 0.345 below 400,
 #: 0.276 below 1,000, 0.199 from there on.
@@ -197,8 +197,7 @@ def judge(docs: DataFrame, training: DataFrame | None = None, class_limit: float
 
 def op3_distribution_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The statistics, distances and verdict of every document; cases as in `judge`."""
-    # The verdict that the SQL twin states, with one word limit for all; the pipeline uses the limits by length.
-    out = judge(documents(spark, sf_dir).select("doc_id", "lang", "text"), word_limit=WORD_LIMIT).drop("lang", "text")
+    out = judge(documents(spark, sf_dir).select("doc_id", "lang", "text")).drop("lang", "text")
     return out.withColumns({c: F.round(c, 6) for c in ("class_distance", "word_distance")})
 
 
@@ -220,13 +219,14 @@ base AS (SELECT d.doc_id, d.lang, d.text, len(w.w) AS n_words, CAST(coalesce(lis
 forms AS (SELECT doc_id, lang, trim(translate(word, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '.,;:!?') AS word, count(*) AS n FROM v GROUP BY ALL),
 common AS (SELECT lang, word, n, sum(n) OVER (PARTITION BY lang) AS total, row_number() OVER (PARTITION BY lang ORDER BY n DESC, word) AS k FROM (SELECT lang, word, sum(n) AS n FROM forms GROUP BY ALL)),
 ref AS (SELECT lang, word, n / total AS q FROM common WHERE k <= {COMMON_WORDS}),
+bare AS (SELECT lang, sqrt(sum(s)) AS bare FROM (SELECT lang, {HALF.format(p="0.0::DOUBLE", q="q")} AS s FROM ref UNION ALL SELECT lang, {HALF.format(p="1.0::DOUBLE", q="(1 - sum(q))")} FROM ref GROUP BY 1) GROUP BY 1),
 seen AS (SELECT b.doc_id, r.q, coalesce(f.n, 0) / b.n_words AS p FROM base b JOIN ref r USING (lang) LEFT JOIN forms f ON f.doc_id = b.doc_id AND f.word = r.word),
 wd AS (SELECT doc_id, sum({HALF.format(p="p", q="q")}) AS s FROM (SELECT doc_id, p, q FROM seen UNION ALL SELECT doc_id, 1 - sum(p), 1 - sum(q) FROM seen GROUP BY 1) GROUP BY 1),
 c AS (SELECT doc_id, lang, {CLASS_SQL}, length(text) - length(regexp_replace(text, '[^\\x00-\\x7F]', '', 'g')) AS c6 FROM d),
 cl AS (UNPIVOT c ON c0, c1, c2, c3, c4, c5, c6 INTO NAME class VALUE n),
 cr AS (SELECT lang, class, sum(n) / sum(sum(n)) OVER (PARTITION BY lang) AS q FROM cl GROUP BY lang, class),
 cd AS (SELECT doc_id, sum({HALF.format(p="p", q="q")}) AS s FROM (SELECT doc_id, cl.n / nullif(sum(cl.n) OVER (PARTITION BY doc_id), 0) AS p, q FROM cl JOIN cr USING (lang, class)) GROUP BY 1),
-out AS (SELECT base.*, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed, CASE WHEN strlen(text) >= {GUARD_BYTES} THEN sqrt(greatest(cd.s, 0)) ELSE 0 END AS class_distance, CASE WHEN strlen(text) >= {GUARD_BYTES} AND n_words >= {GUARD_WORDS} THEN sqrt(greatest(wd.s, 0)) ELSE 0 END AS word_distance FROM base LEFT JOIN cd USING (doc_id) LEFT JOIN wd USING (doc_id))
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, round(class_distance, 6) AS class_distance, round(word_distance, 6) AS word_distance, NOT base_failed AND class_distance <= {CLASS_LIMIT} AND word_distance <= {WORD_LIMIT} AS kept FROM out
+out AS (SELECT base.*, least({LIMIT_BASE} + {LIMIT_SLOPE} / sqrt(greatest(n_words, 1)), bare - {LIMIT_MARGIN}) AS word_limit, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed, CASE WHEN strlen(text) >= {GUARD_BYTES} THEN sqrt(greatest(cd.s, 0)) ELSE 0 END AS class_distance, CASE WHEN strlen(text) >= {GUARD_BYTES} AND n_words >= {GUARD_WORDS} THEN sqrt(greatest(wd.s, 0)) ELSE 0 END AS word_distance FROM base JOIN bare USING (lang) LEFT JOIN cd USING (doc_id) LEFT JOIN wd USING (doc_id))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, round(class_distance, 6) AS class_distance, round(word_distance, 6) AS word_distance, NOT base_failed AND class_distance <= {CLASS_LIMIT} AND word_distance <= word_limit AS kept FROM out
 """
 }
