@@ -585,15 +585,14 @@ def within_two_links(ends: DataFrame) -> DataFrame:
     return one.join(two, "u").select(F.col("u").alias("node"), F.least("m", "n").alias("component"))
 
 
-def of_root_or_own(sets: DataFrame, found: DataFrame, value: str, otherwise: str) -> DataFrame:
-    """key and `value` of each set's node, from `found` (node, `value`), else its `otherwise`.
+def by_node(sets: DataFrame, found: DataFrame) -> DataFrame:
+    """key, node and the columns of `found` (node and others) for every set, null where it lacks the node.
 
-    The sets of a pivot's component are one node; so many of them fetch it from a table of at most DRAWN rows.
+    The sets of a pivot's component are one node, numbered below DRAWN; so many of them fetch theirs from a table of at most DRAWN rows.
     """
-    either = F.coalesce(value, otherwise).alias(value)
-    large = sets.where("root >= 0").select("root", "node").distinct().join(found, "node", "left").select("root", either)
-    alone = sets.where("root < 0").join(found, "node", "left").select("key", either)
-    return sets.where("root >= 0").select("key", "root").join(F.broadcast(large), "root").select("key", value).unionByName(alone)
+    own = sets.select("key", "root", "node")
+    few = F.broadcast(found.where(F.col("node").between(0, DRAWN - 1)))
+    return own.where("root >= 0").join(few, "node", "left").unionByName(own.where("root < 0").join(found, "node", "left")).drop("root")
 
 
 def jaccard_components(docs: DataFrame, words_each: int = SHINGLE_WORDS, percent: int = PERCENT, with_group: bool = False) -> DataFrame:
@@ -617,8 +616,7 @@ def jaccard_components(docs: DataFrame, words_each: int = SHINGLE_WORDS, percent
     of_pivot = F.broadcast(spark.createDataFrame([(-1, -1), *enumerate(root.tolist())], "pivot int, root int"))
     keyed = own.where("key IS NOT NULL AND doc_id IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n"), F.max("pivot").alias("pivot"), F.max("sketch").alias("sketch")).join(of_pivot, "pivot").drop("pivot")
     keyed = saved(keyed, "jaccard-keys")
-    heads = keyed.where("root >= 0").groupBy("root").agg(F.min("key").alias("head"))
-    sets = keyed.join(F.broadcast(heads), "root", "left").select("key", "rep", "n", "root", "sketch", F.coalesce("head", "key").alias("node"))
+    sets = keyed.withColumn("node", F.when(F.col("root") >= 0, F.col("root").cast("long")).otherwise(F.col("key")))
     total = keyed.agg(F.sum("n")).first()[0] or 0
     frequent = passed.where("kind = 1").groupBy("a").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "a").limit(FREQUENT).collect()
     order = spark.sparkContext.broadcast(Order([(r["a"], r["n"]) for r in reversed(frequent)]))
@@ -630,7 +628,8 @@ def jaccard_components(docs: DataFrame, words_each: int = SHINGLE_WORDS, percent
     large, first = saved(large_parts(regions), "jaccard-large"), PIVOTS
     while True:
         nearest = done.groupBy(F.col("b").alias("key")).agg(F.min(F.struct("distance", "a")).alias("m")).select("key", F.col("m.a").alias("pivot"), F.col("m.distance").alias("distance"))
-        marked = large.join(of_root_or_own(sets, within_two_links(ends), "component", "node"), "key").join(nearest, "key", "left")
+        labels = by_node(sets, within_two_links(ends)).select("key", F.coalesce("component", "node").alias("component"))
+        marked = large.join(labels, "key").join(nearest, "key", "left")
         marked = saved(marked.select("token", "key", "size", "place", "rank", "component", F.coalesce("pivot", "key").alias("pivot"), F.coalesce("distance", F.lit(0.0)).alias("distance")), "jaccard-marked")
         split = marked.groupBy("token").agg((F.min("component") != F.max("component")).alias("open"), F.max("rank").alias("most")).where((F.col("most") >= first) & F.col("open")).select("token", "most")
         most = split.agg(F.max("most")).first()[0]
@@ -642,12 +641,10 @@ def jaccard_components(docs: DataFrame, words_each: int = SHINGLE_WORDS, percent
             more = saved(measured(pairs, sets, docs, words_each, percent), "jaccard-links")
             done, ends = done.unionByName(more), ends.unionByName(saved(ends_of(more, sets), "jaccard-ends"))
         large, first = saved(large.select("token", "key", "size", "place", "rank"), "jaccard-large"), first * GROW
-    components = saved(of_root_or_own(sets, connected_components(ends), "component", "node"), "jaccard-components")
-    known = sets.drop("sketch").join(components, "key")
-    ids = known.groupBy("component").agg(F.min("rep").alias("component_id"))
-    final = of_root_or_own(known.drop("node").withColumnRenamed("component", "node"), ids.withColumnRenamed("component", "node"), "component_id", "node")
-    if with_group:
-        final = final.join(components.withColumnRenamed("component", "group"), "key")
+    nodes = sets.groupBy("node").agg(F.min("rep").alias("rep")).join(connected_components(ends), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    ids = nodes.groupBy("component").agg(F.min("rep").alias("component_id"))
+    named = saved(nodes.join(ids, "component").select("node", "component_id", F.col("component").alias("group")), "jaccard-components")
+    final = by_node(sets, named).select("key", "component_id", *(["group"] if with_group else []))
     salted = final.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     with_set = own.where("key IS NOT NULL").withColumn("salt", F.expr(f"int(pmod(xxhash64(doc_id), {SALTS}))")).join(salted, ["key", "salt"], "left")
     without = own.where("key IS NULL").withColumn("component_id", F.col("doc_id"))
