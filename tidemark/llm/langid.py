@@ -19,7 +19,7 @@ SAMPLE_TOTAL, SAMPLE_CHARS, SAMPLE_DOCS, SAMPLE_LENGTH = 4_000_000, 60_000, 150,
 #: The hashes of a language are ranked in so many parts first.
 SALTS = 32
 #: Symbols that are parsed one after the other before the next block's begin, and symbols parsed side by side at most.
-BLOCK, PASS_SYMBOLS = 256, 2_000_000
+BLOCK, PASS_SYMBOLS = 256, 1_000_000
 #: Limits of the bits a symbol: lengths in symbols, parts that the sample is held out in, shares of own and of foreign texts between which a limit lies.
 LENGTHS, FOLDS, OWN_SHARE, FOREIGN_SHARE = (10, 20, 30, 50, 100, 200), 3, 0.995, 0.1
 #: Held-out texts of a length that a limit needs, and what it exceeds theirs by where no other language is known.
@@ -269,15 +269,16 @@ def parser_of(samples: tuple) -> CrossParser:
     return CrossParser({name: list(own) for name, own in samples})
 
 
-def verdicts(parser: CrossParser, batch: list[bytes]) -> tuple[list[str], list[float], list[float]]:
+def verdicts(parser: CrossParser, batch: list[bytes]) -> tuple[list[str], list[float], list[float], list[int]]:
+    """Languages, scores, bits a symbol and symbols of some texts."""
     rates, sizes, lettered = parser.rates(batch)
     if not parser.names:
-        return [UNKNOWN] * len(batch), [0.0] * len(batch), [0.0] * len(batch)
+        return [UNKNOWN] * len(batch), [0.0] * len(batch), [0.0] * len(batch), sizes.tolist()
     best = rates.argmin(axis=1)
     low = rates[np.arange(len(batch)), best]
     scores = 1 / np.exp2(-(rates - low[:, None]) * np.sqrt(sizes)[:, None]).sum(axis=1)
     names = [parser.names[b] if ok else UNKNOWN for b, ok in zip(best, lettered, strict=True)]
-    return names, np.where(lettered, scores, 0.0).tolist(), np.where(lettered, low, 0.0).tolist()
+    return names, np.where(lettered, scores, 0.0).tolist(), np.where(lettered, low, 0.0).tolist(), sizes.tolist()
 
 
 def limits(samples: tuple) -> list[tuple[int, float]]:
@@ -330,10 +331,9 @@ def identify(docs: DataFrame, training: DataFrame, with_foreign: bool = False) -
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             parser, batch = parser_of(samples), texts(b)
-            names, scores, bits = verdicts(parser, batch)
+            names, scores, bits, sizes = verdicts(parser, batch)
             columns = [pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(bits, pa.float64())]
             if with_foreign:
-                sizes = (len(parser.encode(normal_text(t))) for t in batch)
                 most = (next((limit for n, limit in reversed(bounds) if size >= n), np.inf) for size in sizes)
                 columns.append(pa.array([x > limit for x, limit in zip(bits, most, strict=True)], pa.bool_()))
             yield pa.RecordBatch.from_arrays([*b.columns, *columns], names=[*b.schema.names, *(f for f, _ in new)])
