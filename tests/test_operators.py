@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import pytest
+
 import datetime
 
 from pyspark.sql import functions as F
@@ -85,3 +87,19 @@ def test_broken_tones_and_days_are_dropped(spark):
     df = spark.createDataFrame([("20240101x", "1.5,z"), ("nonsense", "1"), (None, None)], "day string, tone string")
     got = news.parse_day(news.parse_tone(df), "day").collect()
     assert [(r["tone_avg"], r["tone_positive"], r["tone_negative"]) for r in got] == [(1.5, None, None)]
+
+
+def test_quantiles_of_large_groups_equal_sorted_arrays(spark, monkeypatch):
+    from tidemark.operators import paths
+
+    rows = spark.range(30_000).selectExpr("id % 3 AS g", "IF(id % 3 = 2, NULL, double(pmod(xxhash64(id), 700)))  AS a", "double(id * id % 10007) AS b").unionAll(spark.createDataFrame([(None, 1.0, 2.0), (None, 4.0, None)], "g long, a double, b double"))
+    levels = [0.0, 0.05, 0.5, 0.9, 1.0]
+    expected = {r["g"]: (r["a"], r["b"]) for r in paths.exact_quantiles(rows, ["g"], ["a", "b"], levels).collect()}
+    plain = {r["g"]: (r["a"], r["b"]) for r in rows.groupBy("g").agg(*(F.percentile(c, F.array(*map(F.lit, levels))).alias(c) for c in ("a", "b"))).collect()}
+    monkeypatch.setattr(paths, "GROUP_ROWS", 100)
+    large = {r["g"]: (r["a"], r["b"]) for r in paths.exact_quantiles(rows, ["g"], ["a", "b"], levels).collect()}
+    assert len(expected) == 4
+    for g, (a, b) in plain.items():
+        for got in (expected[g], large[g]):
+            assert got[1] == pytest.approx(b)
+            assert (got[0] == pytest.approx(a)) if a is not None else all(x is None for x in got[0])

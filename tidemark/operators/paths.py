@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 DAYS = 14
-#: Accuracy of the sketches that bracket exact quantiles; a group of up to so many values is kept whole.
-ACCURACY = 1000
+#: Rows of a group up to which its values are sorted in one array; accuracy of the sketches that bracket the quantiles of larger ones.
+GROUP_ROWS, ACCURACY = 250_000, 1000
 
 
 def unpivot_days(df: DataFrame, keep: list[str], n: int = DAYS) -> DataFrame:
@@ -36,9 +36,26 @@ def day_columns(days: list[int]) -> list[str]:
 def exact_quantiles(df: DataFrame, by: list[str], columns: list[str], levels: list[float]) -> DataFrame:
     """A row for each group with, for every column, the array of its quantiles (linear between neighbours, nulls left out).
 
+    Groups of at most GROUP_ROWS rows are sorted as arrays. If one is larger, all are taken by `bracketed_quantiles`, which no task
+    holds a group for; the values are the same. A column without values has null quantiles; NaN counts as greater than all numbers.
+    """
+    if (df.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0) > GROUP_ROWS:
+        return bracketed_quantiles(df, by, columns, levels)
+    arrays = df.groupBy(*by).agg(*(F.array_sort(F.collect_list(F.col(c).cast("double"))).alias(c) for c in columns))
+
+    def at(c: str, q: float) -> Column:
+        place = (F.size(c) - 1) * F.lit(q)
+        low, high = (F.get(F.col(c), f(place).cast("int")) for f in (F.floor, F.ceil))
+        return low + (high - low) * (place - F.floor(place))
+
+    return arrays.select(*by, *(F.array(*(at(c, q) for q in levels)).alias(c) for c in columns))
+
+
+def bracketed_quantiles(df: DataFrame, by: list[str], columns: list[str], levels: list[float]) -> DataFrame:
+    """The same for groups of any size.
+
     A mergeable sketch per group brackets each quantile; then only values inside the brackets, some per mille of all, are
-    sorted, and those below are counted where they lie. So no task holds a group, and the values are exact. A column
-    without values has null quantiles; NaN counts as greater than all numbers.
+    sorted, and those below are counted where they lie.
     """
     margin = 3 / ACCURACY
     wide = [x for q in levels for x in (max(q - margin, 0.0), min(q + margin, 1.0))]
