@@ -33,22 +33,23 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def give_back() -> None:
+    """Returns freed memory to the system. Driver and Python workers live on, and what they have freed would count beside what they do next."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc alone has it
+    if trim:
+        trim(0)
+
+
 def saved(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
     """df written as a table in the shared folder and read again: cuts lineage, survives lost executors."""
     spark, path = df.sparkSession, scratch(df.sparkSession, name)
     writer = df.write.option("compression", "zstd")
     (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
+    give_back()
     return spark.read.schema(df.schema).parquet(path)
 
 
-def give_back() -> None:
-    """Returns freed memory to the system. A Python worker lives on, and what it has freed would count beside the next task's."""
-    pa.default_memory_pool().release_unused()
-    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc alone has it
-    if trim:
-        trim(0)
-
-
 def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     """mapInArrow with small batches, so that memory follows the batch and not the partition, and is given back at a task's end."""
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.window import Window
 
-from .common import doc_crc_mod, documents, map_arrow, texts
+from .common import doc_crc_mod, documents, give_back, map_arrow, texts
 
 UNKNOWN = "und"
 #: Bounds of the training sample: characters of all languages together and of each (all labels have an equal share, if
@@ -325,6 +325,7 @@ def identify(docs: DataFrame, training: DataFrame, with_foreign: bool = False) -
     """
     samples = sample(training)
     bounds = limits(samples) if with_foreign else []
+    give_back()
     new = [("lang_pred", "string"), ("score", "double"), ("bits", "double"), *([("foreign", "boolean")] if with_foreign else [])]
     held = docs.drop(*(f for f, _ in new))
 
