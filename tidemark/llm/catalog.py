@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import jaccard, langid, licenses, manifest, media, ngram, packing, pieces, quality, sharding, substrings
+from . import jaccard, langid, licenses, manifest, media, negatives, ngram, packing, pieces, quality, sharding, simhash, substrings
 
-MODULES = (packing, pieces, quality, licenses, sharding, langid, ngram, substrings, media, jaccard, manifest)
+MODULES = (packing, pieces, quality, licenses, sharding, langid, ngram, substrings, media, jaccard, manifest, negatives, simhash)
 
 
 def queries() -> dict:
