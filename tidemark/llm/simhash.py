@@ -19,6 +19,8 @@ RUN, SAMPLE, SHARD, NODE = 1 << 16, 1 << 15, 1024, 16
 PART, TILE = 8192, 256
 #: Fingerprints of more than a 1/HOT of all rows (so at most HOT of them) are looked up by broadcast.
 HOT = 1024
+#: Links of a fingerprint, and fingerprints of a component, are dealt to so many tasks.
+SALTS = 16
 
 
 def fingerprint(text: bytes, width: int = WORDS, seed: int = SEED) -> int:
@@ -244,12 +246,12 @@ def simhash_components(docs: DataFrame, width: int = WORDS, distance: int = DIST
     tasks = map_arrow(cells, lambda b: split_parts(b, parts), "cell long, part int, visits boolean, fps binary")
     tasks = tasks.repartition(n, "cell", "part").sortWithinPartitions("cell", "part", "visits")
     links = map_arrow(tasks, lambda b: shard_links(b, distance), "a long, b long")
-    found = saved(connected_components(links).withColumnRenamed("node", "fp"), "simhash-components")
+    found = saved(connected_components(links, SALTS).withColumnRenamed("node", "fp"), "simhash-components")
     # the least doc_id of each component, by its node; components of one fingerprint need no look-up
     joined = nodes.join(found, "fp", "left")
     least = joined.where("component IS NOT NULL").groupBy("component").agg(F.min("least").alias("component_id"))
-    salted = joined.where("component IS NOT NULL").select("fp", "copies", "component", F.pmod(F.xxhash64("fp"), F.lit(16)).cast("int").alias("salt"))
-    linked = salted.join(least.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(15)))), ["component", "salt"]).select("fp", "copies", "component_id")
+    salted = joined.where("component IS NOT NULL").select("fp", "copies", "component", F.pmod(F.xxhash64("fp"), F.lit(SALTS)).cast("int").alias("salt"))
+    linked = salted.join(least.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["component", "salt"]).select("fp", "copies", "component_id")
     named = saved(linked.unionByName(joined.where("component IS NULL").select("fp", "copies", F.col("least").alias("component_id"))), "simhash-names")
     often = named.where(F.col("copies") > total // HOT).drop("copies")
     rare = named.where(F.col("copies") <= total // HOT).drop("copies")
