@@ -56,25 +56,6 @@ def rsi_momentum_vol(df: DataFrame, column: str, periods: list[int], key: list[s
     return base.withColumns(out).drop("__d", "__r")
 
 
-def macd(df: DataFrame, column: str, key: list[str], on: str = "date", fast: int = 12, slow: int = 26, signal: int = 9) -> DataFrame:
-    """macd, macd_signal and macd_hist by key and date.
-
-    The recursion needs a key's rows in order, so each key is one group; `applyInPandas` holds one series (three columns) at a
-    time. Meant for daily series, of which a century has 36,525 rows.
-    """
-    import pandas as pd
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(on)
-        line = pdf[column].ewm(span=fast, adjust=False).mean() - pdf[column].ewm(span=slow, adjust=False).mean()
-        mark = line.ewm(span=signal, adjust=False).mean()
-        return pdf[[*key, on]].assign(macd=line.round(4), macd_signal=mark.round(4), macd_hist=(line - mark).round(4))
-
-    kinds = dict(df.dtypes)
-    schema = ", ".join(f"`{c}` {kinds[c]}" for c in [*key, on]) + ", macd double, macd_signal double, macd_hist double"
-    return df.select(*key, on, F.col(column).cast("double").alias(column)).groupBy(*key).applyInPandas(run, schema)
-
-
 def bollinger(df: DataFrame, column: str, key: list[str], on: str = "date", n: int = 20, k: float = 2.0) -> DataFrame:
     w = trailing(key, on, n)
     mid, std = F.avg(column).over(w), F.stddev_samp(column).over(w)

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from .carry import cut, earlier
+
 DAYS = 14
 #: Rows of a group up to which its values are sorted in one array; accuracy of the sketches that bracket the quantiles of larger ones.
 GROUP_ROWS, ACCURACY = 250_000, 1000
@@ -144,13 +146,21 @@ def calibration(paths: DataFrame, actuals: DataFrame, by: list[str], levels: lis
     return rows.groupBy(*report).agg(F.round(F.avg(F.abs(F.col("hit") - level)), 4).alias("calibration_error"))
 
 
-def crps(long_df: DataFrame, actuals: DataFrame, by: list[str], report: list[str]) -> DataFrame:
-    """Continuous ranked probability score of the samples: mean distance to the actual value less half their mean distance to each other."""
-    w = Window.partitionBy(*by, "day").orderBy("value", "path_id")
-    ranked = long_df.withColumn("__i", F.row_number().over(w)).join(actuals, [*[c for c in by if c in actuals.columns], "day"])
-    n = F.count(F.lit(1))
-    per = ranked.groupBy(*by, "day").agg(F.avg(F.abs(F.col("value") - F.col("actual"))).alias("__a"), F.sum((2 * F.col("__i") - 1) * F.col("value")).alias("__s"), F.sum("value").alias("__v"), n.alias("__n"))
-    score = F.col("__a") - (F.col("__s") - F.col("__n") * F.col("__v")) / (F.col("__n") * F.col("__n"))
+def crps(long_df: DataFrame, actuals: DataFrame, by: list[str], report: list[str], ties: list[str] | None = None) -> DataFrame:
+    """Continuous ranked probability score of the samples: mean distance to the actual value less half their mean distance to each other.
+
+    The second part needs each value's rank in its group. Groups are cut into blocks of a range-partitioned sort; a block gives
+    its count, sum and rank-weighted sum, and ranks are completed by the counts of the blocks before, so no task holds a group.
+    `ties` tell equal values apart (their order does not matter). Null values and days without an actual value are left out.
+    """
+    group = [*by, "day"]
+    own = long_df.where("value IS NOT NULL").join(actuals, [*[c for c in by if c in actuals.columns], "day"])
+    rows = cut(own.select(*group, "value", *(ties or ["path_id"]), "actual"), group, ["value", *(ties or ["path_id"])])
+    blocks = rows.groupBy("__part", *group).agg(F.count(F.lit(1)).alias("__n"), F.min("__at").alias("__first"), F.sum("value").alias("__v"), F.sum(F.col("__at") * F.col("value")).alias("__w"), F.sum(F.abs(F.col("value") - F.col("actual"))).alias("__a"))
+    shift = F.coalesce(F.sum("__n").over(earlier(group)), F.lit(0)) - F.col("__first")
+    blocks = blocks.withColumn("__s", 2 * F.col("__w") + (2 * shift + 1) * F.col("__v"))
+    per = blocks.groupBy(*group).agg(*(F.sum(c).alias(c) for c in ("__n", "__v", "__s", "__a")))
+    score = F.col("__a") / F.col("__n") - (F.col("__s") - F.col("__n") * F.col("__v")) / (F.col("__n") * F.col("__n"))
     return per.groupBy(*report).agg(F.round(F.avg(score), 4).alias("crps"))
 
 

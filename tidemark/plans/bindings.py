@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from ..operators.carry import ranked
 
 VIEWS = {
     "market": "SELECT CAST(o_orderdate AS DATE) AS date, o_orderpriority AS commodity, arg_min(o_totalprice, o_orderkey) AS open, max(o_totalprice) AS high, min(o_totalprice) AS low, arg_max(o_totalprice, o_orderkey) AS close, count(*) AS volume FROM orders GROUP BY ALL",
@@ -20,6 +22,7 @@ VIEWS = {
     "trades": "SELECT CAST(o_orderdate AS DATE) AS date, o_orderkey AS trade_id, o_orderpriority AS strategy, o_totalprice / 1000 AS amount, o_totalprice AS price, o_orderstatus AS reason FROM orders",
 }
 ORDER = list(VIEWS)
+LINE = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
 
 
 def with_views(names: str, body: str) -> str:
@@ -72,18 +75,23 @@ class Frames:
         return e.select("event_id", F.date_format("ts", "yyyyMMddHHmmss").alias("day_text"), F.to_date("ts").alias("date"), F.concat(F.upper("event_type"), F.lit(";ECON_"), (k % 7).cast("string"), F.lit(";TAX_"), F.upper("event_type")).alias("themes"), F.concat_ws(",", F.col("value").cast("string"), k.cast("string"), F.abs(k - 50).cast("string")).alias("tone"), F.col("event_type").alias("all_names"), k.alias("k"), "value", "user_id")
 
     @cached_property
-    def paths(self) -> DataFrame:
-        month = F.to_date(F.date_trunc("month", "l_shipdate"))
-        w = Window.partitionBy("start", "model").orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
-        own = self.table("lineitem").withColumn("start", month).withColumn("model", F.col("l_returnflag")).withColumn("path_id", F.row_number().over(w))
+    def path_rows(self) -> DataFrame:
+        """Forecast paths by the line that each stems from, without numbers."""
+        own = self.table("lineitem").withColumn("start", F.to_date(F.date_trunc("month", "l_shipdate"))).withColumn("model", F.col("l_returnflag"))
         base = F.col("l_extendedprice") / F.col("l_quantity")
-        return own.select("start", "model", "path_id", *((base * (1 + 0.01 * h * (F.col("l_discount") - 0.05))).alias(f"day_{h}") for h in range(1, 15)))
+        return own.select("start", "model", *LINE, *((base * (1 + 0.01 * h * (F.col("l_discount") - 0.05))).alias(f"day_{h}") for h in range(1, 15)))
+
+    @cached_property
+    def paths(self) -> DataFrame:
+        """The same, numbered within start and model; for queries that read the number."""
+        own = ranked(self.path_rows, ["start", "model"], LINE, "path_id")
+        return own.select("start", "model", F.col("path_id").cast("int").alias("path_id"), *(f"day_{h}" for h in range(1, 15)))
 
     @cached_property
-    def long_paths(self) -> DataFrame:
+    def long_rows(self) -> DataFrame:
         from ..operators.paths import unpivot_days
 
-        return unpivot_days(self.paths, ["start", "model", "path_id"])
+        return unpivot_days(self.path_rows, ["start", "model", *LINE])
 
     @cached_property
     def unit_price(self) -> DataFrame:
@@ -99,7 +107,7 @@ class Frames:
     def points(self) -> DataFrame:
         from ..operators.paths import medians, with_actuals
 
-        return with_actuals(medians(self.paths, ["start", "model"]), self.actuals)
+        return with_actuals(medians(self.path_rows, ["start", "model"]), self.actuals)
 
     @cached_property
     def trades(self) -> DataFrame:

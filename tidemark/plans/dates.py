@@ -1,6 +1,12 @@
 """Date columns of the queries' results; both sides of the comparison give them as ISO text."""
 
 DATES = {
+    "w1_filled_blocks": "date",
+    "j6_as_of_blocks": "date training_date",
+    "j8_join_fill_blocks": "date",
+    "m7_training_windows": "window_start",
+    "m7_walk_forward": "data_cutoff_date window_start",
+    "m10_scored_cutoffs": "window_start",
     "unified_daily": "date",
     "w3_latest_wins": "date",
     "w4_most_complete": "date",

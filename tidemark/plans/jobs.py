@@ -2,24 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, functions as F
 
 from ..operators import aggregates as agg, baseline, clean, learners, news as nw, paths as pt, spine
-from ..sources import files
+from ..sources import files, tables
 from ..streaming import jobs as st
 from .bindings import Frames, with_views as sql
 
 
 def shared(f: Frames, name: str) -> str:
-    """A new path in the folder that driver and executors share; a temporary one only where none is set."""
-    base = f.spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = tempfile.mkdtemp(prefix="tidemark-")
-        f.spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A new path in the folder that driver and executors share."""
+    return tables.scratch(f.spark, name)
 
 
 def csv_round_trip(f: Frames) -> DataFrame:
@@ -104,13 +97,51 @@ def stream_dedup(f: Frames) -> DataFrame:
     return streamed(f, twice).select("event_id", "user_id", "event_type")
 
 
+def weekly_feed(f: Frames, source: str, late: int | None, weeks: list[int] | None = None) -> int:
+    """Events as one file a week, in order of time; every `late`-th event arrives three files after its own. Gives the number of weeks."""
+    events = f.table("events").select("event_id", F.col("ts").cast("timestamp").alias("ts"), "user_id", "event_type", "value")
+    week = F.floor(F.unix_date(F.to_date("ts")) / 7)
+    first, last = events.agg(F.min(week), F.max(week)).first()
+    held = (F.col("event_id") % late == 0) if late else F.lit(False)
+    at = F.least(week - first + F.when(held, 3).otherwise(0), F.lit(last - first))
+    for w in range(last - first + 1) if weeks is None else weeks:
+        events.where(at == w).coalesce(1).write.parquet(f"{source}/week-{w:05d}")
+    return last - first + 1
+
+
 def stream_tone(f: Frames) -> DataFrame:
-    """Daily tone by type of the windows that the watermark, a day behind the last event, has closed."""
-    return streamed(f, lambda s: st.tone_windows(s, "ts", ["event_type"], "1 day", "1 day", "1 day"))
+    """Tone by type over seven days, day by day, of a feed in weekly micro-batches: the watermark moves between them and drops late rows."""
+    source, out, mark = shared(f, "stream-in"), shared(f, "stream-out"), shared(f, "stream-mark")
+    weekly_feed(f, source, 50)
+    sdf = st.tone_windows(st.ingest_stream(f.spark, f"{source}/*", f.spark.read.parquet(f"{source}/*").schema, files=1), "ts", ["event_type"], "7 days", "1 day", "1 day")
+    query = st.run_to_table(sdf, out, mark)
+    query.awaitTermination()
+    return f.spark.read.schema(sdf.schema).parquet(out).withColumn("n_dropped", F.lit(st.dropped(query)).cast("long"))
+
+
+#: The same feed replayed: a batch's late rows are judged by the watermark of the batch before, which follows from the batches before that.
+FEED = "feed AS (SELECT *, least(w - min(w) OVER () + CASE WHEN event_id % 50 = 0 THEN 3 ELSE 0 END, max(w) OVER () - min(w) OVER ()) AS b FROM (SELECT *, (CAST(ts AS DATE) - DATE '1970-01-01') // 7 AS w FROM events)), marks AS (SELECT x.b, max(ts) - INTERVAL 1 DAY AS mark FROM (SELECT unnest(range(0, max(b) + 1)) AS b FROM feed) x LEFT JOIN feed ON feed.b < x.b - 1 GROUP BY 1), spread AS (SELECT event_type, value, feed.b, CAST(ts AS DATE) - CAST(o AS INT) AS window_start, coalesce(CAST(ts AS DATE) - CAST(o AS INT) + INTERVAL 7 DAY <= mark, false) AS late FROM feed JOIN marks USING (b), range(0, 7) r(o))"
+TONE = f"WITH {FEED} SELECT window_start, event_type, count(*) AS n, round(avg(value), 8) AS tone, (SELECT count(DISTINCT (b, window_start, event_type)) FROM spread WHERE late) AS n_dropped FROM spread WHERE NOT late AND window_start + INTERVAL 7 DAY <= (SELECT max(ts) - INTERVAL 1 DAY FROM events) GROUP BY ALL"
+
+
+def stream_bursts(f: Frames, stops: tuple[int, ...] = (1,)) -> DataFrame:
+    """Runs of a user's events with pauses below an hour, closed by the watermark; the stream is stopped after the weeks of `stops` and goes on from its checkpoint."""
+    source, out, mark = shared(f, "stream-in"), shared(f, "stream-out"), shared(f, "stream-mark")
+    weeks = weekly_feed(f, source, None, [])
+    for w in range(weeks):
+        weekly_feed(f, source, None, [w])
+        if w in stops or w == weeks - 1:
+            sdf = st.burst_sessions(st.ingest_stream(f.spark, f"{source}/*", f.spark.read.parquet(f"{source}/*").schema, files=1), "ts", ["user_id"], "1 hour", "1 day")
+            st.run_to_table(sdf, out, mark).awaitTermination()
+    return f.spark.read.schema(sdf.schema).parquet(out)
+
+
+#: Runs by gaps and islands.
+BURSTS = "WITH runs AS (SELECT user_id, ts, sum(begins) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS run FROM (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) <= INTERVAL 1 HOUR THEN 0 ELSE 1 END AS begins FROM events)) SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S.%f') AS session_start, strftime(max(ts) + INTERVAL 1 HOUR, '%Y-%m-%d %H:%M:%S.%f') AS session_end, count(*) AS n FROM runs GROUP BY user_id, run HAVING max(ts) + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 1 DAY FROM events)"
 
 
-def stream_bursts(f: Frames) -> DataFrame:
-    return streamed(f, lambda s: st.burst_sessions(s, "ts", ["user_id"], "1 hour", "1 day"))
+def with_text_times(df: DataFrame) -> DataFrame:
+    return df.withColumns({c: F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSSSSS") for c in ("session_start", "session_end")})
 
 
 def stream_upsert(f: Frames) -> DataFrame:
@@ -132,7 +163,7 @@ def pooled(f: Frames) -> DataFrame:
 def importances(f: Frames) -> DataFrame:
     start = f.actuals.where("day = 1").select("start", F.col("actual").alias("price"))
     end = f.actuals.where("day = 14").select("start", F.col("actual").alias("later"))
-    own = pt.path_features(f.paths.join(start, "start"), ["start", "model"]).join(start, "start").join(end, "start").withColumn("label", F.col("later") / F.col("price") - 1)
+    own = pt.path_features(f.path_rows.join(start, "start"), ["start", "model"]).join(start, "start").join(end, "start").withColumn("label", F.col("later") / F.col("price") - 1)
     return learners.importance(f.spark, own, ["consensus", "expected_return", "relative_spread", "skewness", "relative_range", "downside"], "label")
 
 
@@ -164,7 +195,7 @@ CASES = {
     "m8_importance": (importances, None),
     "m9_expand_paths": (expanded, None),
     "st2_stream_dedup": (stream_dedup, "SELECT event_id, user_id, event_type FROM events"),
-    "st3_stream_tone": (stream_tone, "SELECT CAST(ts AS DATE) AS window_start, event_type, count(*) AS n, round(avg(value), 8) AS tone FROM events WHERE CAST(ts AS DATE) + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 1 DAY FROM events) GROUP BY ALL"),
+    "st3_stream_tone": (stream_tone, TONE),
     "st4_stream_upsert": (stream_upsert, "SELECT user_id, event_type, event_id, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) = 1"),
-    "st5_stream_bursts": (stream_bursts, None),
+    "st5_stream_bursts": (lambda f: with_text_times(stream_bursts(f)), BURSTS),
 }

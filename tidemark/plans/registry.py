@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import completions, forecasts, jobs, reshape, series
+from . import carried, completions, forecasts, jobs, reshape, series
 from .bindings import Frames
 from .dates import DATES
 
-MODULES = (series, forecasts, jobs, reshape, completions)
+MODULES = (series, forecasts, jobs, reshape, completions, carried)
 
 
 def _over(fn):

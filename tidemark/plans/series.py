@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import aggregates as agg, baseline, clean, features as feat, spine
+from ..operators import aggregates as agg, baseline, carry, clean, features as feat, spine
 from .bindings import Frames, with_views
 
 KEY = ["commodity"]
@@ -98,7 +98,7 @@ CASES = {
     "w8_diffs": (lambda f: feat.diffs(f.market.select("date", "commodity", "close"), ["close"], [1, 7], KEY), market_sql("SELECT date, commodity, close, " + ", ".join(f"round(close - lag(close, {p}) OVER ({W}), 4) AS close_diff_{p}" for p in (1, 7)) + " FROM market")),
     "w9_rolling_full": (lambda f: feat.rolling(f.market.select("date", "commodity", "close"), ["close"], [14], KEY, full=True), market_sql("SELECT date, commodity, close, " + ", ".join(f"CASE WHEN count(*) {frame(14)} = 14 THEN round({fn}(close) {frame(14)}, 4) END AS close_{name}_14" for name, fn in (("mean", "avg"), ("std", "stddev_samp"))) + " FROM market")),
     "w10_rsi_momentum_vol": (lambda f: feat.rsi_momentum_vol(f.market.select("date", "commodity", "close"), "close", [14], KEY), market_sql(f"SELECT date, commodity, close, CASE WHEN count(d) {frame(14)} = 14 THEN CASE WHEN avg(greatest(-d, 0)) {frame(14)} = 0 THEN 100.0 ELSE round(100 - 100 / (1 + avg(CASE WHEN d IS NOT NULL THEN greatest(d, 0) END) {frame(14)} / avg(CASE WHEN d IS NOT NULL THEN greatest(-d, 0) END) {frame(14)}), 4) END END AS rsi_14, round(close / lag(close, 14) OVER ({W}) - 1, 4) AS momentum_14, CASE WHEN count(d) {frame(14)} = 14 THEN round(stddev_samp(r) {frame(14)}, 4) END AS volatility_14 FROM (SELECT *, {D} AS d, close / lag(close) OVER ({W}) - 1 AS r FROM market)")),
-    "w11_macd": (lambda f: feat.macd(f.market, "close", KEY), market_sql(f"RECURSIVE_MACD")),
+    "w11_macd": (lambda f: carry.macd(f.market, "close", KEY), market_sql(f"RECURSIVE_MACD")),
     "w12_bollinger": (lambda f: feat.bollinger(f.market.select("date", "commodity", "close"), "close", KEY), market_sql(f"SELECT date, commodity, close, round(m, 4) AS bb_mid, round(m + 2 * s, 4) AS bb_upper, round(m - 2 * s, 4) AS bb_lower, round(4 * s / m, 4) AS bb_width, round((close - (m - 2 * s)) / (4 * s), 4) AS bb_position FROM (SELECT date, commodity, close, CASE WHEN count(*) {frame(20)} = 20 THEN avg(close) {frame(20)} END AS m, CASE WHEN count(*) {frame(20)} = 20 THEN stddev_samp(close) {frame(20)} END AS s FROM market)")),
     "w13_channel": (lambda f: feat.channel(f.market.select("date", "commodity", "close"), "close", [5, 20], KEY), market_sql("SELECT date, commodity, close, " + ", ".join(f"round(close / avg(close) {frame(n)} - 1, 4) AS ma_distance_{n}, round(CASE WHEN max(close) {frame(n)} > min(close) {frame(n)} THEN (close - min(close) {frame(n)}) / (max(close) {frame(n)} - min(close) {frame(n)}) END, 4) AS channel_{n}" for n in (5, 20)) + " FROM market")),
     "w14_trend_slope": (lambda f: feat.trend_slope(f.market.select("date", "commodity", "close"), "close", [10], KEY), market_sql(f"SELECT date, commodity, close, CASE WHEN count(*) {frame(10)} = 10 THEN round(regr_slope(close, i) {frame(10)}, 4) END AS slope_10 FROM (SELECT *, row_number() OVER ({W})::DOUBLE AS i FROM market)")),

@@ -10,9 +10,10 @@ from ..operators.clean import latest_wins
 from ..sources.files import write_partitions
 
 
-def ingest_stream(spark: SparkSession, path: str, schema: StructType, kind: str = "parquet") -> DataFrame:
-    """New files of a folder, each exactly once per checkpoint."""
-    return spark.readStream.schema(schema).format(kind).load(path)
+def ingest_stream(spark: SparkSession, path: str, schema: StructType, kind: str = "parquet", files: int | None = None) -> DataFrame:
+    """New files of a folder, each exactly once per checkpoint; at most `files` of them in a micro-batch, the oldest first."""
+    reader = spark.readStream.schema(schema).format(kind)
+    return (reader.option("maxFilesPerTrigger", files) if files else reader).load(path)
 
 
 def dedup_stream(sdf: DataFrame, key: list[str], ts: str, delay: str) -> DataFrame:
@@ -52,6 +53,11 @@ def upsert_stream(sdf: DataFrame, path: str, checkpoint: str, key: list[str], ts
     return sdf.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def dropped(query: StreamingQuery) -> int:
+    """State rows that the watermark turned away in the batches that a query reports."""
+    return sum(op["numRowsDroppedByWatermark"] for p in query.recentProgress for op in p["stateOperators"])
+
+
 def run_to_table(sdf: DataFrame, path: str, checkpoint: str, mode: str = "append") -> StreamingQuery:
     """Everything that is there now, to parquet."""
     return sdf.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode(mode).trigger(availableNow=True).start()
