@@ -89,17 +89,23 @@ def test_broken_tones_and_days_are_dropped(spark):
     assert [(r["tone_avg"], r["tone_positive"], r["tone_negative"]) for r in got] == [(1.5, None, None)]
 
 
-def test_quantiles_of_large_groups_equal_sorted_arrays(spark, monkeypatch):
-    from tidemark.operators import paths
-
+def test_quantiles_are_exact_for_wide_and_narrow_brackets(spark, monkeypatch):
     rows = spark.range(30_000).selectExpr("id % 3 AS g", "IF(id % 3 = 2, NULL, double(pmod(xxhash64(id), 700)))  AS a", "double(id * id % 10007) AS b").unionAll(spark.createDataFrame([(None, 1.0, 2.0), (None, 4.0, None)], "g long, a double, b double"))
     levels = [0.0, 0.05, 0.5, 0.9, 1.0]
-    expected = {r["g"]: (r["a"], r["b"]) for r in paths.exact_quantiles(rows, ["g"], ["a", "b"], levels).collect()}
     plain = {r["g"]: (r["a"], r["b"]) for r in rows.groupBy("g").agg(*(F.percentile(c, F.array(*map(F.lit, levels))).alias(c) for c in ("a", "b"))).collect()}
-    monkeypatch.setattr(paths, "GROUP_ROWS", 100)
-    large = {r["g"]: (r["a"], r["b"]) for r in paths.exact_quantiles(rows, ["g"], ["a", "b"], levels).collect()}
-    assert len(expected) == 4
-    for g, (a, b) in plain.items():
-        for got in (expected[g], large[g]):
-            assert got[1] == pytest.approx(b)
-            assert (got[0] == pytest.approx(a)) if a is not None else all(x is None for x in got[0])
+    for most, accuracy in ((250_000, 1000), (9_999, 1000), (0, 1000), (0, 100), (0, 100_000)):  # all in arrays, some, none
+        monkeypatch.setattr(paths, "GROUP_ROWS", most)
+        monkeypatch.setattr(paths, "ACCURACY", accuracy)
+        found = {r["g"]: (r["a"], r["b"]) for r in paths.exact_quantiles(rows, ["g"], ["a", "b"], levels).collect()}
+        assert len(found) == 4
+        for g, (a, b) in plain.items():
+            assert found[g][1] == pytest.approx(b)
+            assert (found[g][0] == pytest.approx(a)) if a is not None else all(x is None for x in found[g][0])
+
+
+def test_quantiles_outside_their_bracket_fail(spark, monkeypatch):
+    rows = spark.range(5000).selectExpr("1 AS g", "double(pmod(xxhash64(id), 4999)) AS a")
+    real = F.percentile_approx
+    monkeypatch.setattr(paths.F, "percentile_approx", lambda c, levels, accuracy: real(c, [x / 2 for x in levels], accuracy))
+    with pytest.raises(Exception, match="outside its bracket"):
+        paths.bracketed_quantiles(rows, ["g"], ["a"], [0.9]).collect()

@@ -92,6 +92,16 @@ def correlations(df: DataFrame, key: list[str], x: str, ys: list[str]) -> DataFr
     return df.groupBy(*key).agg(*(F.round(F.corr(x, y), 4).alias(f"corr_{y}") for y in ys))
 
 
+def covariate_correlations(prices: DataFrame, tone: DataFrame, key: list[str], column: str = "close", span: int = 7) -> DataFrame:
+    """Correlation of prices with a day's tone, its number of events and the tone's momentum over `span` days, for each key.
+
+    `tone` has a row a day (date, tone, n_events); days without news take no part, pairs with a null neither.
+    """
+    own = tone.withColumn("momentum", F.col("tone") - F.lag("tone", span).over(Window.orderBy("date")))  # a row for each day of the calendar
+    rows = prices.join(own, "date")
+    return rows.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), *(F.round(F.corr(column, c), 4).alias(f"corr_{c}") for c in ("tone", "n_events", "momentum")))
+
+
 def qualify_series(forecasts: DataFrame, key: list[str], min_span: int = 730, min_coverage: float = 0.9, on: str = "date") -> DataFrame:
     """Which forecast series span enough days and cover enough of them."""
     out = forecasts.groupBy(*key).agg(F.count(F.lit(1)).alias("n_runs"), F.count_distinct(on).alias("n_days"), (F.datediff(F.max(on), F.min(on)) + 1).cast("long").alias("span_days"))

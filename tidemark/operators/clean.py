@@ -100,15 +100,17 @@ def range_examples(df: DataFrame, limits: dict[str, tuple[float, float]], order:
     return out.withColumn("__k", F.row_number().over(w)).where(F.col("__k") <= k).drop("__k")
 
 
-def convert_units(prices: DataFrame, rates: DataFrame, factor: float, most_series: int = 10_000) -> DataFrame:
+def convert_units(prices: DataFrame, rates: DataFrame, factor: float, chunk: int = 1000) -> DataFrame:
     """Every price in the units of each series' latest rate, rounded half up.
 
-    The latest rates go to all tasks; a table of more than most_series of them is refused.
+    The result has a row for each price and series. Latest rates are packed into rows of `chunk` of them, which prices are joined
+    with and unpacked from, for any number of series; none comes to the driver.
     """
-    latest = first_by(rates, ["series"], [F.desc("date")]).select("series", "value")
-    held = latest.limit(most_series + 1).collect()
-    if len(held) > most_series:
-        raise ValueError(f"more than {most_series} series")
-    each = F.explode(F.array(*(F.struct(F.lit(r["series"]).alias("series"), F.lit(r["value"]).alias("value")) for r in held)))
-    own = prices.withColumn("__r", each)
+    latest = rates.groupBy("series").agg(F.max_by("value", "date").alias("value"))
+    packed = latest.groupBy(F.pmod(F.xxhash64("series"), F.greatest(F.lit(1), F.ceil(latest_count(latest) / chunk))).alias("__c")).agg(F.collect_list(F.struct("series", "value")).alias("__r"))
+    own = prices.select("date", "commodity", "close").join(packed.select("__r")).select("date", "commodity", "close", F.explode("__r").alias("__r"))
     return own.select("date", "commodity", "__r.series", (F.floor(F.col("close") * factor * F.col("__r.value") * 100 + 0.5) / 100).alias("local_price"))
+
+
+def latest_count(latest: DataFrame) -> Column:
+    return F.lit(latest.count())

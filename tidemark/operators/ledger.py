@@ -26,13 +26,37 @@ def leaderboard(metrics: DataFrame, baselines: list[str], name: str = "strategy"
 
 
 def reason_share(trades: DataFrame, by: list[str], forced: str) -> DataFrame:
-    """Amount by reason pattern: share sold for a reason that matches `forced`."""
+    """Trades and share of the amount sold for a reason that matches `forced`, and how often that is; `reason_counts` has every reason."""
     hit = F.lower("reason").rlike(forced)
     share = F.sum(F.when(hit, F.col("amount")).otherwise(0.0)) / F.sum("amount") * 100
     out = trades.groupBy(*by).agg(F.count_if(hit).alias("n_forced"), F.round(share, 4).alias("forced_pct"))
     return out.withColumn("scenario", F.when(F.col("forced_pct") < 5, "rare").when(F.col("forced_pct") < 25, "some").otherwise("frequent"))
 
 
+def reason_counts(trades: DataFrame, by: list[str], forced: str) -> DataFrame:
+    """Trades, amount and share of the amount by reason, and whether the reason is a forced one; a missing reason is UNKNOWN.
+
+    Shares come from the totals, which are sums of the rows per reason (a few a strategy), not of the trades.
+    """
+    reason = F.coalesce(F.col("reason"), F.lit("UNKNOWN"))
+    own = trades.groupBy(*by, reason.alias("reason")).agg(F.count(F.lit(1)).alias("n"), F.sum("amount").alias("__a"))
+    whole = Window.partitionBy(*by)
+    share = F.round(F.try_divide(F.col("__a"), F.sum("__a").over(whole)) * 100, 4).alias("amount_pct")
+    return own.select(*by, "reason", "n", F.round("__a", 2).alias("amount"), share, F.lower("reason").rlike(forced).alias("is_forced"))
+
+
+def foresight_value(trades: DataFrame, bounds: DataFrame, by: list[str], key: list[str]) -> DataFrame:
+    """What the amounts of the trades were worth on their days with perfect foresight: the bound by which efficiency is measured."""
+    return trades.join(bounds.select(*key, "date", "bound"), [*key, "date"]).groupBy(*by).agg(F.round(F.sum(F.col("amount") * F.col("bound")), 2).alias("bound_value"))
+
+
+def efficiency_summary(rated: DataFrame) -> DataFrame:
+    """Number, mean, deviation and extremes of efficiencies, and how many are in each category."""
+    e = F.col("efficiency")
+    bands = [F.count_if(F.col("category") == c).alias(f"n_{c}") for c in ("excellent", "good", "fair", "poor")]
+    return rated.agg(F.count(e).alias("n"), F.round(F.avg(e), 4).alias("mean"), F.round(F.stddev_samp(e), 4).alias("std"), F.min(e).alias("lowest"), F.max(e).alias("highest"), *bands)
+
+
 def efficiency(metrics: DataFrame, bound: Column, value: str = "net") -> DataFrame:
     ratio = F.col(value) / bound
     return metrics.withColumns({"efficiency": F.round(ratio, 4), "gap": F.round(bound - F.col(value), 2), "category": F.when(ratio >= 0.95, "excellent").when(ratio >= 0.85, "good").when(ratio >= 0.7, "fair").otherwise("poor")})

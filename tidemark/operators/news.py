@@ -79,3 +79,9 @@ def file_day(df: DataFrame, column: str) -> DataFrame:
 
 def json_fields(df: DataFrame, column: str, schema: StructType | str) -> DataFrame:
     return df.withColumn("__j", F.from_json(column, schema)).select(*df.columns, "__j.*")
+
+
+def recommendation_json(df: DataFrame, key: list[str], action: str, values: list[str]) -> DataFrame:
+    """Recommendations as JSON text (column value), one line each: the forecast's key, the action and its values. Nulls are left out."""
+    forecast = F.struct(*(F.col(k).cast("string").alias(k) for k in key)).alias("forecast")
+    return df.select(F.to_json(F.struct(forecast, F.struct(F.col(action).alias("action"), F.struct(*values).alias("values")).alias("recommendation"))).alias("value"))

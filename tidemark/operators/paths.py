@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .carry import cut, earlier
 
 DAYS = 14
-#: Rows of a group up to which its values are sorted in one array; accuracy of the sketches that bracket the quantiles of larger ones.
+#: Rows of a group up to which one task sorts its values; accuracy of the sketches for larger ones, whose brackets are three times as wide.
 GROUP_ROWS, ACCURACY = 250_000, 1000
 
 
@@ -19,10 +21,21 @@ def pivot_days(long_df: DataFrame, by: list[str], n: int = DAYS) -> DataFrame:
     return long_df.groupBy(*by).agg(*(F.max(F.when(F.col("day") == h, F.col("value"))).alias(f"day_{h}") for h in range(1, n + 1)))
 
 
-def path_arrays(df: DataFrame, by: list[str], n: int = DAYS) -> DataFrame:
-    """Paths of each forecast as an array of arrays, in path order; meant for the edge of a job."""
+def path_parts(df: DataFrame, by: list[str], size: int = 1000, n: int = DAYS) -> DataFrame:
+    """Paths of each forecast in numbered parts of at most `size`: arrays of (path_id, days), in path order.
+
+    path_id counts a forecast's paths from 1 (`carry.ranked`), so a path's part follows from its number and no row holds a forecast
+    of any size. A path_id that repeats makes its part longer.
+    """
+    part = F.floor((F.col("path_id") - 1) / size).cast("long")
     rows = F.struct("path_id", F.array(*(F.col(f"day_{h}") for h in range(1, n + 1))).alias("days"))
-    return df.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(rows)), lambda x: x["days"]).alias("paths"))
+    return df.groupBy(*by, part.alias("part")).agg(F.count(F.lit(1)).alias("n_paths"), F.array_sort(F.collect_list(rows)).alias("paths"))
+
+
+def path_rows(parts: DataFrame, by: list[str], n: int = DAYS) -> DataFrame:
+    """The paths of such parts, a row each with a column for each day: the reader of `path_parts`."""
+    own = parts.select(*by, F.explode("paths").alias("p"))
+    return own.select(*by, "p.path_id", *(F.col("p.days")[h - 1].alias(f"day_{h}") for h in range(1, n + 1)))
 
 
 def actual_windows(prices: DataFrame, key: list[str], column: str = "close", n: int = DAYS) -> DataFrame:
@@ -38,52 +51,69 @@ def day_columns(days: list[int]) -> list[str]:
 def exact_quantiles(df: DataFrame, by: list[str], columns: list[str], levels: list[float]) -> DataFrame:
     """A row for each group with, for every column, the array of its quantiles (linear between neighbours, nulls left out).
 
-    Groups of at most GROUP_ROWS rows are sorted as arrays. If one is larger, all are taken by `bracketed_quantiles`, which no task
-    holds a group for; the values are the same. A column without values has null quantiles; NaN counts as greater than all numbers.
+    One plan for all sizes, in which each group goes by its own: up to GROUP_ROWS rows are sorted as arrays in one task, larger
+    groups are taken by `bracketed_quantiles`, for which no task holds a group. Values are the same. A column without values has
+    null quantiles; NaN counts as greater than all numbers.
     """
-    if (df.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0) > GROUP_ROWS:
-        return bracketed_quantiles(df, by, columns, levels)
-    arrays = df.groupBy(*by).agg(*(F.array_sort(F.collect_list(F.col(c).cast("double"))).alias(c) for c in columns))
+    own = df.select(*by, *columns)
+    large = own.groupBy(*by).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > GROUP_ROWS).select(*(F.col(c).alias(f"__by_{c}") for c in by))
+    same = reduce(lambda x, y: x & y, (F.col(c).eqNullSafe(F.col(f"__by_{c}")) for c in by))
+    arrays = own.join(large, same, "left_anti").groupBy(*by).agg(*(F.array_sort(F.collect_list(F.col(c).cast("double"))).alias(c) for c in columns))
 
     def at(c: str, q: float) -> Column:
         place = (F.size(c) - 1) * F.lit(q)
         low, high = (F.get(F.col(c), f(place).cast("int")) for f in (F.floor, F.ceil))
         return low + (high - low) * (place - F.floor(place))
 
-    return arrays.select(*by, *(F.array(*(at(c, q) for q in levels)).alias(c) for c in columns))
+    small = arrays.select(*by, *(F.array(*(at(c, q) for q in levels)).alias(c) for c in columns))
+    return small.unionByName(bracketed_quantiles(own.join(large, same, "left_semi"), by, columns, levels))
 
 
 def bracketed_quantiles(df: DataFrame, by: list[str], columns: list[str], levels: list[float]) -> DataFrame:
-    """The same for groups of any size.
+    """The same for groups of any size, in two passes, with no group in a task.
 
-    A mergeable sketch per group brackets each quantile; then only values inside the brackets, some per mille of all, are
-    sorted, and those below are counted where they lie.
+    A mergeable sketch per group brackets each quantile; then values inside a bracket, some per mille of a large group, are
+    counted by value, and all others by the gap between brackets that they lie in. Running counts give the places. Should a
+    place lie in a gap, the job fails instead of taking a neighbour.
     """
     margin = 3 / ACCURACY
     wide = [x for q in levels for x in (max(q - margin, 0.0), min(q + margin, 1.0))]
     sketch = df.groupBy(*by).agg(*(x for c in columns for x in (F.count(c).alias(f"__n_{c}"), F.min(c).alias(f"__a_{c}"), F.max(c).alias(f"__z_{c}"), F.percentile_approx(c, wide, ACCURACY).alias(f"__s_{c}"))))
-    brackets = {}
-    for c in columns:
+
+    def bracket(c: str) -> list[Column]:
         small = F.col(f"__n_{c}") <= ACCURACY
-        for k in range(len(levels)):
-            brackets[f"__lo{k}_{c}"] = F.when(small, F.col(f"__a_{c}")).otherwise(F.col(f"__s_{c}")[2 * k])
-            brackets[f"__hi{k}_{c}"] = F.when(small, F.col(f"__z_{c}")).otherwise(F.col(f"__s_{c}")[2 * k + 1])
-    bounds = sketch.select(*by, *(F.col(f"__n_{c}") for c in columns), *(x.alias(n) for n, x in brackets.items()))
-    both = df.select(*by, *columns).join(bounds.select(*(F.col(c).alias(f"__by_{c}") for c in by), *brackets), [F.col(c).eqNullSafe(F.col(f"__by_{c}")) for c in by])
-    below = both.groupBy(*by).agg(*(F.count(F.when(F.col(c) < F.col(f"__lo{k}_{c}"), 1)).alias(f"__b{k}_{c}") for c in columns for k in range(len(levels))))
-    cells = [(c, k) for c in columns for k in range(len(levels))]
-    inside = [F.when(F.col(c).between(F.col(f"__lo{k}_{c}"), F.col(f"__hi{k}_{c}")), F.struct(F.lit(i).alias("cell"), F.col(c).cast("double").alias("value"))) for i, (c, k) in enumerate(cells)]
-    kept = both.select(*by, F.explode(F.array_compact(F.array(*inside))).alias("x")).groupBy(*by, "x.cell", "x.value").agg(F.count(F.lit(1)).alias("n"))
-    sums = kept.withColumn("upto", F.sum("n").over(Window.partitionBy(*by, "cell").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)))
-    start = below.join(bounds.select(*(F.col(c).alias(f"__by_{c}") for c in by), *(f"__n_{c}" for c in columns)), [F.col(c).eqNullSafe(F.col(f"__by_{c}")) for c in by])
-    place = [F.struct(F.lit(i).alias("cell"), F.col(f"__b{k}_{c}").alias("below"), ((F.col(f"__n_{c}") - 1) * levels[k]).alias("place")) for i, (c, k) in enumerate(cells)]
-    asked = start.select(*(F.col(c).alias(f"__by_{c}") for c in by), F.explode(F.array(*place)).alias("p")).select(*(f"__by_{c}" for c in by), F.col("p.cell").alias("__cell"), "p.below", "p.place")
-    found = asked.join(sums, [*(F.col(c).eqNullSafe(F.col(f"__by_{c}")) for c in by), F.col("cell") == F.col("__cell")], "left")
-    at = F.col("below") + F.col("upto")
-    ends = found.groupBy(*(f"__by_{c}" for c in by), "__cell", "place").agg(*(F.min(F.when(at > f("place"), F.col("value"))).alias(n) for n, f in (("low", F.floor), ("high", F.ceil))))
-    value = F.col("low") + (F.col("high") - F.col("low")) * (F.col("place") - F.floor("place"))
-    each = ends.groupBy(*(F.col(f"__by_{c}").alias(c) for c in by)).agg(*(F.max(F.when(F.col("__cell") == i, value)).alias(f"__q{i}") for i in range(len(cells))))
-    return each.select(*by, *(F.array(*(F.col(f"__q{cells.index((c, k))}") for k in range(len(levels)))).alias(c) for c in columns))
+        return [F.struct(F.when(small, F.col(f"__a_{c}")).otherwise(F.col(f"__s_{c}")[2 * k]).cast("double").alias("lo"), F.when(small, F.col(f"__z_{c}")).otherwise(F.col(f"__s_{c}")[2 * k + 1]).cast("double").alias("hi")) for k in range(len(levels))]
+
+    bounds = sketch.select(*(F.col(c).alias(f"__by_{c}") for c in by), *(F.array(*bracket(c)).alias(f"__b_{c}") for c in columns))
+    both = df.select(*by, *columns).join(bounds, [F.col(c).eqNullSafe(F.col(f"__by_{c}")) for c in by])
+
+    # one value a row before anything is computed from it: the same expressions over all columns at once would be too long to compile
+    here = F.struct(F.lit(-1).alias("cell"), F.lit(None).cast("double").alias("v"), F.array(*bracket_none(len(levels))).alias("b"))  # a group of nulls is a group
+    cells = [F.struct(F.lit(i).alias("cell"), F.col(c).cast("double").alias("v"), F.col(f"__b_{c}").alias("b")) for i, c in enumerate(columns)]
+    each = both.select(*by, F.explode(F.array(here, *cells)).alias("x")).select(*by, "x.*").where("cell < 0 OR v IS NOT NULL")
+    edges = [F.col("b")[k] for k in range(len(levels))]
+    inside = F.coalesce(reduce(lambda x, y: x | y, (F.col("v").between(e["lo"], e["hi"]) for e in edges)), F.lit(True))
+    after = F.greatest(F.lit(None).cast("double"), *(F.when(e["hi"] < F.col("v"), e["hi"]) for e in edges))
+    # the value itself inside a bracket, else the end of the last bracket below it, marked as a gap
+    counted = each.select(*by, "cell", F.when(inside, F.col("v")).otherwise(after).alias("key"), F.when(inside, 0).otherwise(1).alias("gap")).groupBy(*by, "cell", "key", "gap").agg(F.count(F.lit(1)).alias("n"))
+    group = Window.partitionBy(*by, "cell")
+    sums = counted.withColumns({"upto": F.sum("n").over(group.orderBy(F.asc_nulls_first("key"), "gap").rowsBetween(Window.unboundedPreceding, 0)), "total": F.sum("n").over(group)})
+    places = [(F.col("total") - 1) * F.lit(q) for q in levels]
+    at = {f"__{name}{k}": F.max(F.when((f(p) >= F.col("upto") - F.col("n")) & (f(p) < F.col("upto")), F.struct("gap", "key"))) for k, p in enumerate(places) for name, f in (("low", F.floor), ("high", F.ceil))}
+    ends = sums.groupBy(*by, "cell").agg(F.first("total").alias("total"), *(x.alias(name) for name, x in at.items()))
+
+    def value(k: int) -> Column:
+        low, high, place = F.col(f"__low{k}"), F.col(f"__high{k}"), places[k]
+        missed = F.raise_error(F.lit("a quantile lies outside its bracket")).cast("double")
+        return F.when(low["gap"] + high["gap"] > 0, missed).otherwise(low["key"] + (high["key"] - low["key"]) * (place - F.floor(place)))
+
+    found = ends.select(*by, "cell", F.when(F.col("cell") >= 0, F.array(*(value(k) for k in range(len(levels))))).alias("q"))
+    nothing = F.array(*[F.lit(None).cast("double")] * len(levels))
+    return found.groupBy(*by).agg(*(F.coalesce(F.max(F.when(F.col("cell") == i, F.col("q"))), nothing).alias(c) for i, c in enumerate(columns)))
+
+
+def bracket_none(n: int) -> list[Column]:
+    return [F.struct(F.lit(None).cast("double").alias("lo"), F.lit(None).cast("double").alias("hi"))] * n
 
 
 def by_day(df: DataFrame, by: list[str], days: list[int], values: dict[str, list]) -> DataFrame:

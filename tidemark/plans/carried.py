@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import carry, pooled, scores as sc
+from ..operators import aggregates as agg, carry, clean, news as nw, pooled, scores as sc, signals as sg, spine
+from ..sources import tables
 from .bindings import Frames, with_views as sql
-from .forecasts import DIFFER, errors, judged, normal_above
-from .series import FILLED, KEY, W, filled_market, on_filled
+from .forecasts import BY, DIFFER, errors, judged, normal_above
+from .series import KEY, W, filled_market, on_filled
 
 MONTHS = 12
 AHEAD = 7
@@ -15,8 +16,6 @@ AHEAD = 7
 
 def unfilled_market(f: Frames):
     """Every day of every commodity, with holes where it was not traded."""
-    from ..operators import spine
-
     grid = spine.grid(spine.date_spine(f.market), f.market.select("commodity").distinct())
     return spine.onto_spine(grid, f.market.select("date", "commodity", "open", "high", "low", "close"), ["date", "commodity"])
 
@@ -90,7 +89,28 @@ def model_sql(body: str) -> str:
     return sql("market", f", {SAMPLES}{GRAMS}{SOLVED} {body}").replace(") , ", "), ", 1)
 
 
+def day_tones(f: Frames):
+    """Tone and number of events by day, on the calendar of the market: the last day of news is its last day."""
+    last = f.market.agg(F.max("date").alias("m")).join(f.news.agg(F.max("date").alias("n"))).select(F.datediff("m", "n").alias("shift"))
+    own = nw.parse_tone(f.news).groupBy("date").agg(F.round(F.avg("tone_avg"), 6).alias("tone"), F.count(F.lit(1)).alias("n_events"))
+    return own.join(last).select(F.expr("date_add(date, shift)").alias("date"), "tone", "n_events")
+
+
+def recommendations(f: Frames):
+    """Recommendations as nested JSON lines, one a forecast, read back by their schema."""
+    path = tables.scratch(f.spark, "recommendations")
+    now, best = F.round(F.max(F.when(F.col("day") == 1, F.col("forecast"))), 4), F.round(F.max("forecast"), 4)
+    own = sg.hold_or_sell(f.points.groupBy(*BY).agg(best.alias("best_value"), now.alias("now_value")), 5.0)
+    nw.recommendation_json(own, BY, "recommendation", ["now_value", "best_value", "gain"]).write.text(path)
+    schema = "forecast struct<start:string,model:string>, recommendation struct<action:string,values:struct<now_value:double,best_value:double,gain:double>>"
+    return f.spark.read.schema(schema).json(path).select("forecast.*", "recommendation.action", "recommendation.values.*")
+
+
 CASES = {
+    "a24_covariates": (lambda f: agg.covariate_correlations(f.market, day_tones(f), KEY), sql("market news", ", d AS (SELECT date + CAST((SELECT date_diff('day', (SELECT max(date) FROM news), max(date)) FROM market) AS INT) AS date, round(avg(try_cast(split_part(tone, ',', 1) AS DOUBLE)), 6) AS tone, count(*) AS n_events FROM news GROUP BY 1), m AS (SELECT *, tone - lag(tone, 7) OVER (ORDER BY date) AS momentum FROM d) SELECT commodity, count(*) AS n, round(corr(close, tone), 4) AS corr_tone, round(corr(close, n_events), 4) AS corr_n_events, round(corr(close, momentum), 4) AS corr_momentum FROM market JOIN m USING (date) GROUP BY 1").replace(") , ", "), ", 1)),
+    "f21_recommendation_json": (recommendations, sql("points", "SELECT CAST(start AS VARCHAR) AS start, model, CASE WHEN round(best_value - now_value, 4) >= 5 THEN 'HOLD' ELSE 'SELL' END AS action, now_value, best_value, round(best_value - now_value, 4) AS gain FROM (SELECT start, model, round(max(forecast), 4) AS best_value, round(max(forecast) FILTER (day = 1), 4) AS now_value FROM points GROUP BY ALL)")),
+    "p1_trading_slice": (lambda f: clean.as_of_slice(filled_market(f), "2-HIGH", "1996-06-30", trading_only=True).drop("volume"), on_filled("SELECT * FROM filled WHERE commodity = '2-HIGH' AND date <= DATE '1996-06-30' AND is_trading_day = 1")),
+    "u3_set_plus": (lambda f: clean.set_plus(f.vix.select("date"), f.weather.select("date")), sql("vix weather", "SELECT date FROM vix UNION SELECT date FROM weather")),
     "w1_filled_blocks": (lambda f: carry.filled(unfilled_market(f), ["open", "high", "low", "close"], KEY, ["date"]), on_filled("SELECT date, commodity, open, high, low, close FROM filled")),
     "j6_as_of_blocks": (lambda f: carry.as_of(f.trades.select(F.col("strategy").alias("commodity"), "date"), f.market.where(F.dayofmonth("date") == 1).select("commodity", F.col("date").alias("training_date")), "date", "training_date", KEY), sql("trades market", "SELECT t.strategy AS commodity, t.date, m.training_date FROM trades t ASOF LEFT JOIN (SELECT commodity, date AS training_date FROM market WHERE day(date) = 1) m ON m.commodity = t.strategy AND m.training_date <= t.date")),
     "j8_join_fill_blocks": (lambda f: carry.filled(f.trades.select("date", "trade_id", "strategy").join(f.vix, "date", "left"), ["vix"], ["strategy"], ["date", "trade_id"]), sql("trades vix", "SELECT date, trade_id, strategy, last_value(vix IGNORE NULLS) OVER (PARTITION BY strategy ORDER BY date, trade_id ROWS UNBOUNDED PRECEDING) AS vix FROM trades LEFT JOIN vix USING (date)")),

@@ -1,6 +1,10 @@
 """Date columns of the queries' results; both sides of the comparison give them as ISO text."""
 
 DATES = {
+    "p1_trading_slice": "date",
+    "u3_set_plus": "date",
+    "s13_versioned_upsert": "date",
+    "r6_path_rows": "start",
     "w1_filled_blocks": "date",
     "j6_as_of_blocks": "date training_date",
     "j8_join_fill_blocks": "date",

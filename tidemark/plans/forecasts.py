@@ -102,6 +102,17 @@ def judged(p: str, body: str, more: str = "") -> str:
 
 SIGNED = "e1 * e1 - e2 * e2"
 LOSS = f"l AS (SELECT commodity, date, l - avg(l) OVER (PARTITION BY commodity) AS c, avg(l) OVER (PARTITION BY commodity) AS m FROM (SELECT commodity, date, {SIGNED} AS l FROM (SELECT {DIFFER} FROM market)))"
+#: Foresight: what the trades' amounts were worth at the best later price less storage.
+RATED = sql("market trades", ", s AS (SELECT date, commodity, close, row_number() OVER (PARTITION BY commodity ORDER BY date) AS i FROM market), bounds AS (SELECT date, commodity, round(max(close * (1 - 0.01 / 100) - (i - 1) * 50.0) OVER (PARTITION BY commodity ORDER BY date ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) + (i - 1) * 50.0, 4) AS bound FROM s), rated AS (SELECT strategy, net, bound_value, round(net / bound_value, 4) AS efficiency, round(bound_value - net, 2) AS gap, CASE WHEN net / bound_value >= 0.95 THEN 'excellent' WHEN net / bound_value >= 0.85 THEN 'good' WHEN net / bound_value >= 0.7 THEN 'fair' ELSE 'poor' END AS category FROM (SELECT strategy, round(sum(amount * price) * (1 - 0.01 / 100), 2) AS net FROM trades GROUP BY 1) JOIN (SELECT strategy, round(sum(amount * bound), 2) AS bound_value FROM trades JOIN bounds ON bounds.commodity = strategy AND bounds.date = trades.date GROUP BY 1) USING (strategy))").replace(") , ", "), ", 1)
+
+
+def rated(f: Frames):
+    """Each strategy's net proceeds against those of perfect foresight."""
+    bounds = ledger.foresight_bound(f.market.select("date", "commodity", "close"), ["commodity"], 50.0, 0.01).withColumnRenamed("commodity", "strategy")
+    best = ledger.foresight_value(f.trades, bounds, ["strategy"], ["strategy"])
+    return ledger.efficiency(ledger.ledger_metrics(f.trades, ["strategy"], 0.01).select("strategy", "net").join(best, "strategy"), F.col("bound_value"))
+
+
 CASES = {
     "p2_relevant": (lambda f: nw.relevant(f.news.select("event_id", "themes", "all_names"), ["ECON_1", "TAX_P"], ["view"]), sql("news", "SELECT event_id, themes, all_names FROM news WHERE regexp_matches(themes, '(^|;)(ECON_1|TAX_P)') OR contains(lower(all_names), 'view')")),
     "p3_commodity_flags": (lambda f: nw.commodity_flags(f.table("documents").select("doc_id", "text"), "text", {"coffee": ("the|und", None), "sugar": ("la ", "el ")}).drop("text"), "SELECT doc_id, coalesce(regexp_matches(lower(text), 'the|und'), false) AS is_coffee, coalesce(regexp_matches(lower(text), 'la ') AND NOT regexp_matches(lower(text), 'el '), false) AS is_sugar FROM documents"),
@@ -145,7 +156,9 @@ CASES = {
     "a18_ledger_by_year": (lambda f: ledger.ledger_metrics_by_year(f.trades, ["strategy"], 0.01), sql("trades", f"SELECT strategy, year(date)::INT AS year, {LEDGER} FROM trades GROUP BY ALL")),
     "a25_leaderboard": (lambda f: ledger.leaderboard(ledger.ledger_metrics(f.trades, ["strategy"], 0.01), ["4-NOT SPECIFIED", "5-LOW"]), sql("trades", f", x AS (SELECT strategy, {LEDGER} FROM trades GROUP BY 1) SELECT b.strategy AS best_baseline, p.strategy AS best_prediction, round(p.net - b.net, 2) AS difference, round((p.net / b.net - 1) * 100, 4) AS difference_pct FROM (SELECT * FROM x WHERE strategy IN ('4-NOT SPECIFIED', '5-LOW') ORDER BY net DESC LIMIT 1) b, (SELECT * FROM x WHERE strategy NOT IN ('4-NOT SPECIFIED', '5-LOW') ORDER BY net DESC LIMIT 1) p").replace(") , ", "), ", 1)),
     "a26_reason_share": (lambda f: ledger.reason_share(f.trades, ["strategy"], "^f$"), sql("trades", "SELECT strategy, n_forced, forced_pct, CASE WHEN forced_pct < 5 THEN 'rare' WHEN forced_pct < 25 THEN 'some' ELSE 'frequent' END AS scenario FROM (SELECT strategy, count(*) FILTER (reason = 'F') AS n_forced, round(sum(CASE WHEN reason = 'F' THEN amount ELSE 0 END) / sum(amount) * 100, 4) AS forced_pct FROM trades GROUP BY 1)")),
-    "a27_efficiency": (lambda f: ledger.efficiency(ledger.ledger_metrics(f.trades, ["strategy"], 0.01).select("strategy", "net"), F.lit(3e11)), sql("trades", "SELECT strategy, net, round(net / 3e11, 4) AS efficiency, round(3e11 - net, 2) AS gap, CASE WHEN net / 3e11 >= 0.95 THEN 'excellent' WHEN net / 3e11 >= 0.85 THEN 'good' WHEN net / 3e11 >= 0.7 THEN 'fair' ELSE 'poor' END AS category FROM (SELECT strategy, round(sum(amount * price) * (1 - 0.01 / 100), 2) AS net FROM trades GROUP BY 1)")),
+    "a27_efficiency": (rated, RATED + " SELECT * FROM rated"),
+    "a27_efficiency_summary": (lambda f: ledger.efficiency_summary(rated(f)), RATED + " SELECT count(*) AS n, round(avg(efficiency), 4) AS mean, round(stddev_samp(efficiency), 4) AS std, min(efficiency) AS lowest, max(efficiency) AS highest, " + ", ".join(f"count(*) FILTER (category = '{c}') AS n_{c}" for c in ("excellent", "good", "fair", "poor")) + " FROM rated"),
+    "a26_reason_counts": (lambda f: ledger.reason_counts(f.trades, ["strategy"], "^f$"), sql("trades", "SELECT strategy, reason, n, round(a, 2) AS amount, round(a / sum(a) OVER (PARTITION BY strategy) * 100, 4) AS amount_pct, reason = 'F' AS is_forced FROM (SELECT strategy, coalesce(reason, 'UNKNOWN') AS reason, count(*) AS n, sum(amount) AS a FROM trades GROUP BY ALL)")),
     "w24_portfolio_value": (lambda f: ledger.portfolio_value(f.trades, ["strategy"], 0.01), sql("trades", "SELECT strategy, date, proceeds, total, round((total / lag(total) OVER (PARTITION BY strategy ORDER BY date) - 1) * 100, 4) AS change_pct FROM (SELECT strategy, date, proceeds, round(sum(proceeds) OVER (PARTITION BY strategy ORDER BY date ROWS UNBOUNDED PRECEDING), 2) AS total FROM (SELECT strategy, date, round(sum(amount * price) * (1 - 0.01 / 100), 2) AS proceeds FROM trades GROUP BY ALL))")),
     "w25_harvest_schedule": (lambda f: ledger.harvest_schedule(f.market.select("date").distinct(), 11, 2, 50.0), sql("market", "SELECT date, inh AS in_harvest, inh AND NOT coalesce(lag(inh) OVER (ORDER BY date), false) AS opens, CASE WHEN inh THEN round(50.0 / 120, 6) ELSE 0.0 END::DOUBLE AS daily_volume FROM (SELECT DISTINCT date, month(date) >= 11 OR month(date) <= 2 AS inh FROM market)")),
     "w26_foresight_bound": (lambda f: ledger.foresight_bound(f.market.select("date", "commodity", "close"), ["commodity"], 50.0, 0.01), sql("market", ", s AS (SELECT date, commodity, close, row_number() OVER (PARTITION BY commodity ORDER BY date) AS i FROM market) SELECT date, commodity, close, round(max(close * (1 - 0.01 / 100) - (i - 1) * 50.0) OVER (PARTITION BY commodity ORDER BY date ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) + (i - 1) * 50.0, 4) AS bound FROM s").replace(") , ", "), ", 1)),

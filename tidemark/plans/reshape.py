@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import aggregates as agg, baseline, clean, features as feat, news as nw, paths as pt, signals as sg, spine
-from ..sources import files
+from ..sources import files, tables
 from .bindings import Frames, with_views as sql
 from .forecasts import BY, grouped, tier_sql, tiers, EXPLODED, GROUP_SQL, MEANS
 from .jobs import shared
@@ -28,13 +28,43 @@ def sentiment(f: Frames):
 
 
 def new_files(f: Frames):
-    """A folder loaded twice: the second time only for what the control table lacks."""
-    first, second = shared(f, "new"), shared(f, "new")
+    """A folder that grows, loaded three times: each run takes what the control table lacks, and the third finds nothing."""
+    folder, control, out = shared(f, "new"), shared(f, "new-control"), shared(f, "new-rows")
     own = f.table("orders").select("o_orderkey", "o_totalprice")
-    own.where("o_orderkey % 2 = 0").coalesce(1).write.parquet(first)
-    own.where("o_orderkey % 2 = 1").coalesce(1).write.parquet(second)
-    listed = f.spark.createDataFrame([(first,), (second,)], "path string")
-    return files.load_new_files(f.spark, listed, listed.where(F.col("path") == first), own.schema).drop("path")
+    f.spark.createDataFrame([], "path string").write.parquet(control)
+    for run in range(3):
+        if run < 2:
+            own.where(F.col("o_orderkey") % 2 == run).write.mode("append").parquet(folder)
+        listed = f.spark.read.schema("path string").parquet(control)
+        loaded = tables.saved(files.load_new_files(f.spark, folder, listed, own.schema).withColumn("run", F.lit(run).cast("long")), "new-load")
+        loaded.write.mode("append").parquet(out)
+        files.new_paths(loaded).write.mode("append").parquet(control)
+    return f.spark.read.parquet(out).select("o_orderkey", "o_totalprice", "run")
+
+
+def versioned(f: Frames):
+    """Prices published, then some replaced and days added, twice by the same updates; each time as a whole new version."""
+    path = shared(f, "versions")
+    base = f.market.where("volume > 1").select("date", "commodity", "close", "volume")
+    updates = f.market.where("volume <> 2").select("date", "commodity", F.col("open").alias("close"))
+    tables.publish(base, path)
+    for _ in range(2):
+        tables.upsert(updates, path, ["date", "commodity"], ["close"])
+    return tables.read_current(f.spark, path)
+
+
+def stored_parts(f: Frames):
+    """Path arrays in parts of 50, stored and read again; the text has every value."""
+    path = shared(f, "path-parts")
+    pt.path_parts(f.paths, BY, 50).write.parquet(path)
+    whole = F.transform("paths", lambda p: F.array_join(F.transform(p["days"], lambda x: F.floor(x * 10000 + 0.5).cast("string")), ","))
+    return f.spark.read.parquet(path).select(*BY, "part", "n_paths", F.array_join(whole, ";").alias("paths"))
+
+
+def read_parts(f: Frames):
+    path = shared(f, "path-parts")
+    pt.path_parts(f.paths, BY, 50).write.parquet(path)
+    return pt.path_rows(f.spark.read.parquet(path), BY).select(*BY, F.col("path_id").cast("long").alias("path_id"), *((F.floor(F.col(f"day_{h}") * 10000 + 0.5) / 10000).alias(f"day_{h}") for h in range(1, 15)))
 
 
 def rebuilt(f: Frames):
@@ -70,13 +100,14 @@ CASES = {
     "p6_select_prefix": (lambda f: clean.select_prefix(spine.merge_series(f.macro_long, FX), ["date"], ["fx_0", "fx_3"]), sql("macro_long", "SELECT date, max(value) FILTER (series = 'fx_0') AS fx_0, max(value) FILTER (series = 'fx_3') AS fx_3 FROM macro_long GROUP BY 1")),
     "p10_convert_units": (lambda f: clean.convert_units(f.market, f.macro_long, 20), sql("market macro_long", "SELECT m.date, commodity, series, floor(close * 20 * value * 100 + 0.5) / 100 AS local_price FROM market m, (SELECT * FROM macro_long QUALIFY row_number() OVER (PARTITION BY series ORDER BY date DESC) = 1) x")),
     "r4_pivot_regions": (lambda f: agg.pivot_groups(f.weather, ["date", "commodity"], "region", REGIONS, "temp_c"), sql("weather", "SELECT date, commodity, " + ", ".join(f"max(temp_c) FILTER (region = '{r}') AS temp_c_{r.lower()}" for r in REGIONS) + " FROM weather GROUP BY ALL")),
-    "r6_path_arrays": (lambda f: pt.path_arrays(f.paths, BY).select(*BY, F.size("paths").cast("long").alias("n_paths"), F.round(F.element_at("paths", 1)[0], 4).alias("first_value")), sql("paths", "SELECT start, model, count(*) AS n_paths, round(arg_min(day_1, path_id), 4) AS first_value FROM paths GROUP BY ALL")),
-    "s6_new_files": (new_files, "SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderkey % 2 = 1"),
+    "r6_path_arrays": (stored_parts, sql("paths", "SELECT start, model, CAST((path_id - 1) // 50 AS BIGINT) AS part, count(*) AS n_paths, string_agg(" + " || ',' || ".join(f"floor(day_{h} * 10000 + 0.5)::BIGINT" for h in range(1, 15)) + ", ';' ORDER BY path_id) AS paths FROM paths GROUP BY ALL")),
+    "r6_path_rows": (read_parts, sql("paths", "SELECT start, model, CAST(path_id AS BIGINT) AS path_id, " + ", ".join(f"floor(day_{h} * 10000 + 0.5) / 10000 AS day_{h}" for h in range(1, 15)) + " FROM paths")),
+    "s6_new_files": (new_files, "SELECT o_orderkey, o_totalprice, CAST(o_orderkey % 2 AS BIGINT) AS run FROM orders"),
+    "s13_versioned_upsert": (versioned, sql("market", "SELECT date, commodity, CASE WHEN volume <> 2 THEN open ELSE close END AS close, CASE WHEN volume > 1 THEN volume END AS volume FROM market")),
     "s9_rebuild": (rebuilt, sql("market", "SELECT * FROM market")),
     "f12_minmax": (lambda f: feat.scale(f.weather.select("date", "region", "commodity", "temp_c"), ["temp_c"], "minmax", "1999-12-31")[0], sql("weather", "SELECT date, region, commodity, temp_c, round((temp_c - a) / (b - a), 4) AS temp_c_scaled FROM weather, (SELECT min(temp_c) AS a, max(temp_c) AS b FROM weather WHERE date <= DATE '1999-12-31')")),
     "f13_row_means": (lambda f: feat.row_mean_by_suffix(nw.pivot_metrics(grouped(f), ["article_date"], "theme_group", ["DEMAND", "MARKET", "OTHER"], ["tone_avg"], "g_"), "g_", ["tone_avg"]).select("article_date", F.col("g_tone_avg_all").alias("tone_all")), sql("news", GROUPED + " SELECT article_date, round((coalesce(a, 0) + coalesce(b, 0) + coalesce(c, 0)) / ((a IS NOT NULL)::INT + (b IS NOT NULL)::INT + (c IS NOT NULL)::INT), 4) AS tone_all FROM (SELECT article_date, max(tone_avg) FILTER (theme_group = 'DEMAND') AS a, max(tone_avg) FILTER (theme_group = 'MARKET') AS b, max(tone_avg) FILTER (theme_group = 'OTHER') AS c FROM g GROUP BY 1)").replace(") , ", "), ", 1)),
     "f15_day_ahead": (lambda f: pt.day_ahead(f.points), sql("points", "SELECT start, model, day, CAST(day AS BIGINT) AS days_after, true AS consistent FROM points")),
     "f16_health_score": (health, sql("market", "SELECT commodity, round(((count(DISTINCT date) / (date_diff('day', min(date), max(date)) + 1)) * 70 + avg((high > low)::INT) * 30) * 100 / 100, 2) AS score FROM market GROUP BY 1")),
     "g3_prediction_override": (overridden, tier_sql("SELECT p.start, p.model, round(coalesce(CASE WHEN tier = 'high' THEN CASE WHEN net_benefit_pct > 0.2 THEN 0.0 ELSE 0.4 END WHEN tier = 'medium' THEN (0.25 + CASE WHEN net_benefit_pct > 0.2 THEN 0.0 ELSE 0.4 END) / 2 ELSE 0.25 END, 0.25), 4)::DOUBLE AS share FROM (SELECT DISTINCT start, model FROM long_paths WHERE start IN (SELECT start FROM actuals WHERE day = 1)) p LEFT JOIN t ON t.start = p.start AND t.model = p.model")),
-    "m10_score_all": (lambda f: baseline.naive(f.market, 14, KEY).select("commodity", "day_ahead", F.lit("naive").alias("model"), "forecast").unionByName(baseline.drift(f.market, 14, KEY).select("commodity", "day_ahead", F.lit("drift").alias("model"), "forecast")), None),
 }

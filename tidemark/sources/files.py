@@ -39,12 +39,19 @@ def scan_parquet(spark: SparkSession, path: str, columns: list[str], where: Colu
     return (df if where is None else df.where(where)).select(columns)
 
 
-def load_new_files(spark: SparkSession, files: DataFrame, control: DataFrame, schema: StructType) -> DataFrame:
-    """Rows of the files (column path) that the control table does not list, with the file's path."""
-    new = [r["path"] for r in files.join(control, "path", "left_anti").select("path").distinct().toLocalIterator()]
-    if not new:
-        return spark.createDataFrame([], schema).withColumn("path", F.lit(None).cast("string"))
-    return spark.read.schema(schema).parquet(*new).withColumn("path", F.input_file_name())
+def load_new_files(spark: SparkSession, folder: str, control: DataFrame, schema: StructType) -> DataFrame:
+    """Rows of the folder's files that the control table (column path) does not list, with their file's path.
+
+    A row's file comes from the scan's hidden metadata, so no list of files passes through the driver: rows meet the control
+    table in an anti-join. Files that are listed are scanned too; a stream with a checkpoint (`streaming.jobs.ingest_stream`) spares that.
+    """
+    rows = spark.read.schema(schema).parquet(folder).withColumn("path", F.col("_metadata.file_path"))
+    return rows.join(control.select("path"), "path", "left_anti")
+
+
+def new_paths(loaded: DataFrame) -> DataFrame:
+    """What to add to the control table once the rows are stored."""
+    return loaded.select("path").distinct()
 
 
 def write_partitions(df: DataFrame, path: str, by: list[str]) -> None:

@@ -7,7 +7,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-POINTER = "_current"
+POINTER = "CURRENT"
 
 
 def shared_folder(spark: SparkSession) -> str:
