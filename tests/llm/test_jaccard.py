@@ -124,6 +124,23 @@ def test_one_doc_id_with_several_texts(spark):
     assert result(spark.createDataFrame(rows, "doc_id long, text string")) == brute(rows)
 
 
+@pytest.mark.parametrize("drawn", [0, 1024])
+def test_rows_without_doc_id_connect_others(spark, monkeypatch, drawn):
+    """Near copies whose only connection is a row without doc_id, copies of it, and sets that no row with an id has."""
+    monkeypatch.setattr(jaccard, "DRAWN", drawn)
+    r = random.Random(4)
+    rows = []
+    for g in range(4):
+        base = [f"g{g}w{r.randrange(400)}" for _ in range(100)]
+        steps = [" ".join([*(f"x{g}{k}" for k in range(n)), *base[n:]]) for n in (0, 8, 14)]
+        ids = [(10 * g + 1, None, 10 * g + 2), (None, None, 10 * g + 5), (None, None, None), (10 * g + 3, None, None)][g]
+        rows += list(zip(ids, steps, strict=True)) + [(None, steps[1])] * g
+    r.shuffle(rows)
+    expected = brute(rows)
+    assert (2, 96, 1) in expected
+    assert result(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)) == expected
+
+
 def test_the_filter_lets_all_wanted_rows_through(spark):
     docs = spark.range(40_000).withColumnRenamed("id", "doc_id")
     wanted = docs.where("doc_id % 5 = 0")

@@ -190,6 +190,10 @@ class Order:
         return own[:size]
 
 
+#: What a document's text is fetched by: its doc_id, or where it has none a hash of its text.
+NAME = "coalesce(doc_id, xxhash64(coalesce(text, '')))"
+
+
 def text_hash(column: str) -> Column:
     return F.xxhash64(F.coalesce(F.col(column), F.lit("")))
 
@@ -544,7 +548,7 @@ def measured(pairs: DataFrame, sets: DataFrame, docs: DataFrame, words_each: int
     members = pairs.join(w.select("a", "parts"), "a").select(F.col("b").alias("key"), F.col("a").alias("pivot"), F.expr("pmod(xxhash64(b), parts)").alias("part"), F.lit(1).alias("role"), F.col("rep_b").alias("rep"))
     pivots = w.select(F.col("a").alias("key"), F.col("a").alias("pivot"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.lit(0).alias("role"), "rep")
     wanted = saved(members.unionByName(pivots), "jaccard-wanted")
-    held = docs.where("text IS NOT NULL").where(probably("doc_id", wanted.select("rep"))).select(F.col("doc_id").alias("rep"), "text")
+    held = docs.where("text IS NOT NULL").where(probably(NAME, wanted.select("rep"))).select(F.expr(NAME).alias("rep"), "text")
     rows = wanted.hint("merge").join(held, "rep").select("pivot", "part", "role", "key", "text")  # the same plan at every size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -600,10 +604,10 @@ def jaccard_components(docs: DataFrame, words_each: int = SHINGLE_WORDS, percent
 
     Two documents link when 100 * |intersection| >= percent * |union| of their shingle sets. Null and empty texts and
     texts of white space have no shingle and link with nothing, not even each other: their component is their own
-    doc_id. Repeated rows repeat, and rows that share a doc_id but not the text are points of their own; a row without doc_id takes
-    the component of its set's other rows, if any, or null; an empty table gives no rows; other columns are not read. Sets are known by
+    doc_id. Repeated rows repeat, and rows that share a doc_id but not the text are points of their own; a row without doc_id is a
+    point like any other, which connects others and takes its component's id, null if no row of it has one; an empty table gives no rows; other columns are not read. Sets are known by
     64-bit hashes of their 64-bit shingle hashes. Ties of a distance go to the first centre. With with_group also
-    `text_hash` and `group`, a number of the component that is not shared if components share a doc_id (null without shingles or doc_id).
+    `text_hash` and `group`, a number of the component that is not shared if components share a doc_id (null without shingles).
     """
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
@@ -614,7 +618,8 @@ def jaccard_components(docs: DataFrame, words_each: int = SHINGLE_WORDS, percent
     root = roots(len(drawn.sizes), [*drawn.links, *((r["a"], r["b"]) for r in joined)])
     own = passed.where("kind = 0").select(F.col("a").alias("doc_id"), F.col("b").alias("key"), F.col("n").alias("n_shingles"), "pivot", F.col("h").alias("text_hash"), "sketch")
     of_pivot = F.broadcast(spark.createDataFrame([(-1, -1), *enumerate(root.tolist())], "pivot int, root int"))
-    keyed = own.where("key IS NOT NULL AND doc_id IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n"), F.max("pivot").alias("pivot"), F.max("sketch").alias("sketch")).join(of_pivot, "pivot").drop("pivot")
+    first_row = F.coalesce(F.min("doc_id"), F.min("text_hash")).alias("rep")  # as NAME, for a set without any id by its text
+    keyed = own.where("key IS NOT NULL").groupBy("key").agg(first_row, F.min("doc_id").alias("least"), F.max("n_shingles").alias("n"), F.max("pivot").alias("pivot"), F.max("sketch").alias("sketch")).join(of_pivot, "pivot").drop("pivot")
     keyed = saved(keyed, "jaccard-keys")
     sets = keyed.withColumn("node", F.when(F.col("root") >= 0, F.col("root").cast("long")).otherwise(F.col("key")))
     total = keyed.agg(F.sum("n")).first()[0] or 0
@@ -641,8 +646,8 @@ def jaccard_components(docs: DataFrame, words_each: int = SHINGLE_WORDS, percent
             more = saved(measured(pairs, sets, docs, words_each, percent), "jaccard-links")
             done, ends = done.unionByName(more), ends.unionByName(saved(ends_of(more, sets), "jaccard-ends"))
         large, first = saved(large.select("token", "key", "size", "place", "rank"), "jaccard-large"), first * GROW
-    nodes = sets.groupBy("node").agg(F.min("rep").alias("rep")).join(connected_components(ends), "node", "left").withColumn("component", F.coalesce("component", "node"))
-    ids = nodes.groupBy("component").agg(F.min("rep").alias("component_id"))
+    nodes = sets.groupBy("node").agg(F.min("least").alias("least")).join(connected_components(ends), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    ids = nodes.groupBy("component").agg(F.min("least").alias("component_id"))
     named = saved(nodes.join(ids, "component").select("node", "component_id", F.col("component").alias("group")), "jaccard-components")
     final = by_node(sets, named).select("key", "component_id", *(["group"] if with_group else []))
     salted = final.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
