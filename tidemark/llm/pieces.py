@@ -70,7 +70,7 @@ class Lattice:
         self.known.clear()
         self.best_ids: list[bytes] = []
         self.searched: dict[int, list[tuple[float, list[int]]]] = {}
-        self.best, self.gap, self.exact = np.zeros(0), np.zeros(0), np.zeros(0, bool)
+        self.best, self.gap = np.zeros(0), np.zeros(0)
 
     @staticmethod
     def hashes(code_points: np.ndarray) -> int:
@@ -124,13 +124,11 @@ class Lattice:
             self.score_units(held)
 
     def enter(self, units: list[str], ids: list[bytes], best: np.ndarray, gap: np.ndarray) -> None:
-        """Keeps what is known of new units, and whether their best ids spell them."""
+        """Keeps what is known of new units."""
         base = len(self.best_ids)
         self.known.update(zip(units, range(base, base + len(units)), strict=True))
         self.best_ids += ids
         self.best, self.gap = np.append(self.best, best), np.append(self.gap, gap)
-        spell = self.spellings.__getitem__
-        self.exact = np.append(self.exact, [b"".join(map(spell, memoryview(i).cast("I"))) == u.encode("utf-8", "surrogatepass") for u, i in zip(units, ids, strict=True)])
 
     def score_long(self, unit: str) -> None:
         found = self.n_best(unit, 2)
@@ -350,7 +348,7 @@ def digests(docs: DataFrame, path: str, n: int = N_BEST) -> DataFrame:
             for doc_id, t, units in zip(b.column(0).to_pylist(), batch, model.prepare(batch), strict=True):
                 ids, scores, chosen, numbers = model.encode(t, n, units)
                 crcs = [zlib.crc32(all_ids(model, numbers, c) if c else ids) for c in chosen]
-                rows.append((doc_id, len(ids) // 4, crcs[0], scores[0], scores, crcs, bool(model.exact[numbers].all())))
+                rows.append((doc_id, len(ids) // 4, crcs[0], scores[0], scores, crcs, model.decode(memoryview(ids).cast("I")) == t))
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, (_, k) in zip(zip(*rows, strict=True), DIGEST, strict=True)] if rows else [pa.array([], k) for _, k in DIGEST], names=[f for f, _ in DIGEST])
         model.clear()
 
@@ -358,6 +356,7 @@ def digests(docs: DataFrame, path: str, n: int = N_BEST) -> DataFrame:
 
 
 def op2_sentencepiece_n_best(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Best segmentation, n best scores and whether decoding gives the text, for every document; cases as in `digests`."""
     import public_tokenizers
 
     return digests(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
