@@ -3,8 +3,7 @@
 from __future__ import annotations
 
 import ctypes
-import tempfile
-import uuid
+import gc
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -12,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.window import Window
 
+from ..sources.tables import scratch
+
 #: Rows and bytes handed to Python at once; a batch of long texts stays small.
 BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -21,18 +22,6 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path below spark.checkpoint.dir, the folder that driver and executors share.
-
-    Only where the setting is absent (tests on one machine) a temporary folder is made and set.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = tempfile.mkdtemp(prefix="tidemark-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def give_back() -> None:
     """Returns freed memory to the system. Driver and Python workers live on, and what they have freed would count beside what they do next."""
     pa.default_memory_pool().release_unused()
@@ -41,6 +30,16 @@ def give_back() -> None:
         trim(0)
 
 
+def drop_finished(spark: SparkSession) -> None:
+    """Has the driver collect its garbage: plans, compiled code, broadcasts and shuffles of tables that are written are let go.
+
+    For operators of many short rounds, whose finished plans would else stay until the heap is full.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+    give_back()
+
+
 def saved(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
     """df written as a table in the shared folder and read again: cuts lineage, survives lost executors."""
     spark, path = df.sparkSession, scratch(df.sparkSession, name)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from .common import saved
+from .common import drop_finished, saved
 
 
 def connected_components(links: DataFrame, salts: int = 1) -> DataFrame:
@@ -26,6 +26,7 @@ def connected_components(links: DataFrame, salts: int = 1) -> DataFrame:
         if now == mark or not now[0]:
             break
         mark = now
+        drop_finished(edges.sparkSession)
         both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         large = salted(both.where("v > u")).join(copied(least), on).select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.where("m < u").select("u", F.col("m").alias("v")))

@@ -26,7 +26,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .common import LOWER, documents, map_arrow, saved, split_words, texts
+from .common import LOWER, documents, drop_finished, map_arrow, saved, split_words, texts
 from .components import connected_components
 
 SHINGLE_WORDS, PERCENT = 5, 80
@@ -614,6 +614,7 @@ def jaccard_components(docs: DataFrame, words_each: int = SHINGLE_WORDS, percent
     drawn = draw(docs, words_each, percent)
     pivots = spark.sparkContext.broadcast(drawn)
     passed = saved(first_pass(docs, pivots, words_each), "jaccard-sets")
+    drop_finished(spark)
     joined = passed.where("kind = 2").select("a", "b").distinct().collect()  # at most all pairs of pivots
     root = roots(len(drawn.sizes), [*drawn.links, *((r["a"], r["b"]) for r in joined)])
     own = passed.where("kind = 0").select(F.col("a").alias("doc_id"), F.col("b").alias("key"), F.col("n").alias("n_shingles"), "pivot", F.col("h").alias("text_hash"), "sketch")
@@ -628,10 +629,12 @@ def jaccard_components(docs: DataFrame, words_each: int = SHINGLE_WORDS, percent
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     buckets = max(2 * n, total // (4 * REGION_ROWS) + 1)
     regions = saved(shared_regions(prefix_rows(docs, order, pivots, root, buckets, words_each, percent)), "jaccard-regions")
+    drop_finished(spark)
     done = saved(measured(first_pairs(regions, percent), sets, docs, words_each, percent), "jaccard-links")
     ends = saved(ends_of(done, sets), "jaccard-ends")
     large, first = saved(large_parts(regions), "jaccard-large"), PIVOTS
     while True:
+        drop_finished(spark)
         nearest = done.groupBy(F.col("b").alias("key")).agg(F.min(F.struct("distance", "a")).alias("m")).select("key", F.col("m.a").alias("pivot"), F.col("m.distance").alias("distance"))
         labels = by_node(sets, within_two_links(ends)).select("key", F.coalesce("component", "node").alias("component"))
         marked = large.join(labels, "key").join(nearest, "key", "left")
@@ -643,9 +646,11 @@ def jaccard_components(docs: DataFrame, words_each: int = SHINGLE_WORDS, percent
         large = marked.join(split.select("token"), "token", "left_semi")
         pairs = saved(later_pairs(with_odd_bits(large, sets), first, first * GROW, percent), "jaccard-pairs")
         if pairs.take(1):
+            drop_finished(spark)
             more = saved(measured(pairs, sets, docs, words_each, percent), "jaccard-links")
             done, ends = done.unionByName(more), ends.unionByName(saved(ends_of(more, sets), "jaccard-ends"))
         large, first = saved(large.select("token", "key", "size", "place", "rank"), "jaccard-large"), first * GROW
+    drop_finished(spark)
     nodes = sets.groupBy("node").agg(F.min("least").alias("least")).join(connected_components(ends), "node", "left").withColumn("component", F.coalesce("component", "node"))
     ids = nodes.groupBy("component").agg(F.min("least").alias("component_id"))
     named = saved(nodes.join(ids, "component").select("node", "component_id", F.col("component").alias("group")), "jaccard-components")
