@@ -8,7 +8,7 @@ import datetime
 
 from pyspark.sql import functions as F
 
-from tidemark.operators import aggregates, baseline, clean, features, news, paths, scores, spine
+from tidemark.operators import aggregates, baseline, clean, features, learners, news, paths, scores, spine
 
 D = datetime.date
 
@@ -109,3 +109,9 @@ def test_quantiles_outside_their_bracket_fail(spark, monkeypatch):
     monkeypatch.setattr(paths.F, "percentile_approx", lambda c, levels, accuracy: real(c, [x / 2 for x in levels], accuracy))
     with pytest.raises(Exception, match="outside its bracket"):
         paths.bracketed_quantiles(rows, ["g"], ["a"], [0.9]).collect()
+
+
+def test_importances_repeat_and_find_the_cause(spark):
+    rows = spark.range(400).selectExpr("double(pmod(xxhash64(id), 100)) AS a", "double(pmod(xxhash64(id, 1), 100)) AS b", "double(pmod(xxhash64(id), 100)) * 3 + 1 AS label")
+    one, two = ({r["feature"]: r["importance"] for r in learners.importance(spark, rows.repartition(n), ["a", "b"], "label").collect()} for n in (2, 2))
+    assert one == two and one["a"] > 0.9 and sum(one.values()) == pytest.approx(1.0)

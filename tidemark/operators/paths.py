@@ -6,6 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..sources.tables import saved
 from .carry import cut, earlier
 
 DAYS = 14
@@ -297,10 +298,10 @@ def with_actuals(points: DataFrame, actuals: DataFrame) -> DataFrame:
 
 
 def error_by_horizon(points: DataFrame) -> DataFrame:
-    """Mean and median absolute error of each day ahead."""
-    e = F.abs(F.col("forecast") - F.col("actual"))
-    own = exact_quantiles(points.select("day", e.alias("__e")), ["day"], ["__e"], [0.5]).select("day", F.round(F.col("__e")[0], 2).alias("median_error"))
-    return points.groupBy("day").agg(F.round(F.avg(e), 2).alias("mean_error")).join(own, "day")
+    """Mean and median absolute error of each day ahead; the errors, which the median reads more than once, are written first."""
+    errors = saved(points.select("day", F.abs(F.col("forecast") - F.col("actual")).alias("__e")), "errors")
+    own = exact_quantiles(errors, ["day"], ["__e"], [0.5]).select("day", F.round(F.col("__e")[0], 2).alias("median_error"))
+    return errors.groupBy("day").agg(F.round(F.avg("__e"), 2).alias("mean_error")).join(own, "day")
 
 
 def day_ahead(points: DataFrame) -> DataFrame:

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from . import carry
+
 
 def date_spine(df: DataFrame, on: str = "date") -> DataFrame:
     """Every day from the first to the last date of df."""
@@ -21,7 +23,7 @@ def onto_spine(spine: DataFrame, observations: DataFrame, key: list[str]) -> Dat
 
 
 def ffill(df: DataFrame, columns: list[str], key: list[str], on: str = "date") -> DataFrame:
-    """Each column's last value up to the row, within the key."""
+    """Each column's last value up to the row, within the key: for grids of one row a day and key; `carry.filled` is for keys of any size."""
     w = Window.partitionBy(*key).orderBy(on).rowsBetween(Window.unboundedPreceding, 0)
     return df.withColumns({c: F.last(c, ignorenulls=True).over(w) for c in columns})
 
@@ -43,15 +45,11 @@ def missing(left: DataFrame, right: DataFrame, key: list[str]) -> DataFrame:
 
 
 def as_of_join(left: DataFrame, right: DataFrame, left_on: str, right_on: str, key: list[str], required: bool = False) -> DataFrame:
-    """left with the latest right_on at or before left_on, per key: one union and one window, no range join.
+    """left with the latest right_on at or before left_on, per key of any size: one union, filled over blocks, no range join.
 
     Where there is none the result is null or, if required, the job fails and names the date.
     """
-    events = left.select(*key, F.col(left_on).alias("at"), F.lit(1).alias("side"), F.lit(None).cast(right.schema[right_on].dataType).alias(right_on))
-    events = events.unionByName(right.select(*key, F.col(right_on).alias("at"), F.lit(0).alias("side"), F.col(right_on)))
-    w = Window.partitionBy(*key).orderBy("at", "side").rowsBetween(Window.unboundedPreceding, 0)
-    latest = F.last(right_on, ignorenulls=True).over(w)
-    out = events.withColumn(right_on, latest).where("side = 1").select(*key, F.col("at").alias(left_on), right_on)
+    out = carry.as_of(left, right, left_on, right_on, key)
     if required:
         none = F.raise_error(F.concat(F.lit(f"no {right_on} at or before "), F.col(left_on).cast("string")))
         out = out.withColumn(right_on, F.when(F.col(right_on).isNull(), none).otherwise(F.col(right_on)))
@@ -64,7 +62,8 @@ def merge_series(long_df: DataFrame, names: list[str], series: str = "series", v
 
 
 def join_ffill(left: DataFrame, right: DataFrame, key: list[str], columns: list[str], by: list[str]) -> DataFrame:
-    return ffill(left.join(right, key, "left"), columns, by)
+    """left with right's columns, and their last value where right has none, for keys of any size."""
+    return carry.filled(left.join(right, key, "left"), columns, by, ["date"])
 
 
 def join_zero(left: DataFrame, right: DataFrame, key: list[str], columns: list[str]) -> DataFrame:

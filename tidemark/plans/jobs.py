@@ -146,7 +146,6 @@ def with_text_times(df: DataFrame) -> DataFrame:
 
 def stream_upsert(f: Frames) -> DataFrame:
     """Latest event per user and type, merged batch by batch into a partitioned table."""
-    f.spark.sparkContext.setCheckpointDir(shared(f, "stream-cut"))
     source, out, mark = shared(f, "stream-in"), shared(f, "stream-out"), shared(f, "stream-mark")
     events = f.table("events").select("event_id", F.col("ts").cast("timestamp").alias("ts"), "user_id", "event_type", "value")
     events.repartition(4, "event_id").write.parquet(source)

@@ -8,6 +8,7 @@ from pyspark.sql.types import StructType
 
 from ..operators.clean import latest_wins
 from ..sources.files import write_partitions
+from ..sources.tables import saved
 
 
 def ingest_stream(spark: SparkSession, path: str, schema: StructType, kind: str = "parquet", files: int | None = None) -> DataFrame:
@@ -47,8 +48,7 @@ def upsert_stream(sdf: DataFrame, path: str, checkpoint: str, key: list[str], ts
         batch = latest_wins(batch, key, ts)
         touched = batch.select(partition).distinct()
         held = spark.read.schema(batch.schema).parquet(path).join(touched, partition, "left_semi") if exists(spark, path) else batch.limit(0)
-        merged = latest_wins(held.unionByName(batch), key, ts).checkpoint()
-        write_partitions(merged, path, [partition])
+        write_partitions(saved(latest_wins(held.unionByName(batch), key, ts), "upsert"), path, [partition])
 
     return sdf.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
