@@ -2,10 +2,16 @@
 
 import __spark_entry__
 import corpus_pipeline as cp
+import numpy as np
 from pyspark.sql import functions as F
 from test_jaccard import brute as components
+from test_langid import greedy
+from test_packing import check as packed
+from test_quality import base
 from test_substrings import brute as removal
 
+from tidemark.llm import langid
+
 
 def test_stages(spark, few, sf_dir, tmp_path):
     docs = few
@@ -16,6 +22,12 @@ def test_stages(spark, few, sf_dir, tmp_path):
         if k < len(cp.STAGES) - 1:
             assert docs.columns == before.columns
             assert docs.select("doc_id").exceptAll(before.select("doc_id")).count() == 0
+        if name == "quality_rules":
+            failed = {r["doc_id"] for r in before.collect() if (b := base(r["text"]))[0] < 20 or 100 * b[4] > 30 * b[0]}
+            assert failed and not failed & {r["doc_id"] for r in docs.select("doc_id").collect()}
+        if name == "best_fit_packing":
+            used, least = packed([(r["doc_id"], r["text"]) for r in before.collect()], docs.collect(), 4096)
+            assert used <= least + 1
         if name == "near_duplicates":
             rows = [(r["doc_id"], r["text"]) for r in before.select("doc_id", "text").collect()]
             assert {r["doc_id"] for r in docs.collect()} == {c for _, _, c in components(rows)}
@@ -28,6 +40,27 @@ def test_stages(spark, few, sf_dir, tmp_path):
     assert docs.count() >= before.count()
 
 
+def test_language_id_by_brute_force(spark, sf_dir, few):
+    """Phrases counted by search in the learned texts themselves; a row stays if its language takes few enough bits a symbol."""
+    foreign = spark.createDataFrame([(-1, "zwölf xq jjk vvw " * 30, None, "s", 9), (-2, " 12 ", "en", "s", 4), (-3, None, "en", "s", 0)], "doc_id long, text string, lang string, source string, n_chars long")
+    docs = few.where("length(text) BETWEEN 100 AND 700").unionByName(foreign).cache()
+    samples = langid.sample(docs)
+    parser, bounds = langid.CrossParser({n: list(own) for n, own in samples}), langid.limits(samples)
+    spelled = lambda codes: "".join(map(chr, (codes + 1).tolist()))
+    learned = {n: "".join(spelled(parser.encode(t)) for t in own) for n, own in samples}
+    expected = {}
+    for r in docs.collect():
+        codes = parser.encode(langid.normal_text((r["text"] or "").encode()))
+        if not (codes > langid.SPACE).any():
+            continue
+        bits = {n: greedy(spelled(codes), t) * np.log2(len(t) + 2) / len(codes) for n, t in learned.items()}
+        best = min(sorted(bits), key=bits.get)
+        if bits[best] <= next((limit for n, limit in reversed(bounds) if len(codes) >= n), np.inf):
+            expected[r["doc_id"]] = r["lang"] or best
+    assert {r["doc_id"]: r["lang"] for r in cp.language_id(spark, docs, sf_dir).collect()} == expected
+    assert 0 < len(expected) < docs.count()
+
+
 def test_odd_rows_pass(spark, odd, nothing, sf_dir):
     for docs in (odd.drop("a"), nothing.drop("a")):
         for _, stage in cp.STAGES:
@@ -51,4 +84,4 @@ def test_texts_too_short_to_judge_stay(spark, sf_dir, few):
 
 def test_registered():
     known = __spark_entry__.queries()
-    assert "pipeline" in known and {f"op{n}_" for n in range(1, 11)} == {k[: k.index("_") + 1] for k in known if k.startswith("op")}
+    assert "pipeline" in known and {f"op{n}_" for n in range(1, 14)} == {k[: k.index("_") + 1] for k in known if k.startswith("op")}
