@@ -47,7 +47,7 @@ def reason_counts(trades: DataFrame, by: list[str], forced: str) -> DataFrame:
 
 def foresight_value(trades: DataFrame, bounds: DataFrame, by: list[str], key: list[str]) -> DataFrame:
     """What the amounts of the trades were worth on their days with perfect foresight: the bound by which efficiency is measured."""
-    return trades.join(bounds.select(*key, "date", "bound"), [*key, "date"]).groupBy(*by).agg(F.round(F.sum(F.col("amount") * F.col("bound")), 2).alias("bound_value"))
+    return trades.join(bounds.select(*key, "date", "bound"), [*key, "date"]).groupBy(*by).agg(F.round(F.sum(F.col("amount") * F.col("bound")), 0).alias("bound_value"))
 
 
 def efficiency_summary(rated: DataFrame) -> DataFrame:

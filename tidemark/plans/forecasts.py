@@ -103,7 +103,7 @@ def judged(p: str, body: str, more: str = "") -> str:
 SIGNED = "e1 * e1 - e2 * e2"
 LOSS = f"l AS (SELECT commodity, date, l - avg(l) OVER (PARTITION BY commodity) AS c, avg(l) OVER (PARTITION BY commodity) AS m FROM (SELECT commodity, date, {SIGNED} AS l FROM (SELECT {DIFFER} FROM market)))"
 #: Foresight: what the trades' amounts were worth at the best later price less storage.
-RATED = sql("market trades", ", s AS (SELECT date, commodity, close, row_number() OVER (PARTITION BY commodity ORDER BY date) AS i FROM market), bounds AS (SELECT date, commodity, round(max(close * (1 - 0.01 / 100) - (i - 1) * 50.0) OVER (PARTITION BY commodity ORDER BY date ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) + (i - 1) * 50.0, 4) AS bound FROM s), rated AS (SELECT strategy, net, bound_value, round(net / bound_value, 4) AS efficiency, round(bound_value - net, 2) AS gap, CASE WHEN net / bound_value >= 0.95 THEN 'excellent' WHEN net / bound_value >= 0.85 THEN 'good' WHEN net / bound_value >= 0.7 THEN 'fair' ELSE 'poor' END AS category FROM (SELECT strategy, round(sum(amount * price) * (1 - 0.01 / 100), 2) AS net FROM trades GROUP BY 1) JOIN (SELECT strategy, round(sum(amount * bound), 2) AS bound_value FROM trades JOIN bounds ON bounds.commodity = strategy AND bounds.date = trades.date GROUP BY 1) USING (strategy))").replace(") , ", "), ", 1)
+RATED = sql("market trades", ", s AS (SELECT date, commodity, close, row_number() OVER (PARTITION BY commodity ORDER BY date) AS i FROM market), bounds AS (SELECT date, commodity, round(max(close * (1 - 0.01 / 100) - (i - 1) * 50.0) OVER (PARTITION BY commodity ORDER BY date ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) + (i - 1) * 50.0, 4) AS bound FROM s), rated AS (SELECT strategy, net, bound_value, round(net / bound_value, 4) AS efficiency, round(bound_value - net, 2) AS gap, CASE WHEN net / bound_value >= 0.95 THEN 'excellent' WHEN net / bound_value >= 0.85 THEN 'good' WHEN net / bound_value >= 0.7 THEN 'fair' ELSE 'poor' END AS category FROM (SELECT strategy, round(sum(amount * price) * (1 - 0.01 / 100), 2) AS net FROM trades GROUP BY 1) JOIN (SELECT strategy, round(sum(amount * bound), 0) AS bound_value FROM trades JOIN bounds ON bounds.commodity = strategy AND bounds.date = trades.date GROUP BY 1) USING (strategy))").replace(") , ", "), ", 1)
 
 
 def rated(f: Frames):
