@@ -7,11 +7,11 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..sources.tables import saved
-from .carry import cut, earlier
+from . import runs
 
 DAYS = 14
-#: Rows of a group up to which one task sorts its values; accuracy of the sketches for larger ones, whose brackets are three times as wide.
-GROUP_ROWS, ACCURACY = 250_000, 1000
+#: Rows that a task sorts at a time; accuracy of sketches, whose brackets are three times as wide. A sorted run gives an eighth of as many samples.
+GROUP_ROWS, ACCURACY = 500_000, 1000
 
 
 def unpivot_days(df: DataFrame, keep: list[str], n: int = DAYS) -> DataFrame:
@@ -52,26 +52,16 @@ def day_columns(days: list[int]) -> list[str]:
 def exact_quantiles(df: DataFrame, by: list[str], columns: list[str], levels: list[float]) -> DataFrame:
     """A row for each group with, for every column, the array of its quantiles (linear between neighbours, nulls left out).
 
-    One plan for all sizes, in which each group goes by its own: up to GROUP_ROWS rows are sorted as arrays in one task, larger
-    groups are taken by `bracketed_quantiles`, for which no task holds a group. Values are the same. A column without values has
-    null quantiles; NaN counts as greater than all numbers.
+    Groups of all sizes go one way (`runs.quantiles`): tasks sort up to GROUP_ROWS rows at a time, samples of these runs bound each
+    quantile, and only the values within the bounds are shuffled. A column without values has null quantiles; NaN counts as
+    greater than all numbers.
     """
-    own = df.select(*by, *columns)
-    large = own.groupBy(*by).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > GROUP_ROWS).select(*(F.col(c).alias(f"__by_{c}") for c in by))
-    same = reduce(lambda x, y: x & y, (F.col(c).eqNullSafe(F.col(f"__by_{c}")) for c in by))
-    arrays = own.join(large, same, "left_anti").groupBy(*by).agg(*(F.array_sort(F.collect_list(F.col(c).cast("double"))).alias(c) for c in columns))
-
-    def at(c: str, q: float) -> Column:
-        place = (F.size(c) - 1) * F.lit(q)
-        low, high = (F.get(F.col(c), f(place).cast("int")) for f in (F.floor, F.ceil))
-        return low + (high - low) * (place - F.floor(place))
-
-    small = arrays.select(*by, *(F.array(*(at(c, q) for q in levels)).alias(c) for c in columns))
-    return small.unionByName(bracketed_quantiles(own.join(large, same, "left_semi"), by, columns, levels))
+    found = runs.quantiles(df, by, columns, levels, GROUP_ROWS, max(ACCURACY // 8, 1))
+    return found.groupBy(*by).agg(*(F.max(F.when(F.col("__cell") == i, F.col("__q"))).alias(c) for i, c in enumerate(columns)))
 
 
 def bracketed_quantiles(df: DataFrame, by: list[str], columns: list[str], levels: list[float]) -> DataFrame:
-    """The same for groups of any size, in two passes, with no group in a task.
+    """The same without Python workers, in two passes, with no group in a task; a group's sketches are as many as its tasks.
 
     A mergeable sketch per group brackets each quantile; then values inside a bracket, some per mille of a large group, are
     counted by value, and all others by the gap between brackets that they lie in. Running counts give the places. Should a
@@ -177,29 +167,42 @@ def calibration(paths: DataFrame, actuals: DataFrame, by: list[str], levels: lis
     return rows.groupBy(*report).agg(F.round(F.avg(F.abs(F.col("hit") - level)), 4).alias("calibration_error"))
 
 
-def crps(long_df: DataFrame, actuals: DataFrame, by: list[str], report: list[str], ties: list[str] | None = None) -> DataFrame:
-    """Continuous ranked probability score of the samples: mean distance to the actual value less half their mean distance to each other.
+def crps(long_df: DataFrame, actuals: DataFrame, by: list[str], report: list[str]) -> DataFrame:
+    """`path_crps` of samples with a row for each day (day, value)."""
+    group = [*by, "day"]
+    return mean_crps(runs.ranked_sums(long_df, group, ["value"], lambda rows: beside(rows, actuals, group), GROUP_ROWS, max(ACCURACY // 8, 1)), report)
+
 
-    The second part needs each value's rank in its group. Groups are cut into blocks of a range-partitioned sort; a block gives
-    its count, sum and rank-weighted sum, and ranks are completed by the counts of the blocks before, so no task holds a group.
-    `ties` tell equal values apart (their order does not matter). Null values and days without an actual value are left out.
+def path_crps(paths: DataFrame, actuals: DataFrame, by: list[str], report: list[str], n: int = DAYS) -> DataFrame:
+    """Continuous ranked probability score of the paths: mean distance to the actual value less half their mean distance to each other.
+
+    The second part needs each value's rank in its group and day (`runs.ranked_sums`), so a value is shuffled once, packed with
+    others of its bin, and no task holds a group. Null values and days without an actual value are left out.
     """
-    group = [*by, "day"]
-    own = long_df.where("value IS NOT NULL").join(actuals, [*[c for c in by if c in actuals.columns], "day"])
-    rows = cut(own.select(*group, "value", *(ties or ["path_id"]), "actual"), group, ["value", *(ties or ["path_id"])])
-    blocks = rows.groupBy("__part", *group).agg(F.count(F.lit(1)).alias("__n"), F.min("__at").alias("__first"), F.sum("value").alias("__v"), F.sum(F.col("__at") * F.col("value")).alias("__w"), F.sum(F.abs(F.col("value") - F.col("actual"))).alias("__a"))
-    shift = F.coalesce(F.sum("__n").over(earlier(group)), F.lit(0)) - F.col("__first")
-    blocks = blocks.withColumn("__s", 2 * F.col("__w") + (2 * shift + 1) * F.col("__v"))
-    per = blocks.groupBy(*group).agg(*(F.sum(c).alias(c) for c in ("__n", "__v", "__s", "__a")))
+    days = list(range(1, n + 1))
+    day = (F.col("__cell") + 1).alias("day")
+    sums = runs.ranked_sums(paths, by, day_columns(days), lambda rows: beside(rows.withColumn("day", day), actuals, [*by, "day"]), GROUP_ROWS, max(ACCURACY // 8, 1))
+    return mean_crps(sums.withColumn("day", day), report)
+
+
+def beside(rows: DataFrame, actuals: DataFrame, group: list[str]) -> DataFrame:
+    """Groups with the actual value of their day."""
+    return rows.join(actuals.withColumnRenamed("actual", "__near"), [c for c in group if c in actuals.columns])
+
+
+def mean_crps(sums: DataFrame, report: list[str]) -> DataFrame:
     score = F.col("__a") / F.col("__n") - (F.col("__s") - F.col("__n") * F.col("__v")) / (F.col("__n") * F.col("__n"))
-    return per.groupBy(*report).agg(F.round(F.avg(score), 4).alias("crps"))
+    return sums.groupBy(*report).agg(F.round(F.avg(score), 4).alias("crps"))
 
 
 def var_cvar(paths: DataFrame, by: list[str], p: float, n: int = DAYS) -> DataFrame:
-    """On each day the p-quantile of the paths' values and the mean of those at or below it."""
+    """On each day the p-quantile of the paths' values and the mean of those at or below it.
+
+    The quantiles, a row for each group, are written first: a join with them goes by their size and leaves the paths where they are.
+    """
     days = list(range(1, n + 1))
     columns = day_columns(days)
-    var = exact_quantiles(paths, by, columns, [p]).select(*by, *(F.col(c)[0].alias(f"__v_{c}") for c in columns))
+    var = saved(exact_quantiles(paths, by, columns, [p]).select(*by, *(F.col(c)[0].alias(f"__v_{c}") for c in columns)), "var")
     own = paths.select(*by, *columns).join(var, by).groupBy(*by).agg(*(x for c in columns for x in (F.first(f"__v_{c}").alias(f"__v_{c}"), F.avg(F.when(F.col(c) <= F.col(f"__v_{c}"), F.col(c))).alias(f"__m_{c}"))))
     return by_day(own, by, days, {"value_at_risk": [F.round(f"__v_{c}", 4) for c in columns], "conditional_value_at_risk": [F.round(f"__m_{c}", 4) for c in columns]})
 
