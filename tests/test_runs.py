@@ -75,3 +75,31 @@ def test_risk_of_large_groups_is_not_read_by_one_task(spark):
     n = 100_000
     moved = shuffled(spark, lambda: paths.var_cvar(wide(spark, n), ["model"], 0.05).collect())
     assert moved < 8 * 14 * n / 10
+
+
+def test_counting_paths_does_not_shuffle_their_aggregates(spark):
+    n = 50_000
+    own = wide(spark, n).withColumn("path_id", F.xxhash64("day_1"))
+    found = []
+    moved = shuffled(spark, lambda: found.extend(paths.validate_paths(own, ["model"]).collect()))
+    assert [tuple(r) for r in found] == [("m", n, own.select("path_id").distinct().count(), 0, 0)]
+    assert moved < 16 * n
+
+
+@pytest.mark.parametrize("size", [3, 1000])
+def test_parts_hold_what_days_follow_from(spark, size):
+    own = spark.range(50).selectExpr("IF(id < 3, 'a', 'b') AS model", "int(IF(id < 3, id, id - 3) + 1) AS path_id", "double(id) AS base")
+    days = lambda of: [(of("base") * h).alias(f"day_{h}") for h in range(1, 15)]
+    got = paths.path_parts(own, ["model"], size, held=["base"], days=days)
+    expected = paths.path_parts(own.select("*", *days(F.col)), ["model"], size)
+    assert sorted(map(str, got.collect())) == sorted(map(str, expected.collect()))
+
+
+def test_ranks_leave_the_rows_where_they_are(spark):
+    from tidemark.operators import carry
+
+    n = 100_000
+    own = spark.range(0, n, 1, 4).selectExpr("id % 3 AS k", "xxhash64(id) AS v", "xxhash64(id, 1) AS w")
+    once = shuffled(spark, lambda: carry.cut(own, ["k"], ["v"]).write.format("noop").mode("overwrite").save())
+    moved = shuffled(spark, lambda: carry.ranked(own, ["k"], ["v"]).write.format("noop").mode("overwrite").save())
+    assert moved < 1.2 * once

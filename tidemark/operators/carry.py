@@ -27,8 +27,8 @@ def cut(df: DataFrame, key: list[str], order: list[str], parts: int | None = Non
 
 
 def rejoin(rows: DataFrame, blocks: DataFrame, key: list[str], columns: list[str]) -> DataFrame:
-    """rows with the columns of their block; null keys meet."""
-    other = blocks.select(F.col("__part").alias("__p"), *(F.col(k).alias(f"__k{i}") for i, k in enumerate(key)), *columns)
+    """rows with the columns of their block; null keys meet. Blocks are written first, so that the join goes by their size and leaves the rows where they are."""
+    other = saved(blocks.select(F.col("__part").alias("__p"), *(F.col(k).alias(f"__k{i}") for i, k in enumerate(key)), *columns), "blocks")
     same = F.col("__part") == F.col("__p")
     for i, k in enumerate(key):
         same = same & F.col(k).eqNullSafe(F.col(f"__k{i}"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -22,15 +23,17 @@ def pivot_days(long_df: DataFrame, by: list[str], n: int = DAYS) -> DataFrame:
     return long_df.groupBy(*by).agg(*(F.max(F.when(F.col("day") == h, F.col("value"))).alias(f"day_{h}") for h in range(1, n + 1)))
 
 
-def path_parts(df: DataFrame, by: list[str], size: int = 1000, n: int = DAYS) -> DataFrame:
+def path_parts(df: DataFrame, by: list[str], size: int = 1000, n: int = DAYS, held: list[str] | None = None, days: Callable[[Callable[[str], Column]], list[Column]] | None = None) -> DataFrame:
     """Paths of each forecast in numbered parts of at most `size`: arrays of (path_id, days), in path order.
 
     path_id counts a forecast's paths from 1 (`carry.ranked`), so a path's part follows from its number and no row holds a forecast
-    of any size. A path_id that repeats makes its part longer.
+    of any size. A path_id that repeats makes its part longer. Where days follow from fewer columns, `held` are these and `days`
+    gives the days from them: then they alone are shuffled.
     """
     part = F.floor((F.col("path_id") - 1) / size).cast("long")
-    rows = F.struct("path_id", F.array(*(F.col(f"day_{h}") for h in range(1, n + 1))).alias("days"))
-    return df.groupBy(*by, part.alias("part")).agg(F.count(F.lit(1)).alias("n_paths"), F.array_sort(F.collect_list(rows)).alias("paths"))
+    rows = F.struct("path_id", *held) if held else F.struct("path_id", F.array(*(F.col(f"day_{h}") for h in range(1, n + 1))).alias("days"))
+    out = df.groupBy(*by, part.alias("part")).agg(F.count(F.lit(1)).alias("n_paths"), F.array_sort(F.collect_list(rows)).alias("paths"))
+    return out.withColumn("paths", F.transform("paths", lambda p: F.struct(p["path_id"].alias("path_id"), F.array(*days(lambda c: p[c])).alias("days")))) if held else out
 
 
 def path_rows(parts: DataFrame, by: list[str], n: int = DAYS) -> DataFrame:
@@ -207,11 +210,18 @@ def var_cvar(paths: DataFrame, by: list[str], p: float, n: int = DAYS) -> DataFr
     return by_day(own, by, days, {"value_at_risk": [F.round(f"__v_{c}", 4) for c in columns], "conditional_value_at_risk": [F.round(f"__m_{c}", 4) for c in columns]})
 
 
+def with_n_paths(df: DataFrame, by: list[str], parts: list[Column]) -> DataFrame:
+    """Aggregates of each group and its number of different path_ids, counted apart: together every path would carry all aggregates through its shuffle."""
+    own = df.groupBy(*by).agg(*parts)
+    paths = df.groupBy(*(F.col(c).alias(f"__by_{c}") for c in by)).agg(F.count_distinct("path_id").alias("n_paths"))
+    return own.join(paths, reduce(lambda x, y: x & y, (F.col(c).eqNullSafe(F.col(f"__by_{c}")) for c in by))).drop(*(f"__by_{c}" for c in by))
+
+
 def validate_paths(df: DataFrame, by: list[str], n: int = DAYS) -> DataFrame:
     """Rows, paths, negative values and null values of each group."""
     days = [F.col(f"day_{h}") for h in range(1, n + 1)]
     negative, null = (sum((c.cast("int") for c in x), F.lit(0)) for x in ([F.coalesce(d < 0, F.lit(False)) for d in days], [d.isNull() for d in days]))
-    return df.groupBy(*by).agg(F.count(F.lit(1)).alias("n_rows"), F.count_distinct("path_id").alias("n_paths"), F.sum(negative).cast("long").alias("n_negative"), F.sum(null).cast("long").alias("n_null"))
+    return with_n_paths(df, by, [F.count(F.lit(1)).alias("n_rows"), F.sum(negative).cast("long").alias("n_negative"), F.sum(null).cast("long").alias("n_null")]).select(*by, "n_rows", "n_paths", "n_negative", "n_null")
 
 
 def hit_rate(points: DataFrame, by: list[str], pct: float) -> DataFrame:
@@ -237,16 +247,18 @@ def path_features(df: DataFrame, by: list[str], column: str = "day_14", price: s
     return out.select(*by, *(F.round(n, 4).alias(n) for n in ("consensus", "expected_return", "relative_spread", "skewness", "relative_range", "downside")))
 
 
-def dispersion_tier(paths: DataFrame, by: list[str], edges: tuple[float, float], column: str = "day_14") -> DataFrame:
-    """Deviation over median, and the confidence tier it gives."""
-    own = paths.groupBy(*by).agg(F.stddev_pop(column).alias("__s")).join(exact_quantiles(paths, by, [column], [0.5]).withColumnRenamed(column, "__q"), by)
-    out = own.select(*by, F.round(F.try_divide("__s", F.col("__q")[0]), 4).alias("dispersion"))
+def dispersion_tier(paths: DataFrame, by: list[str], edges: tuple[float, float], column: str = "day_14", middle: DataFrame | None = None) -> DataFrame:
+    """Deviation over median, and the confidence tier it gives; `middle` has the medians (by, __q) where they are known."""
+    if middle is None:
+        middle = exact_quantiles(paths, by, [column], [0.5]).select(*by, F.col(column)[0].alias("__q"))
+    own = paths.groupBy(*by).agg(F.stddev_pop(column).alias("__s")).join(middle, by)
+    out = own.select(*by, F.round(F.try_divide("__s", "__q"), 4).alias("dispersion"))
     return out.withColumn("tier", F.when(F.col("dispersion") < edges[0], "high").when(F.col("dispersion") < edges[1], "medium").otherwise("low"))
 
 
-def expected_value(paths: DataFrame, by: list[str], storage_pct: float, fee_pct: float) -> DataFrame:
-    """Median value of selling on each day net of storage and fee (per cent), the best day and its gain over day 1."""
-    m = medians(paths, by).withColumnRenamed("forecast", "median")
+def expected_value(paths: DataFrame, by: list[str], storage_pct: float, fee_pct: float, middle: DataFrame | None = None) -> DataFrame:
+    """Median value of selling on each day net of storage and fee (per cent), the best day and its gain over day 1; `middle` has the medians where they are known."""
+    m = (medians(paths, by) if middle is None else middle).withColumnRenamed("forecast", "median")
     net = F.col("median") * (1 - F.col("day") * storage_pct / 100) * (1 - fee_pct / 100)
     own = m.withColumn("net", F.round(net, 6)).groupBy(*by).agg(F.max(F.struct("net", (-F.col("day")).alias("minus_day"))).alias("best"), F.max(F.when(F.col("day") == 1, F.col("net"))).alias("now"))
     return own.select(*by, (-F.col("best.minus_day")).cast("int").alias("best_day"), F.round("best.net", 2).alias("best_value"), F.round((F.try_divide(F.col("best.net"), F.col("now")) - 1) * 100, 4).alias("net_benefit_pct"))
@@ -271,12 +283,13 @@ def path_inventory(df: DataFrame, by: list[str], start: str, n: int = DAYS) -> D
     Needs path_id, is_actuals and has_data_leakage beside the days.
     """
     days = [F.col(c) for c in day_columns(list(range(1, n + 1)))]
-    return df.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("n_rows"), F.count_distinct("path_id").alias("n_paths"), F.min(start).alias("first_start"), F.max(start).alias("last_start"),
+    out = with_n_paths(df, by, [
+        F.count(F.lit(1)).alias("n_rows"), F.min(start).alias("first_start"), F.max(start).alias("last_start"),
         F.round(F.min(F.array_min(F.array(*days))), 4).alias("lowest"), F.round(F.max(F.array_max(F.array(*days))), 4).alias("highest"),
         F.count_if("is_actuals").alias("n_actuals"), F.count_if("has_data_leakage").alias("n_leakage"),
         *(F.count_if(F.isnull(d)).alias(f"null_day_{h}") for h, d in enumerate(days, 1)),
-    )
+    ])
+    return out.select(*by, "n_rows", "n_paths", *(c for c in out.columns if c not in (*by, "n_rows", "n_paths")))
 
 
 def path_validity(df: DataFrame, by: list[str], start: str, cutoff: str, expected: int, n: int = DAYS) -> DataFrame:
@@ -285,13 +298,14 @@ def path_validity(df: DataFrame, by: list[str], start: str, cutoff: str, expecte
     A row is an actual one if and only if its path_id is 0, and leaks if and only if its cutoff is not before its start.
     """
     days = [F.col(c) for c in day_columns(list(range(1, n + 1)))]
-    paths, actual = F.count_distinct("path_id"), F.max("is_actuals")
-    out = df.groupBy(*by).agg(
-        paths.alias("n_paths"), (paths == F.lit(expected) + actual.cast("int")).alias("is_complete"),
+    out = with_n_paths(df, by, [
+        F.max("is_actuals").alias("__actual"),
         F.count_if(F.col("is_actuals") != (F.col("path_id") == 0)).alias("n_wrong_actuals"),
         F.count_if(F.col("has_data_leakage") != (F.col(cutoff) >= F.col(start))).alias("n_wrong_leakage"),
         F.count_if(F.array_min(F.array(*days)) < 0).alias("n_negative"),
-    )
+    ])
+    complete = (F.col("n_paths") == F.lit(expected) + F.col("__actual").cast("int")).alias("is_complete")
+    out = out.select(*by, "n_paths", complete, "n_wrong_actuals", "n_wrong_leakage", "n_negative")
     return out.withColumn("is_valid", F.col("is_complete") & (F.col("n_wrong_actuals") + F.col("n_wrong_leakage") + F.col("n_negative") == 0))
 
 

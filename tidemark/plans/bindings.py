@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..operators.carry import ranked
+from ..sources.tables import saved
 
 VIEWS = {
     "market": "SELECT CAST(o_orderdate AS DATE) AS date, o_orderpriority AS commodity, arg_min(o_totalprice, o_orderkey) AS open, max(o_totalprice) AS high, min(o_totalprice) AS low, arg_max(o_totalprice, o_orderkey) AS close, count(*) AS volume FROM orders GROUP BY ALL",
@@ -23,6 +25,14 @@ VIEWS = {
 }
 ORDER = list(VIEWS)
 LINE = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
+#: What the days of a line's path follow from.
+PRICED = ["l_extendedprice", "l_quantity", "l_discount"]
+
+
+def path_days(of: Callable[[str], Column]) -> list[Column]:
+    """The days of the path of a line, whose columns `of` gives."""
+    base = of("l_extendedprice") / of("l_quantity")
+    return [(base * (1 + 0.01 * h * (of("l_discount") - 0.05))).alias(f"day_{h}") for h in range(1, 15)]
 
 
 def with_views(names: str, body: str) -> str:
@@ -74,18 +84,27 @@ class Frames:
         e = self.table("events")
         return e.select("event_id", F.date_format("ts", "yyyyMMddHHmmss").alias("day_text"), F.to_date("ts").alias("date"), F.concat(F.upper("event_type"), F.lit(";ECON_"), (k % 7).cast("string"), F.lit(";TAX_"), F.upper("event_type")).alias("themes"), F.concat_ws(",", F.col("value").cast("string"), k.cast("string"), F.abs(k - 50).cast("string")).alias("tone"), F.col("event_type").alias("all_names"), k.alias("k"), "value", "user_id")
 
+    @cached_property
+    def path_lines(self) -> DataFrame:
+        """The lines that forecast paths stem from."""
+        own = self.table("lineitem").withColumn("start", F.to_date(F.date_trunc("month", "l_shipdate"))).withColumn("model", F.col("l_returnflag"))
+        return own.select("start", "model", *LINE, *PRICED)
+
     @cached_property
     def path_rows(self) -> DataFrame:
         """Forecast paths by the line that each stems from, without numbers."""
-        own = self.table("lineitem").withColumn("start", F.to_date(F.date_trunc("month", "l_shipdate"))).withColumn("model", F.col("l_returnflag"))
-        base = F.col("l_extendedprice") / F.col("l_quantity")
-        return own.select("start", "model", *LINE, *((base * (1 + 0.01 * h * (F.col("l_discount") - 0.05))).alias(f"day_{h}") for h in range(1, 15)))
+        return self.path_lines.select("start", "model", *LINE, *path_days(F.col))
+
+    @cached_property
+    def numbered_lines(self) -> DataFrame:
+        """The lines, numbered within start and model. Their few columns are what is sorted and written; days follow from them."""
+        own = ranked(self.path_lines, ["start", "model"], LINE, "path_id")
+        return own.select("start", "model", F.col("path_id").cast("int").alias("path_id"), *PRICED)
 
     @cached_property
     def paths(self) -> DataFrame:
-        """The same, numbered within start and model; for queries that read the number."""
-        own = ranked(self.path_rows, ["start", "model"], LINE, "path_id")
-        return own.select("start", "model", F.col("path_id").cast("int").alias("path_id"), *(f"day_{h}" for h in range(1, 15)))
+        """Forecast paths with numbers; for queries that read the number."""
+        return self.numbered_lines.select("start", "model", "path_id", *path_days(F.col))
 
     @cached_property
     def long_rows(self) -> DataFrame:
@@ -99,15 +118,23 @@ class Frames:
 
     @cached_property
     def actuals(self) -> DataFrame:
+        """A row for each start and day, written once: joins with paths go by its size."""
         starts = self.table("lineitem").select(F.to_date(F.date_trunc("month", "l_shipdate")).alias("start")).distinct()
         days = starts.withColumn("day", F.explode(F.sequence(F.lit(1), F.lit(14)))).withColumn("date", F.expr("date_add(start, day - 1)"))
-        return days.join(self.unit_price, "date").select("start", "day", F.col("price").alias("actual"))
+        return saved(days.join(self.unit_price, "date").select("start", "day", F.col("price").alias("actual")), "actuals")
+
+    @cached_property
+    def medians(self) -> DataFrame:
+        """The median path of each start and model, computed once."""
+        from ..operators.paths import medians
+
+        return saved(medians(self.path_rows, ["start", "model"]), "medians")
 
     @cached_property
     def points(self) -> DataFrame:
-        from ..operators.paths import medians, with_actuals
+        from ..operators.paths import with_actuals
 
-        return with_actuals(medians(self.path_rows, ["start", "model"]), self.actuals)
+        return with_actuals(self.medians, self.actuals)
 
     @cached_property
     def trades(self) -> DataFrame:
