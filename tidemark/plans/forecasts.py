@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import clean, features as feat, ledger, news as nw, paths as pt, scores as sc, signals as sg
+from ..sources.tables import saved
 from .bindings import Frames, with_views as sql
 
 BY = ["start", "model"]
@@ -39,10 +40,11 @@ def ladder_input(f: Frames):
 
 
 def tiers(f: Frames):
-    gain = pt.expected_value(f.path_rows, BY, 0.005, 0.01)
-    spread = pt.dispersion_tier(f.path_rows, BY, (0.3, 0.5))
+    """Gain, dispersion and consensus, a row for each start and model, written once for queries that read them more than once."""
+    gain = pt.expected_value(f.path_rows, BY, 0.005, 0.01, f.medians)
+    spread = pt.dispersion_tier(f.path_rows, BY, (0.3, 0.5), middle=f.medians.where("day = 14").select(*BY, F.col("forecast").alias("__q")))
     rise = f.path_rows.join(f.actuals.where("day = 1").select("start", F.col("actual").alias("price")), "start")
-    return gain.join(spread, BY).join(rise.groupBy(*BY).agg(F.round(F.avg((F.col("day_14") > F.col("price")).cast("double")), 4).alias("consensus")), BY)
+    return saved(gain.join(spread, BY).join(rise.groupBy(*BY).agg(F.round(F.avg((F.col("day_14") > F.col("price")).cast("double")), 4).alias("consensus")), BY), "tiers")
 
 
 EV = "ev AS (SELECT start, model, arg_max(day, (net, -day)) AS best_day, max(net) AS bv, max(net) FILTER (day = 1) AS nv FROM (SELECT start, model, day, round(quantile_cont(value, 0.5) * (1 - day * 0.005 / 100) * (1 - 0.01 / 100), 6) AS net FROM long_paths GROUP BY start, model, day) GROUP BY ALL)"
@@ -113,6 +115,11 @@ def rated(f: Frames):
     return ledger.efficiency(ledger.ledger_metrics(f.trades, ["strategy"], 0.01).select("strategy", "net").join(best, "strategy"), F.col("bound_value"))
 
 
+def decided(f: Frames):
+    t = tiers(f)
+    return ledger.decision_diff(sg.consensus_signal(t, min_gain=0.2), sg.risk_signal(t, 0.3, 0.5, 0.2), BY, "share")
+
+
 CASES = {
     "p2_relevant": (lambda f: nw.relevant(f.news.select("event_id", "themes", "all_names"), ["ECON_1", "TAX_P"], ["view"]), sql("news", "SELECT event_id, themes, all_names FROM news WHERE regexp_matches(themes, '(^|;)(ECON_1|TAX_P)') OR contains(lower(all_names), 'view')")),
     "p3_commodity_flags": (lambda f: nw.commodity_flags(f.table("documents").select("doc_id", "text"), "text", {"coffee": ("the|und", None), "sugar": ("la ", "el ")}).drop("text"), "SELECT doc_id, coalesce(regexp_matches(lower(text), 'the|und'), false) AS is_coffee, coalesce(regexp_matches(lower(text), 'la ') AND NOT regexp_matches(lower(text), 'el '), false) AS is_sugar FROM documents"),
@@ -172,6 +179,6 @@ CASES = {
     "g7_horizon_signal": (lambda f: sg.horizon_signal(f.points, BY, 1.0, 0.01, 0.001), sql("points", "SELECT start, model, round(nv, 2) AS now, round(lv, 2) AS later, nv >= lv AS sell_now FROM (SELECT start, model, max(n) FILTER (day = 1) AS nv, max(n) FILTER (day > 1) AS lv FROM (SELECT *, round(forecast * (1 - 0.01 / 100) * pow(1 - 0.001, day - 1) - 1.0 * (day - 1), 6) AS n FROM points) GROUP BY ALL)")),
     "g8_hold_or_sell": (lambda f: sg.hold_or_sell(f.points.groupBy(*BY).agg(F.round(F.max("forecast"), 4).alias("best_value"), F.round(F.max(F.when(F.col("day") == 1, F.col("forecast"))), 4).alias("now_value")), 5.0), sql("points", "SELECT start, model, best_value, now_value, round(best_value - now_value, 4) AS gain, CASE WHEN round(best_value - now_value, 4) >= 5 THEN 'HOLD' ELSE 'SELL' END AS recommendation FROM (SELECT start, model, round(max(forecast), 4) AS best_value, round(max(forecast) FILTER (day = 1), 4) AS now_value FROM points GROUP BY ALL)")),
     "g9_parameter_grid": (lambda f: sg.parameter_grid(tiers(f), [{"low": 0.2, "high": 0.4}, {"low": 0.3, "high": 0.6}], lambda d, low, high: sg.risk_signal(d, low, high, 0.2)).groupBy("variant").agg(F.round(F.avg("share"), 4).alias("mean_share"), F.count(F.lit(1)).alias("n")), tier_sql("SELECT variant, round(avg(share), 4) AS mean_share, count(*) AS n FROM (SELECT v AS variant, CASE WHEN dispersion < lo AND net_benefit_pct > 0.2 THEN 0.0 WHEN dispersion < hi AND net_benefit_pct > 0.2 THEN 0.10 WHEN dispersion < lo THEN 0.40 WHEN dispersion < hi THEN 0.30 ELSE 0.25 END AS share FROM t, (VALUES (0, 0.2, 0.4), (1, 0.3, 0.6)) p(v, lo, hi)) GROUP BY 1")),
-    "g10_decision_diff": (lambda f: ledger.decision_diff(sg.consensus_signal(tiers(f), min_gain=0.2), sg.risk_signal(tiers(f), 0.3, 0.5, 0.2), BY, "share"), tier_sql("SELECT start, model, a AS optimal, b AS actual, round(b - a, 4) AS difference, abs(b - a) > 0.1 AS differs FROM (SELECT start, model, CASE WHEN consensus >= 0.7 AND net_benefit_pct > 0.2 THEN 0.0 WHEN consensus >= 0.6 AND net_benefit_pct > 0.2 THEN 0.10 WHEN consensus <= 1 - 0.7::DOUBLE THEN 0.40 WHEN consensus <= 1 - 0.6::DOUBLE THEN 0.30 ELSE 0.20 END::DOUBLE AS a, CASE WHEN dispersion < 0.3 AND net_benefit_pct > 0.2 THEN 0.0 WHEN dispersion < 0.5 AND net_benefit_pct > 0.2 THEN 0.10 WHEN dispersion < 0.3 THEN 0.40 WHEN dispersion < 0.5 THEN 0.30 ELSE 0.25 END::DOUBLE AS b FROM t)")),
+    "g10_decision_diff": (decided, tier_sql("SELECT start, model, a AS optimal, b AS actual, round(b - a, 4) AS difference, abs(b - a) > 0.1 AS differs FROM (SELECT start, model, CASE WHEN consensus >= 0.7 AND net_benefit_pct > 0.2 THEN 0.0 WHEN consensus >= 0.6 AND net_benefit_pct > 0.2 THEN 0.10 WHEN consensus <= 1 - 0.7::DOUBLE THEN 0.40 WHEN consensus <= 1 - 0.6::DOUBLE THEN 0.30 ELSE 0.20 END::DOUBLE AS a, CASE WHEN dispersion < 0.3 AND net_benefit_pct > 0.2 THEN 0.0 WHEN dispersion < 0.5 AND net_benefit_pct > 0.2 THEN 0.10 WHEN dispersion < 0.3 THEN 0.40 WHEN dispersion < 0.5 THEN 0.30 ELSE 0.25 END::DOUBLE AS b FROM t)")),
     "g11_vote": (lambda f: sg.vote(sg.threshold_signal(ladder_input(f)).select("date", "commodity", "share").unionByName(sg.crossover_signal(ladder_input(f)).select("date", "commodity", "share")), ["date", "commodity"]), rsi_sql(f"SELECT date, commodity, count(*) FILTER (share > 0) AS n_sell, count(*) AS n, round(avg(share), 4) AS mean_share, CASE WHEN count(*) FILTER (share > 0) * 2 > count(*) THEN 'SELL' ELSE 'HOLD' END AS action, round(100 * count(*) FILTER (share > 0) / count(*), 2) AS sell_pct FROM (SELECT date, commodity, CASE WHEN over_threshold THEN {LADDER} ELSE 0.0 END::DOUBLE AS share FROM z UNION ALL SELECT date, commodity, CASE WHEN cross_down THEN {LADDER} ELSE 0.0 END::DOUBLE FROM z) GROUP BY ALL")),
 }
