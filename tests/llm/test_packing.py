@@ -58,3 +58,33 @@ def test_words_and_whole_texts_have_the_same_ids():
     model, ours = Tokenizer.from_file(PATH), packing.WordTokenizer(PATH)
     for text in ["It's THE… »x« 12,5.%$ l'été. <|ENDOFTEXT|> Σας ΟΔΟΣ, x y. z a\x1cb 'tis!! a'.s", "a<|endoftext|>b<|endoftext|>.", "ﬁ ½ İstanbul\n\n#"]:
         assert ours.encode([text.encode()])[0] == struct.pack(f"<{len(e := model.encode(text, add_special_tokens=False).ids)}I", *e)
+
+
+def test_words_that_hold_the_separator_or_spell_nothing():
+    model, ours = Tokenizer.from_file(PATH), packing.WordTokenizer(PATH)
+    batch = ["a \x01 b\x01c. d", "", " \t", "\x01", "x!!, X!! é.. ...", "<|startoftext|>\x01 END."]
+    for _ in range(2):  # the second time from the cache
+        assert ours.encode([t.encode() for t in batch]) == [struct.pack(f"<{len(e := model.encode(t, add_special_tokens=False).ids)}I", *e) for t in batch]
+    assert ours.encode([]) == []
+
+
+def test_a_word_is_kept_once_and_compactly():
+    ours = packing.WordTokenizer(PATH)
+    batch = [b" ".join(b"w%dq Zt%d,!" % (k, k) for k in range(n)) for n in (20_000, 30_000)]
+    ours.encode(batch)
+    assert ours.cache_bytes() < 80 * 60_000
+    before = ours.cache_bytes()
+    ours.encode(batch)
+    assert ours.cache_bytes() == before
+
+
+def test_tasks_leave_no_tokenizer_behind(spark, few):
+    def held(batches):
+        from tidemark.llm import packing
+
+        assert not packing._tokenizers
+        yield from batches
+
+    docs = few.select("doc_id", "text").repartition(4)
+    packing.pack(docs, PATH).count()
+    assert docs.mapInArrow(held, docs.schema).count()

@@ -3,15 +3,17 @@
 from __future__ import annotations
 
 import os
-import struct
 import zlib
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import LOWER, documents, map_arrow, saved, texts
+from .common import documents, map_arrow, saved, texts
 
 CAPACITY = 4096
 END_ID = 1
@@ -20,22 +22,36 @@ NEARLY_FULL = 4
 FAN_IN = 8
 #: Items that one task packs at a time.
 TASK_ITEMS = 200_000
-#: Bytes of each of the two caches of words (with WORD_BYTES for an entry's own needs).
-CACHE_BYTES, WORD_BYTES = 48 << 20, 150
+#: Bytes of the cache of words.
+CACHE_BYTES = 24 << 20
+#: Texts whose ids are put together at once.
+TEXTS = 100
 #: Signs that end words; behind a letter or digit they are always pre-tokens of their own.
-TAIL = b".,;:!?&$%*#|"
+TAIL = ".,;:!?&$%*#|"
+#: Stands between words that are tokenised together: white space and a sign with an id of its own.
+SEPARATOR = " \x01 "
 
 MEMBER = pa.struct([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("offset", pa.int64())])
 BIN = pa.schema([("sequence_id", pa.int64()), ("open", pa.bool_()), ("fill", pa.int32()), ("members", pa.list_(MEMBER))])
 BIN_DDL = "sequence_id long, open boolean, fill int, members array<struct<doc_id: long, piece: int, start: long, length: long, ids_crc32: long, offset: long>>"
 
 
+def last_bytes(words: pa.Array, sizes: np.ndarray) -> pa.Array:
+    """The last bytes of each word, as many as its size."""
+    ends = np.frombuffer(words.buffers()[1], np.int64)[words.offset + 1 : words.offset + 1 + len(words)]
+    edges = np.concatenate([[0], np.cumsum(sizes)])
+    at = np.repeat(ends - edges[1:], sizes) + np.arange(edges[-1])
+    held = np.frombuffer(words.buffers()[2] or b"", np.uint8)
+    return pa.Array.from_buffers(pa.large_string(), len(words), [None, pa.py_buffer(edges.astype(np.int64)), pa.py_buffer(held[at])])
+
+
 class WordTokenizer:
     """Ids of texts, by way of a bounded cache of words' ids.
 
     The tokenizer drops white space and no pre-token crosses it, so a text's ids are those of its words in order.
-    It lower-cases, and signs that follow a letter or digit are pre-tokens apart, so a new word is looked up as a
-    lower-case core and its signs before the tokenizer itself is asked.
+    It lower-cases, and signs that follow a letter or digit are pre-tokens apart, so a word is looked up as a
+    lower-case core and the signs behind it. Arrow splits a batch and finds its different words; only cores and signs
+    that are not in the cache go to the tokenizer itself. The cache is three arrays, without an object for a word.
     """
 
     def __init__(self, path: str):
@@ -43,45 +59,66 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path)
-        self.known: dict[bytes, bytes] = {}
-        self.cores: dict[bytes, bytes] = {}
+        (self.separator,) = self.model.encode(SEPARATOR, add_special_tokens=False).ids
         self.clear()
 
     def clear(self) -> None:
-        self.known.clear()
-        self.cores.clear()
-        self.known_bytes = self.core_bytes = 0
+        self.cells = pa.array([], pa.large_string())
+        self.ids, self.starts = np.empty(0, "<u4"), np.zeros(1, np.int64)
+
+    def cache_bytes(self) -> int:
+        return self.cells.nbytes + self.ids.nbytes + self.starts.nbytes
 
     @staticmethod
-    def core_and_tail(word: bytes) -> tuple[bytes, bytes]:
-        if b"<|" in word:  # may hold a special token, which is matched as it is written
-            return word, b""
-        word = word.translate(LOWER)
-        core = word.rstrip(TAIL)
-        return (core, word[len(core) :]) if core[-1:].isalnum() else (word, b"")
+    def cores_and_tails(words: pa.Array) -> tuple[pa.Array, pa.Array]:
+        low = pc.ascii_lower(words)
+        core = pc.ascii_rtrim(low, characters=TAIL)
+        # a special token is matched as it is written
+        special = pc.match_substring(words, "<|")
+        apart = pc.and_not(pc.match_substring_regex(core, "[a-z0-9]$"), special)
+        core = pc.if_else(apart, core, pc.if_else(special, words, low))
+        return core, last_bytes(low, pc.subtract(pc.binary_length(words), pc.binary_length(core)).to_numpy())
+
+    def tokenised(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the words, and each word's number of them. Words are told apart by a separator; if one holds it, all go alone."""
+        whole = np.array(self.model.encode_batch_fast([SEPARATOR.join(words)], add_special_tokens=False)[0].ids, "<u4")
+        at = np.flatnonzero(whole == self.separator)
+        if len(at) == len(words) - 1:
+            return np.delete(whole, at), np.diff(at, prepend=-1, append=len(whole)) - 1
+        found = [e.ids for e in self.model.encode_batch_fast(words, add_special_tokens=False)]
+        return np.fromiter(chain.from_iterable(found), "<u4"), np.array([len(x) for x in found])
+
+    def places(self, cells: pa.Array) -> np.ndarray:
+        """Where each cell's ids are in the cache; new cells are tokenised first."""
+        at = pc.index_in(cells, self.cells)
+        if at.null_count:
+            new = cells.filter(at.is_null()).unique()
+            own = [w.decode("utf-8", "replace") for w in new.cast(pa.large_binary()).to_pylist()]
+            parts = [self.tokenised(own[k : k + 1000]) for k in range(0, len(own), 1000)]
+            self.ids = np.concatenate([self.ids, *(ids for ids, _ in parts)])
+            self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(np.concatenate([n for _, n in parts]))])
+            self.cells = pa.concat_arrays([self.cells, new])
+            at = pc.index_in(cells, self.cells)
+        return at.to_numpy()
 
     def encode(self, batch: list[bytes]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        split = [t.split() for t in batch]
-        known, cores = self.known, self.cores
-        if self.known_bytes > CACHE_BYTES:
-            known.clear()
-            self.known_bytes = 0
-        if self.core_bytes > CACHE_BYTES:
-            cores.clear()
-            self.core_bytes = 0
-        parts = {w: self.core_and_tail(w) for w in set().union(*split).difference(known)}
-        new = list({x for both in parts.values() for x in both}.difference(cores))
-        for at in range(0, len(new), 10_000):
-            part = new[at : at + 10_000]
-            found = self.model.encode_batch_fast([w.decode("utf-8", "replace") for w in part], add_special_tokens=False)
-            for word, e in zip(part, found, strict=True):
-                cores[word] = ids = struct.pack(f"<{len(e.ids)}I", *e.ids)
-                self.core_bytes += len(word) + len(ids) + WORD_BYTES
-        for word, (core, tail) in parts.items():
-            known[word] = ids = cores[core] + cores[tail]
-            self.known_bytes += len(word) + len(ids) + WORD_BYTES
-        return [b"".join(map(known.__getitem__, words)) for words in split]
+        if self.cache_bytes() > CACHE_BYTES:
+            self.clear()
+        split = pc.ascii_split_whitespace(pa.array(batch, pa.large_binary()).view(pa.large_string()))
+        words, upto = split.flatten().dictionary_encode(), split.offsets.to_numpy()
+        core, tail = self.cores_and_tails(words.dictionary)
+        both = self.places(pa.concat_arrays([core, tail])).reshape(2, -1).T  # a word's core, then its signs
+        word, out = words.indices.to_numpy(), []
+        for k in range(0, len(batch), TEXTS):
+            edges = upto[k : k + TEXTS + 1]
+            cells = both[word[edges[0] : edges[-1]]].ravel()
+            sizes = self.starts[cells + 1] - self.starts[cells]
+            ends = np.concatenate([[0], np.cumsum(sizes)])
+            ids = self.ids[np.repeat(self.starts[cells] - ends[:-1], sizes) + np.arange(ends[-1])]
+            edges = ends[2 * (edges - edges[0])]
+            out += [ids[a:z].tobytes() for a, z in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)]
+        return out
 
 
 _tokenizers: dict[str, WordTokenizer] = {}
@@ -93,6 +130,11 @@ def tokenizer(path: str) -> WordTokenizer:
     return _tokenizers[path]
 
 
+def let_go() -> None:
+    """Workers live on, and would hold the tokenizer beside what they do next. A function of the module: a task's own has a copy of its globals."""
+    _tokenizers.clear()
+
+
 def pieces(doc_id: int, ids: bytes, capacity: int) -> Iterator[tuple]:
     """(doc_id, piece, start, length, crc) of a document's pieces; its end id counts."""
     ids += END_ID.to_bytes(4, "little")
@@ -175,7 +217,7 @@ def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, slack: int = NEAR
                 for doc_id, ids in zip(b.column(0).to_pylist(), tokenizer(path).encode(texts(b)), strict=True):
                     for p in pieces(doc_id, ids, capacity):
                         yield p[3], [(*p, 0)]
-            tokenizer(path).clear()
+            let_go()
 
         return emitted(items(), capacity, slack, 0)
 
