@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import time
 
 import numpy as np
@@ -103,3 +104,23 @@ def test_ranks_leave_the_rows_where_they_are(spark):
     once = shuffled(spark, lambda: carry.cut(own, ["k"], ["v"]).write.format("noop").mode("overwrite").save())
     moved = shuffled(spark, lambda: carry.ranked(own, ["k"], ["v"]).write.format("noop").mode("overwrite").save())
     assert moved < 1.2 * once
+
+
+def test_ranks_write_only_what_is_kept(spark):
+    from tidemark.operators import carry
+
+    own = spark.range(0, 5000, 1, 4).selectExpr("id % 3 AS k", "xxhash64(id) AS v", "id * 2 AS w")
+    got = carry.ranked(own, ["k"], ["v"], "n", keep=["w"])
+    assert got.columns == ["k", "w", "n"]
+    whole = carry.ranked(own, ["k"], ["v"], "n").select("k", "w", "n")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, whole.collect()))
+    size = lambda df: sum(os.path.getsize(p.removeprefix("file://")) for p in df.inputFiles() if "/ranked-" in p)
+    assert size(got) < size(carry.ranked(own, ["k"], ["v"], "n")) * 0.8
+
+
+def test_stored_paths_are_compressed(spark, sf_dir):
+    from tidemark.plans import reshape
+    from tidemark.plans.bindings import Frames
+
+    files = reshape.read_parts(Frames(spark, sf_dir)).inputFiles()
+    assert files and all(".zstd." in p for p in files)

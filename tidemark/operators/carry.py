@@ -40,9 +40,10 @@ def earlier(key: list[str]):  # noqa: ANN201
     return Window.partitionBy(*key).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
 
 
-def ranked(df: DataFrame, key: list[str], order: list[str], into: str = "rank", parts: int | None = None) -> DataFrame:
-    """Adds the row's place in its key by order, from 1."""
-    rows = saved(cut(df, key, order, parts), "ranked")
+def ranked(df: DataFrame, key: list[str], order: list[str], into: str = "rank", parts: int | None = None, keep: list[str] | None = None) -> DataFrame:
+    """Adds the row's place in its key by order, from 1. With `keep`, only the key and these columns are written and stay."""
+    rows = cut(df, key, order, parts)
+    rows = saved(rows if keep is None else rows.select(*key, *keep, "__part", "__at"), "ranked")
     blocks = rows.groupBy("__part", *key).agg(F.min("__at").alias("__first"), F.count(F.lit(1)).alias("__n"))
     blocks = blocks.withColumn("__shift", F.coalesce(F.sum("__n").over(earlier(key)), F.lit(0)) - F.col("__first") + 1)
     return rejoin(rows, blocks, key, ["__shift"]).withColumn(into, F.col("__at") + F.col("__shift")).drop("__part", "__at", "__shift")

@@ -97,8 +97,8 @@ class Frames:
 
     @cached_property
     def numbered_lines(self) -> DataFrame:
-        """The lines, numbered within start and model. Their few columns are what is sorted and written; days follow from them."""
-        own = ranked(self.path_lines, ["start", "model"], LINE, "path_id")
+        """The lines, numbered within start and model. Their few columns are what is sorted, those that days follow from what is written."""
+        own = ranked(self.path_lines, ["start", "model"], LINE, "path_id", keep=PRICED)
         return own.select("start", "model", F.col("path_id").cast("int").alias("path_id"), *PRICED)
 
     @cached_property

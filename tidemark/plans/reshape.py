@@ -56,14 +56,14 @@ def versioned(f: Frames):
 def stored_parts(f: Frames):
     """Path arrays in parts of 50, stored and read again; the text has every value."""
     path = shared(f, "path-parts")
-    pt.path_parts(f.numbered_lines, BY, 50, held=PRICED, days=path_days).write.parquet(path)
+    pt.path_parts(f.numbered_lines, BY, 50, held=PRICED, days=path_days).write.option("compression", "zstd").parquet(path)
     whole = F.transform("paths", lambda p: F.array_join(F.transform(p["days"], lambda x: F.floor(x * 10000 + 0.5).cast("string")), ","))
     return f.spark.read.parquet(path).select(*BY, "part", "n_paths", F.array_join(whole, ";").alias("paths"))
 
 
 def read_parts(f: Frames):
     path = shared(f, "path-parts")
-    pt.path_parts(f.numbered_lines, BY, 50, held=PRICED, days=path_days).write.parquet(path)
+    pt.path_parts(f.numbered_lines, BY, 50, held=PRICED, days=path_days).write.option("compression", "zstd").parquet(path)
     return pt.path_rows(f.spark.read.parquet(path), BY).select(*BY, F.col("path_id").cast("long").alias("path_id"), *((F.floor(F.col(f"day_{h}") * 10000 + 0.5) / 10000).alias(f"day_{h}") for h in range(1, 15)))
 
 
