@@ -1,5 +1,7 @@
 """The pipeline's stages keep their contract, and their effects equal those of the operators by brute force."""
 
+import random
+
 import __spark_entry__
 import corpus_pipeline as cp
 import numpy as np
@@ -85,3 +87,20 @@ def test_texts_too_short_to_judge_stay(spark, sf_dir, few):
 def test_registered():
     known = __spark_entry__.queries()
     assert "pipeline" in known and {f"op{n}_" for n in range(1, 14)} == {k[: k.index("_") + 1] for k in known if k.startswith("op")}
+
+
+def test_short_passages_of_many_words_go(spark, sf_dir):
+    """A passage of 60 words, 359 bytes, in documents that share nothing else; one of 45 words stays."""
+    r = random.Random(5)
+    own = lambda n: [f"w{r.randrange(1000, 9999)}" for _ in range(n)]
+    passage, short = (" ".join(f"x{r.randrange(1000, 9999)}" for _ in range(n)) for n in (60, 45))
+    rows = [(k, " ".join(own(80)) + " " + (passage if k < 9 else short) + " " + " ".join(own(70)), "en", "s", 1) for k in range(18)]
+    rows += [(50, " ".join(own(150)), "en", "s", 1), (51, None, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    for name, stage in cp.STAGES:
+        if name.startswith("repeated"):
+            docs = stage(spark, docs, sf_dir)
+    left = {x["doc_id"]: x for x in docs.collect()}
+    assert {i: left[i]["text"] for i in left} == {i: t and t.replace(passage, "") for i, t, *_ in rows}
+    assert all(x["n_chars"] == len(x["text"]) for x in left.values() if x["text"] is not None)
+    assert len(left) == 20

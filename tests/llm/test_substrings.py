@@ -1,5 +1,6 @@
 import hashlib
 import random
+import re
 from collections import Counter
 
 import numpy as np
@@ -122,3 +123,38 @@ def test_clashing_columns_come_back(spark):
 
 def test_nothing(nothing):
     assert substrings.remove_repeats(nothing).count() == 0
+
+
+def brute_words(texts, words):
+    """What is left of each text without its repeated passages of so many words."""
+    found = [[m.span() for m in re.finditer(rb"[^\x20\x09-\x0D]+", t)] for t in texts]
+    passages = [[tuple(t[a:z] for a, z in own[k : k + words]) for k in range(len(own) - words + 1)] for t, own in zip(texts, found, strict=True)]
+    seen = Counter(p for own in passages for p in own)
+    out = []
+    for t, own, at in zip(texts, passages, found, strict=True):
+        gone = [False] * len(t)
+        starts = [k for k, p in enumerate(own) if seen[p] > 1]
+        for i, k in enumerate(starts):
+            last = k + words - 1
+            if i + 1 < len(starts) and starts[i + 1] == k + words:  # the next passage touches this one
+                last += 1
+            gone[at[k][0] : at[last][1]] = [True] * (at[last][1] - at[k][0])
+        kept = bytes(b for b, g in zip(t, gone, strict=True) if not g)
+        out.append((len(t), sum(gone), sum(g and not (k and gone[k - 1]) for k, g in enumerate(gone)), hashlib.sha256(kept).hexdigest()))
+    return out
+
+
+@pytest.mark.parametrize("words,hot", [(50, 4096), (5, 6), (2, 4096)])
+def test_passages_equal_brute_force(words, hot, odd, spark, monkeypatch):
+    monkeypatch.setattr(substrings, "HOT_RUNS", hot)
+    r = random.Random(words)
+    own = lambda n: [f"q{r.randrange(10**6)}" for _ in range(n)]
+    passage, edge, twin = own(words), own(words - 1), own(words + 3)
+    more = [(100 + k, " ".join(own(r.randrange(9)) + passage + own(r.randrange(1, 9)))) for k in range(20)]
+    more += [(200 + k, " ".join(own(3) + edge + own(3))) for k in range(4)]
+    more += [(300, "  " + "\t\n".join(passage + passage) + " "), (301, " ".join(twin) + " é\u00a0 "), (302, " ".join(twin) + " é\u00a0 "), (303, "a" * 500), (304, "a" * 500), (305, "ab " * 80), (306, " ".join(twin[1:] + own(40 + words) + twin[:-1]))]
+    docs = odd.select("doc_id", "text").union(spark.createDataFrame(more, "doc_id long, text string")).repartition(5)
+    rows = docs.collect()
+    expected = Counter((str(x["doc_id"]), *b) for x, b in zip(rows, brute_words([(x["text"] or "").encode() for x in rows], words), strict=True))
+    got = Counter((str(x["doc_id"]), x["n_bytes"], x["n_removed"], x["n_spans"], x["kept"]) for x in substrings.remove_passages(docs, keep_text=False, words=words).collect())
+    assert got == expected
