@@ -64,6 +64,24 @@ def test_nothing_to_mine(spark, rows):
     assert found(spark, rows) == []
 
 
+def test_rows_and_anchors_meet_without_the_driver(spark, monkeypatch):
+    for name, size in (("CHUNK", 20), ("BLOCK", 8)):
+        monkeypatch.setattr(negatives, name, size)
+    plans, run = [], negatives.map_arrow
+    monkeypatch.setattr(negatives, "map_arrow", lambda df, *how: plans.append(df._jdf.queryExecution().executedPlan().toString()) or run(df, *how))
+    rows = made(5, 200)
+    assert found(spark, rows) == brute(rows)
+    assert sum("Join" in p or "CartesianProduct" in p for p in plans) == 2
+    assert not [step for step in ("Broadcast", "Generate") if any(step in p for p in plans)]
+
+
+def test_chunks_in_more_parts_than_the_shuffle_has(spark, monkeypatch):
+    for name, size in (("CHUNK", 10), ("BLOCK", 1000), ("STREAM", 1)):
+        monkeypatch.setattr(negatives, name, size)
+    rows = made(6, 200)
+    assert found(spark, rows) == brute(rows)
+
+
 @pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
 def test_query_equals_its_sql(spark, sf):
     sf_dir = f"/root/testdata/{sf}"

@@ -13,8 +13,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .common import map_arrow, record, saved
 
-#: Rows of a chunk, anchors of a block, anchors that are scored against a chunk at once.
-CHUNK, BLOCK, TILE = 2048, 4096, 256
+#: Rows of a chunk, anchors of a block, anchors that are scored against a chunk at once, chunks that a task streams past a block.
+CHUNK, BLOCK, TILE, STREAM = 2048, 4096, 256, 512
 #: Components count as no larger than COMPONENT, scores as no larger than SCORE (in magnitude); both keep integers exact.
 COMPONENT, SCORE = 1 << 53, 1 << 62
 LEAST = np.iinfo(np.int64).min
@@ -142,9 +142,9 @@ def entries(at: np.ndarray, there: np.ndarray, values: np.ndarray, ids: np.ndarr
 
 
 def search(find: callable) -> callable:
-    """Runs over joined (block, chunk) rows; find(block row, anchors of a tile, chunk, scores, state) keeps each anchor's best pairs.
+    """Runs over joined (chunk, block) rows; find(block row, anchors of a tile, chunk, scores, state) keeps each anchor's best pairs.
 
-    A block's pairs are kept while its chunks pass and handed out when another block begins: (anchors x best) at most.
+    The pairs of a task's block are kept while chunks pass and handed out at the end: (anchors x best) at most.
     """
     schema = pa.schema([("block", pa.int64()), ("place", pa.int32()), ("anchor_id", pa.int64()), ("score", pa.int64()), ("id", pa.int64()), ("chunk", pa.int64()), ("pos", pa.int32())])
 
@@ -159,22 +159,20 @@ def search(find: callable) -> callable:
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, ids, state = None, None, {}
+        held = {}
         for b in batches:
             for row in b.to_pylist():
-                if now != row["block"]:
-                    if now is not None:
-                        yield from close(now, ids, state)
-                    now, ids, state = row["block"], np.frombuffer(row["ids"], np.int64), {}
+                if row["block"] not in held:
                     anchors = {k: np.frombuffer(row[k], np.int64) for k in ("labels", "chunks", "places")}
-                    vectors = matrix(row)
+                    held[row["block"]] = np.frombuffer(row["ids"], np.int64), anchors, matrix(row), {}
+                ids, anchors, vectors, state = held[row["block"]]
                 chunk = {"chunk": row["chunk"], "ids": np.frombuffer(row["r_ids"], np.int64), "labels": np.frombuffer(row["r_labels"], np.int64)}
                 others = matrix({"vectors": row["r_vectors"], "kind": row["r_kind"], "dim": row["r_dim"], "ids": row["r_ids"]})
                 for start in range(0, len(ids), TILE):
                     tile = slice(start, start + TILE)
                     state[start] = find(row, tile, {k: v[tile] for k, v in anchors.items()}, chunk, scores(vectors[tile], others), state.get(start))
-        if now is not None:
-            yield from close(now, ids, state)
+        for block, (ids, _, _, state) in held.items():
+            yield from close(block, ids, state)
 
     return run
 
@@ -269,9 +267,10 @@ def hard_negatives(rows: DataFrame, positives: int = 5, keep: int = 3, low: int
     is false. A shorter vector ends in zeros. Repeated rows are rows of their own: each can be the other's positive, and each repeated
     anchor has its own results. Components count as at most 2**53 and scores as at most 2**62 in magnitude. Other columns play no part.
 
-    Rows are packed into chunks once, anchors into blocks; each block meets each chunk in one task, where an anchor's best pairs
-    are kept (what cannot be among an anchor's first pairs is not shuffled). Then pairs are sorted by their keys and streamed, first
-    to find the positives, then past the windows that these open.
+    Rows are packed into chunks once, anchors into blocks. A task streams a part of the chunks past a block and keeps its anchors'
+    best pairs (what cannot be among an anchor's first pairs is not shuffled). Blocks and chunks are dealt once and met as a Cartesian
+    product of partitions, so neither is copied by the shuffle or broadcast by the driver. Then pairs are sorted by their keys and
+    streamed, first to find the positives, then past the windows that these open.
     """
     spark = rows.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -280,12 +279,12 @@ def hard_negatives(rows: DataFrame, positives: int = 5, keep: int = 3, low: int
     rows = rows.select(F.col("id").cast("long"), F.col("label").cast("long"), F.coalesce("anchor", F.lit(False)).cast("int").alias("anchor"), F.col("vector").cast("array<double>"))
     chunks = saved(map_arrow(rows, chunked(scale), CHUNKS), "negatives-chunks")
     blocks = saved(map_arrow(chunks, blocks_of, BLOCKS), "negatives-blocks")
-    salts = max(1, min(n, chunks.count()))
-    others = chunks.select(F.pmod(F.xxhash64("chunk"), F.lit(salts)).cast("int").alias("salt"), "chunk", *(F.col(c).alias(f"r_{c}") for c in ("ids", "labels", "kind", "dim", "vectors")))
+    many, packs = chunks.count(), max(1, blocks.count())
+    streams = max(1, min(many, -(-n // packs)), -(-many // STREAM))
+    others = chunks.select("chunk", *(F.col(c).alias(f"r_{c}") for c in ("ids", "labels", "kind", "dim", "vectors"))).repartition(streams)
 
     def pairs(sides: DataFrame, find: callable) -> DataFrame:
-        dealt = sides.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-        return map_arrow(dealt.join(others, "salt"), search(find), PAIRS)
+        return map_arrow(others.crossJoin(sides.repartitionByRange(packs, "block").hint("shuffle_replicate_nl")), search(find), PAIRS)
 
     def in_order(*sides: tuple[DataFrame, int]):  # noqa: ANN202
         keyed = [df.rdd.map(pair_key(negative)) for df, negative in sides]
@@ -294,7 +293,7 @@ def hard_negatives(rows: DataFrame, positives: int = 5, keep: int = 3, low: int
     first = in_order((pairs(blocks, positives_in(positives)), 0)).mapPartitions(lambda it: first_positives(it, positives))
     found = saved(spark.createDataFrame(first, f"{PAIRS}, nth int", verifySchema=False), "negatives-positives")
     opened = found.groupBy("block").agg(F.collect_list(F.struct("place", "nth", "score")).alias("positives"))
-    closed = saved(pairs(blocks.join(opened, "block"), negatives_in(positives, keep, low, high)), "negatives-pairs")
+    closed = saved(pairs(blocks.join(opened.hint("merge"), "block"), negatives_in(positives, keep, low, high)), "negatives-pairs")
     mined = in_order((found, 0), (closed, 1)).mapPartitions(lambda it: past_windows(it, keep, low, high))
     return spark.createDataFrame(mined, "anchor_id long, positive_id long, rank int, negative_id long, positive_score long, negative_score long", verifySchema=False)
 
